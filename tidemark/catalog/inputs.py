@@ -186,12 +186,14 @@ FROM (SELECT *, string_split(text, ' ') AS words FROM conversations WHERE role =
 
 # --- telemetry --------------------------------------------------------------
 
-K = F.get_json_object("props", "$.k").cast("bigint")
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with the number ``k`` of their properties."""
+    return table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     """Search hits of a trace store, one per event; a trace is a user's day."""
-    e = table(spark, folder, "events").withColumn("k", K)
+    e = events(spark, folder)
     pair = lambda key, s, i: F.struct(F.lit(key).alias("key"), F.struct(s.alias("stringValue"), i.alias("intValue")).alias("value"))
     none = F.lit(None).cast("string")
     attrs = F.array(
@@ -222,7 +224,7 @@ NEEDS["feed"] = ["ev"]
 
 def spans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans from events: the first event of a user's day is the parent of the others."""
-    e = table(spark, folder, "events").withColumn("k", K).withColumn(
+    e = events(spark, folder).withColumn(
         "trace_id", F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")))
     roots = e.groupBy("trace_id").agg(F.min("event_id").alias("root"))
     return e.join(roots, "trace_id").select(
@@ -256,7 +258,7 @@ SELECT ts, event_id AS seq, 'pod-' || user_id AS pod, 'ns-' || (user_id % 3) AS
 
 def alert_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Error events as webhook payloads; some lack labels, some hold two alerts."""
-    e = table(spark, folder, "events").filter("event_type = 'error'").withColumn("k", K)
+    e = events(spark, folder).filter("event_type = 'error'")
     k = F.col("k")
     labels = F.map_filter(F.create_map(
         F.lit("alertname"), F.when(k % 6 != 0, F.concat(F.lit("Alert"), (k % 4).cast("string"))),
@@ -286,7 +288,7 @@ NEEDS["alerts"] = ["ev"]
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """Counter samples: one series per event type and k group; falling values are resets."""
-    e = table(spark, folder, "events").withColumn("k", K)
+    e = events(spark, folder)
     return e.select(
         "ts", F.when(F.col("k") % 2 == 0, "requests_total").otherwise("tokens_total").alias("metric"),
         F.create_map(F.lit("model"), F.col("event_type"), F.lit("pod"), F.concat(F.lit("m-"), (F.col("k") % 3).cast("string")),
@@ -307,7 +309,7 @@ NEEDS["deltas"] = ["samples"]
 
 def load_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Load-test runs from events: model, context stage, seconds, outcome."""
-    e = table(spark, folder, "events").withColumn("k", K)
+    e = events(spark, folder)
     return e.select(
         F.col("event_id").alias("run"), F.concat(F.lit("model-"), (F.col("user_id") % 7).cast("string")).alias("model"),
         ((F.expr("k div 13") + 1) * 10000).alias("target"), F.col("value").alias("seconds"),

@@ -285,9 +285,12 @@ def pack_context(merged: DataFrame, max_chars: int = CONTEXT_LIMIT) -> DataFrame
     """
     lines = context_lines(merged, max_chars).orderBy("section", "ord", "line").limit(max_chars)
     top = lines.agg(F.sort_array(F.collect_list(F.struct("section", "ord", "line"))).alias("a"))
-    parts = [F.array(F.lit(CONTEXT_TITLE))]
-    for n in range(1, len(SECTIONS) + 1):
-        mine = F.transform(F.filter("a", lambda x, n=n: x["section"] == n), lambda x: x["line"])
-        head = F.array(F.lit(HEADINGS[n])) if n in HEADINGS else F.array().cast("array<string>")
-        parts.append(F.when(F.size(mine) > 0, F.concat(head, mine)).otherwise(F.array().cast("array<string>")))
+    empty = F.array().cast("array<string>")
+
+    def section(number: int) -> Column:
+        mine = F.transform(F.filter("a", lambda x: x["section"] == number), lambda x: x["line"])
+        head = F.array(F.lit(HEADINGS[number])) if number in HEADINGS else empty
+        return F.when(F.size(mine) > 0, F.concat(head, mine)).otherwise(empty)
+
+    parts = [F.array(F.lit(CONTEXT_TITLE)), *[section(n) for n in range(1, len(SECTIONS) + 1)]]
     return top.select(F.left(F.array_join(F.concat(*parts), "\n"), F.lit(max_chars)).alias("context"))
