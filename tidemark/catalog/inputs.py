@@ -188,7 +188,8 @@ FROM (SELECT *, string_split(text, ' ') AS words FROM conversations WHERE role =
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the number ``k`` of their properties."""
-    return table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return (table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+            .withColumn("k", F.get_json_object("props", "$.k").cast("bigint")))
 
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +245,7 @@ NEEDS["spans"] = ["ev"]
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").filter("event_type <> 'error'")
+    e = events(spark, folder).filter("event_type <> 'error'")
     return e.select(
         "ts", F.col("event_id").alias("seq"), F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("pod"),
         F.concat(F.lit("ns-"), (F.col("user_id") % 3).cast("string")).alias("namespace"),

@@ -78,7 +78,7 @@ def step_categories(spark, folder):
 
 @query("fmt_duration", """
 SELECT event_id, CASE WHEN event_type = 'view' THEN '—' WHEN value * 10 < 1000 THEN printf('%.0f', floor(value * 10)) || 'ms'
-  ELSE printf('%.2f', floor(value * 10) / 1000) || 's' END AS shown, strftime(ts, '%H:%M') AS clock FROM events""")
+  ELSE (h // 100) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') || 's' END AS shown, strftime(ts, '%H:%M') AS clock FROM (SELECT *, (CAST(floor(value * 10) AS BIGINT) + 5) // 10 AS h FROM events)""")
 def fmt_duration(spark, folder):
     ms = F.when(F.col("event_type") != "view", F.floor(F.col("value") * 10))
     return I.events(spark, folder).select("event_id", traces.fmt_duration(ms).alias("shown"), traces.fmt_clock(F.col("ts")).alias("clock"))
@@ -270,17 +270,17 @@ def counter_deltas(spark, folder):
 
 
 RATE = """SELECT model, pod, sec, value, round(CAST(sum(CAST(delta AS DECIMAL(30, 6))) OVER (PARTITION BY model, pod ORDER BY sec
-  RANGE BETWEEN {n} PRECEDING AND CURRENT ROW) AS DOUBLE) / {m}, 6) AS rate FROM deltas"""
+  RANGE BETWEEN {n} PRECEDING AND CURRENT ROW) AS DOUBLE) / {m}, {d}) AS rate FROM deltas"""
 
 
-@query("counter_rate", I.sql(RATE.format(n=59, m=60), "deltas"))
+@query("counter_rate", I.sql(RATE.format(n=59, m=60, d=6), "deltas"))
 def counter_rate(spark, folder):
     return metrics.counter_rate(I.samples(spark, folder), ["model", "pod"]).withColumn("rate", D6(F.col("rate")))
 
 
-@query("counter_rate_6h", I.sql(RATE.format(n=21599, m=21600), "deltas"))
+@query("counter_rate_6h", I.sql(RATE.format(n=21599, m=21600, d=9), "deltas"))
 def counter_rate_6h(spark, folder):
-    return metrics.counter_rate(I.samples(spark, folder), ["model", "pod"], 21600).withColumn("rate", D6(F.col("rate")))
+    return metrics.counter_rate(I.samples(spark, folder), ["model", "pod"], 21600).withColumn("rate", F.round("rate", 9))
 
 
 STEPS = """
@@ -331,9 +331,9 @@ def final_usage(spark, folder):
 
 
 @query("latency_stats", I.sql("""
-SELECT request_id, count(*) FILTER (NOT reasoning) AS output_tokens, round(0.025 * min(seq + 1) FILTER (NOT reasoning), 6) AS ttft,
+SELECT request_id, count(*) FILTER (NOT reasoning) AS output_tokens, round(CAST(0.025 AS DOUBLE) * min(seq + 1) FILTER (NOT reasoning), 6) AS ttft,
   round((max(n) + 4 - min(seq + 1) FILTER (NOT reasoning)) * 0.025 / count(*) FILTER (NOT reasoning), 6) AS tpot,
-  round(0.025 * (max(n) + 4), 6) AS total_duration FROM tokens GROUP BY request_id""", "tokens"))
+  round(CAST(0.025 AS DOUBLE) * (max(n) + 4), 6) AS total_duration FROM tokens GROUP BY request_id""", "tokens"))
 def latency_stats(spark, folder):
     lines = I.sse_lines(spark, folder)
     parsed = replies.parse_events(lines)

@@ -132,7 +132,7 @@ def counter_rate(samples: DataFrame, keys: Sequence[str], seconds: int = RATE_SE
     copies = deltas.select("*", F.explode(F.array_distinct(F.array(bucket, spill))).alias("_b"))
     w = Window.partitionBy(*keys, "_b").orderBy("sec").rangeBetween(-(seconds - 1), 0)
     total = F.sum(F.col("delta").cast("decimal(30,6)")).over(w)
-    return (copies.withColumn("rate", (total / F.lit(seconds)).cast("double"))
+    return (copies.withColumn("rate", total.cast("double") / F.lit(seconds))
             .filter(F.col("_b") == bucket).select(*keys, "sec", "value", "rate"))
 
 
@@ -152,7 +152,7 @@ def rate_from_deltas(deltas: DataFrame, by: Sequence[str] = (), seconds: int = R
     steps = F.sequence(first, F.expr(f"(sec + {seconds - 1}) div {step} * {step}"), F.lit(step).cast("bigint"))
     return (deltas.filter("delta > 0").select(*by, "delta", F.explode(steps).alias("at_sec"))
             .groupBy(*by, "at_sec")
-            .agg((F.sum(F.col("delta").cast("decimal(30,6)")) / F.lit(seconds)).cast("double").alias("rate")))
+            .agg((F.sum(F.col("delta").cast("decimal(30,6)")).cast("double") / F.lit(seconds)).alias("rate")))
 
 
 def sum_gauge(samples: DataFrame, by: Sequence[str] = (), scale: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def slice_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written intermediate tables, next to the checkpoints all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
