@@ -93,8 +93,18 @@ def extract_json(c: Column) -> Column:
     fenced = r"(?sU)```(?:json)?\s*(.*?)\s*```"
     body = F.when(F.rlike(c, F.lit(fenced)), F.regexp_extract(c, fenced, 1)).otherwise(c)
     braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.coalesce(valid(body), valid(braces))
+    return F.coalesce(F.when(is_json(body), body), F.when(is_json(braces), braces))
+
+
+def is_json(c: Column) -> Column:
+    """One JSON value and nothing behind it.
+
+    The parser stops after the first value, so the text is tried as the only item of a
+    list and as the only field of an object: nothing else fits in both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return listed.isNotNull() & named.isNotNull()
 
 
 def normalise_breaks(c: Column) -> Column:
@@ -105,8 +115,9 @@ def normalise_breaks(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Capital after every non-letter, so ``don't`` gives ``Don'T``; ``initcap`` differs."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    """Capital after every character without case, so ``don't`` gives ``Don'T``; ``initcap`` differs."""
+    cased = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
+    runs = F.regexp_extract_all(c, F.lit(f"([{cased}]+|[^{cased}]+)"), F.lit(1))
     return F.array_join(
         F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))),
         "",
