@@ -44,7 +44,7 @@ def test_usable_results(spark):
                                 (1, 21, "far too late in the list", None), (1, 4, "content long enough", None)],
                                "query_id INT, rank INT, content STRING, title STRING")
     got = R.usable_results(df).orderBy("index").collect()
-    assert [(r.index, r.text) for r in got] == [(0, "a long title"), (1, "another title"), (2, "content long enough")]
+    assert [(r["index"], r.text) for r in got] == [(0, "a long title"), (1, "another title"), (2, "content long enough")]
 
 
 def test_rerank(spark):

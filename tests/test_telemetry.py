@@ -148,7 +148,7 @@ def test_sse(spark):
     u = replies.final_usage(e).first()
     assert (u.prompt_tokens, u.completion_tokens) == (5, 2)
     assert "".join(x.text for x in replies.reassemble(e, max_events=2).orderBy("part_no").collect()) == "abc"
-    assert replies.guard_reply(replies.reassemble(events(spark, SSE[3:4] + SSE[6:7]))).isEmpty()
+    assert replies.guard_reply(replies.reassemble(events(spark, SSE[3:4] + SSE[6:7]))).first().status == "error"
     assert replies.guard_reply(spark.createDataFrame([(" \n",), ("x",)], "text STRING")).filter("status = 'error'").count() == 1
 
 
@@ -180,7 +180,7 @@ def test_costs(spark):
     calls = spark.createDataFrame([("m", 1_000_000, 100_000, True)], "model STRING, prompt_tokens LONG, completion_tokens LONG, is_local BOOLEAN")
     r = usage.cost_report(calls).first()
     assert (r.equivalent_cost, r.actual_cost, r.savings) == (6.5, 0.0, 6.5)
-    assert calls.select(usage.flat_savings(F.lit(1_100_000)).alias("x")).first().x == 13.75
+    assert calls.select(usage.flat_savings(F.lit(1_100_000)).alias("x")).first().x == pytest.approx(13.75)
     assert calls.select(usage.format_cost(F.lit(6.5)).alias("a"), usage.money(F.lit(1234.5)).alias("b"), usage.thousands(F.lit(1234567)).alias("c")).first() == ("$6.5000", "$1,234.50", "1,234,567")
     by_model, total = usage.usage_by_model(calls).first(), usage.usage_by_locality(calls).filter("kind = 'TOTAL'").first()
     assert by_model.total_tokens == total.total_tokens == 1_100_000

@@ -14,6 +14,8 @@ from tidemark.operators.usage import INPUT_PRICE
 from tidemark.sources.files import scan_files, table
 
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+TITLE = r"""list_aggregate(list_transform(regexp_extract_all(replace(stem, '_', ' '), '\p{L}+|\P{L}+'),
+      lambda w: upper(left(w, 1)) || lower(substr(w, 2))), 'string_agg', '')"""
 RUN_DATE = "2024-01-31"
 WORK = "Collected Works"
 
@@ -106,8 +108,7 @@ def unfence(spark, folder):
 SELECT doc_id, '# ' || title || chr(10) || chr(10) || '<p class="meta">' || upper(replace(vol_key, '_', ' '))
   || ' · Cleaned {RUN_DATE} · {WORK}</p>' || chr(10) || chr(10) || trim(body, {WS}) || chr(10) AS page FROM (
   SELECT doc_id, vol_key,
-    list_aggregate(list_transform(regexp_extract_all(replace(stem, '_', ' '), '\\p{{L}}+|\\P{{L}}+'),
-      lambda w: upper(left(w, 1)) || lower(substr(w, 2))), 'string_agg', '') AS title,
+    {TITLE} AS title,
     regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '.' || chr(10) || ' ***' || chr(10)),
       '(?m)^\\s*[*\\-—–]{{2,}}\\s*$', chr(10) || '---' || chr(10), 'g'),
       '\n---\n', chr(10) || chr(10) || '---' || chr(10) || chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS body

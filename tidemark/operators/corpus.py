@@ -163,10 +163,11 @@ def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str = "text",
                     temperature: float = 0.25, retry_temperature: float = 0.7,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, accept: Callable[[str], bool] = bool) -> DataFrame:
     """Apply ``fn(text, temperature)`` to each row: adds ``result``, ``attempts``, ``error``.
 
-    An empty result is tried again once at the higher temperature.  A row that
+    A result that is not accepted (by default: an empty one) is tried again once at
+    the higher temperature.  A row that
     raises gets its message in ``error`` and the run goes on.  Rows are few and
     heavy, so they are spread evenly first.
     """
@@ -176,7 +177,7 @@ def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str =
     def one(value: str) -> tuple[str | None, int, str | None]:
         try:
             result = fn(value, temperature)
-            if result:
+            if accept(result):
                 return result, 1, None
             return fn(value, retry_temperature), 2, None
         except Exception as problem:  # one bad row must not end the run

@@ -98,16 +98,16 @@ def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id:
     pod = ["pod", "namespace"]
     last = alerts.groupBy(*pod).agg(F.max("ts").alias("_until"))
     wanted = logs.join(last, pod).filter(F.col("ts") <= F.col("_until"))
-    both = wanted.select(*pod, "ts", F.lit(0).alias("kind"), F.col("seq").alias("id"), "line").unionByName(
-        alerts.select(*pod, "ts", F.lit(1).alias("kind"), F.col(alert_id).alias("id"),
-                      F.lit(None).cast("string").alias("line")))
-    numbered = prefix_scan(both, pod, ["ts", "kind", "id"],
+    none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    both = wanted.select(*pod, "ts", F.lit(0).alias("kind"), "seq", none(alert_id, alerts), "line").unionByName(
+        alerts.select(*pod, "ts", F.lit(1).alias("kind"), none("seq", logs), alert_id, none("line", logs)))
+    numbered = prefix_scan(both, pod, ["ts", "kind", "seq", alert_id],
                            sums={"n_before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")},
                            max_group_rows=max_group_rows)
     block = lambda c: F.expr(f"({c}) div {int(n)}")
     blocks = (numbered.filter("kind = 0").withColumn("block", block("n_before"))
               .groupBy(*pod, "block").agg(F.collect_list(F.struct("n_before", "line")).alias("lines")))
-    seen = numbered.filter("kind = 1").select(*pod, F.col("id").alias(alert_id), F.col("n_before").alias("n_seen"))
+    seen = numbered.filter("kind = 1").select(*pod, alert_id, F.col("n_before").alias("n_seen"))
     lookups = (seen.filter("n_seen > 0").select(*pod, "n_seen").distinct()
                .withColumn("block", F.explode(F.sequence(
                    block(f"greatest(n_seen - {int(n)}, 0)"), block("n_seen - 1")))))

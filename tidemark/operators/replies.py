@@ -14,7 +14,7 @@ PART_EVENTS = 100_000
 def parse_events(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``token``, ``content``, ``prompt_tokens``, ``completion_tokens`` and ``done`` to event lines.
 
-    Lines that are neither JSON nor the end mark are dropped.
+    Lines without the event prefix are dropped; an unreadable event has no text.
     """
     e = F.col("_e")
     return (lines.filter(F.col(raw).startswith(sse.PREFIX))

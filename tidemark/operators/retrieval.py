@@ -81,14 +81,17 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_VECTORS, cu
 
 
 def _score_block(rows: list, corpus: DataFrame, k: int, cut: float) -> DataFrame:
+    schema = "query_id bigint, vec_id bigint, score double"
+    if not rows:
+        return corpus.sparkSession.createDataFrame([], schema)
     ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    unit = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(ids), -1))
+    unit = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
     shared = corpus.sparkSession.sparkContext.broadcast((ids, unit))
 
     def score(batches):
         query_ids, queries = shared.value
         for batch in batches:
-            for at in range(0, len(batch) if len(query_ids) else 0, VECTOR_ROWS):
+            for at in range(0, len(batch), VECTOR_ROWS):
                 piece = batch.iloc[at:at + VECTOR_ROWS]
                 vec_ids = piece["vec_id"].to_numpy()
                 vectors = _unit(np.stack(piece["embedding"].to_numpy()).astype(np.float64))
@@ -106,8 +109,7 @@ def _score_block(rows: list, corpus: DataFrame, k: int, cut: float) -> DataFrame
                 yield pd.DataFrame({"query_id": query_ids[row], "vec_id": vec_ids[column],
                                     "score": scores[row, column]})
 
-    return corpus.select("vec_id", "embedding").mapInPandas(
-        score, "query_id bigint, vec_id bigint, score double")
+    return corpus.select("vec_id", "embedding").mapInPandas(score, schema)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 BENCH_SCHEMA = (
     "model STRING, input_tokens BIGINT, output_tokens BIGINT, ttft DOUBLE, tpot DOUBLE, "
     "total_duration DOUBLE, target BIGINT, error STRING"
 )
-STATE_SCHEMA = "processed_volumes ARRAY<STRING>, _corrupt_record STRING"
+STATE_SCHEMA = "processed_volumes ARRAY<STRING>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,17 +39,14 @@ def scan_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 def load_json_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA) -> DataFrame:
     """Saved state; a missing or unreadable file is an empty state."""
-    fields = T.StructType.fromDDL(schema)
-    names = [f.name for f in fields if f.name != "_corrupt_record"]
+    fields = StructType.fromDDL(schema)
     try:
         df = spark.read.schema(fields).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], T.StructType([f for f in fields if f.name in names]))
-    if "_corrupt_record" in fields.names:
-        df = df.filter("_corrupt_record IS NULL")
-    return df.select(*names)
+        return spark.createDataFrame([], fields)
+    return df.dropna("all")
 
 
 def save_json_state(df: DataFrame, path: str) -> None:

@@ -91,7 +91,7 @@ def feed_view(spark: SparkSession, path: str) -> DataFrame:
 def alert_diagnoses(alerts: DataFrame, logs: Callable[[], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
     """Diagnosis input of each firing alert against the log table as it is then."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        firing = needs_diagnosis(alert_view(batch)).withColumn("alert_key", F.xxhash64("alert_id", "alert_no"))
+        firing = needs_diagnosis(alert_view(batch)).withColumn("alert_key", F.struct("alert_id", "alert_no"))
         texts = alert_logs(firing, logs(), alert_id="alert_key").select("alert_key", "log_text")
         out = firing.join(texts, "alert_key").select(
             "alert_id", "alert_no", "pod", "namespace", "log_text",
