@@ -110,3 +110,28 @@ def test_load_log_of_many_lines(spark):
     plain = ladder.parse_log_lines(lines, ["file_name"])
     assert rows(plain) == rows(ladder.parse_log_lines(lines, ["file_name"], max_group_rows=9))
     assert plain.filter("model <> concat('m', cast(target / 10 as int))").isEmpty()
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_first_n(hot, n):
+    from tidemark.operators.facts import first_n
+    got = first_n(hot, ["key"], ["ord"], n)
+    by_key = {}
+    for r in hot.collect():
+        by_key.setdefault(r.key, []).append(r.ord)
+    assert sorted((r.key, r.ord) for r in got.collect()) == sorted((k, o) for k, os in by_key.items() for o in sorted(os)[:n])
+    if n == 3:  # each input partition is cut before the shuffle
+        assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_is_cut_before_the_shuffle(hot):
+    from tidemark.operators.retrieval import top_k
+    plan = top_k(hot, 5, key="key", score="v", tie="id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_context_sections_are_cut_before_the_shuffle(spark):
+    from tidemark.operators import facts
+    merged = spark.createDataFrame([], "seq BIGINT, pos BIGINT, path ARRAY<STRING>, kind STRING, value STRING")
+    plan = facts.pack_context(merged)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "Join Cross" not in plan

@@ -136,9 +136,9 @@ SSE = ['data: {"choices":[{"delta":{"content":"a"}}]}', 'data: {"choices":[{"del
        "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}']
 
 
-def events(spark, lines=SSE):
+def events(spark, lines=SSE, max_events=100_000):
     df = spark.createDataFrame([("r", i, l) for i, l in enumerate(lines)], "request_id STRING, seq LONG, raw STRING")
-    return replies.until_done(replies.parse_events(df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 2))))
+    return replies.until_done(replies.parse_events(df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 2))), max_events)
 
 
 def test_sse(spark):
@@ -147,7 +147,7 @@ def test_sse(spark):
     assert (r.text, r.n_tokens) == ("abc", 3)
     u = replies.final_usage(e).first()
     assert (u.prompt_tokens, u.completion_tokens) == (5, 2)
-    assert "".join(x.text for x in replies.reassemble(e, max_events=2).orderBy("part_no").collect()) == "abc"
+    assert "".join(x.text for x in replies.reassemble(events(spark, max_events=2)).orderBy("part_no").collect()) == "abc"
     assert replies.guard_reply(replies.reassemble(events(spark, SSE[3:4] + SSE[6:7]))).first().status == "error"
     assert replies.guard_reply(spark.createDataFrame([(" \n",), ("x",)], "text STRING")).filter("status = 'error'").count() == 1
 

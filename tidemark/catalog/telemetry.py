@@ -28,11 +28,8 @@ def _feed(spark, folder):
 
 def _steps(spark, folder):
     """The feed with the id of each step."""
-    t = traces.root_span_filter(I.traces(spark, folder))
-    ids = t.select("event_id", "traceID", "startTimeUnixNano")
-    flat = traces.flatten_traces(t)
-    return flat.join(ids.select(F.col("event_id").alias("step_id"), F.col("traceID").alias("trace_id"),
-                                traces.nanos_to_timestamp(F.col("startTimeUnixNano")).alias("ts")), ["trace_id", "ts"])
+    hits = traces.root_span_filter(I.traces(spark, folder)).withColumnRenamed("event_id", "step_id")
+    return traces.flatten_traces(hits, ["step_id"])
 
 
 @query("flatten_traces", I.sql(f"SELECT {FEED_COLUMNS} FROM feed", "feed"))

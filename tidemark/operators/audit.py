@@ -23,7 +23,7 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "te
 
     ``glossary``: (term, canonical).  Terms match whole words; longer terms first.  Up to
     ``max_terms`` terms go to the tasks as they are.  A larger glossary is joined to the
-    texts by the first word of each term, so a text meets only terms it may hold.
+    texts by the rarest word of each term, so a text meets only terms it may hold.
     """
     terms = glossary.select("term", "canonical").filter(F.col("term") != "")
     small = within(terms, max_terms)
@@ -37,11 +37,13 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "te
 
         return df.withColumn(text, replace(F.col(text)))
 
-    first_word = lambda c: F.regexp_extract(c, r"(?U)\w+", 0)
-    words = df.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("_w"))
-    held = (words.join(terms.withColumn("_w", first_word(F.col("term"))), "_w")
-            .groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "canonical"))).alias("_terms")))
+    split = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))))
+    words = df.select(key, split(F.col(text)).alias("_w"))
+    spread = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (terms.select("term", "canonical", split(F.col("term")).alias("_w")).join(spread, "_w", "left")
+              .groupBy("term", "canonical").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w")))
+    held = (words.join(rarest, "_w").groupBy(key)
+            .agg(F.map_from_entries(F.collect_set(F.struct("term", "canonical"))).alias("_terms")))
 
     @F.pandas_udf("string")
     def replace_own(texts: pd.Series, tables: pd.Series) -> pd.Series:
@@ -55,11 +57,25 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "te
 def _replacer(table: dict[str, str]):
     if not table:
         return lambda value: value
-    longest_first = sorted(table, key=len, reverse=True)
-    pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, longest_first)) + r")(?!\w)")
+    pattern = re.compile(r"(?<!\w)" + _alternatives(table) + r"(?!\w)")
     return lambda value: pattern.sub(lambda m: table[m.group()], value)
 
 
+def _alternatives(terms) -> str:
+    """Terms as one pattern that branches on the next character, so its cost does not grow
+    with their number; where one term continues another, the longer is tried first."""
+    by_first: dict[str, list[str]] = {}
+    for term in terms:
+        if term:
+            by_first.setdefault(term[0], []).append(term[1:])
+    branches = []
+    for first, rests in sorted(by_first.items()):
+        longer = [r for r in rests if r]
+        tail = _alternatives(longer) if longer else ""
+        branches.append(re.escape(first) + (f"(?:{tail})?" if longer and "" in rests else tail))
+    return "(?:" + "|".join(branches) + ")"
+
+
 def title_mentions(df: DataFrame, key: str, text: str = "text", pattern: str = TITLE_PATTERN) -> DataFrame:
     """Titles with the name behind them, counted per document."""
     found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1))

@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions import text as T
 from tidemark.operators.scan import ordered_text, with_parts, with_position
+from tidemark.session import slice_count
 
 BLOCK_CHUNKS = 64
 PART_CHAPTERS = 1_000
@@ -169,10 +170,9 @@ def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str =
     A result that is not accepted (by default: an empty one) is tried again once at
     the higher temperature.  A row that
     raises gets its message in ``error`` and the run goes on.  Rows are few and
-    heavy, so they are spread evenly first.
+    heavy, so they are spread evenly first (``partitions``, or as many as a shuffle has).
     """
-    if partitions:
-        df = df.repartition(partitions)
+    df = df.repartition(partitions or slice_count(df.sparkSession))
 
     def one(value: str) -> tuple[str | None, int, str | None]:
         try:

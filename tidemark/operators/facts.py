@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.session import slice_count
 
 # Sections in the order they are written, and their row limits.
 SECTIONS = ["characters", "relationships", "terminology", "gender_fixes", "honorifics_policy"]
@@ -100,21 +101,25 @@ def with_prefixes(facts: DataFrame) -> DataFrame:
 def drop_overwritten(facts: DataFrame) -> DataFrame:
     """Remove facts that a later partial result replaced by a value of another kind.
 
-    Order of kinds matters: a scalar replaces a list or a whole branch of the same
-    path and the other way round.  Facts of a list are kept from the last such change on.
+    A scalar replaces a list or a whole branch of the same path and the other way round;
+    list items are kept from the last such change on.  Only paths seen with two kinds can
+    lose facts, so only these (few as a rule) are looked up.
     """
-    branch = (with_prefixes(facts).select(F.col("prefix").alias("path"), "seq")
-              .groupBy("path").agg(F.max("seq").alias("_branch_seq")))
-    scalar = facts.filter("kind = 'scalar'").groupBy("path").agg(F.max("seq").alias("_scalar_seq"))
-    listed = facts.filter("kind = 'list'").groupBy("path").agg(F.max("seq").alias("_list_seq"))
-    own = (facts.join(scalar, "path", "left").join(listed, "path", "left").join(branch, "path", "left")
-           .filter("_branch_seq IS NULL OR _branch_seq <= seq")
-           .filter("kind = 'scalar' OR _scalar_seq IS NULL OR _scalar_seq <= seq")
-           .filter("kind = 'list' OR _list_seq IS NULL OR _list_seq <= seq")
+    seen = facts.select("path", "kind", "seq").unionByName(
+        with_prefixes(facts).select(F.col("prefix").alias("path"), F.lit("branch").alias("kind"), "seq"))
+    last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
+    mixed = seen.groupBy("path").agg(
+        last("scalar").alias("_scalar"), last("list").alias("_list"), last("branch").alias("_branch"),
+        F.count_distinct("kind").alias("_kinds")).filter("_kinds > 1").drop("_kinds")
+    later = lambda column: F.coalesce(F.col(column) > F.col("seq"), F.lit(False))
+    own = (facts.join(mixed, "path", "left")
+           .filter(~later("_branch") & ~((F.col("kind") == "list") & later("_scalar"))
+                   & ~((F.col("kind") == "scalar") & later("_list")))
            .select(*facts.columns))
-    leaf = facts.groupBy("path").agg(F.max("seq").alias("_leaf_seq"))
-    covered = (with_prefixes(own).select("seq", "pos", F.col("prefix").alias("path"))
-               .join(leaf, "path").filter("_leaf_seq > seq").select("seq", "pos").distinct())
+    leaves = mixed.filter("_branch IS NOT NULL").select(
+        F.col("path").alias("prefix"), F.greatest("_scalar", "_list").alias("_leaf"))
+    covered = (with_prefixes(own).select("seq", "pos", "prefix").join(leaves, "prefix")
+               .filter("_leaf > seq").select("seq", "pos").distinct())
     return own.join(covered, ["seq", "pos"], "left_anti")
 
 
@@ -132,15 +137,18 @@ def merge_lists(facts: DataFrame, distinct: bool = False) -> DataFrame:
     """List items in the order of first mention.
 
     An item already there is not added again; repeats inside the partial result
-    that brings it first are kept, unless ``distinct``.  The join key holds the
-    sequence number, so a popular item does not end up in one task.
+    that brings it first are kept, unless ``distinct``.  Repeats are gathered per
+    partial result (which one reply bounds), and of those the first per item is kept
+    by a partial aggregate, so a popular item does not end up in one task.
     """
     items = facts.filter("kind = 'list'")
     if distinct:
         return (items.groupBy("path", "value").agg(F.min(F.struct("seq", "pos")).alias("_first"))
                 .select("path", "value", F.col("_first.seq").alias("seq"), F.col("_first.pos").alias("pos")))
-    first = items.groupBy("path", "value").agg(F.min("seq").alias("seq"))
-    return items.join(first, ["path", "value", "seq"], "left_semi").select("path", "value", "seq", "pos")
+    repeats = items.groupBy("path", "value", "seq").agg(F.sort_array(F.collect_list("pos")).alias("_pos"))
+    # The second grouping needs its own shuffle: the first one spreads an item over its partial results.
+    first = repeats.groupBy("path", "value").agg(F.min(F.struct("seq", "_pos")).alias("_first"))
+    return first.select("path", "value", F.col("_first.seq").alias("seq"), F.explode("_first._pos").alias("pos"))
 
 
 def merge_facts(facts: DataFrame, distinct: bool = False) -> DataFrame:
@@ -209,17 +217,29 @@ def synthesise(facts: DataFrame, limit: int = SYNTHESIS_CHARS) -> DataFrame:
     merged = merge_facts(facts)
     fits = kb_chars(merged).scalar() < limit
     votes = majority(facts.filter("kind = 'scalar'")).select("path", F.col("value").alias("_voted"))
-    return merged.join(votes, "path", "left").select(
-        "seq", "pos", "path", "kind",
-        F.when(fits & (F.col("kind") == "scalar"), F.col("_voted")).otherwise(F.col("value")).alias("value"))
+    # Scalars have one row per path here, so the join has no popular key; lists pass by.
+    scalars = merged.filter("kind = 'scalar'").join(votes, "path", "left").select(
+        "seq", "pos", "path", "kind", F.when(fits, F.col("_voted")).otherwise(F.col("value")).alias("value"))
+    return scalars.unionByName(merged.filter("kind = 'list'"))
 
 
 # --- context ----------------------------------------------------------------
 
-def first_n(df: DataFrame, group: list[Column], order: list[str], n: int) -> DataFrame:
-    """First ``n`` rows per group; Spark cuts each input partition to ``n`` before the shuffle."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def first_n(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """First ``n`` rows per group, without sending a large group to one task.
+
+    Up to its threshold Spark cuts every input partition to ``n`` rows per group before the
+    shuffle; for a larger ``n`` the group is cut in hashed pieces first.
+    """
+    def cut(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+    spark = df.sparkSession
+    if n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salt = F.pmod(F.xxhash64(*order), F.lit(slice_count(spark)))
+        df = cut(df.withColumn("_salt", salt), [*group, "_salt"]).drop("_salt")
+    return cut(df, group)
 
 
 def context_lines(merged: DataFrame, max_chars: int) -> DataFrame:
@@ -228,9 +248,7 @@ def context_lines(merged: DataFrame, max_chars: int) -> DataFrame:
     List attributes keep their first ``max_chars`` items: the text is cut there anyway.
     """
     path, section = F.col("path"), F.col("path")[0]
-    order = ["seq", "pos"]
-
-    facts = first_n(merged.filter(section == "characters"), [path], order, max_chars)
+    facts = first_n(merged.filter(section == "characters"), ["path"], ["seq", "pos"], max_chars)
     facts = facts.withColumn("name", path[1]).withColumn("attr", path[2])
     pick = lambda a: F.max(F.when((F.col("attr") == a) & (F.col("value") != ""), F.col("value")))
     joined = lambda a: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
@@ -243,38 +261,38 @@ def context_lines(merged: DataFrame, max_chars: int) -> DataFrame:
         pick("speech_style").alias("style"))
     part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c)).otherwise("")
     character = people.select(
-        F.lit(1).alias("section"), F.struct(F.lit("").alias("c"), F.col("at.seq"), F.col("at.pos")).alias("ord"),
+        F.lit(1).alias("section"), F.struct(
+            F.col("at.seq").alias("gs"), F.col("at.pos").alias("gp"), F.lit(0).alias("rn")).alias("ord"),
         F.concat("name", F.lit(": "), "gender", F.lit(" ("), "pronouns", F.lit(")"),
                  part(", titles: ", F.col("titles")), part(", aliases: ", F.col("aliases")),
                  part(", speech: ", F.col("style"))).alias("line"))
 
-    def listed(number: int, name: str, line: Column) -> DataFrame:
-        rows = first_n(merged.filter(section == name), [section], order, LIMITS[name])
-        return rows.select(F.lit(number).alias("section"),
-                           F.struct(F.lit("").alias("c"), "seq", "pos").alias("ord"), line.alias("line"))
-
+    # The other sections: the first rows of each group, in one pass over their facts.
+    number = F.when(section == "relationships", 2).when(section == "terminology", 3).when(
+        section == "gender_fixes", 4).when(section == "honorifics_policy", 5)
+    group = F.when(section == "terminology", path[1]).otherwise("")
+    listed = (merged.select("seq", "pos", "path", "value", number.alias("section"), group.alias("group"))
+              .filter(F.col("section").isNotNull() & (F.col("value") != "")
+                      & ((F.col("section") != 3) | (F.size("path") == 3))))
+    listed = first_n(listed, ["section", "group"], ["seq", "pos"], max(LIMITS.values()))
+    w = Window.partitionBy("section", "group").orderBy("seq", "pos")
+    listed = listed.withColumn("rn", F.row_number().over(w)).withColumn("born", F.first(F.struct("seq", "pos")).over(w))
+    limit = F.lit(1)
+    for name, n in ((2, LIMITS["relationships"]), (3, LIMITS["terminology"]), (4, LIMITS["gender_fixes"])):
+        limit = F.when(F.col("section") == name, n).otherwise(limit)
     rel = F.from_json("value", "MAP<STRING, STRING>")
     field = lambda k: F.coalesce(rel[k], F.lit("?"))
-    relations = listed(2, "relationships", F.concat(
-        F.lit("  "), field("from"), F.lit(" → "), field("to"), F.lit(': "'), field("address_term"), F.lit('"')))
-
-    terms = merged.filter((section == "terminology") & (F.size("path") == 3))
-    heads = terms.groupBy(path[1].alias("cat")).agg(F.min(F.struct("seq", "pos")).alias("at"))
-    place = heads.select("cat", F.concat_ws("|", F.lpad(F.col("at.seq").cast("string"), 19, "0"),
-                                            F.lpad(F.col("at.pos").cast("string"), 19, "0")).alias("c"))
-    head_lines = place.select(F.lit(3).alias("section"), F.struct(
-        "c", F.lit(-1).cast("bigint").alias("seq"), F.lit(-1).cast("bigint").alias("pos")).alias("ord"),
-        F.concat(F.lit("  ["), F.upper("cat"), F.lit("]")).alias("line"))
-    term_lines = (first_n(terms, [path[1]], order, LIMITS["terminology"]).withColumn("cat", path[1])
-                  .join(place, "cat").select(
-                      F.lit(3).alias("section"), F.struct("c", "seq", "pos").alias("ord"),
-                      F.concat(F.lit("    "), path[2], F.lit(" → "), F.col("value")).alias("line")))
-    fixes = listed(4, "gender_fixes", F.concat(F.lit("  • "), F.col("value")))
-    policy = merged.filter((section == "honorifics_policy") & (F.col("value") != "")).select(
-        F.lit(5).alias("section"), F.struct(F.lit("").alias("c"), "seq", "pos").alias("ord"),
-        F.concat(F.lit("\n--- HONORIFICS POLICY ---\n  "), "value").alias("line"))
-    return (character.unionByName(relations).unionByName(head_lines).unionByName(term_lines)
-            .unionByName(fixes).unionByName(policy))
+    line = (F.when(F.col("section") == 2, F.concat(F.lit("  "), field("from"), F.lit(" → "), field("to"), F.lit(': "'),
+                                                    field("address_term"), F.lit('"')))
+            .when(F.col("section") == 3, F.concat(F.lit("    "), path[2], F.lit(" → "), F.col("value")))
+            .when(F.col("section") == 4, F.concat(F.lit("  • "), F.col("value")))
+            .otherwise(F.concat(F.lit("\n--- HONORIFICS POLICY ---\n  "), F.col("value"))))
+    # The first term of a category brings the line with its name.
+    category = F.when((F.col("section") == 3) & (F.col("rn") == 1), F.concat(F.lit("  ["), F.upper("group"), F.lit("]")))
+    others = listed.filter(F.col("rn") <= limit).select(
+        "section", F.struct(F.col("born.seq").alias("gs"), F.col("born.pos").alias("gp"), "rn").alias("ord"),
+        F.concat_ws("\n", category, line).alias("line"))
+    return character.unionByName(others)
 
 
 def pack_context(merged: DataFrame, max_chars: int = CONTEXT_LIMIT) -> DataFrame:

@@ -67,7 +67,9 @@ def pivot_grid(grid: DataFrame, models: Sequence[str]) -> DataFrame:
 
 def max_stable_context(results: DataFrame, key: str = "model", size: str = "ctx", ok: str = "ok") -> DataFrame:
     """Largest size below the first failure per model (null when the first step fails)."""
-    first_fail = results.groupBy(key).agg(F.min(F.when(~F.col(ok), F.col(size))).alias("first_fail"))
-    return results.join(first_fail, key).groupBy(key).agg(
+    # One row per model and size from here on, however many runs there are.
+    steps = results.groupBy(key, size).agg(F.min(F.col(ok).cast("int")).alias("_ok"))
+    first_fail = steps.groupBy(key).agg(F.min(F.when(F.col("_ok") == 0, F.col(size))).alias("first_fail"))
+    return steps.join(first_fail, key).groupBy(key).agg(
         F.max(F.when(F.col("first_fail").isNull() | (F.col(size) < F.col("first_fail")), F.col(size))).alias("max_ctx"),
         F.max("first_fail").alias("first_fail"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import overflow_attachment, overflow_view
 from tidemark.operators.scan import GROUP_ROWS, has_large_group, ordered_text, prefix_scan, with_parts
+from tidemark.session import cut_lineage
 
 # Defaults, limits and texts of alert handling.
 DEFAULT_STATUS = "firing"
@@ -104,6 +105,8 @@ def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id:
     numbered = prefix_scan(both, pod, ["ts", "kind", "seq", alert_id],
                            sums={"n_before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")},
                            max_group_rows=max_group_rows)
+    # Lines, alerts and lookups all read the numbers, so they are written once.
+    numbered = cut_lineage(numbered)
     block = lambda c: F.expr(f"({c}) div {int(n)}")
     blocks = (numbered.filter("kind = 0").withColumn("block", block("n_before"))
               .groupBy(*pod, "block").agg(F.collect_list(F.struct("n_before", "line")).alias("lines")))

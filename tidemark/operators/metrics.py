@@ -94,9 +94,12 @@ def series_key(labels: Column) -> Column:
 # --- rates ------------------------------------------------------------------
 
 def per_second(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Last value per series and second: bounds the rows of a series by time, not by input size."""
+    """Last value per series and second: bounds the rows of a series by time, not by input size.
+
+    A series has one sample per instant.
+    """
     return (samples.groupBy(*keys, F.unix_seconds("ts").alias("sec"))
-            .agg(F.max_by("value", F.struct("ts", "value")).alias("value")))
+            .agg(F.max_by("value", "ts").alias("value")))
 
 
 def counter_deltas(samples: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:

@@ -26,18 +26,25 @@ def parse_events(lines: DataFrame, raw: str = "raw") -> DataFrame:
                     e["usage"]["completion_tokens"].alias("completion_tokens")))
 
 
-def until_done(events: DataFrame) -> DataFrame:
-    """Events before the first end mark of their request."""
-    ends = events.filter("done").groupBy("request_id").agg(F.min("seq").alias("_end"))
-    return (events.join(ends, "request_id", "left")
+def until_done(events: DataFrame, max_events: int = PART_EVENTS) -> DataFrame:
+    """Events before the first end mark of their request, with ``part_no``.
+
+    The end is looked up per request and part of ``max_events`` sequence numbers, so a very
+    long stream is spread over tasks, here and in ``reassemble``, which groups by the same keys.
+    """
+    part = lambda c: F.expr(f"{c} div {int(max_events)}")
+    ends = events.groupBy("request_id").agg(
+        F.min(F.when(F.col("done"), F.col("seq"))).alias("_end"), F.max("seq").alias("_last"))
+    spread = ends.select("request_id", "_end", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), part("coalesce(_end, _last)"))).alias("part_no"))
+    return (events.withColumn("part_no", part("seq")).join(spread, ["request_id", "part_no"])
             .filter(F.col("_end").isNull() | (F.col("seq") < F.col("_end"))).drop("_end", "done"))
 
 
-def reassemble(events: DataFrame, max_events: int = PART_EVENTS) -> DataFrame:
-    """Reply text per request; very long replies in ordered parts of ``max_events`` sequence numbers."""
-    part = F.expr(f"seq div {int(max_events)}").cast("bigint")
+def reassemble(events: DataFrame) -> DataFrame:
+    """Reply text per request, from the events of ``until_done``; very long replies in ordered parts."""
     items = F.sort_array(F.collect_list(F.struct("seq", "token")))
-    return (events.groupBy("request_id", part.alias("part_no"))
+    return (events.groupBy("request_id", "part_no")
             .agg(F.array_join(F.transform(items, lambda x: x["token"]), "").alias("text"),
                  F.count_if(F.col("token") != "").alias("n_tokens")))
 

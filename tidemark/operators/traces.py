@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +49,16 @@ def root_span_filter(traces: DataFrame) -> DataFrame:
 
 
 def attr(attrs: Column, key: str, default: Column) -> Column:
-    """Value of the first attribute with that key; empty text and zero give the default."""
-    value = F.get(F.filter(attrs, lambda a: a["key"] == key), F.lit(0))["value"]
-    return F.coalesce(F.nullif(value["stringValue"], F.lit("")), F.nullif(value["intValue"], F.lit("")), default)
+    """Value of the first attribute with that key; empty text gives the default."""
+    first = F.slice(F.filter(attrs, lambda a: a["key"] == key), 1, 1)
+    # Inside the lambda the attribute is found once, however often it is read.
+    values = F.transform(first, lambda a: F.coalesce(
+        F.nullif(a["value"]["stringValue"], F.lit("")), F.nullif(a["value"]["intValue"], F.lit(""))))
+    return F.coalesce(F.get(values, F.lit(0)), default)
 
 
-def flatten_traces(traces: DataFrame) -> DataFrame:
-    """Eight feed columns per trace, read from the attributes of its first span."""
+def flatten_traces(traces: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Eight feed columns per trace, read from the attributes of its first span (and columns to keep)."""
     first = F.get(F.get(F.col("spanSets"), F.lit(0))["spans"], F.lit(0))["attributes"]
     attrs = F.coalesce(first, F.array())
     number = lambda key: attr(attrs, key, F.lit("0")).cast("bigint")
@@ -65,7 +70,7 @@ def flatten_traces(traces: DataFrame) -> DataFrame:
         number("gen_ai.usage.completion_tokens").alias("output_tokens"),
         F.round(F.coalesce("durationMs", F.lit(0)).cast("double"), 1).alias("duration_ms"),
         F.left(attr(attrs, "app.user_message", F.lit("")), F.lit(PROMPT_CHARS)).alias("prompt"),
-        attr(attrs, "app.context_source", F.lit(NO_SOURCE)).alias("source"),
+        attr(attrs, "app.context_source", F.lit(NO_SOURCE)).alias("source"), *keep,
     )
 
 

@@ -68,7 +68,7 @@ def clean_chapters(chapters: DataFrame, outputs: DataFrame, context: DataFrame,
     pending = todo.filter("status = 'pending'")
 
     used, room = context.select(*T.chunk_limit(F.col("context"))).first()
-    shown = context.select(F.left("context", F.lit(len(used))).alias("context"))
+    shown = context.sparkSession.createDataFrame([(used,)], "context STRING")
     chunks = corpus.chunk_text(pending.select("stem", "text"), room, T.CLEAN_OVERLAP)
     prompts = corpus.attach_context(chunks, shown, F.col("stem")).drop("text")
     replies = corpus.batch_transform(prompts, clean, "prompt", partitions=partitions, accept=has_body).drop("prompt")
