@@ -25,6 +25,8 @@ def test_state(spark, tmp_path):
     assert files.load_json_state(spark, path).isEmpty()
     files.save_json_state(spark.createDataFrame([(["a", "b"],)], "processed_volumes ARRAY<STRING>"), path)
     assert files.load_json_state(spark, path).first().processed_volumes == ["a", "b"]
+    (tmp_path / "one.json").write_text('{\n "processed_volumes": [\n  "c"\n ]\n}')
+    assert files.load_json_state(spark, str(tmp_path / "one.json"), multi_line=True).first().processed_volumes == ["c"]
     (tmp_path / "broken.json").write_text("{nope")
     assert files.load_json_state(spark, str(tmp_path / "broken.json")).isEmpty()
 

@@ -168,13 +168,15 @@ def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str =
     """Apply ``fn(text, temperature)`` to each row: adds ``result``, ``attempts``, ``error``.
 
     A result that is not accepted (by default: an empty one) is tried again once at
-    the higher temperature.  A row that
+    the higher temperature.  Rows without text are passed on.  A row that
     raises gets its message in ``error`` and the run goes on.  Rows are few and
     heavy, so they are spread evenly first (``partitions``, or as many as a shuffle has).
     """
     df = df.repartition(partitions or slice_count(df.sparkSession))
 
-    def one(value: str) -> tuple[str | None, int, str | None]:
+    def one(value: str | None) -> tuple[str | None, int, str | None]:
+        if value is None:
+            return None, 0, None
         try:
             result = fn(value, temperature)
             if accept(result):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import est_tokens
+
 # Prices in USD per million tokens.
 INPUT_PRICE = 5.00
 OUTPUT_PRICE = 15.00
@@ -24,6 +26,14 @@ def _tokens():
             F.count(F.lit(1)).alias("calls"))
 
 
+def fill_usage(calls: DataFrame, prompt: str = "prompt", reply: str = "reply") -> DataFrame:
+    """Token counts of calls whose reply brought none: estimated from the texts."""
+    missing = F.coalesce("prompt_tokens", F.lit(0)) == 0
+    return calls.withColumns({
+        "prompt_tokens": F.when(missing, est_tokens(F.col(prompt))).otherwise(F.col("prompt_tokens")),
+        "completion_tokens": F.when(missing, est_tokens(F.col(reply))).otherwise(F.col("completion_tokens"))})
+
+
 def usage_by_model(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(*_tokens())
 

@@ -76,29 +76,32 @@ def clean_chapters(chapters: DataFrame, outputs: DataFrame, context: DataFrame,
     replies = cut_lineage(replies.withColumn("text", T.clean_reply(F.col("result"))))
     problems = replies.filter("error IS NOT NULL").groupBy("stem").agg(F.min("error").alias("problem"))
     # The chunks come from one cell, so together they fit in one: a single part.
-    stitched = corpus.stitch_chunks(replies, "stem", max_chunks=2 ** 31).select("stem", F.col("text").alias("cleaned"), "status")
-    drafts = (pending.drop("status").join(stitched, "stem").join(problems, "stem", "left")
-              .withColumn("error", F.coalesce("problem", F.when(F.col("status") == "error", "no text"))))
+    stitched = corpus.stitch_chunks(replies, "stem", max_chunks=2 ** 31).select(
+        "stem", F.col("text").alias("cleaned"), F.col("status").alias("outcome"))
+    error = F.when(F.col("status") == "pending", F.coalesce("problem", F.when(F.col("outcome") == "error", "no text")))
+    drafts = (todo.join(stitched, "stem", "left").join(problems, "stem", "left").withColumn("failure", error))
 
-    good = drafts.filter("error IS NULL")
-    fits = T.qa_fits(F.lit(used), F.col("text"), F.col("cleaned"))
-    done = good.select(*keys, F.col("cleaned").alias("text"), F.lit(None).cast("string").alias("error"))
+    ready = (F.col("status") == "pending") & F.col("failure").isNull()
+    body, failure = F.col("cleaned"), F.col("failure")
     if review is not None:
+        # Rows without a prompt pass the review untouched, so one pass serves all chapters.
+        fits = T.qa_fits(F.lit(used), F.col("text"), F.col("cleaned"))
         prompt = F.concat(F.lit(used), F.lit("\n\n=== RAW TEXT ===\n"), F.col("text"),
                           F.lit("\n\n=== CLEANED VERSION (needs QA) ===\n"), F.col("cleaned"))
-        reviewed = corpus.batch_transform(
-            good.filter(fits).select(*keys, prompt.alias("prompt")), review, "prompt", temperature=0.15, partitions=partitions)
-        unread = good.filter(~fits).select(*keys, F.col("cleaned").alias("text"), F.lit(None).cast("string").alias("error"))
-        done = unread.unionByName(reviewed.select(*keys, T.clean_reply(F.col("result")).alias("text"), "error"))
-
-    page = T.render_chapter(T.title_from_stem(F.col("stem")), F.col("text"), F.col("vol_key"), run_date, work)
-    empty = F.lit(None).cast("string")
-    finished = done.select(*keys, F.when(F.col("error").isNull(), page).alias("text"),
-                           F.when(F.col("error").isNull(), "processed").otherwise("error").alias("status"), "error")
-    broken = drafts.filter("error IS NOT NULL").select(*keys, empty.alias("text"), F.lit("error").alias("status"), "error")
-    skipped = todo.filter("status = 'skipped'").select(*keys, empty.alias("text"), "status", empty.alias("error"))
-    earlier = kept.select(*keys, "text", F.lit("skipped").alias("status"), empty.alias("error"))
-    return finished.unionByName(broken).unionByName(skipped).unionByName(earlier)
+        drafts = corpus.batch_transform(
+            drafts.select(*keys, "status", "failure", "cleaned", F.when(ready & fits, prompt).alias("prompt")),
+            review, "prompt", temperature=0.15, partitions=partitions)
+        body = F.when(F.col("prompt").isNotNull(), T.clean_reply(F.col("result"))).otherwise(F.col("cleaned"))
+        failure = F.coalesce("failure", "error")
+
+    page = T.render_chapter(T.title_from_stem(F.col("stem")), body, F.col("vol_key"), run_date, work)
+    good = (F.col("status") == "pending") & failure.isNull()
+    finished = drafts.select(
+        *keys, F.when(good, page).alias("text"),
+        F.when(F.col("status") == "skipped", "skipped").when(good, "processed").otherwise("error").alias("status"),
+        failure.alias("error"))
+    earlier = kept.select(*keys, "text", F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
+    return finished.unionByName(earlier)
 
 
 def volumes(finished: DataFrame) -> DataFrame:

@@ -37,11 +37,11 @@ def scan_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
         "line_no", F.col("line_no").cast("bigint"))
 
 
-def load_json_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA) -> DataFrame:
-    """Saved state; a missing or unreadable file is an empty state."""
+def load_json_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """Saved state; a missing or unreadable file is an empty state.  ``multi_line``: one indented document per file."""
     fields = StructType.fromDDL(schema)
     try:
-        df = spark.read.schema(fields).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        df = spark.read.schema(fields).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -63,9 +63,9 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
 
 
-def scan_bench_results(spark: SparkSession, path: str) -> DataFrame:
-    """Load-test results: JSON arrays with result and error rows; ``target`` is set in both."""
-    df = spark.read.schema(BENCH_SCHEMA).option("multiLine", True).json(path)
+def scan_bench_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Load-test results and error rows, as JSON arrays or (not ``multi_line``) a row per line; ``target`` is set in both."""
+    df = spark.read.schema(BENCH_SCHEMA).option("multiLine", multi_line).json(path)
     return df.withColumn("target", F.coalesce("target", "input_tokens"))
 
 

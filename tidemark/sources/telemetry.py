@@ -42,7 +42,14 @@ def sse_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> Da
 
 
 def tenant_sink(df: DataFrame, path: str, checkpoint: str, tenant: str = TENANT) -> DataStreamWriter:
-    """Parquet by tenant and day, the layout that range filters and retention prune."""
-    return (df.withColumn("tenant", F.lit(tenant)).withColumn("date", F.to_date("ts"))
-            .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-            .partitionBy("tenant", "date").outputMode("append"))
+    """Parquet by tenant and day, the layout that range filters and retention prune.
+
+    A micro-batch overwrites its own folders only, so running it again changes nothing.
+    There is no log of files beside the table: old days can simply be deleted.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "date", "batch_id").parquet(path))
+
+    rows = df.withColumn("tenant", F.lit(tenant)).withColumn("date", F.to_date("ts"))
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
