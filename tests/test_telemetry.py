@@ -39,6 +39,19 @@ def test_categories_overlap(spark):
     assert (r.embedding, r.reranker, r.reasoning, r.coder) == ("e", None, "coder-1", "coder-1")
 
 
+def test_own_source_is_reasoning(spark):
+    items = spark.createDataFrame([("t", 1, 1, "desk", "m")], "trace_id STRING, ts INT, step_id INT, source STRING, model STRING")
+    assert traces.first_step_per_category(items).first().reasoning is None
+    assert traces.first_step_per_category(items, own=["desk"]).first().reasoning == "m"
+
+
+def test_time_range_reaches_the_scan(spark, tmp_path):
+    spark.range(10).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), "id").write.parquet(str(tmp_path / "t"))
+    df = traces.time_range(spark.read.parquet(str(tmp_path / "t")), "1970-01-01 06:00:00", 2)
+    assert [r.id for r in df.orderBy("id").collect()] == [4, 5, 6]
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_and_newest(spark):
     df = spark.createDataFrame([("a", 1, "Find Me"), ("b", 2, "other"), ("c", 3, "find too")], "trace_id STRING, ts INT, prompt STRING")
     assert [r.trace_id for r in traces.newest(traces.feed_search(df, "FIND"), 1).collect()] == ["c"]

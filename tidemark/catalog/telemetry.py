@@ -66,7 +66,7 @@ def reverse_steps(spark, folder):
 @query("step_categories", I.sql("""
 SELECT trace_id, arg_min(model, step_id) FILTER (source = 'embed') AS embedding,
   arg_min(model, step_id) FILTER (source = 'rerank') AS reranker,
-  arg_min(model, step_id) FILTER (source IN ('web', 'qdrant', 'none', 'savant')) AS reasoning,
+  arg_min(model, step_id) FILTER (source IN ('web', 'qdrant', 'none')) AS reasoning,
   arg_min(model, step_id) FILTER (source = 'coder' OR contains(model, 'coder')) AS coder
 FROM feed GROUP BY trace_id""", "feed"))
 def step_categories(spark, folder):

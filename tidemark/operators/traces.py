@@ -11,7 +11,7 @@ from tidemark.operators.scan import with_parts
 
 # Root span names, defaults and limits of the trace feed.
 ROOT_NAMES = ["chat_request", "ollama_chat"]
-REASONING_SOURCES = ["web", "qdrant", "none", "savant"]
+REASONING_SOURCES = ["web", "qdrant", "none"]
 PROMPT_CHARS = 300
 FEED_LIMIT = 50
 FEED_HOURS = 6
@@ -102,21 +102,21 @@ def reverse_steps(feed: DataFrame) -> DataFrame:
     return feed.withColumn("steps", F.reverse("steps"))
 
 
-def step_categories(source: Column, model: Column) -> dict[str, Column]:
-    """Boolean per category; a step can be in two."""
+def step_categories(source: Column, model: Column, own: Sequence[str] = ()) -> dict[str, Column]:
+    """Boolean per category; a step can be in two.  ``own``: names under which the chat service itself reports."""
     return {
         "embedding": source == "embed",
         "reranker": source == "rerank",
-        "reasoning": source.isin(REASONING_SOURCES),
+        "reasoning": source.isin([*REASONING_SOURCES, *own]),
         "coder": (source == "coder") | F.coalesce(model, F.lit("")).contains("coder"),
     }
 
 
-def first_step_per_category(items: DataFrame) -> DataFrame:
+def first_step_per_category(items: DataFrame, own: Sequence[str] = ()) -> DataFrame:
     """Model of the first step of each category per trace (null when there is none)."""
     at = F.struct("ts", "step_id")
     picks = [F.min_by(F.when(flag, F.col("model")), F.when(flag, at)).alias(name)
-             for name, flag in step_categories(F.col("source"), F.col("model")).items()]
+             for name, flag in step_categories(F.col("source"), F.col("model"), own).items()]
     return items.groupBy("trace_id").agg(*picks)
 
 
