@@ -119,6 +119,11 @@ def test_counter_rate(spark, bucket):
     assert deltas == [0.0, 30.0, 30.0, 5.0, 30.0]
 
 
+def test_series_without_a_label_is_kept(spark):
+    df = spark.createDataFrame([(None, t, v) for t, v in COUNTER], "series STRING, t LONG, value DOUBLE").withColumn("ts", F.timestamp_seconds("t"))
+    assert [r.delta for r in metrics.counter_deltas(df, ["series"], 20).orderBy("sec").collect()] == [0.0, 30.0, 30.0, 5.0, 30.0]
+
+
 def test_rate_across_buckets_matches_brute_force(spark):
     rows = [("s", t, float((t * 37) % 101)) for t in range(0, 4000, 7)]
     df = spark.createDataFrame(rows, "series STRING, t LONG, value DOUBLE").withColumn("ts", F.timestamp_seconds("t"))

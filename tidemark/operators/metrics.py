@@ -106,16 +106,19 @@ def counter_deltas(samples: DataFrame, keys: Sequence[str], bucket_seconds: int
     """Increase of each sample over the one before it; after a reset the value itself.
 
     Series are cut into time buckets, each at most ``bucket_seconds`` rows long.  The last
-    value of the buckets before (one row per bucket) gives the first sample its predecessor.
+    sample of a bucket is repeated at the head of the next bucket that has samples (found on
+    one row per bucket), so the first sample there has its predecessor.
     """
     keys = list(keys)
     rows = per_second(samples, keys).withColumn("_b", F.expr(f"sec div {int(bucket_seconds)}"))
-    last = rows.groupBy(*keys, "_b").agg(F.max_by("value", "sec").alias("_end"))
-    before = Window.partitionBy(*keys).orderBy("_b")
-    carried = last.select(*keys, "_b", F.lag("_end").over(before).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("sec")
-    prev = F.coalesce(F.lag("value").over(inside), F.col("_carry"))
-    return (rows.join(carried, [*keys, "_b"]).withColumn("_prev", prev)
+    following = Window.partitionBy(*keys).orderBy("_b")
+    heads = (rows.groupBy(*keys, "_b").agg(F.max("sec").alias("sec"), F.max_by("value", "sec").alias("value"))
+             .withColumn("_b", F.lead("_b").over(following)).filter(F.col("_b").isNotNull()))
+    columns = [*keys, "sec", "value", "_b"]
+    both = (rows.select(*columns, F.lit(False).alias("_head"))
+            .unionByName(heads.select(*columns, F.lit(True).alias("_head"))))
+    prev = F.lag("value").over(Window.partitionBy(*keys, "_b").orderBy("sec"))
+    return (both.withColumn("_prev", prev).filter(~F.col("_head"))
             .withColumn("delta", F.when(F.col("_prev").isNull(), 0.0)
                         .when(F.col("value") < F.col("_prev"), F.col("value"))
                         .otherwise(F.col("value") - F.col("_prev")))
