@@ -243,7 +243,7 @@ def _edit(text: str, temperature: float) -> str:
     return re.sub("e", "E", text) if len(text) > 500 or temperature > 0.5 else ""
 
 
-@query("batch_transform", """SELECT doc_id, replace(text, 'e', 'E') AS result, CASE WHEN length(text) > 500 THEN 1 ELSE 2 END AS attempts
+@query("batch_transform", """SELECT doc_id, replace(text, 'e', 'E') AS result, CAST(CASE WHEN length(text) > 500 THEN 1 ELSE 2 END AS BIGINT) AS attempts
   FROM documents""")
 def batch_transform(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "text")
@@ -265,7 +265,7 @@ def apply_glossary(spark, folder):
 
 
 @query("gender_audit", """
-WITH m AS (SELECT doc_id, 'Mr' AS title, lang AS name, 2 AS n FROM documents UNION ALL SELECT doc_id, 'Ms', lang, 1 FROM documents),
+WITH m AS (SELECT doc_id, 'Mr' AS title, lang AS name, CAST(2 AS BIGINT) AS n FROM documents UNION ALL SELECT doc_id, 'Ms', lang, 1 FROM documents),
 g AS (SELECT lang AS name, CASE WHEN count(*) % 2 = 0 THEN 'male' ELSE 'female' END AS gender FROM documents GROUP BY lang)
 SELECT doc_id, title, m.name, n, gender FROM m JOIN g ON g.name = m.name
 WHERE gender <> CASE title WHEN 'Mr' THEN 'male' ELSE 'female' END""")

@@ -13,7 +13,7 @@ DOT = lambda c: F.array_join(c, ".")
 
 
 @query("flatten_kb", I.extend("""
-SELECT doc_id AS seq, pos, path, kind, value FROM (
+SELECT doc_id AS seq, CAST(pos AS BIGINT) AS pos, path, kind, value FROM (
   SELECT doc_id, 0 AS pos, 'characters.' || src || '.gender' AS path, 'scalar' AS kind, json_extract_string(body, '$.characters.' || src || '.gender') AS value FROM r
   UNION ALL SELECT doc_id, 1, 'characters.' || src || '.titles_held', 'list', json_extract_string(body, '$.characters.' || src || '.titles_held[0]') FROM r
   UNION ALL SELECT doc_id, 2, 'characters.' || src || '.titles_held', 'list', json_extract_string(body, '$.characters.' || src || '.titles_held[1]') FROM r

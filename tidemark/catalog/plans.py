@@ -111,7 +111,7 @@ ctx AS (SELECT q.query_id, CASE WHEN w IS NOT NULL THEN 'web' WHEN l IS NOT NULL
   CASE WHEN w IS NOT NULL THEN array_to_string(w, '{s}') || CASE WHEN l IS NULL THEN '' ELSE '{b}' || array_to_string(l[1:2], '{s}') END
        WHEN l IS NOT NULL THEN array_to_string(l, '{s}') ELSE '' END AS context
   FROM q LEFT JOIN web ON web.query_id = q.query_id LEFT JOIN stored ON stored.query_id = q.query_id)
-SELECT query_id, source, md5(context) AS digest, CASE source WHEN 'none' THEN 2 ELSE 4 END AS n_turns FROM ctx""".replace(
+SELECT query_id, source, md5(context) AS digest, CAST(CASE source WHEN 'none' THEN 2 ELSE 4 END AS BIGINT) AS n_turns FROM ctx""".replace(
     "{s}", retrieval.HIT_SEPARATOR).replace("{b}", retrieval.BACKGROUND_HEADER))
 def question_turns(spark, folder):
     results = I.search_results(spark, folder)

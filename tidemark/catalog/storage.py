@@ -84,9 +84,8 @@ def stream_tenant_sink(spark, folder):
 
 # --- small rules ------------------------------------------------------------
 
-@query("fill_sections", I.sql("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS characters, 0 AS relationships,
-  CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS terminology, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS gender_fixes, '' AS honorifics_policy
-  FROM replies""", "replies"))
+@query("fill_sections", I.sql("""SELECT doc_id, n AS characters, 0 * n AS relationships, n AS terminology, n AS gender_fixes, '' AS honorifics_policy
+  FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS BIGINT) AS n FROM replies)""", "replies"))
 def fill_sections(spark, folder):
     parsed = facts.parse_replies(I.replies(spark, folder))
     kb = parsed.select("doc_id", facts.fill_sections(F.from_json("kb", facts.KB_SCHEMA)).alias("k"))

@@ -110,12 +110,13 @@ WHERE rank <= {k} AND score > {cut}"""
 @query("vector_top_k", VECTOR_SQL.format(k=5, cut=0.25))
 def vector_top_k(spark, folder):
     hits = retrieval.vector_top_k(_centroids(spark, folder), table(spark, folder, "embeddings"), 5, 0.25)
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("usable_results", "WITH usable AS (" + I.CTE["usable"] + ") SELECT query_id, rank, index, text FROM usable")
 def usable_results(spark, folder):
-    return retrieval.usable_results(I.search_results(spark, folder))
+    docs = retrieval.usable_results(I.search_results(spark, folder))
+    return docs.withColumn("index", F.col("index").cast("bigint"))
 
 
 RERANK = {"usable": I.CTE["usable"], "hits": """
@@ -137,7 +138,7 @@ def _reranked(spark, folder):
 
 @query("rerank_apply", I.extend("SELECT query_id, ord, text FROM hits", RERANK))
 def rerank_apply(spark, folder):
-    return _reranked(spark, folder)
+    return _reranked(spark, folder).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 CONTEXTS = {**RERANK, "web": """SELECT query_id, list(text ORDER BY ord) AS w FROM hits WHERE query_id % 3 <> 0 GROUP BY query_id""",
