@@ -80,7 +80,7 @@ def compare(spark, con, folder, name, query, statement):
     a, la = digest(df.columns, rows)
     b, lb = digest(names, theirs)
     if a != b:
-        only = [x for x in la if x not in set(lb)][:2], [x for x in lb if x not in set(la)][:2]
+        only = sorted(set(la) - set(lb))[:2], sorted(set(lb) - set(la))[:2]
         return f"values differ: {sorted(df.columns)} {str(only)[:1500]}"
     return None
 

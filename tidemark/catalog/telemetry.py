@@ -291,10 +291,10 @@ def sum_rate(spark, folder):
     return metrics.sum_rate(I.samples(spark, folder), ["model", "pod"], ["model"]).withColumn("rate", D6(F.col("rate")))
 
 
-@query("sum_gauge", I.sql("SELECT pod, epoch_us(ts) AS us, round(CAST(sum(CAST(value AS DECIMAL(30, 6))) AS DOUBLE) / 1024, 6) AS value FROM samples GROUP BY pod, ts", "samples"))
+@query("sum_gauge", I.sql("SELECT pod, epoch_us(ts) AS us, CAST(sum(CAST(value AS DECIMAL(30, 6))) AS DOUBLE) / 1024 AS value FROM samples GROUP BY pod, ts", "samples"))
 def sum_gauge(spark, folder):
     s = metrics.sum_gauge(I.samples(spark, folder), ["pod"], 1 / 1024)
-    return s.select("pod", _micros(), D6(F.col("value")).alias("value"))
+    return s.select("pod", _micros(), "value")
 
 
 @query("either", I.extend("""
