@@ -206,9 +206,9 @@ def assemble_pages(pages: DataFrame, key: str = "doc_id", max_pages: int = PART_
                  F.count(F.lit(1)).alias("n_pages")))
 
 
-def chapter_position(chapters: DataFrame, **limits) -> DataFrame:
+def chapter_position(chapters: DataFrame) -> DataFrame:
     """``chapter_pos``: 0-based place inside the volume, by chapter number then name."""
-    return with_position(chapters, ["vol_key"], ["vol", "chap", "stem"], "chapter_pos", **limits)
+    return with_position(chapters, ["vol_key"], ["vol", "chap", "stem"], "chapter_pos")
 
 
 def page_breaks(chapters: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import GROUP_ROWS, prefix_scan
+from tidemark.operators.scan import prefix_scan
 
 # Line shapes of the load-test log and context steps.
 HEADER_PATTERN = r"^Testing (\S+) \| Context: (\d+) tokens"
@@ -17,7 +17,7 @@ STAGES = list(range(10_000, 80_001, 10_000))
 CONTEXT_STEP = 8_000
 
 
-def parse_log_lines(lines: DataFrame, keys: Sequence[str], max_group_rows: int = GROUP_ROWS) -> DataFrame:
+def parse_log_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Outcomes in a load-test log, each with the test header above it.
 
     ``lines``: keys, ``line_no``, ``line``.  Only header and outcome lines are scanned.
@@ -32,7 +32,7 @@ def parse_log_lines(lines: DataFrame, keys: Sequence[str], max_group_rows: int =
         F.when(header, take(HEADER_PATTERN, 2).cast("bigint")).alias("target"),
         F.when(ok, take(SUCCESS_PATTERN, 1).cast("double")).alias("seconds"),
         F.when(ok, take(SUCCESS_PATTERN, 2).cast("bigint")).alias("actual"))
-    seen = prefix_scan(marked, keys, ["line_no"], max_group_rows=max_group_rows, maxes={
+    seen = prefix_scan(marked, keys, ["line_no"], maxes={
         "_h": F.when(F.col("is_header"), F.struct("line_no", "model", "target"))})
     return seen.filter(~F.col("is_header")).select(
         *keys, "line_no", F.col("_h.model").alias("model"), F.col("_h.target").alias("target"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import overflow_attachment, overflow_view
-from tidemark.operators.scan import GROUP_ROWS, has_large_group, ordered_text, prefix_scan, with_parts
+from tidemark.operators.scan import ordered_text, prefix_scan, with_parts
 from tidemark.session import cut_lineage
 
 # Defaults, limits and texts of alert handling.
@@ -20,6 +20,8 @@ NO_LOGS = "No logs found or Loki unreachable."
 PROMPT_HEAD = ("You are an SRE assistant. Analyze the following alert and logs to identify the root cause."
                "\n\nALERT: ")
 
+PART_PIECES = 1_000_000
+
 # Container runtime line format.
 CRI_PATTERN = r"^(\S+) (stdout|stderr) (P|F) (.*)$"
 
@@ -45,14 +47,12 @@ def parse_json_log(raw: DataFrame, schema: str, line: str = "line") -> DataFrame
 
 
 def join_partial_lines(lines: DataFrame, keys: list[str], order: list[str],
-                       max_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pieces flagged P joined up to the next F.  A line of more than ``max_rows`` pieces
-    comes back in ordered parts (``part_no``)."""
-    large = has_large_group(lines, keys, max_rows)
+                       max_rows: int = PART_PIECES) -> DataFrame:
+    """Pieces flagged P joined up to the next F.  ``part_no`` is the position of a piece in its
+    line div ``max_rows``, so a very long line comes in ordered parts."""
     ends = F.when(F.col("flag") == "F", 1).otherwise(0).cast("bigint")
-    scanned = prefix_scan(lines, keys, order, sums={"line_no": ends}, large=large)
-    parted = (with_parts(scanned, [*keys, "line_no"], order, max_rows) if large
-              else scanned.withColumn("part_no", F.lit(0).cast("bigint")))
+    scanned = prefix_scan(lines, keys, order, sums={"line_no": ends})
+    parted = with_parts(scanned, [*keys, "line_no"], order, max_rows)
     return parted.groupBy(*keys, "line_no", "part_no").agg(
         ordered_text(order, "content", "").alias("content"), F.count(F.lit(1)).alias("n_pieces"))
 
@@ -87,8 +87,7 @@ def needs_diagnosis(alerts: DataFrame) -> DataFrame:
     return alerts.filter("needs_diagnosis")
 
 
-def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id: str = "alert_id",
-               max_group_rows: int = GROUP_ROWS) -> DataFrame:
+def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id: str = "alert_id") -> DataFrame:
     """Newest ``n`` log lines of the alert's pod up to the alert, oldest first, as ``log_text``.
 
     No alert is paired with all lines of its pod.  Logs and alerts are numbered together in
@@ -103,8 +102,7 @@ def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id:
     both = wanted.select(*pod, "ts", F.lit(0).alias("kind"), "seq", none(alert_id, alerts), "line").unionByName(
         alerts.select(*pod, "ts", F.lit(1).alias("kind"), none("seq", logs), alert_id, none("line", logs)))
     numbered = prefix_scan(both, pod, ["ts", "kind", "seq", alert_id],
-                           sums={"n_before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")},
-                           max_group_rows=max_group_rows)
+                           sums={"n_before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")})
     # Lines, alerts and lookups all read the numbers, so they are written once.
     numbered = cut_lineage(numbered)
     block = lambda c: F.expr(f"({c}) div {int(n)}")

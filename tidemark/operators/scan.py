@@ -3,10 +3,9 @@
 ``row_number``, running sums and ordered concatenation put a whole group in one
 task when written as ``Window.partitionBy(key)``.  A key that holds a third of
 the input makes that one task as large as a third of the input.  The functions
-here count the groups first.  While every group is small the plain window is
-used.  Otherwise rows are range-partitioned on (key, order), so a large group is
-cut into ordered slices; each slice is scanned on its own and the totals of the
-slices before it (a handful of rows per key) are added.
+here range-partition rows on (key, order) instead, so a large group is cut into
+ordered slices; each slice is scanned on its own and the totals of the slices
+before it (a handful of rows per key) are added.
 """
 
 from __future__ import annotations
@@ -20,48 +19,25 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, slice_count
 
-GROUP_ROWS = 1_000_000
-
-
-def has_large_group(df: DataFrame, keys: Sequence[str], max_rows: int) -> bool:
-    """True when some key has more than ``max_rows`` rows; one bit reaches the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not sizes.filter(F.col("_n") > max_rows).isEmpty()
-
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 sums: Mapping[str, Column] | None = None,
-                maxes: Mapping[str, Column] | None = None,
-                max_group_rows: int = GROUP_ROWS, slices: int | None = None,
-                large: bool | None = None) -> DataFrame:
+                maxes: Mapping[str, Column] | None = None, slices: int | None = None) -> DataFrame:
     """Running sum and running maximum of all EARLIER rows of the key (the row itself is left out).
 
-    ``order`` must be a total order inside a key.  Sums start at 0, maxima at null.
-    ``large`` gives the answer of the size check when the caller has it already.
+    ``order`` must be a total order inside a key; without keys all rows are one
+    group.  Sums start at 0, maxima at null.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     keys, order = list(keys), list(order)
 
-    def earlier(by):
-        return (Window.partitionBy(*by).orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, -1))
-
-    if large is None:
-        large = has_large_group(df, keys, max_group_rows)
-    if not large:
-        w = earlier(keys)
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in sums.items()],
-            *[F.max(e).over(w).alias(n) for n, e in maxes.items()],
-        )
-
-    # Slice ids must stay the same for both uses below, so they are written out once.
+    # Slice ids must stay the same for both uses below, so the slices are written out once.
     sliced = cut_lineage(
         df.repartitionByRange(slices or slice_count(df.sparkSession), *keys, *order)
         .withColumn("_slice", F.spark_partition_id())
     )
-    w = earlier(["_slice", *keys])
+    w = (Window.partitionBy("_slice", *keys).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, -1))
     local = sliced.select(
         "*",
         *[F.coalesce(F.sum(e).over(w), F.lit(0)).alias(n) for n, e in sums.items()],
@@ -94,25 +70,16 @@ def _is_struct(df: DataFrame, name: str) -> bool:
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
-                  max_group_rows: int = GROUP_ROWS, slices: int | None = None) -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """0-based position of each row inside its key."""
-    return prefix_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")},
-                       max_group_rows=max_group_rows, slices=slices)
+    return prefix_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")}, slices=slices)
 
 
 def with_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int,
                name: str = "part_no", slices: int | None = None) -> DataFrame:
-    """Cut every key into ordered parts of at most ``max_rows`` rows; small keys are one part 0."""
-    if not has_large_group(df, keys, max_rows):
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    # Only the keys go through the scan; the payload is joined back on the unique (key, order).
-    narrow = list(dict.fromkeys([*keys, *order]))
-    placed = prefix_scan(df.select(*narrow), keys, order, slices=slices, large=True,
-                         sums={"_position": F.lit(1).cast("bigint")})
-    renamed = placed.select(*[F.col(c).alias(f"_p_{c}") for c in narrow],
-                            F.expr(f"_position div {int(max_rows)}").alias(name))
-    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in narrow])
-    return df.join(renamed, on).select(*df.columns, name)
+    """``part_no`` = position inside the key div ``max_rows``: ordered parts of bounded size."""
+    placed = with_position(df, keys, order, "_position", slices)
+    return placed.withColumn(name, F.expr(f"_position div {int(max_rows)}")).drop("_position")
 
 
 def ordered_text(order: Sequence[str], text: str, separator: str) -> Column:
