@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, secrets, token_files, url_filter
+import corpus_pipeline
+from tidemark.llm import bagminhash, main_text, mixing, nearest, packing, quality, secrets, token_files, url_filter, warc
 from tidemark.session import scratch_folder
 
 QUERIES, ORACLE = {}, {}
@@ -23,11 +24,17 @@ def op6_token_files(spark, sf_dir: str) -> DataFrame:
         "doc_id", "start", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES["op1_mix"] = mixing.query
-QUERIES["op3_pack"] = op3_pack
-QUERIES["op6_token_files"] = op6_token_files
-QUERIES["op7_url_filter"] = url_filter.query
-QUERIES["op10_secrets"] = secrets.query
+def op2_warc(spark, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.digests(warc.reassemble(warc.read_records(spark, folder)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-ORACLE["op1_mix"] = mixing.QUERY_SQL
-ORACLE["op7_url_filter"] = url_filter.QUERY_SQL
+
+QUERIES |= {
+    "op1_mix": mixing.query, "op2_warc": op2_warc, "op3_pack": op3_pack, "op4_quality": quality.query,
+    "op5_main_text": main_text.query, "op6_token_files": op6_token_files, "op7_url_filter": url_filter.query,
+    "op8_nearest": nearest.query, "op9_near_duplicates": bagminhash.query, "op10_secrets": secrets.query,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLE |= {"op1_mix": mixing.QUERY_SQL, "op2_warc": warc.QUERY_SQL, "op7_url_filter": url_filter.QUERY_SQL}

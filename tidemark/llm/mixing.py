@@ -82,6 +82,39 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
                          F.col("_source").alias("source"), F.col("_tie").alias("text_hash"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space as it is."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def repeated(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of the mix: a document once for every epoch that takes it, all columns as they were.
+
+    Where a source's budget ends inside a document, that last copy has only the words
+    that fit.  Documents without words are in no budget; they stay once.
+    """
+    taken = mix(docs, source, doc_id, text, **options)
+    # Rows that share source, id and text are alike here: what they take together is dealt to them from the front.
+    same = ["source", "doc_id", "text_hash"]
+    sums = taken.groupBy(*same).agg(F.sum("taken").alias("_sum"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    renamed = sums.select(*[F.col(c).alias(f"_{c}") for c in same], "_sum", "_size", "_rows")
+    on = (F.xxhash64(F.col(text)) == F.col("_text_hash")) & F.col(doc_id).eqNullSafe(F.col("_doc_id")) & F.col(source).eqNullSafe(F.col("_source"))
+    whole, rest = F.expr("_sum div greatest(_size, 1)"), F.col("_sum") % F.greatest("_size", F.lit(1))
+    # Copies of a group of equal rows: every row has as many, the first ones one more.
+    nth = F.row_number().over(Window.partitionBy("_text_hash", "_doc_id", "_source").orderBy(F.lit(0)))
+    joined = docs.join(renamed, on).withColumn("_nth", nth)
+    total = whole + F.when(rest > 0, 1).otherwise(0)
+    own = F.floor((total + F.col("_rows") - F.col("_nth")) / F.col("_rows"))
+    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(own).cast("int")
+    # The cut copy is the last copy of the row that holds the group's last one.
+    last = (rest > 0) & (F.pmod(total - 1, F.col("_rows")) + 1 == F.col("_nth"))
+    out = joined.withColumn("_last", F.coalesce(last, F.lit(False))).withColumn("_rest", rest).withColumn("_copies", copies).filter("_copies > 0")
+    spread = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    cut = (F.col("_copy") == F.col("_copies")) & F.col("_last")
+    return spread.withColumn(text, F.when(cut, first_words(F.col(text), F.col("_rest"))).otherwise(F.col(text))).select(*docs.columns)
+
+
 QUERY_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

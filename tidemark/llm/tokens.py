@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Sequence
 
 import numpy as np
 import regex
 
 END_ID = 0
-KEPT_UNITS = 600_000
+KEPT_UNITS = 400_000
 WORDS_A_CALL = 2_000
 
 # Fixed value: how byte-level tokenizers of this family cut a text into words before merging.
@@ -42,7 +43,7 @@ class _Runs:
     """Values in runs of different size, one after the other; starts with ``empty`` runs of none."""
 
     def __init__(self, empty: int):
-        self.values, self.starts = np.zeros(0, np.int64), np.zeros(empty + 1, np.int64)
+        self.values, self.starts = np.zeros(0, np.uint32), np.zeros(empty + 1, np.int64)
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self.values = np.concatenate([self.values, values])
@@ -80,6 +81,8 @@ class Encoder:
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # A task has one core; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kept = load_tokenizer(path), kept
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
@@ -132,7 +135,7 @@ class Encoder:
             cuts = np.flatnonzero(ids == self.mark_id)
             sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
             self.ids.add(np.delete(ids, cuts), sizes)
-        self.words.add(np.array(self.new_units, np.int64), np.array(self.new_sizes, np.int64))
+        self.words.add(np.array(self.new_units, np.uint32), np.array(self.new_sizes, np.int64))
         self.new_words, self.new_units, self.new_sizes = [], [], []
 
     def _codes(self, text: str) -> list[int]:
