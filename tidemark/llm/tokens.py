@@ -10,7 +10,7 @@ import numpy as np
 import regex
 
 END_ID = 0
-KEPT_UNITS = 400_000
+KEPT_UNITS = 250_000
 WORDS_A_CALL = 2_000
 
 # Fixed value: how byte-level tokenizers of this family cut a text into words before merging.
@@ -74,8 +74,8 @@ class Encoder:
     A byte-level tokenizer cuts a text into words and merges inside each word only,
     and a white-space run never continues a word.  So a text may be cut before
     every space behind a character that is not white space, and such a unit into
-    its words.  Units and words repeat, so their ids are kept (about ``kept``
-    units, then all are forgotten).  Files of another kind get no such help.
+    its words.  Units and words repeat, so their ids are kept: about ``kept`` units,
+    then those that came only once are forgotten.  Files of another kind get no such help.
     """
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
@@ -96,9 +96,9 @@ class Encoder:
         self.pattern = regex.compile(WORD)
         self.words_only = Tokenizer.from_file(path)  # gets words in byte letters, set apart by spaces
         self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.forget()
+        self.clear()
 
-    def forget(self) -> None:
+    def clear(self) -> None:
         self.inner, self.first = _Units(" ", self), _Units("", self)
         self.word_codes: dict[str, int] = {}
         self.new_words: list[str] = []
@@ -106,6 +106,30 @@ class Encoder:
         self.new_sizes: list[int] = []
         self.n_units = 1  # unit 0 has no words
         self.words, self.ids = _Runs(1), _Runs(0)
+        self.times = np.zeros(1, np.int64)  # how often each unit came since the last time some were forgotten
+
+    def forget(self) -> None:
+        """Keep the units that came more than once, and their words."""
+        keep = np.flatnonzero(self.times > 1)
+        if len(keep) > self.kept // 2:
+            keep = keep[:0]
+        codes = np.zeros(self.n_units, np.int64)
+        codes[keep] = np.arange(1, len(keep) + 1)
+        for table in (self.inner, self.first):
+            own = [(piece, int(codes[code])) for piece, code in table.items() if codes[code]]
+            table.clear()
+            table.update(own)
+        words, ends = self.words.take(keep)
+        used, words = np.unique(words, return_inverse=True)
+        word_codes = np.full(len(self.word_codes), -1)
+        word_codes[used] = np.arange(len(used))
+        self.word_codes = {w: int(word_codes[c]) for w, c in self.word_codes.items() if word_codes[c] >= 0}
+        ids, id_ends = self.ids.take(used)
+        self.words, self.ids = _Runs(1), _Runs(0)
+        self.words.add(words.astype(np.uint32), np.diff(ends))
+        self.ids.add(ids, np.diff(id_ends))
+        self.n_units = len(keep) + 1
+        self.times = np.zeros(self.n_units, np.int64)
 
     def word(self, word: str) -> int:
         code = self.word_codes.get(word)
@@ -162,7 +186,7 @@ class Encoder:
             sizes = np.array([len(f) + 1 for f in found], np.int64)
             ids = np.fromiter((i for f in found for i in (*f, END_ID)), np.uint32, int(sizes.sum()))
             return ids, np.concatenate([[0], np.cumsum(sizes)])
-        if len(self.inner) + len(self.first) > self.kept:
+        if self.n_units > self.kept:
             self.forget()
         codes, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -172,7 +196,11 @@ class Encoder:
                 counts[i] = len(own)
         if self.new_units or self.new_words:
             self._learn()
-        words, word_ends = self.words.take(np.concatenate(codes) if codes else np.zeros(0, np.int64))
+        units = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        came = np.bincount(units, minlength=self.n_units)
+        came[:len(self.times)] += self.times
+        self.times = came
+        words, word_ends = self.words.take(units)
         ids, id_ends = self.ids.take(words)
         bounds = id_ends[word_ends[np.concatenate([[0], np.cumsum(counts)])]]
         out_bounds = bounds + np.arange(len(bounds))

@@ -150,16 +150,19 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         "whole", F.octet_length("block") == F.col("length")).drop("value", "at")
 
 
-@F.pandas_udf("struct<payload: binary, error: string>")
-def decode(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    def one(block: bytes | None) -> tuple[bytes | None, str | None]:
-        try:
-            return payload_of(block), None
-        except (ValueError, AttributeError) as problem:
-            return None, str(problem) or "broken framing"
+def decoder():
+    @F.pandas_udf("struct<payload: binary, error: string>")
+    def decode(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(block: bytes | None) -> tuple[bytes | None, str | None]:
+            try:
+                return payload_of(block), None
+            except (ValueError, AttributeError) as problem:
+                return None, str(problem) or "broken framing"
 
-    for part in blocks:
-        yield pd.DataFrame([one(b) for b in part], columns=["payload", "error"])
+        for part in blocks:
+            yield pd.DataFrame([one(b) for b in part], columns=["payload", "error"])
+
+    return decode
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -182,7 +185,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = grouped.withColumn("block", text.cast("binary")).withColumn("problem", F.when(
         ~F.coalesce((F.col("n") == F.col("last")) & (F.col("numbers") == F.col("n")) & F.col("whole") & F.col("type").isNotNull()
                     & (F.col("total") == F.octet_length("block")), F.lit(False)), F.lit("segments are missing or do not add up"))).select(*kept)
-    whole = single.unionByName(joined).withColumn("d", decode(F.when(F.col("problem").isNull(), F.col("block"))))
+    whole = single.unionByName(joined).withColumn("d", decoder()(F.when(F.col("problem").isNull(), F.col("block"))))
     return whole.select(F.col("id").alias("record_id"), "page_id", "url", F.col("type").alias("record_type"), "refers", "digest",
                         F.col("d.payload").alias("payload"), F.coalesce("problem", "d.error").alias("error"))
 
