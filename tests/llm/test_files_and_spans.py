@@ -1,5 +1,6 @@
 """Token files, packing, mixing, URL rules and secret spans against brute force."""
 
+import functools
 import hashlib
 import math
 import random
@@ -30,8 +31,13 @@ def odd(spark):
         .select("*", *[F.lit(f"x{n}").alias(n) for n in ("start", "size", "spans", "offset", "ids", "host", "rule", "span", "taken")])
 
 
+@functools.cache
+def tokenizer():
+    return load_tokenizer(default_path())
+
+
 def ids_of(text):
-    return [*load_tokenizer(default_path()).encode(text or "", add_special_tokens=False).ids, 0]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=150, deadline=None)
