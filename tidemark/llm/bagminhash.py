@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -196,32 +195,64 @@ def residual(buckets: DataFrame, roots: DataFrame, marks: DataFrame, most: int |
              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
              .join(marks, "node"))
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        group = group.sort_values("node", ignore_index=True)
-        left = group[group["own"] == i]
-        right = group[group["own"] == j]
-        marks_r = np.frombuffer(b"".join(right["marks"]), np.uint8).reshape(len(right), -1)
-        codes = {r: k for k, r in enumerate(group["root"].unique())}
-        roots_r = right["root"].map(codes).to_numpy()
-        nodes_r = right["node"].to_numpy()
-        out = []
-        for node, own, marks_l in zip(left["node"], left["root"].map(codes), left["marks"], strict=True):
-            rows = np.flatnonzero((roots_r != own) & ((nodes_r > node) if i == j else True))
-            if not len(rows):
-                continue
-            agree = (marks_r[rows] == np.frombuffer(marks_l, np.uint8)).mean(axis=1)
+    def pairs(rows: list[tuple], i: int, j: int) -> Iterator[tuple[bytes, bytes]]:
+        codes: dict[bytes, int] = {}
+        roots = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
+        marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        own = np.array([r[0] for r in rows])
+        right = np.flatnonzero(own == j)
+        for a in np.flatnonzero(own == i).tolist():
+            others = right[(roots[right] != roots[a]) & ((right > a) if i == j else True)]
+            agree = (marks[others] == marks[a]).mean(axis=1)
             near = agree >= LEAST_ESTIMATE
-            rows, agree = rows[near], agree[near]
-            if most is not None and len(rows) > most:
-                order = np.lexsort([-agree, roots_r[rows]])
-                rows = rows[order]
-                rank = np.arange(len(rows)) - np.searchsorted(roots_r[rows], roots_r[rows])
-                rows = rows[rank < most]
-            out += [(min(node, x), max(node, x)) for x in nodes_r[rows]]
-        return pd.DataFrame(out, columns=["u", "v"])
+            others, agree = others[near], agree[near]
+            if most is not None and len(others) > most:
+                others = others[np.lexsort([-agree, roots[others]])]
+                rank = np.arange(len(others)) - np.searchsorted(roots[others], roots[others])
+                others = others[rank < most]
+            for b in others.tolist():
+                yield min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])
 
-    return open_.groupBy("key", "i", "j").applyInPandas(pairs, "u binary, v binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, out = None, [], []
+        table = lambda found: pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["u", "v"])
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != group:
+                    if rows:
+                        out += pairs(rows, *group[1:])
+                    group, rows = (key, i, j), []
+                rows.append(tuple(row))
+            if out:
+                yield table(out)
+                out = []
+        if rows:
+            yield table(list(pairs(rows, *group[1:])))
+
+    # A group is one key, so its rows are side by side in one partition; blocks bound how many they are.
+    dealt = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").select("key", "i", "j", "own", "node", "root", "marks")
+    return dealt.mapInArrow(run, "u binary, v binary").distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two nodes are not yet in one component."""
+    left = roots.select(F.col("node").alias("u"), F.col("root").alias("_a"))
+    right = roots.select(F.col("node").alias("v"), F.col("root").alias("_b"))
+    return (pairs.join(left, "u", "left").join(right, "v", "left")
+            .filter(F.coalesce("_a", "u") != F.coalesce("_b", "v")).select("u", "v"))
+
+
+def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Roots with the links that these pairs add."""
+    pairs = cut_lineage(pairs)
+    if pairs.isEmpty():
+        return roots
+    found = cut_lineage(verified(pairs, texts, words, threshold))
+    if found.isEmpty():
+        return roots
+    # What is one component already goes in as a star.
+    stars = roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
+    return cut_lineage(components(stars.union(found)))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
@@ -232,9 +263,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     (a missing text is an empty one) are one node and always linked.  Others are linked
     when the bags of their five-word shingles overlap by the threshold or more and one
     band of their signatures is equal.  In a bucket every node is first compared
-    with the bucket's smallest node only; links found so are joined to components, and then
-    pairs of a bucket that are still apart are compared: first a few partners of
-    each node, then all that are left.  So a bucket of copies costs a row for each
+    with the smallest node of one of its buckets, then with those of the others where the two
+    are not yet in one component.  Then pairs of a bucket that are still apart are compared:
+    first a few partners of each node, then all that are left.  So a bucket of copies costs a row for each
     copy, and no link between different components is left out.  Texts are compared
     whole.  Extra columns are not read.
     """
@@ -247,19 +278,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     pairs = cut_lineage(shared.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     met = shared.select("node").distinct()
     texts = cut_lineage(rows_in.select("node", "text").join(met, "node", "left_semi").dropDuplicates(["node"]))
-    edges = cut_lineage(verified(pairs, texts, words, threshold))
-    roots = cut_lineage(components(edges))
+    # First one hub for each node, then the hubs of its other buckets where the two are still apart.
+    one_hub = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    roots = cut_lineage(components(verified(one_hub, texts, words, threshold)))
+    roots = linked(apart(pairs, roots), roots, texts, words, threshold)
     marks = nodes.select("node", "marks")
     for most in waves:
         # A hub's pairs were compared before.
-        more = cut_lineage(residual(shared.select("key", "node"), roots, marks, most).join(pairs, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            continue
-        found = cut_lineage(verified(more, texts, words, threshold))
-        pairs = pairs.union(more)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            roots = cut_lineage(components(edges))
+        more = residual(shared.select("key", "node"), roots, marks, most).join(pairs, ["u", "v"], "left_anti")
+        roots = linked(more, roots, texts, words, threshold)
     return rows_in.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
