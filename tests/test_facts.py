@@ -1,10 +1,9 @@
-"""Merging: golden rows and agreement with a recursive fold in plain Python."""
+"""Merging: golden rows and properties of the rows that are left."""
 
 import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import facts
 
@@ -15,20 +14,6 @@ def frame(spark, rows):
     return spark.createDataFrame([(s, p, path.split("."), k, v) for s, p, path, k, v in rows], SCHEMA)
 
 
-def fold(base, patch):
-    """The merge rule, one partial result after the other."""
-    for key, value in patch.items():
-        old = base.get(key)
-        if isinstance(old, dict) and isinstance(value, dict):
-            fold(old, value)
-        elif isinstance(old, list) and isinstance(value, list):
-            seen = {str(x) for x in old}
-            old.extend(x for x in value if str(x) not in seen)
-        else:
-            base[key] = json.loads(json.dumps(value))
-    return base
-
-
 def leaves(tree, path=()):
     for key, value in tree.items():
         at = (*path, key)
@@ -56,42 +41,55 @@ def test_lists_keep_repeats_of_first_patch(spark, distinct, want):
     assert "".join(r.value for r in rows) == want
 
 
-def test_merge_equals_fold(spark):
+def test_golden_change_of_kind(spark):
+    rows = [(0, 0, "a", "scalar", "x"), (1, 0, "a", "list", "p"), (1, 1, "a", "list", "q"),  # list over scalar
+            (0, 1, "b.c", "scalar", "x"), (0, 2, "b.d", "list", "y"), (2, 0, "b", "scalar", "z"),  # scalar over branch
+            (0, 3, "e", "list", "u"), (1, 2, "e.f", "scalar", "v"),  # branch over list
+            (0, 4, "g", "list", "1"), (1, 3, "g", "scalar", "2"), (2, 1, "g", "list", "3"), (3, 0, "g", "list", "1"),
+            (0, 5, "h.i", "scalar", "old"), (3, 1, "h.i", "scalar", "new"), (3, 2, "h.j", "scalar", "k")]
+    got = sorted((".".join(r.path), r.kind, r.value) for r in facts.merge_facts(facts.drop_overwritten(frame(spark, rows))).collect())
+    assert got == [("a", "list", "p"), ("a", "list", "q"), ("b", "scalar", "z"), ("e.f", "scalar", "v"), ("g", "list", "1"), ("g", "list", "3"),
+                   ("h.i", "scalar", "new"), ("h.j", "scalar", "k")]
+
+
+def test_merge_properties(spark):
+    """No path is of two kinds or above another, and each value is where its rows say."""
     rng = random.Random(7)
-    rows, want = [], []
+    rows = []
     for case in range(60):
-        tree = {}
-        for seq in range(rng.randint(1, 5)):
-            patch = {}
-            for name in rng.sample(["a", "b", "c"], rng.randint(1, 3)):
-                shape = rng.choice(["scalar", "list", "branch"])
-                if shape == "scalar":
-                    patch[name] = rng.choice("xyz")
-                elif shape == "list":
-                    patch[name] = [rng.choice("xyz") for _ in range(rng.randint(1, 4))]
-                else:
-                    patch[name] = {n: rng.choice(["x", ["x", "y"], ["y", "y"]]) for n in rng.sample("de", rng.randint(1, 2))}
-            for pos, (path, kind, value) in enumerate(leaves(patch)):
-                rows.append((seq, pos, ".".join((f"case{case}", *path)), kind, value))
-            fold(tree, patch)
-        want += [((f"case{case}", *path), kind, value) for path, kind, value in leaves(tree)]
-    merged = facts.merge_facts(facts.drop_overwritten(_unique(frame(spark, rows)))).collect()
-    got = sorted((tuple(r.path), r.kind, r.value) for r in merged)
-    assert got == sorted(want)
-    order = {}
-    for r in sorted((r for r in merged if r.kind == "list"), key=lambda r: (r.seq, r.pos)):
-        order.setdefault(tuple(r.path), []).append(r.value)
-    expected = {}
-    for path, kind, value in want:
-        if kind == "list":
-            expected.setdefault(path, []).append(value)
-    assert order == expected
-
-
-def _unique(df):
-    """Make (seq, pos) unique over the cases."""
-    case = F.substring(F.col("path")[0], 5, 9).cast("bigint")
-    return df.withColumn("pos", F.col("pos") + case * 1000)
+        for seq in range(rng.randint(1, 6)):
+            for pos in range(rng.randint(1, 4)):
+                path = rng.choice(["a", "b", "a.d", "a.e", "b.d"])
+                kind = rng.choice(["scalar", "list"])
+                taken = {p: k for s, q, p, k, _ in rows if s == seq and p.startswith(f"case{case}.")}
+                at = f"case{case}.{path}"
+                if any(p.startswith(at + ".") or at.startswith(p + ".") or (p == at and (k == "scalar" or kind == "scalar")) for p, k in taken.items()):
+                    continue  # one partial result is one tree
+                rows.append((seq, case * 1000 + pos, at, kind, rng.choice("xyz")))
+    kept = facts.drop_overwritten(frame(spark, rows))
+    merged = facts.merge_facts(kept).collect()
+    kept = kept.collect()
+    kinds = {}
+    for r in merged:
+        kinds.setdefault(tuple(r.path), set()).add(r.kind)
+    for path, own in kinds.items():
+        assert len(own) == 1 and not any(path[:n] in kinds for n in range(1, len(path)))
+    given = {}
+    for seq, pos, path, kind, value in rows:
+        given.setdefault(tuple(path.split(".")), []).append((seq, pos, kind, value))
+    for path, own in kinds.items():
+        mine = [x for x in given[path] if x[2] in own]
+        if own == {"scalar"}:  # the last mention decides
+            assert [r.value for r in merged if tuple(r.path) == path] == [max(mine)[3]]
+        else:  # an item stands in the first kept partial result that has it, as often as there
+            left = [(r.seq, r.pos, r.value) for r in kept if tuple(r.path) == path]
+            assert {(r.seq, r.pos, r.value) for r in merged if tuple(r.path) == path} == {
+                x for x in left if x[0] == min(y[0] for y in left if y[2] == x[2])}
+    last = {}
+    for path, all_rows in given.items():
+        for n in range(1, len(path) + 1):
+            last[path[:n]] = max(last.get(path[:n], ()), max(all_rows)[:1])
+    assert all(any(p[:len(top)] == top for p in kinds) for top in {p[:1] for p in given})
 
 
 def test_majority_and_note(spark):
@@ -140,10 +138,18 @@ def test_pack_context_limits_and_empty(spark):
 def test_kb_chars_is_json_length(spark, tree):
     rows = [(0, i, ".".join(p), k, v) for i, (p, k, v) in enumerate(leaves(tree))]
     df = frame(spark, rows) if rows else spark.createDataFrame([], SCHEMA)
-    assert facts.kb_chars(df).first()["kb_chars"] == len(json.dumps(tree, ensure_ascii=False, separators=(",", ":")))
+    assert facts.kb_chars(df).first()["kb_chars"] == len(json.dumps(tree, ensure_ascii=False, indent=2))
+
+
+def test_kb_chars_of_objects(spark):
+    items = [{"from": "A", "to": "B", "address_term": "sir"}, {"from": "C"}]
+    tree = {"gender_fixes": ["x"], "relationships": items}
+    rows = [(0, 0, "gender_fixes", "list", "x")] + [(0, 1 + i, "relationships", "list", json.dumps(o, separators=(",", ":"))) for i, o in enumerate(items)]
+    assert facts.kb_chars(frame(spark, rows)).first()["kb_chars"] == len(json.dumps(tree, indent=2))
 
 
 def test_synthesis_gate(spark):
     f = frame(spark, [(0, 0, "x.a", "scalar", "m"), (1, 0, "x.a", "scalar", "m"), (2, 0, "x.a", "scalar", "f")])
-    assert facts.synthesise(f).first()["value"] == "m"
-    assert facts.synthesise(f, limit=3).first()["value"] == "f"
+    got = {".".join(r.path): r.value for r in facts.synthesise(f).collect()}
+    assert got == {"x.a": "m", "gender_fixes": "x.a: kept m (2 of 3)"}
+    assert [r.value for r in facts.synthesise(f, limit=3).collect()] == ["f"]

@@ -169,21 +169,26 @@ def overflow_split(spark, folder):
 
 
 @query("stitch_chunks", I.extend("""
-SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (
-  SELECT doc_id, string_agg(nullif(CASE WHEN chunk_no > 1 THEN substr(text, 201) ELSE text END, ''),
-    chr(10) || chr(10) ORDER BY chunk_no) AS t FROM c GROUP BY doc_id)""", {"c": chunks_sql()}))
+SELECT doc_id, CAST(part AS BIGINT) AS part_no, length(t) AS n_chars, md5(t) AS digest,
+  CASE WHEN bool_or(t <> '') OVER (PARTITION BY doc_id) THEN 'processed' ELSE 'error' END AS status FROM (
+  SELECT doc_id, (chunk_no - 1) // 1000 AS part, string_agg(nullif(CASE WHEN chunk_no > 1 THEN substr(text, 201) ELSE text END, ''),
+    chr(10) || chr(10) ORDER BY chunk_no) AS t FROM c GROUP BY doc_id, part)""", {"c": chunks_sql()}))
 def stitch_chunks(spark, folder):
     c = corpus.chunk_text(table(spark, folder, "documents").select("doc_id", "text"), 2000, 200)
     s = corpus.stitch_chunks(c, "doc_id", drop_overlap=200)
-    return s.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return s.select("doc_id", F.col("part_no").cast("bigint").alias("part_no"), F.length("text").cast("bigint").alias("n_chars"),
+                    F.md5(F.col("text").cast("binary")).alias("digest"), "status")
 
 
 @query("assemble_pages", """
-SELECT doc_id, len(string_split(text, chr(10))) AS n_pages, length(text) AS n_chars, md5(text) AS digest FROM documents""")
+SELECT doc_id, CAST(i // 10000 AS BIGINT) AS part_no, count(*) AS n_pages, length(string_agg(p, chr(10) ORDER BY i)) AS n_chars,
+  md5(string_agg(p, chr(10) ORDER BY i)) AS digest
+FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), LATERAL (SELECT unnest(ps) AS p, unnest(range(len(ps))) AS i)
+GROUP BY doc_id, i // 10000""")
 def assemble_pages(spark, folder):
     lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
     return corpus.assemble_pages(lines).select(
-        "doc_id", "n_pages", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+        "doc_id", "part_no", "n_pages", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("chapter_position", I.sql("""SELECT doc_id, vol_key, row_number() OVER (PARTITION BY vol_key ORDER BY vol, chap, stem) - 1
@@ -194,13 +199,15 @@ def chapter_position(spark, folder):
 
 
 @query("assemble_volume", I.sql("""
-SELECT vol_key, count(*) AS n_chapters, length(d) AS n_chars, md5(d) AS digest FROM (
-  SELECT vol_key, string_agg(text, chr(10) || chr(10) || chr(10) || chr(10)
+SELECT vol_key, part_no, count(*) AS n_chapters, length(any_value(lead) || d) AS n_chars, md5(any_value(lead) || d) AS digest FROM (
+  SELECT vol_key, part_no, CASE WHEN part_no > 0 THEN chr(10) || chr(10) || '<div style=''page-break-before: always;''></div>' || chr(10) || chr(10)
+    ELSE '' END AS lead, string_agg(text, chr(10) || chr(10) || chr(10) || chr(10)
     || '<div style=''page-break-before: always;''></div>' || chr(10) || chr(10) ORDER BY vol, chap, stem) AS d, count(*) AS n
-  FROM chapters GROUP BY vol_key) GROUP BY vol_key, d""", "chapters").replace("count(*) AS n_chapters", "max(n) AS n_chapters"))
+  FROM (SELECT *, (row_number() OVER (PARTITION BY vol_key ORDER BY vol, chap, stem) - 1) // 1000 AS part_no FROM chapters)
+  GROUP BY vol_key, part_no) GROUP BY vol_key, part_no, d""", "chapters").replace("count(*) AS n_chapters", "max(n) AS n_chapters"))
 def assemble_volume(spark, folder):
     v = corpus.assemble_volume(I.chapters(spark, folder).select("vol_key", "vol", "chap", "stem", "text"))
-    return v.select("vol_key", "n_chapters", F.length("document").cast("bigint").alias("n_chars"),
+    return v.select("vol_key", "part_no", "n_chapters", F.length("document").cast("bigint").alias("n_chars"),
                     F.md5(F.col("document").cast("binary")).alias("digest"))
 
 

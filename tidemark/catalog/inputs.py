@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.corpus import with_chapter_keys
+from tidemark.operators.metrics import series_key
 from tidemark.sources.files import table
 
 CTE: dict[str, str] = {}
@@ -209,6 +210,7 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
     sets = F.when(F.col("k") == 7, F.array()).otherwise(F.array(F.struct(F.array(F.struct(attrs.alias("attributes"))).alias("spans"))))
     return e.select(
         "event_id", F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("traceID"),
+        F.concat(F.lit("svc-"), (F.col("user_id") % 3).cast("string")).alias("rootServiceName"), "ts",
         name.alias("rootSpanName"), (F.unix_micros("ts") * 1000).cast("string").alias("startTimeUnixNano"),
         F.floor(F.col("value") * 10).alias("durationMs"), sets.alias("spanSets"))
 
@@ -292,18 +294,24 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
         "ts", F.when(F.col("k") % 2 == 0, "requests_total").otherwise("tokens_total").alias("metric"),
         F.create_map(F.lit("model"), F.col("event_type"), F.lit("pod"), F.concat(F.lit("m-"), (F.col("k") % 3).cast("string")),
                      F.lit("user"), F.col("user_id").cast("string")).alias("labels"),
-        F.col("event_type").alias("model"), F.concat(F.lit("m-"), (F.col("k") % 3).cast("string")).alias("pod"), "value")
+        F.col("event_type").alias("model"), F.concat(F.lit("m-"), (F.col("k") % 3).cast("string")).alias("pod"), "value"
+    ).withColumn("series", F.concat("metric", series_key(F.col("labels"))))
 
 
 CTE["samples"] = """
 SELECT ts, CASE WHEN k % 2 = 0 THEN 'requests_total' ELSE 'tokens_total' END AS metric, event_type AS model,
   'm-' || (k % 3) AS pod, user_id, value FROM ev"""
 NEEDS["samples"] = ["ev"]
+CTE["steps_up"] = """
+SELECT series, model, us, value, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS delta
+FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY us) AS prev
+      FROM (SELECT metric || '{"model":"' || model || '","pod":"' || pod || '","user":"' || user_id || '"}' AS series, model,
+              epoch_us(ts) AS us, max(value) AS value FROM samples GROUP BY 1, 2, 3))"""
+NEEDS["steps_up"] = ["samples"]
 CTE["deltas"] = """
-SELECT model, pod, sec, value, CASE WHEN prev IS NULL THEN 0.0 WHEN value < prev THEN value ELSE value - prev END AS delta
-FROM (SELECT *, lag(value) OVER (PARTITION BY model, pod ORDER BY sec) AS prev
-      FROM (SELECT model, pod, epoch_us(ts) // 1000000 AS sec, arg_max(value, ts) AS value FROM samples GROUP BY 1, 2, 3))"""
-NEEDS["deltas"] = ["samples"]
+SELECT series, model, us // 1000000 AS sec, arg_max(value, us) AS value, CAST(sum(CAST(delta AS DECIMAL(30, 6))) AS DOUBLE) AS delta
+FROM steps_up GROUP BY 1, 2, 3"""
+NEEDS["deltas"] = ["steps_up"]
 
 
 def load_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -103,11 +103,10 @@ def kb_counts(spark, folder):
 
 
 @query("kb_chars", I.extend("""
-SELECT CAST(2 + (SELECT sum(CASE WHEN path = 'relationships' THEN length(value) ELSE length(value) + 2 END) FROM merged)
-  + (SELECT sum(length(k) + 3) FROM nodes) + 2 * (SELECT count(*) FROM nodes WHERE NOT scalar)
-  + (SELECT count(*) FROM merged WHERE kind = 'list')
-  + (SELECT count(*) FROM nodes) - (SELECT count(*) FROM nodes WHERE NOT scalar) - 1 AS BIGINT) AS kb_chars""", {"nodes": """
-SELECT p, max(k) AS k, bool_or(leaf AND kind = 'scalar') AS scalar FROM (
+SELECT CAST(2 + (SELECT sum(CASE WHEN path = 'relationships' THEN length(value) + 8 * len(json_keys(value)) + 5 ELSE length(value) + 2 END
+    + CASE WHEN kind = 'list' THEN 2 * len(string_split(path, '.')) + 4 ELSE 0 END) FROM merged)
+  + (SELECT sum(length(k) + 6 + 2 * d + CASE WHEN scalar THEN 0 ELSE 2 * d + 2 END) FROM nodes) AS BIGINT) AS kb_chars""", {"nodes": """
+SELECT p, max(k) AS k, max(len(string_split(p, '.'))) AS d, bool_or(leaf AND kind = 'scalar') AS scalar FROM (
   SELECT list_aggregate(ps[1:i], 'string_agg', '.') AS p, ps[i] AS k, i = len(ps) AS leaf, kind
   FROM (SELECT DISTINCT string_split(path, '.') AS ps, kind FROM merged), LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i))
 GROUP BY p"""}, "merged"))
@@ -117,12 +116,20 @@ def kb_chars(spark, folder):
 
 @query("synthesise", I.extend("""
 SELECT m.seq, m.pos, m.path, m.kind, CASE WHEN m.kind = 'scalar' THEN v.value ELSE m.value END AS value
-FROM merged m LEFT JOIN v ON v.path = m.path""",
+FROM merged m LEFT JOIN v ON v.path = m.path UNION ALL
+SELECT m.seq + 2305843009213693952, m.pos, 'gender_fixes', 'list', v.path || ': kept ' || v.value || ' (' || n_votes || ' of ' || n_mentions || ')'
+FROM v JOIN merged m ON m.path = v.path AND m.kind = 'scalar' WHERE n_values > 1""",
     {"src": "SELECT path, value FROM facts WHERE kind = 'scalar'", "v": VOTES.format(src="src")}, "merged"))
 def synthesise(spark, folder):
     return facts.synthesise(I.facts(spark, folder), limit=2 ** 60).withColumn("path", DOT("path"))
 
 
+@query("synthesise_large", I.sql("SELECT seq, pos, path, kind, value FROM merged", "merged"))
+def synthesise_large(spark, folder):
+    """Above the size nothing is voted on: the plain merge."""
+    return facts.synthesise(I.facts(spark, folder), limit=10).withColumn("path", DOT("path"))
+
+
 CONTEXT = {
     "lists": """SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq, pos) AS rn FROM merged WHERE kind = 'list'""",
     "people": """

@@ -129,7 +129,7 @@ def isolate_errors(spark, folder):
 def guard_reply(spark, folder):
     c = table(spark, folder, "conversations")
     text = F.when(F.col("turn") % 3 == 0, " \n\t").otherwise(F.concat(F.lit(" "), "text"))
-    return replies.guard_reply(c.select("conv_id", "turn", text.alias("text"))).select("conv_id", "turn", "status")
+    return replies.guard_reply(c.select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"]).select("conv_id", "turn", "status")
 
 
 @query("fill_usage", """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 7 ELSE length(text) // 4 END AS prompt_tokens,

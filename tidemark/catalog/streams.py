@@ -55,13 +55,17 @@ def stream_sliding_sum(spark, folder):
         "at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_counter_rate", I.sql("""
+@query("stream_counter_rate", I.extend("""
 SELECT at_sec, round(CAST(sum(CAST(delta AS DECIMAL(30, 6))) AS DOUBLE) / 60, 6) AS rate
-FROM deltas, LATERAL (SELECT unnest(range((sec + 14) // 15 * 15, (sec + 59) // 15 * 15 + 1, 15)) AS at_sec)
-WHERE delta > 0 GROUP BY at_sec""", "deltas"))
+FROM closed, LATERAL (SELECT unnest(range((sec + 14) // 15 * 15, (sec + 59) // 15 * 15 + 1, 15)) AS at_sec)
+GROUP BY at_sec""", {"closed": """SELECT us // 1000000 AS sec, delta FROM steps_up
+  WHERE us <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000"""}, "steps_up"))
 def stream_counter_rate(spark, folder):
-    series = F.concat_ws("/", "event_type", F.concat(F.lit("m-"), (F.col("k") % 3).cast("string")))
-    samples = _events(spark, folder).select(series.alias("series"), "ts", "value")
+    """Samples that the watermark has passed; later ones wait for earlier ones that may still come."""
+    text = lambda c: F.col(c).cast("string")
+    labels = F.create_map(F.lit("model"), "event_type", F.lit("pod"), F.concat(F.lit("m-"), (F.col("k") % 3).cast("string")), F.lit("user"), text("user_id"))
+    metric = F.when(F.col("k") % 2 == 0, "requests_total").otherwise("tokens_total")
+    samples = _events(spark, folder).select(F.concat(metric, metrics.series_key(labels)).alias("series"), "ts", "value")
     deltas = _drain(windows.counter_increases(samples), "counter-increases")
     return metrics.rate_from_deltas(deltas).withColumn("rate", F.round("rate", 6))
 
@@ -108,18 +112,19 @@ SELECT trace_id, epoch_us(max(ts)) AS us, arg_max(model, ts) AS model, arg_max(s
 def stream_feed(spark, folder):
     from tidemark.operators.traces import TRACE_SCHEMA
     root = scratch_folder(spark, "feed")
-    I.traces(spark, folder).drop("event_id").write.json(f"{root}/in")
+    I.traces(spark, folder).drop("event_id", "ts").write.json(f"{root}/in")
     stream = spark.readStream.schema(TRACE_SCHEMA).json(f"{root}/in")
     tables.start(tables.feed_updates(stream, f"{root}/feed", f"{root}/state"), every=None).awaitTermination()
     return tables.feed_view(spark, f"{root}/feed").select("trace_id", F.unix_micros("ts").alias("us"), "model", "source")
 
 
-@query("stream_diagnoses", I.extend("SELECT alert_id, pod, log_text FROM al", {"al": """
-SELECT alert_id, any_value(l.pod) AS pod, coalesce(string_agg(l.line, chr(10) ORDER BY l.ts, l.seq) FILTER (rn <= 50),
+@query("stream_diagnoses", I.extend("SELECT alert_id, alert_no, pod, log_text FROM al", {"al": """
+SELECT alert_id, alert_no, any_value(l.pod) AS pod, coalesce(string_agg(l.line, chr(10) ORDER BY l.ts, l.seq) FILTER (rn <= 50),
   'No logs found or Loki unreachable.') AS log_text
-FROM (SELECT a.alert_id, a.pod, g.ts, g.seq, g.line, row_number() OVER (PARTITION BY a.alert_id ORDER BY g.ts DESC, g.seq DESC) AS rn
-      FROM (SELECT * FROM alerts WHERE needs_diagnosis AND alert_no = 0) a
-      LEFT JOIN logs g ON g.pod = a.pod AND g.namespace = a.namespace AND g.ts <= a.ts) l GROUP BY alert_id"""}, "alerts", "logs"))
+FROM (SELECT a.alert_id, a.alert_no, a.pod, g.ts, g.seq, g.line, row_number() OVER (PARTITION BY a.alert_id, a.alert_no ORDER BY g.ts DESC, g.seq DESC) AS rn
+      FROM (SELECT * FROM alerts WHERE needs_diagnosis) a
+      LEFT JOIN logs g ON g.pod = a.pod AND g.namespace = a.namespace AND g.ts <= a.ts AND g.ts >= a.ts - INTERVAL 1 HOUR) l
+GROUP BY alert_id, alert_no"""}, "alerts", "logs"))
 def stream_diagnoses(spark, folder):
     root = scratch_folder(spark, "alerts")
     I.alert_payloads(spark, folder).write.parquet(f"{root}/in")
@@ -127,4 +132,4 @@ def stream_diagnoses(spark, folder):
     stream = spark.readStream.schema(schema).parquet(f"{root}/in")
     writer = tables.alert_diagnoses(stream, lambda: I.logs(spark, folder), f"{root}/out", f"{root}/state")
     tables.start(writer, every=None).awaitTermination()
-    return spark.read.parquet(f"{root}/out").filter("alert_no = 0").select("alert_id", "pod", "log_text")
+    return spark.read.parquet(f"{root}/out").select("alert_id", "alert_no", "pod", "log_text")

@@ -45,22 +45,27 @@ def trace_feed(spark, folder):
     return traces.newest(traces.feed_search(f, "View")).select(_micros(), *f.columns[1:])
 
 
-@query("feed_by_trace", I.sql("""
-SELECT epoch_us(min(ts)) AS us, trace_id AS request_id, arg_min(prompt, step_id) AS prompt, count(*) AS n_steps,
-  string_agg(source || '/' || model || '/' || input_tokens || '/' || output_tokens, ',' ORDER BY step_id) AS steps
-FROM feed GROUP BY trace_id""", "feed"))
+PARTED = """
+SELECT *, (row_number() OVER w - 1) // 10000 AS part_no, first_value(prompt) OVER w AS first_prompt, min(ts) OVER (PARTITION BY trace_id) AS began,
+  (count(*) OVER (PARTITION BY trace_id) + 9999) // 10000 AS n_parts FROM feed WINDOW w AS (PARTITION BY trace_id ORDER BY ts, step_id)"""
+
+
+@query("feed_by_trace", I.extend("""
+SELECT epoch_us(any_value(began)) AS us, trace_id AS request_id, part_no, any_value(n_parts) AS n_parts, any_value(first_prompt) AS prompt,
+  count(*) AS n_steps, string_agg(source || '/' || model || '/' || input_tokens || '/' || output_tokens, ',' ORDER BY ts, step_id) AS steps
+FROM parted GROUP BY trace_id, part_no""", {"parted": PARTED}, "feed"))
 def feed_by_trace(spark, folder):
     f = traces.feed_by_trace(_steps(spark, folder))
     step = lambda x: F.concat_ws("/", x["source"], x["model"], x["input_tokens"].cast("string"), x["output_tokens"].cast("string"))
-    return f.select(_micros(), "request_id", "prompt", F.size("steps").cast("bigint").alias("n_steps"),
+    return f.select(_micros(), "request_id", "part_no", "n_parts", "prompt", F.size("steps").cast("bigint").alias("n_steps"),
                     F.array_join(F.transform("steps", step), ",").alias("steps"))
 
 
-@query("reverse_steps", I.sql("""SELECT trace_id AS request_id, string_agg(model, ',' ORDER BY step_id DESC) AS models
-  FROM feed GROUP BY trace_id""", "feed"))
+@query("reverse_steps", I.extend("""SELECT trace_id AS request_id, any_value(n_parts) - 1 - part_no AS part_no,
+  string_agg(model, ',' ORDER BY ts DESC, step_id DESC) AS models FROM parted GROUP BY trace_id, part_no""", {"parted": PARTED}, "feed"))
 def reverse_steps(spark, folder):
     f = traces.reverse_steps(traces.feed_by_trace(_steps(spark, folder)))
-    return f.select("request_id", F.array_join(F.transform("steps", lambda x: x["model"]), ",").alias("models"))
+    return f.select("request_id", "part_no", F.array_join(F.transform("steps", lambda x: x["model"]), ",").alias("models"))
 
 
 @query("step_categories", I.sql("""
@@ -138,14 +143,15 @@ def _cri(spark, folder):
 
 
 @query("join_partial_lines", """
-SELECT user_id, stream, line_no, count(*) AS n_pieces, string_agg(props, '' ORDER BY event_id) AS content FROM (
+SELECT user_id, stream, line_no, part_no, count(*) AS n_pieces, string_agg(props, '' ORDER BY event_id) AS content FROM (
+  SELECT *, (row_number() OVER (PARTITION BY user_id, stream, line_no ORDER BY event_id) - 1) // 1000000 AS part_no FROM (
   SELECT *, CAST(coalesce(sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, stream ORDER BY event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no
-  FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream FROM events WHERE event_type <> 'signup'))
-GROUP BY user_id, stream, line_no""")
+  FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream FROM events WHERE event_type <> 'signup')))
+GROUP BY user_id, stream, line_no, part_no""")
 def join_partial_lines(spark, folder):
     lines = logs.parse_cri(_cri(spark, folder))
-    return logs.join_partial_lines(lines, ["user_id", "stream"], ["event_id"]).drop("part_no")
+    return logs.join_partial_lines(lines, ["user_id", "stream"], ["event_id"])
 
 
 @query("parse_json_log", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -165,38 +171,45 @@ def alert_view(spark, folder):
     return logs.alert_view(I.alert_payloads(spark, folder)).drop("ts", "full_description")
 
 
-ALERT_LOGS = """
-SELECT alert_id, pod, namespace, least(count(l.seq), 50) AS n_lines,
+LOOK_BACK = 240
+
+ALERT_LOGS = f"""
+SELECT alert_id, alert_no, pod, namespace, least(count(l.seq), 50) AS n_lines,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.ts, l.seq) FILTER (rn <= 50), 'No logs found or Loki unreachable.') AS log_text,
   any_value(full_description) AS full_description
-FROM (SELECT a.alert_id, a.pod, a.namespace, a.full_description, g.ts, g.seq, g.line,
-        row_number() OVER (PARTITION BY a.alert_id ORDER BY g.ts DESC, g.seq DESC) AS rn
-      FROM (SELECT * FROM alerts WHERE needs_diagnosis AND alert_no = 0) a
-      LEFT JOIN logs g ON g.pod = a.pod AND g.namespace = a.namespace AND g.ts <= a.ts) l GROUP BY alert_id, pod, namespace"""
+FROM (SELECT a.alert_id, a.alert_no, a.pod, a.namespace, a.full_description, g.ts, g.seq, g.line,
+        row_number() OVER (PARTITION BY a.alert_id, a.alert_no ORDER BY g.ts DESC, g.seq DESC) AS rn
+      FROM (SELECT * FROM alerts WHERE needs_diagnosis) a
+      LEFT JOIN logs g ON g.pod = a.pod AND g.namespace = a.namespace AND g.ts <= a.ts AND g.ts >= a.ts - INTERVAL {LOOK_BACK} HOUR) l
+GROUP BY alert_id, alert_no, pod, namespace"""
 
 
 def _firing(spark, folder):
-    """Alerts that need a diagnosis, one per payload."""
-    return logs.needs_diagnosis(logs.alert_view(I.alert_payloads(spark, folder))).filter("alert_no = 0")
+    """Alerts that need a diagnosis; the key is that of the payload and the place in it."""
+    alerts = logs.needs_diagnosis(logs.alert_view(I.alert_payloads(spark, folder)))
+    return alerts.withColumn("alert_key", F.struct("alert_id", "alert_no"))
+
+
+def _texts(spark, folder):
+    return logs.alert_logs(_firing(spark, folder), I.logs(spark, folder), alert_id="alert_key", look_back_hours=LOOK_BACK)
 
 
-@query("alert_logs", I.extend("SELECT alert_id, pod, namespace, n_lines, log_text FROM al", {"al": ALERT_LOGS}, "alerts", "logs"))
+@query("alert_logs", I.extend("SELECT alert_id, alert_no, pod, namespace, n_lines, log_text FROM al", {"al": ALERT_LOGS}, "alerts", "logs"))
 def alert_logs(spark, folder):
-    return logs.alert_logs(_firing(spark, folder), I.logs(spark, folder))
+    return _texts(spark, folder).select("alert_key.*", "pod", "namespace", "n_lines", "log_text")
 
 
 @query("diagnosis_input", I.extend("""
-SELECT alert_id, length(p) AS n_chars, CASE WHEN length(p) > 4000 THEN left(p, 1000) || '...' || chr(10) || chr(10)
+SELECT alert_id, alert_no, length(p) AS n_chars, CASE WHEN length(p) > 4000 THEN left(p, 1000) || '...' || chr(10) || chr(10)
   || '📄 **Full diagnostic report attached below.**' ELSE p END AS shown
-FROM (SELECT alert_id, 'You are an SRE assistant. Analyze the following alert and logs to identify the root cause.' || chr(10) || chr(10)
+FROM (SELECT alert_id, alert_no, 'You are an SRE assistant. Analyze the following alert and logs to identify the root cause.' || chr(10) || chr(10)
   || 'ALERT: ' || full_description || chr(10) || chr(10) || 'LOGS:' || chr(10) || log_text || chr(10) || chr(10) || 'Diagnosis:' AS p FROM al)""",
     {"al": ALERT_LOGS}, "alerts", "logs"))
 def diagnosis_input(spark, folder):
     alerts = _firing(spark, folder)
-    texts = logs.alert_logs(alerts, I.logs(spark, folder))
-    both = alerts.select("alert_id", "full_description").join(texts, "alert_id").withColumn(
+    both = alerts.select("alert_key", "alert_id", "alert_no", "full_description").join(_texts(spark, folder), "alert_key").withColumn(
         "prompt", logs.diagnosis_prompt(F.col("full_description"), F.col("log_text")))
-    return logs.overflow_split(both, "prompt").select("alert_id", F.length("prompt").cast("bigint").alias("n_chars"), "shown")
+    return logs.overflow_split(both, "prompt").select("alert_id", "alert_no", F.length("prompt").cast("bigint").alias("n_chars"), "shown")
 
 
 # --- metrics ----------------------------------------------------------------
@@ -261,34 +274,34 @@ def enrich_pods(spark, folder):
     return metrics.enrich_pods(e, pods).select("event_id", "name", "node")
 
 
-@query("counter_deltas", I.sql("SELECT model, pod, sec, value, round(delta, 6) AS delta FROM deltas", "deltas"))
+@query("counter_deltas", I.sql("SELECT series, model, sec, value, round(delta, 6) AS delta FROM deltas", "deltas"))
 def counter_deltas(spark, folder):
-    return metrics.counter_deltas(I.samples(spark, folder), ["model", "pod"]).withColumn("delta", D6(F.col("delta")))
+    return metrics.counter_deltas(I.samples(spark, folder), ["series", "model"]).withColumn("delta", D6(F.col("delta")))
 
 
-RATE = """SELECT model, pod, sec, value, round(CAST(sum(CAST(delta AS DECIMAL(30, 6))) OVER (PARTITION BY model, pod ORDER BY sec
+RATE = """SELECT series, model, sec, value, round(CAST(sum(CAST(delta AS DECIMAL(30, 6))) OVER (PARTITION BY series ORDER BY sec
   RANGE BETWEEN {n} PRECEDING AND CURRENT ROW) AS DOUBLE) / {m}, {d}) AS rate FROM deltas"""
 
 
 @query("counter_rate", I.sql(RATE.format(n=59, m=60, d=6), "deltas"))
 def counter_rate(spark, folder):
-    return metrics.counter_rate(I.samples(spark, folder), ["model", "pod"]).withColumn("rate", D6(F.col("rate")))
+    return metrics.counter_rate(I.samples(spark, folder), ["series", "model"]).withColumn("rate", D6(F.col("rate")))
 
 
 @query("counter_rate_6h", I.sql(RATE.format(n=21599, m=21600, d=9), "deltas"))
 def counter_rate_6h(spark, folder):
-    return metrics.counter_rate(I.samples(spark, folder), ["model", "pod"], 21600).withColumn("rate", F.round("rate", 9))
+    return metrics.counter_rate(I.samples(spark, folder), ["series", "model"], 21600).withColumn("rate", F.round("rate", 9))
 
 
 STEPS = """
 SELECT model, at_sec, round(CAST(sum(CAST(delta AS DECIMAL(30, 6))) AS DOUBLE) / 60, 6) AS rate
 FROM deltas, LATERAL (SELECT unnest(range((sec + 14) // 15 * 15, (sec + 59) // 15 * 15 + 1, 15)) AS at_sec)
-WHERE delta > 0 GROUP BY model, at_sec"""
+GROUP BY model, at_sec"""
 
 
 @query("sum_rate", I.sql(STEPS, "deltas"))
 def sum_rate(spark, folder):
-    return metrics.sum_rate(I.samples(spark, folder), ["model", "pod"], ["model"]).withColumn("rate", D6(F.col("rate")))
+    return metrics.sum_rate(I.samples(spark, folder), ["series", "model"], ["model"]).withColumn("rate", D6(F.col("rate")))
 
 
 @query("sum_gauge", I.sql("SELECT pod, epoch_us(ts) AS us, CAST(sum(CAST(value AS DECIMAL(30, 6))) AS DOUBLE) / 1024 AS value FROM samples GROUP BY pod, ts", "samples"))
@@ -301,7 +314,7 @@ def sum_gauge(spark, folder):
 SELECT at_sec, rate, 'new' AS origin FROM a UNION ALL SELECT at_sec, rate, 'old' FROM b WHERE at_sec NOT IN (SELECT at_sec FROM a)""",
     {"s": STEPS, "a": "SELECT at_sec, rate FROM s WHERE model = 'click'", "b": "SELECT at_sec, rate FROM s WHERE model = 'view'"}, "deltas"))
 def either(spark, folder):
-    r = metrics.sum_rate(I.samples(spark, folder), ["model", "pod"], ["model"])
+    r = metrics.sum_rate(I.samples(spark, folder), ["series", "model"], ["model"])
     side = lambda m, o: r.filter(F.col("model") == m).select("at_sec", D6(F.col("rate")).alias("rate"), F.lit(o).alias("origin"))
     return metrics.either(side("click", "new"), side("view", "old"), ["at_sec"])
 
@@ -315,11 +328,11 @@ def unit_conversion(spark, folder):
 
 # --- token streams ----------------------------------------------------------
 
-@query("reassemble", I.sql("""SELECT request_id, string_agg(token, '' ORDER BY seq) AS text, count(*) AS n_tokens
-  FROM tokens GROUP BY request_id""", "tokens"))
+@query("reassemble", I.sql("""SELECT request_id, CAST(seq // 100000 AS BIGINT) AS part_no, string_agg(token, '' ORDER BY seq) AS text, count(*) AS n_tokens
+  FROM tokens GROUP BY request_id, seq // 100000""", "tokens"))
 def reassemble(spark, folder):
     events = replies.until_done(replies.parse_events(I.sse_lines(spark, folder)))
-    return replies.reassemble(events).drop("part_no")
+    return replies.reassemble(events)
 
 
 @query("final_usage", "SELECT conv_id || '-' || turn AS request_id, turn * 10 AS prompt_tokens, len(string_split(text, ' ')) AS completion_tokens FROM conversations WHERE role = 'assistant'")

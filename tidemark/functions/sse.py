@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import strip
+
 # Line prefix and end mark of the stream format.
 PREFIX = "data: "
 DONE = "[DONE]"
@@ -21,7 +23,7 @@ def payload(raw: Column) -> Column:
 
 
 def is_done(raw: Column) -> Column:
-    return F.coalesce(F.trim(payload(raw)) == DONE, F.lit(False))
+    return F.coalesce(strip(payload(raw)) == DONE, F.lit(False))
 
 
 def event(raw: Column) -> Column:

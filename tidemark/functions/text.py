@@ -64,13 +64,18 @@ def long_enough(c: Column, min_chars: int = MIN_TEXT_CHARS) -> Column:
     return F.length(strip(c)) >= min_chars
 
 
+# Forms of reasoning inside a reply, and the tag around its body.
+REASONING_PATTERNS = (r"(?s)<thought>.*?</thought>", r"(?s)<think>.*?</think>", r"(?s)thinking\n.*?\n")
+BODY_TAG = "cleaned_text"
+
+
 def strip_reasoning(c: Column) -> Column:
-    for pattern in (r"(?s)<thought>.*?</thought>", r"(?s)<think>.*?</think>", r"(?s)thinking\n.*?\n"):
+    for pattern in REASONING_PATTERNS:
         c = F.regexp_replace(c, pattern, "")
     return c
 
 
-def extract_tagged(c: Column, tag: str = "cleaned_text") -> Column:
+def extract_tagged(c: Column, tag: str = BODY_TAG) -> Column:
     pattern = f"(?s)<{tag}>(.*?)</{tag}>"
     return strip(F.when(F.rlike(c, F.lit(pattern)), F.regexp_extract(c, pattern, 1)).otherwise(c))
 

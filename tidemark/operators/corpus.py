@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions import text as T
 from tidemark.operators.scan import ordered_text, with_parts, with_position
-from tidemark.session import slice_count
+from tidemark.session import cut_lineage, slice_count
 
 BLOCK_CHUNKS = 64
 PART_CHAPTERS = 1_000
@@ -77,9 +78,23 @@ def volume_counts(chapters: DataFrame) -> DataFrame:
         F.max("chap").alias("last_chap"))
 
 
-def save_outputs(results: DataFrame, path: str, key: str = "vol_key") -> None:
-    """Append finished rows, one folder per key: the restart state of the next run."""
-    results.write.mode("append").partitionBy(key).parquet(path)
+def save_outputs(results: DataFrame, path: str, key: str = "vol_key", name: str = "stem") -> None:
+    """Finished rows, one folder per key: the restart state of the next run.
+
+    A row saved before under the same name is replaced, so a rerun adds nothing; only
+    the folders of the keys in ``results`` are written again.
+    """
+    rows = cut_lineage(results)
+    try:
+        old = results.sparkSession.read.schema(results.schema).parquet(path)
+    except AnalysisException:  # the first run finds no folder
+        old = None
+    if old is not None:
+        # The folders read here are written below, so their other rows are put aside first.
+        rest = old.join(rows.select(key).distinct(), key, "left_semi").join(rows.select(name), name, "left_anti")
+        rows = rows.unionByName(cut_lineage(rest))
+    (rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(key).parquet(path))
 
 
 # --- chunks -----------------------------------------------------------------
@@ -137,7 +152,8 @@ def stitch_chunks(chunks: DataFrame, key: str, text: str = "text", drop_overlap:
     """Non-empty chunk texts in order, joined by a blank line; a key without text is an error.
 
     ``drop_overlap`` removes that many leading characters from all but the first
-    chunk.  Keys with more than ``max_chunks`` chunks come back in ordered parts.
+    chunk.  ``part_no`` is (chunk - 1) div ``max_chunks``, so a key with very many chunks
+    comes in ordered parts; all parts of a key have the status of the whole key.
     """
     body = F.col(text)
     if drop_overlap:
@@ -147,7 +163,9 @@ def stitch_chunks(chunks: DataFrame, key: str, text: str = "text", drop_overlap:
     items = F.sort_array(F.collect_list(F.when(F.col("_body").isNotNull(), F.struct("chunk_no", "_body"))))
     joined = F.array_join(F.transform(items, lambda x: x["_body"]), "\n\n")
     out = full.groupBy(key, "part_no").agg(joined.alias("text"))
-    return guard_empty(out)
+    some = full.groupBy(key).agg(F.max(F.col("_body").isNotNull()).alias("_some"))
+    status = F.when(F.col("_some"), "processed").otherwise("error")
+    return out.join(some, key).select(key, "part_no", "text", status.alias("status"))
 
 
 def guard_empty(df: DataFrame, text: str = "text") -> DataFrame:
@@ -171,19 +189,23 @@ def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str =
     the higher temperature.  Rows without text are passed on.  A row that
     raises gets its message in ``error`` and the run goes on.  Rows are few and
     heavy, so they are spread evenly first (``partitions``, or as many as a shuffle has).
+    Calls are paid for: the result is written to the shared folder here and now, so no later use calls again.
     """
     df = df.repartition(partitions or slice_count(df.sparkSession))
 
     def one(value: str | None) -> tuple[str | None, int, str | None]:
+        calls = 0
         if value is None:
-            return None, 0, None
+            return None, calls, None
         try:
-            result = fn(value, temperature)
-            if accept(result):
-                return result, 1, None
-            return fn(value, retry_temperature), 2, None
+            for heat in (temperature, retry_temperature):
+                calls += 1
+                result = fn(value, heat)
+                if accept(result):
+                    break
+            return result, calls, None
         except Exception as problem:  # one bad row must not end the run
-            return None, 1, f"{type(problem).__name__}: {problem}"
+            return None, calls, f"{type(problem).__name__}: {problem}"
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,13 +215,13 @@ def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str =
 
     out = StructType([*df.schema.fields, StructField("result", StringType()),
                       StructField("attempts", LongType()), StructField("error", StringType())])
-    return df.mapInPandas(apply, out)
+    return cut_lineage(df.mapInPandas(apply, out))
 
 
 # --- documents and volumes --------------------------------------------------
 
 def assemble_pages(pages: DataFrame, key: str = "doc_id", max_pages: int = PART_PAGES) -> DataFrame:
-    """Pages in order joined by a newline; longer documents in ordered parts of ``max_pages``."""
+    """Pages in order joined by a newline; ``part_no`` is the page div ``max_pages``."""
     part = F.expr(f"page_no div {int(max_pages)}").cast("bigint")
     return (pages.withColumn("part_no", part).groupBy(key, "part_no")
             .agg(ordered_text(["page_no"], "text", "\n").alias("text"),
@@ -218,8 +240,8 @@ def page_breaks(chapters: DataFrame, text: str = "text") -> DataFrame:
 
 
 def assemble_volume(chapters: DataFrame, max_chapters: int = PART_CHAPTERS, text: str = "text") -> DataFrame:
-    """One document per volume.  A volume of more than ``max_chapters`` chapters comes as
-    ordered parts; joining the parts by a blank line gives the whole document."""
+    """One document per volume and part; ``part_no`` is the chapter's position div ``max_chapters``.
+    Joining the parts of a volume by a blank line gives the whole document."""
     parted = with_parts(chapters, ["vol_key"], ["vol", "chap", "stem"], max_chapters)
     # A break goes before every chapter but the first, so it is part of the separator.
     body = ordered_text(["vol", "chap", "stem"], text, "\n\n" + T.PAGE_BREAK)

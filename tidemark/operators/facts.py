@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.session import slice_count
+from tidemark.session import cut_lineage, slice_count
 
 # Sections in the order they are written, and their row limits.
 SECTIONS = ["characters", "relationships", "terminology", "gender_fixes", "honorifics_policy"]
@@ -20,6 +20,7 @@ CONTEXT_TITLE = "=== CHARACTER & GRAMMAR BIBLE ===\n"
 HEADINGS = {1: "--- CHARACTERS ---", 2: "\n--- RELATIONSHIPS (how A addresses B) ---",
             3: "\n--- TERMINOLOGY ---", 4: "\n--- KNOWN GENDER ERRORS TO WATCH ---"}
 SYNTHESIS_CHARS = T.CONTEXT_CHARS // 2
+NOTES_AFTER = 2 ** 61  # notes come behind all facts, in the order of their paths
 CONTEXT_LIMIT = 3_000
 
 # Free-form leaves are VARIANT: replies give a string where a list was asked for.
@@ -189,38 +190,49 @@ def kb_counts(merged: DataFrame) -> DataFrame:
 
 
 def kb_chars(merged: DataFrame) -> DataFrame:
-    """Characters of the knowledge base as compact JSON, added up fact by fact.
+    """Characters of the knowledge base as JSON indented by two, added up fact by fact.
 
-    Each leaf counts its quoted value; each different path prefix counts its quoted
-    key, colon and brackets once; commas separate siblings.  Nothing is collected.
+    Each leaf counts its quoted value; each different path prefix counts its line: indent, quoted
+    key, colon and space; a container its brackets and the line that closes it.  Commas separate
+    siblings.  Objects in lists are flat.  Nothing is collected.
     """
     quoted = lambda c: F.length(F.to_json(F.struct(c.alias("v")))) - 6
     is_object = F.col("value").startswith("{") & (F.col("path")[0] == "relationships")
+    depth = F.size("path") + 1  # of a list item
+    fields = F.coalesce(F.size(F.json_object_keys("value")), F.lit(0))
+    spread = F.length("value") + F.when(fields > 0, fields * (2 + 2 * (depth + 1)) + 1 + 2 * depth).otherwise(0)
     values = merged.select(
-        (F.when(is_object, F.length("value")).otherwise(quoted(F.col("value")))
-         + F.when(F.col("kind") == "list", 1).otherwise(0)).cast("bigint").alias("n"))
+        (F.when(is_object, spread).otherwise(quoted(F.col("value")))
+         + F.when(F.col("kind") == "list", 2 + 2 * depth).otherwise(0)).cast("bigint").alias("n"))
     nodes = (merged.select("path", "kind").distinct()
              .select("kind", F.explode(F.transform(
                  F.sequence(F.lit(1), F.size("path")),
                  lambda i: F.struct(F.slice("path", F.lit(1), i).alias("p"),
                                     (i == F.size("path")).alias("leaf")))).alias("n"))
              .groupBy("n.p").agg(F.max(F.col("n.leaf") & (F.col("kind") == "scalar")).alias("scalar")))
-    # A scalar key adds its text, a colon and a comma; a container trades the comma for two brackets.
-    keys = nodes.select((quoted(F.element_at("p", -1)) + 2
-                         + F.when(F.col("scalar"), 0).otherwise(1)).cast("bigint").alias("n"))
+    # A key adds a new line, its indent, a colon and space, and a comma; a container the brackets and
+    # the line of the closing one, less the comma its last item has not.
+    level = F.size("p")
+    keys = nodes.select((quoted(F.element_at("p", -1)) + 4 + 2 * level
+                         + F.when(F.col("scalar"), 0).otherwise(2 + 2 * level)).cast("bigint").alias("n"))
     total = values.unionAll(keys).agg(F.sum("n").alias("n"))
-    return total.select(F.coalesce(F.col("n") + 1, F.lit(2).cast("bigint")).alias("kb_chars"))
+    return total.select(F.coalesce(F.col("n") + 2, F.lit(2).cast("bigint")).alias("kb_chars"))
 
 
 def synthesise(facts: DataFrame, limit: int = SYNTHESIS_CHARS) -> DataFrame:
-    """Small knowledge bases resolve contradictions by majority, large ones keep the plain merge."""
-    merged = merge_facts(facts)
+    """Small knowledge bases resolve contradictions by majority and note them behind the gender fixes; large ones keep the plain merge."""
+    merged = cut_lineage(merge_facts(facts))  # read for the size, the votes and the lists
     fits = kb_chars(merged).scalar() < limit
-    votes = majority(facts.filter("kind = 'scalar'")).select("path", F.col("value").alias("_voted"))
+    resolved = majority(facts.filter("kind = 'scalar'"))
+    votes = resolved.select("path", F.col("value").alias("_voted"))
+    at = merged.filter("kind = 'scalar'").select("path", "seq", "pos")
+    notes = discrepancies(resolved).join(at, "path").filter(fits).select(
+        (F.col("seq") + NOTES_AFTER).alias("seq"), "pos", F.array(F.lit("gender_fixes")).alias("path"),
+        F.lit("list").alias("kind"), F.col("note").alias("value"))
     # Scalars have one row per path here, so the join has no popular key; lists pass by.
     scalars = merged.filter("kind = 'scalar'").join(votes, "path", "left").select(
         "seq", "pos", "path", "kind", F.when(fits, F.col("_voted")).otherwise(F.col("value")).alias("value"))
-    return scalars.unionByName(merged.filter("kind = 'list'"))
+    return scalars.unionByName(merged.filter("kind = 'list'")).unionByName(notes)
 
 
 # --- context ----------------------------------------------------------------

@@ -16,6 +16,7 @@ DEFAULT_NAME = "Unknown"
 DEFAULT_DESCRIPTION = "No description"
 DESCRIPTION_CHARS = 4_000
 LOG_LINES = 50
+LOOK_BACK_HOURS = 1
 NO_LOGS = "No logs found or Loki unreachable."
 PROMPT_HEAD = ("You are an SRE assistant. Analyze the following alert and logs to identify the root cause."
                "\n\nALERT: ")
@@ -87,38 +88,39 @@ def needs_diagnosis(alerts: DataFrame) -> DataFrame:
     return alerts.filter("needs_diagnosis")
 
 
-def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id: str = "alert_id") -> DataFrame:
-    """Newest ``n`` log lines of the alert's pod up to the alert, oldest first, as ``log_text``.
+def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id: str = "alert_id",
+               look_back_hours: int = LOOK_BACK_HOURS) -> DataFrame:
+    """Newest ``n`` log lines of the alert's pod in the hours up to the alert, oldest first, as ``log_text``.
 
-    No alert is paired with all lines of its pod.  Logs and alerts are numbered together in
-    time order: line numbers for logs, and for an alert the number of lines before it.  Lines
-    are packed in blocks of ``n``; the wanted lines lie in at most two blocks, found by an
-    equi-join.  Alerts that see the same lines share one lookup.
+    The first and last alert bound the time that is read of the log.  No alert is paired with all
+    lines of its pod: lines, alerts and the beginnings of their ranges are numbered together in
+    time order, without the text.  What an alert sees is then a range of line numbers, at most
+    ``n``; only these lines' texts are looked up.  ``alert_id`` names the key of an alert.
     """
     pod = ["pod", "namespace"]
-    last = alerts.groupBy(*pod).agg(F.max("ts").alias("_until"))
-    wanted = logs.join(last, pod).filter(F.col("ts") <= F.col("_until"))
+    ends = alerts.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    first, last = (ends[0] or 0) - look_back_hours * 3_600_000_000, ends[1] or 0
+    near = (logs.filter((F.col("ts") >= F.timestamp_micros(F.lit(first))) & (F.col("ts") <= F.timestamp_micros(F.lit(last))))
+            .join(alerts.select(*pod).distinct(), pod, "left_semi"))
     none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
-    both = wanted.select(*pod, "ts", F.lit(0).alias("kind"), "seq", none(alert_id, alerts), "line").unionByName(
-        alerts.select(*pod, "ts", F.lit(1).alias("kind"), none("seq", logs), alert_id, none("line", logs)))
-    numbered = prefix_scan(both, pod, ["ts", "kind", "seq", alert_id],
-                           sums={"n_before": F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")})
-    # Lines, alerts and lookups all read the numbers, so they are written once.
-    numbered = cut_lineage(numbered)
-    block = lambda c: F.expr(f"({c}) div {int(n)}")
-    blocks = (numbered.filter("kind = 0").withColumn("block", block("n_before"))
-              .groupBy(*pod, "block").agg(F.collect_list(F.struct("n_before", "line")).alias("lines")))
-    seen = numbered.filter("kind = 1").select(*pod, alert_id, F.col("n_before").alias("n_seen"))
-    lookups = (seen.filter("n_seen > 0").select(*pod, "n_seen").distinct()
-               .withColumn("block", F.explode(F.sequence(
-                   block(f"greatest(n_seen - {int(n)}, 0)"), block("n_seen - 1")))))
-    texts = (lookups.join(blocks, [*pod, "block"]).groupBy(*pod, "n_seen")
-             .agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("_l"))
-             .select(*pod, "n_seen", F.array_join(F.transform(F.filter(
-                 "_l", lambda x: (x["n_before"] >= F.col("n_seen") - n) & (x["n_before"] < F.col("n_seen"))),
-                 lambda x: x["line"]), "\n").alias("_text")))
-    return (seen.join(texts, [*pod, "n_seen"], "left")
-            .select(alert_id, *pod, F.least("n_seen", F.lit(n)).alias("n_lines"),
+    mark = lambda ts, kind: alerts.select(*pod, ts.alias("ts"), F.lit(kind).alias("kind"), none("seq", logs), alert_id)
+    began = F.col("ts") - F.make_interval(hours=F.lit(look_back_hours))
+    both = (near.select(*pod, "ts", F.lit(0).alias("kind"), "seq", none(alert_id, alerts))
+            .unionByName(mark(began, -1)).unionByName(mark(F.col("ts"), 1)))
+    is_line = F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")
+    # Lines and alerts both read the numbers, so they are written once.
+    numbered = cut_lineage(prefix_scan(both, pod, ["ts", "kind", "seq", alert_id], sums={"n_before": is_line}))
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n_before")))
+    seen = (numbered.filter("kind <> 0").groupBy(*pod, alert_id).agg(at(1).alias("n_seen"), at(-1).alias("n_old"))
+            .withColumn("n_first", F.greatest("n_old", F.col("n_seen") - n)))
+    wanted = seen.filter("n_first < n_seen").withColumn("n_before", F.explode(F.sequence(F.col("n_first"), F.col("n_seen") - 1)))
+    lines = (numbered.filter("kind = 0").select(*pod, "ts", "seq", "n_before")
+             .join(wanted.select(*pod, "n_before").distinct(), [*pod, "n_before"]))
+    texts = near.select(*pod, "ts", "seq", "line").join(lines, [*pod, "ts", "seq"]).select(*pod, "n_before", "line")
+    joined = (wanted.join(texts, [*pod, "n_before"]).groupBy(*pod, alert_id)
+              .agg(ordered_text(["n_before"], "line", "\n").alias("_text")))
+    return (seen.join(joined, [*pod, alert_id], "left")
+            .select(alert_id, *pod, (F.col("n_seen") - F.col("n_first")).alias("n_lines"),
                     F.coalesce("_text", F.lit(NO_LOGS)).alias("log_text")))
 
 

@@ -57,6 +57,8 @@ def relabel(df: DataFrame, rules: Sequence[Rule], labels: str = "labels") -> Dat
             out = out.filter(hit)
         elif rule.action == "drop":
             out = out.filter(~hit)
+        elif rule.action != "replace":
+            raise ValueError(f"unknown action {rule.action!r}")
         else:
             value = F.regexp_replace(joined, F.lit(pattern), F.lit(rule.replacement))
             column = f"_l{names.index(rule.target)}"
@@ -93,36 +95,30 @@ def series_key(labels: Column) -> Column:
 
 # --- rates ------------------------------------------------------------------
 
-def per_second(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Last value per series and second: bounds the rows of a series by time, not by input size.
-
-    A series has one sample per instant.
-    """
-    return (samples.groupBy(*keys, F.unix_seconds("ts").alias("sec"))
-            .agg(F.max_by("value", "ts").alias("value")))
-
-
 def counter_deltas(samples: DataFrame, keys: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:
-    """Increase of each sample over the one before it; after a reset the value itself.
+    """Increase per series and second, and the last value there; after a reset a sample adds its whole value.
 
-    Series are cut into time buckets, each at most ``bucket_seconds`` rows long.  The last
-    sample of a bucket is repeated at the head of the next bucket that has samples (found on
-    one row per bucket), so the first sample there has its predecessor.
+    Every sample is compared with the one before it, also inside a second; a series has
+    one sample per instant (of several the largest).  Series are cut into time buckets of
+    ``bucket_seconds``.  The last sample of a bucket is repeated at the head of the next bucket
+    that has samples (found on one row per bucket), so the first sample there has its predecessor.
     """
     keys = list(keys)
-    rows = per_second(samples, keys).withColumn("_b", F.expr(f"sec div {int(bucket_seconds)}"))
+    rows = (samples.groupBy(*keys, F.unix_micros("ts").alias("_us")).agg(F.max("value").alias("value"))
+            .withColumn("_b", F.expr(f"_us div {int(bucket_seconds) * 1_000_000}")))
     following = Window.partitionBy(*keys).orderBy("_b")
-    heads = (rows.groupBy(*keys, "_b").agg(F.max("sec").alias("sec"), F.max_by("value", "sec").alias("value"))
+    heads = (rows.groupBy(*keys, "_b").agg(F.max("_us").alias("_us"), F.max_by("value", "_us").alias("value"))
              .withColumn("_b", F.lead("_b").over(following)).filter(F.col("_b").isNotNull()))
-    columns = [*keys, "sec", "value", "_b"]
+    columns = [*keys, "_us", "value", "_b"]
     both = (rows.select(*columns, F.lit(False).alias("_head"))
             .unionByName(heads.select(*columns, F.lit(True).alias("_head"))))
-    prev = F.lag("value").over(Window.partitionBy(*keys, "_b").orderBy("sec"))
-    return (both.withColumn("_prev", prev).filter(~F.col("_head"))
-            .withColumn("delta", F.when(F.col("_prev").isNull(), 0.0)
-                        .when(F.col("value") < F.col("_prev"), F.col("value"))
-                        .otherwise(F.col("value") - F.col("_prev")))
-            .select(*keys, "sec", "value", "delta"))
+    prev = F.lag("value").over(Window.partitionBy(*keys, "_b").orderBy("_us"))
+    delta = (F.when(F.col("_prev").isNull(), 0.0).when(F.col("value") < F.col("_prev"), F.col("value"))
+             .otherwise(F.col("value") - F.col("_prev")))
+    return (both.withColumn("_prev", prev).filter(~F.col("_head")).withColumn("_delta", delta)
+            .groupBy(*keys, F.expr("_us div 1000000").alias("sec"))
+            .agg(F.max_by("value", "_us").alias("value"),
+                 F.sum(F.col("_delta").cast("decimal(30,6)")).cast("double").alias("delta")))
 
 
 def counter_rate(samples: DataFrame, keys: Sequence[str], seconds: int = RATE_SECONDS) -> DataFrame:
@@ -147,7 +143,8 @@ def sum_rate(samples: DataFrame, keys: Sequence[str], by: Sequence[str] = (), se
     """Summed rate of all series at each step: ``sum(rate(counter[range]))``.
 
     An increase counts in every step whose range covers it, so it is sent to those steps
-    and added up; partial sums are made before the shuffle.
+    and added up; partial sums are made before the shuffle.  Every step with samples in its
+    range has a row, with 0 where nothing grew.
     """
     return rate_from_deltas(counter_deltas(samples, keys), by, seconds, step)
 
@@ -156,7 +153,7 @@ def rate_from_deltas(deltas: DataFrame, by: Sequence[str] = (), seconds: int = R
                      step: int = STEP_SECONDS) -> DataFrame:
     first = F.expr(f"(sec + {step - 1}) div {step} * {step}")
     steps = F.sequence(first, F.expr(f"(sec + {seconds - 1}) div {step} * {step}"), F.lit(step).cast("bigint"))
-    return (deltas.filter("delta > 0").select(*by, "delta", F.explode(steps).alias("at_sec"))
+    return (deltas.select(*by, "delta", F.explode(steps).alias("at_sec"))
             .groupBy(*by, "at_sec")
             .agg((F.sum(F.col("delta").cast("decimal(30,6)")).cast("double") / F.lit(seconds)).alias("rate")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +52,21 @@ def reassemble(events: DataFrame) -> DataFrame:
 
 
 def final_usage(events: DataFrame) -> DataFrame:
-    """Usage last seen per request."""
+    """Usage last seen per request, also in events without choices: servers send it in such an event at the end."""
     seen = F.when(F.col("prompt_tokens").isNotNull(), F.col("seq"))
     return events.groupBy("request_id").agg(
         F.max_by("prompt_tokens", seen).alias("prompt_tokens"),
         F.max_by("completion_tokens", seen).alias("completion_tokens"))
 
 
-def guard_reply(replies: DataFrame) -> DataFrame:
-    """Whole-request status: error when the reply holds no text."""
-    text = strip(F.coalesce("text", F.lit("")))
-    return replies.withColumn("text", text).withColumn(
-        "status", F.when(text == "", "error").otherwise("ok"))
+def guard_reply(replies: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
+    """Status of the whole request on each of its parts: error when no part holds text.  A reply of one part is stripped."""
+    text = F.coalesce("text", F.lit(""))
+    whole = replies.groupBy(*keys).agg(
+        F.max(strip(text) != "").alias("_some"), F.count(F.lit(1)).alias("_parts"))
+    body = F.when(F.col("_parts") == 1, strip(text)).otherwise(text)
+    return replies.join(whole, list(keys)).withColumn("text", body).withColumn(
+        "status", F.when(F.col("_some"), "ok").otherwise("error")).drop("_some", "_parts")
 
 
 def latency_stats(events: DataFrame, requests: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ LATENCY_BOUNDS = [2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0, 512.0]
 STEPS_PER_ROW = 10_000
 
 TRACE_SCHEMA = (
-    "traceID STRING, rootSpanName STRING, startTimeUnixNano STRING, durationMs BIGINT, "
+    "traceID STRING, rootServiceName STRING, rootSpanName STRING, startTimeUnixNano STRING, durationMs BIGINT, "
     "spanSets ARRAY<STRUCT<spans: ARRAY<STRUCT<attributes: ARRAY<STRUCT<key: STRING, "
     "value: STRUCT<stringValue: STRING, intValue: STRING>>>>>>>"
 )
@@ -85,21 +85,27 @@ def newest(feed: DataFrame, limit: int = FEED_LIMIT, ts: str = "ts", key: str =
 
 
 def feed_by_trace(items: DataFrame, max_steps: int = STEPS_PER_ROW) -> DataFrame:
-    """One row per trace with its steps in time order.  A trace of more than ``max_steps``
-    steps continues in further rows (``part_no``)."""
+    """One row per trace and part with its steps in time order.
+
+    ``part_no`` is a step's position div ``max_steps``, ``n_parts`` their number; the
+    time and prompt are those of the first step of the whole trace, in every part.
+    """
     order = ["ts", "step_id"]
     step = F.struct(*order, "source", "model", "input_tokens", "output_tokens", "duration_ms", "prompt")
     steps = F.sort_array(F.collect_list(step))
     fields = ["source", "model", "input_tokens", "output_tokens", "duration_ms"]
+    whole = items.groupBy("trace_id").agg(
+        F.min(F.struct(*order, "prompt")).alias("_first"), F.ceil(F.count(F.lit(1)) / max_steps).alias("n_parts"))
     return (with_parts(items, ["trace_id"], order, max_steps)
-            .groupBy("trace_id", "part_no").agg(steps.alias("_s"))
-            .select(F.col("_s")[0]["ts"].alias("ts"), F.col("trace_id").alias("request_id"), "part_no",
-                    F.col("_s")[0]["prompt"].alias("prompt"),
+            .groupBy("trace_id", "part_no").agg(steps.alias("_s")).join(whole, "trace_id")
+            .select(F.col("_first.ts").alias("ts"), F.col("trace_id").alias("request_id"), "part_no", "n_parts",
+                    F.col("_first.prompt").alias("prompt"),
                     F.transform("_s", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("steps")))
 
 
 def reverse_steps(feed: DataFrame) -> DataFrame:
-    return feed.withColumn("steps", F.reverse("steps"))
+    """Last step first, over all parts of a trace."""
+    return feed.withColumn("steps", F.reverse("steps")).withColumn("part_no", F.col("n_parts") - 1 - F.col("part_no"))
 
 
 def step_categories(source: Column, model: Column, own: Sequence[str] = ()) -> dict[str, Column]:

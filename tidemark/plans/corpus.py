@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import corpus, facts
-from tidemark.session import cut_lineage
 
 Reply = Callable[[str, float], str]
 
@@ -19,12 +18,12 @@ SEQ_CHUNKS = 1_000_000
 
 
 def has_body(reply: str | None) -> bool:
-    """True when something is left of a reply without its reasoning."""
-    if not reply:
-        return False
-    left = re.sub(r"(?s)<thought>.*?</thought>|<think>.*?</think>", "", reply)
-    tagged = re.search(r"(?s)<cleaned_text>(.*?)</cleaned_text>", left)
-    return bool((tagged.group(1) if tagged else left).strip())
+    """True when ``clean_reply`` leaves something of the reply: it decides in the task whether to ask again."""
+    rest = (reply or "").strip()
+    for pattern in T.REASONING_PATTERNS:
+        rest = re.sub(pattern, "", rest)
+    body = re.search(f"(?s)<{T.BODY_TAG}>(.*?)</{T.BODY_TAG}>", rest)
+    return not (rest if body is None else body[1]).isspace() and bool(rest if body is None else body[1])
 
 
 def extract_facts(documents: DataFrame, processed: DataFrame, extract: Reply, key: str = "doc_id",
@@ -40,8 +39,8 @@ def extract_facts(documents: DataFrame, processed: DataFrame, extract: Reply, ke
                       F.lit("/"), F.col("n_chunks").cast("string"), F.lit("]\n\n"))
     prompts = chunks.select(key, "chunk_no", F.concat(header, F.col("text")).alias("prompt"))
     replies = corpus.batch_transform(prompts, extract, "prompt", temperature=0.1, partitions=partitions)
-    parsed = facts.parse_replies(cut_lineage(
-        replies.drop("prompt").withColumn("raw", T.clean_reply(F.col("result")))))
+    parsed = facts.parse_replies(replies.drop("prompt").withColumn("raw", T.clean_reply(F.col("result"))))
+    # The upper digits order documents, the lower ones chunks; a document fits in one cell, so it never has more.
     seq = F.col(key) * SEQ_CHUNKS + F.col("chunk_no")
     found = facts.flatten_kb(parsed.filter("error IS NULL AND NOT failed").withColumn("seq", seq))
     failed = parsed.filter("error IS NOT NULL OR failed").select(
@@ -72,11 +71,10 @@ def clean_chapters(chapters: DataFrame, outputs: DataFrame, context: DataFrame,
     chunks = corpus.chunk_text(pending.select("stem", "text"), room, T.CLEAN_OVERLAP)
     prompts = corpus.attach_context(chunks, shown, F.col("stem")).drop("text")
     replies = corpus.batch_transform(prompts, clean, "prompt", partitions=partitions, accept=has_body).drop("prompt")
-    # A reply is paid for once: it is written before it is used in more than one place.
-    replies = cut_lineage(replies.withColumn("text", T.clean_reply(F.col("result"))))
+    replies = replies.withColumn("text", T.clean_reply(F.col("result")))
     problems = replies.filter("error IS NOT NULL").groupBy("stem").agg(F.min("error").alias("problem"))
     # The chunks come from one cell, so together they fit in one: a single part.
-    stitched = corpus.stitch_chunks(replies, "stem", max_chunks=2 ** 31).select(
+    stitched = corpus.stitch_chunks(replies, "stem", max_chunks=2 ** 31 - 1).select(
         "stem", F.col("text").alias("cleaned"), F.col("status").alias("outcome"))
     error = F.when(F.col("status") == "pending", F.coalesce("problem", F.when(F.col("outcome") == "error", "no text")))
     drafts = (todo.join(stitched, "stem", "left").join(problems, "stem", "left").withColumn("failure", error))

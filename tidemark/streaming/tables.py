@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tidemark.operators.facts import merge_facts
+from tidemark.operators.facts import drop_overwritten, merge_facts, with_prefixes
 from tidemark.operators.logs import alert_logs, alert_view, diagnosis_prompt, needs_diagnosis
 from tidemark.operators.traces import flatten_traces, root_span_filter
+from tidemark.session import cut_lineage
 from tidemark.streaming import BATCH_SECONDS
 
 
@@ -104,20 +105,31 @@ def alert_diagnoses(alerts: DataFrame, logs: Callable[[], DataFrame], path: str,
 # --- knowledge base ----------------------------------------------------------
 
 def fact_updates(facts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append facts and merge again the paths they touch."""
+    """Append facts and merge again the paths they touch, those above them and those below.
+
+    A value of another kind replaces what a path or its branch held, so a batch also
+    writes which paths it looked at: one of them without rows is gone.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_batch(batch, f"{path}/facts", batch_id)
         # A batch that is run again must not see the folders of later ones.
-        known = spark.read.parquet(f"{path}/facts").filter(F.col("batch_id") <= batch_id)
-        touched = batch.select("path").distinct()
-        write_batch(merge_facts(known.join(touched, "path", "left_semi")), f"{path}/merged", batch_id)
+        known = spark.read.parquet(f"{path}/facts").filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        paths = batch.select("path").distinct()
+        above = with_prefixes(paths).select(F.col("prefix").alias("path")).distinct()
+        # A leaf above a touched path stands or falls with all of its branch.
+        heads = paths.union(known.select("path").join(above, "path", "left_semi")).distinct()
+        below = with_prefixes(known.select("path").distinct()).join(
+            heads.withColumnRenamed("path", "prefix"), "prefix", "left_semi").select("path")
+        touched = cut_lineage(heads.union(below).distinct())
+        write_batch(merge_facts(drop_overwritten(known.join(touched, "path", "left_semi"))), f"{path}/merged", batch_id)
+        write_batch(touched, f"{path}/touched", batch_id)
 
     return each_batch(facts, handle, checkpoint)
 
 
 def merged_view(spark: SparkSession, path: str) -> DataFrame:
-    """The merged knowledge base: per path the rows of the last batch that touched it."""
+    """The merged knowledge base: per path the rows of the last batch that touched it, if any."""
     rows = spark.read.parquet(f"{path}/merged")
-    last = rows.groupBy("path").agg(F.max("batch_id").alias("batch_id"))
+    last = spark.read.parquet(f"{path}/touched").groupBy("path").agg(F.max("batch_id").alias("batch_id"))
     return rows.join(last, ["path", "batch_id"], "left_semi").drop("batch_id")

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.streaming import WATERMARK
 
+IDLE_SECONDS = 3_600
+
 
 def metric_windows(samples: DataFrame, keys: Sequence[str], step: str = "15 seconds",
                    watermark: str = WATERMARK) -> DataFrame:
@@ -28,30 +30,41 @@ def sliding_sum(deltas: DataFrame, keys: Sequence[str], width: str = "1 minute",
             .select(F.col("w.end").alias("at"), *keys, F.col("increase").cast("double").alias("increase")))
 
 
-def counter_increases(samples: DataFrame, series: str = "series", watermark: str = WATERMARK) -> DataFrame:
+def counter_increases(samples: DataFrame, series: str = "series", watermark: str = WATERMARK,
+                      idle_seconds: int = IDLE_SECONDS) -> DataFrame:
     """Increase of each sample over the one before it, across micro-batches.
 
-    The state of a series is its last second and value.  Falling values are resets.
-    Samples older than the state are late and dropped.
+    A sample waits in the state of its series until the watermark has passed it, so samples
+    that come late, but not too late, are put in their place first.  Falling values are resets;
+    of several samples at one instant the largest counts.  A series that is silent for
+    ``idle_seconds`` is forgotten and starts again.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(frames).sort_values("ts", kind="stable")
-        rows = rows.assign(sec=rows["ts"].astype("datetime64[us, UTC]" if rows["ts"].dt.tz is not None else "datetime64[us]")
-                           .astype("int64") // 1_000_000)
-        rows = rows.groupby("sec", sort=True, as_index=False).last()
-        last_sec, last = state.get if state.exists else (None, None)
-        if last_sec is not None:
-            rows = rows[rows["sec"] >= last_sec]
-        if rows.empty:
+        last_us, last, waiting_us, waiting = state.get if state.exists else (None, None, [], [])
+        fresh = [] if state.hasTimedOut else [f[["us", "value"]] for f in frames]
+        rows = pd.concat([pd.DataFrame({"us": waiting_us, "value": waiting}), *fresh])
+        rows = rows.astype({"us": "int64", "value": "float64"}).groupby("us", as_index=False)["value"].max()
+        passed = state.getCurrentWatermarkMs()
+        ready, left = rows[rows["us"] <= passed * 1000], rows[rows["us"] > passed * 1000]
+        if last_us is not None:
+            ready = ready[ready["us"] > last_us]
+        if len(ready):
+            before = ready["value"].shift(1)
+            before.iloc[0] = float("nan") if last is None else last
+            delta = (ready["value"] - before).where(ready["value"] >= before, ready["value"]).where(before.notna(), 0.0)
+            last_us, last = int(ready["us"].iloc[-1]), float(ready["value"].iloc[-1])
+            yield pd.DataFrame({series: key[0], "us": ready["us"], "value": ready["value"], "delta": delta})
+        if left.empty and (last_us is None or last_us // 1000 + idle_seconds * 1000 <= passed):
+            state.remove()
             return
-        before = rows["value"].shift(1)
-        before.iloc[0] = float("nan") if last is None else last
-        delta = (rows["value"] - before).where(rows["value"] >= before, rows["value"]).where(before.notna(), 0.0)
-        state.update((int(rows["sec"].iloc[-1]), float(rows["value"].iloc[-1])))
-        yield pd.DataFrame({series: key[0], "ts": rows["ts"], "sec": rows["sec"], "value": rows["value"], "delta": delta})
+        state.update((last_us, last, left["us"].tolist(), left["value"].tolist()))
+        due = int(left["us"].min()) // 1000 if len(left) else last_us // 1000 + idle_seconds * 1000
+        state.setTimeoutTimestamp(max(due, passed) + 1)
 
-    return (samples.withWatermark("ts", watermark).select(series, "ts", "value").groupBy(series)
+    return (samples.withWatermark("ts", watermark).select(series, "ts", F.unix_micros("ts").alias("us"), "value").groupBy(series)
             .applyInPandasWithState(
-                step, f"{series} STRING, ts TIMESTAMP, sec BIGINT, value DOUBLE, delta DOUBLE",
-                "last_sec BIGINT, last_value DOUBLE", "append", GroupStateTimeout.NoTimeout))
+                step, f"{series} STRING, us BIGINT, value DOUBLE, delta DOUBLE",
+                "last_us BIGINT, last_value DOUBLE, waiting_us ARRAY<BIGINT>, waiting ARRAY<DOUBLE>", "append",
+                GroupStateTimeout.EventTimeTimeout)
+            .select(series, F.timestamp_micros("us").alias("ts"), F.expr("us div 1000000").alias("sec"), "value", "delta"))
