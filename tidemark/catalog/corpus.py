@@ -271,6 +271,23 @@ def apply_glossary(spark, folder):
     return audit.apply_glossary(d, glossary, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query("pronoun_audit", r"""
+WITH g AS (SELECT lang AS name, CASE WHEN count(*) % 2 = 0 THEN 'male' ELSE 'female' END AS gender FROM documents GROUP BY lang),
+s AS (SELECT doc_id, i, regexp_extract_all(t, '\p{L}+') AS ws FROM (SELECT doc_id, string_split_regex(text || '. She met ' || lang || ' and HIS cat. He saw him.', '[.!?\n]+') AS ts FROM documents),
+  LATERAL (SELECT unnest(ts) AS t, unnest(range(len(ts))) AS i)),
+w AS (SELECT doc_id, i, unnest(ws) AS w FROM s),
+n AS (SELECT doc_id, i, min(w) AS name FROM w JOIN g ON g.name = w GROUP BY doc_id, i HAVING min(w) = max(w)),
+p AS (SELECT doc_id, i, lower(w) AS pronoun FROM w WHERE lower(w) IN ('he', 'him', 'his', 'himself', 'she', 'her', 'hers', 'herself'))
+SELECT doc_id, pronoun, n.name, count(*) AS n, gender FROM p JOIN n USING (doc_id, i) JOIN g ON g.name = n.name
+WHERE gender <> CASE WHEN pronoun LIKE 'h%' AND pronoun NOT LIKE 'her%' THEN 'male' ELSE 'female' END GROUP BY doc_id, pronoun, n.name, gender""")
+def pronoun_audit(spark, folder):
+    d = table(spark, folder, "documents")
+    said = F.concat("text", F.lit(". She met "), "lang", F.lit(" and HIS cat. He saw him."))
+    genders = d.groupBy(F.col("lang").alias("name")).agg(F.when(F.count(F.lit(1)) % 2 == 0, "male").otherwise("female").alias("gender"))
+    mentions = audit.pronoun_mentions(d.select("doc_id", said.alias("text")), genders, "doc_id")
+    return audit.pronoun_audit(mentions, genders).select("doc_id", "pronoun", "name", "n", "gender")
+
+
 @query("gender_audit", """
 WITH m AS (SELECT doc_id, 'Mr' AS title, lang AS name, CAST(2 AS BIGINT) AS n FROM documents UNION ALL SELECT doc_id, 'Ms', lang, 1 FROM documents),
 g AS (SELECT lang AS name, CASE WHEN count(*) % 2 = 0 THEN 'male' ELSE 'female' END AS gender FROM documents GROUP BY lang)

@@ -20,14 +20,14 @@ def json_state(spark, folder):
     return files.load_json_state(spark, path, "key STRING")
 
 
-@query("write_documents", I.sql("SELECT vol_key, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM chapters GROUP BY vol_key", "chapters"))
+@query("write_documents", I.sql("SELECT vol_key, stem, length(text) AS n_chars, md5(text) AS digest FROM chapters", "chapters"))
 def write_documents(spark, folder):
+    """Written twice, read back by volume and name."""
     path = scratch_folder(spark, "documents")
-    # One line per document, so that reading lines gives the documents back.
-    flat = I.chapters(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("¶")))
-    files.write_documents(flat, path)
-    back = spark.read.option("lineSep", "\n\f\n").text(path)
-    return back.groupBy("vol_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars"))
+    for _ in range(2):
+        files.write_documents(I.chapters(spark, folder), path)
+    back = files.read_documents(spark, path)
+    return back.select("vol_key", "stem", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("save_outputs", I.sql("""SELECT vol_key, count(*) AS n FROM chapters WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY vol_key""", "chapters"))

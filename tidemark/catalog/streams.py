@@ -9,6 +9,7 @@ from tidemark.catalog import inputs as I
 from tidemark.catalog.registry import query
 from tidemark.operators import metrics
 from tidemark.session import scratch_folder
+from tidemark.sources import telemetry
 from tidemark.streaming import tables, windows
 from tidemark.streaming.replies import stream_replies
 
@@ -133,3 +134,37 @@ def stream_diagnoses(spark, folder):
     writer = tables.alert_diagnoses(stream, lambda: I.logs(spark, folder), f"{root}/out", f"{root}/state")
     tables.start(writer, every=None).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("alert_id", "alert_no", "pod", "log_text")
+
+
+@query("stream_alert_logs", I.extend("SELECT alert_id, alert_no, pod, log_text FROM al", {"al": """
+SELECT alert_id, alert_no, any_value(l.pod) AS pod, coalesce(string_agg(l.line, chr(10) ORDER BY l.ts, l.seq) FILTER (rn <= 50),
+  'No logs found or Loki unreachable.') AS log_text
+FROM (SELECT a.alert_id, a.alert_no, a.pod, g.ts, g.seq, g.line, row_number() OVER (PARTITION BY a.alert_id, a.alert_no ORDER BY g.ts DESC, g.seq DESC) AS rn
+      FROM (SELECT * FROM alerts WHERE needs_diagnosis) a
+      LEFT JOIN logs g ON g.pod = a.pod AND g.namespace = a.namespace AND g.ts <= a.ts AND g.ts >= a.ts - INTERVAL 24 HOUR) l
+GROUP BY alert_id, alert_no"""}, "alerts", "logs"))
+def stream_alert_logs(spark, folder):
+    """Landed lines go through the log stream into the tenant store, landed alerts through the alert stream against it."""
+    root = scratch_folder(spark, "landed")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    labels = F.create_map(F.lit("pod"), "pod", F.lit("k8s_namespace_name"), "namespace")
+    I.logs(spark, folder).select("ts", "seq", labels.alias("labels"), "line").write.options(**exact).json(f"{root}/lines")
+    I.alert_payloads(spark, folder).write.options(**exact).json(f"{root}/alerts")
+    lines = telemetry.log_stream(spark, f"{root}/lines")
+    tables.start(telemetry.tenant_sink(lines, f"{root}/store", f"{root}/a"), every=None).awaitTermination()
+    store = lambda: spark.read.parquet(f"{root}/store").select("ts", "seq", "pod", "namespace", "line")
+    alerts = telemetry.alert_stream(spark, f"{root}/alerts")
+    tables.start(tables.alert_diagnoses(alerts, store, f"{root}/out", f"{root}/b", look_back_hours=24), every=None).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("alert_id", "alert_no", "pod", "log_text")
+
+
+@query("stream_trace_store", I.sql("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM feed GROUP BY 1", "feed"))
+def stream_trace_store(spark, folder):
+    """Traces stored by tenant and day of their start, flattened when read."""
+    from tidemark.operators.traces import flatten_traces, root_span_filter
+    root = scratch_folder(spark, "spans")
+    I.traces(spark, folder).drop("event_id", "ts").write.json(f"{root}/in")
+    stream = telemetry.trace_stream(spark, f"{root}/in")
+    tables.start(telemetry.tenant_sink(stream, f"{root}/store", f"{root}/state"), every=None).awaitTermination()
+    kept = flatten_traces(root_span_filter(spark.read.parquet(f"{root}/store")), ["date"])
+    return kept.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"))

@@ -12,6 +12,8 @@ from tidemark.operators.scan import within
 
 # Titles and the gender they stand for.
 TITLE_GENDER = {"Mr": "male", "Mrs": "female", "Ms": "female"}
+# Pronouns and their gender.
+PRONOUN_GENDER = {"he": "male", "him": "male", "his": "male", "himself": "male", "she": "female", "her": "female", "hers": "female", "herself": "female"}
 TITLE_PATTERN = r"\b(Mr|Mrs|Ms)\.? (\p{L}+)"
 
 MAX_SHARED_TERMS = 50_000
@@ -21,11 +23,11 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "te
                    max_terms: int = MAX_SHARED_TERMS) -> DataFrame:
     """Replace each term by its canonical form in one pass (a replacement is never replaced again).
 
-    ``glossary``: (term, canonical).  Terms match whole words; longer terms first.  Up to
+    ``glossary``: (term, canonical); of a term given twice the smallest form counts.  Terms match whole words; longer terms first.  Up to
     ``max_terms`` terms go to the tasks as they are.  A larger glossary is joined to the
     texts by the rarest word of each term, so a text meets only terms it may hold.
     """
-    terms = glossary.select("term", "canonical").filter(F.col("term") != "")
+    terms = glossary.filter(F.col("term") != "").groupBy("term").agg(F.min("canonical").alias("canonical"))
     small = within(terms, max_terms)
     if small is not None:
         table = {r["term"]: r["canonical"] for r in small}
@@ -37,8 +39,10 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "te
 
         return df.withColumn(text, replace(F.col(text)))
 
-    split = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))))
-    words = df.select(key, split(F.col(text)).alias("_w"))
+    # Letters, digits and underscore are what the pattern below takes for a word; terms without any meet every text.
+    words_of = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    split = lambda c: F.explode(F.when(F.size(words_of(c)) > 0, words_of(c)).otherwise(F.array(F.lit(""))))
+    words = df.select(key, F.explode(F.array_append(words_of(F.col(text)), "")).alias("_w"))
     spread = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (terms.select("term", "canonical", split(F.col("term")).alias("_w")).join(spread, "_w", "left")
               .groupBy("term", "canonical").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w")))
@@ -85,6 +89,27 @@ def title_mentions(df: DataFrame, key: str, text: str = "text", pattern: str = T
             .groupBy(key, "title", "name").agg(F.count(F.lit(1)).alias("n")))
 
 
+def pronoun_mentions(df: DataFrame, genders: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Pronouns in sentences that name exactly one known person: ``pronoun``, ``name``, ``n`` per document.
+
+    ``genders``: (name, gender).  Names meet the words of a text by an equi-join, so no text is
+    compared with all of them; a sentence with two known names says nothing about either.
+    """
+    sentences = df.select(key, F.posexplode(F.split(text, r"[.!?\n]+")).alias("_s", "_t"))
+    words = sentences.select(key, "_s", F.explode(F.regexp_extract_all("_t", F.lit(r"(\p{L}+)"), F.lit(1))).alias("_w"))
+    names = (words.join(genders.select(F.col("name").alias("_w")), "_w").groupBy(key, "_s")
+             .agg(F.min("_w").alias("name"), F.max("_w").alias("_other")).filter("name = _other").drop("_other"))
+    said = words.select(key, "_s", F.lower("_w").alias("pronoun")).filter(F.col("pronoun").isin(list(PRONOUN_GENDER)))
+    return said.join(names, [key, "_s"]).groupBy(key, "pronoun", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pronoun_audit(mentions: DataFrame, genders: DataFrame) -> DataFrame:
+    """Mentions whose pronoun disagrees with the known gender of the only person named with it."""
+    of = F.create_map(*[F.lit(x) for pair in PRONOUN_GENDER.items() for x in pair])
+    return (mentions.join(genders, "name").withColumn("pronoun_gender", of[F.col("pronoun")])
+            .filter(F.col("gender").isin("male", "female") & (F.col("gender") != F.col("pronoun_gender"))))
+
+
 def gender_audit(mentions: DataFrame, genders: DataFrame) -> DataFrame:
     """Mentions whose title disagrees with the known gender.  ``genders``: (name, gender)."""
     titled = F.create_map(*[F.lit(x) for pair in TITLE_GENDER.items() for x in pair])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip
 from tidemark.operators.facts import first_n
-from tidemark.operators.scan import within
 
 # Score cuts, limits and separators of the retrieval rules.
 VECTOR_CUT = 0.6
@@ -37,6 +35,7 @@ CONTEXT_TURN = "Context for my next question:\n"
 CONTEXT_REPLY = "Understood. I will use that context. What is your question?"
 
 QUERY_BLOCK = 4_096
+CORPUS_BLOCK = 65_536
 VECTOR_ROWS = 1_024
 SCORE_DIGITS = 9
 MESSAGE = "array<struct<role:string,content:string>>"
@@ -61,55 +60,44 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score"
 
 
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_VECTORS, cut: float = VECTOR_CUT,
-                 block: int = QUERY_BLOCK, _depth: int = 0) -> DataFrame:
+                 block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """Exact nearest corpus vectors per query: (query_id, vec_id, score, rank), score above ``cut``.
 
-    Queries are a batch of requests: at most ``block`` of them are held by the
-    tasks at once, and more are worked off in several passes over the corpus.
-    Each task multiplies its Arrow batches with the query matrix and keeps the
-    best ``k`` per query, so at most k rows per query and batch are shuffled and
-    no pair is ever written out.  Cutting before ranking gives the same rows as
-    ranking before cutting, and less to shuffle.
+    Queries and corpus are dealt into blocks by a hash of their ids, and each pair of blocks is one group, which
+    multiplies the two matrices piece by piece and keeps the best ``k`` per query: at most k rows
+    per query and corpus block are shuffled, and no pair is ever written out.  Rows without a vector take no
+    part.  Cutting before ranking gives the same rows as ranking before cutting, and less to shuffle.
     """
-    one_pass = within(queries.select("query_id", "embedding"), block)
-    if one_pass is not None:
-        return top_k(_score_block(one_pass, corpus, k, cut), k)
-    passes = 2 * math.ceil(queries.count() / block)
-    part = F.pmod(F.xxhash64("query_id", F.lit(_depth)), F.lit(passes))
-    found = [vector_top_k(queries.filter(part == n), corpus, k, cut, block, _depth + 1) for n in range(passes)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _score_block(rows: list, corpus: DataFrame, k: int, cut: float) -> DataFrame:
-    schema = "query_id bigint, vec_id bigint, score double"
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], schema)
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    unit = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, unit))
-
-    def score(batches):
-        query_ids, queries = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), VECTOR_ROWS):
-                piece = batch.iloc[at:at + VECTOR_ROWS]
-                vec_ids = piece["vec_id"].to_numpy()
-                vectors = _unit(np.stack(piece["embedding"].to_numpy()).astype(np.float64))
-                # Rounded, so that equal vectors tie and the smaller id comes first.
-                scores = np.round(queries @ vectors.T, SCORE_DIGITS)
-                keep = scores > cut
-                if scores.shape[1] > k:
-                    keep &= scores >= np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
-                row, column = np.nonzero(keep)
-                order = np.lexsort((vec_ids[column], -scores[row, column], row))
-                row, column = row[order], column[order]
-                first = np.searchsorted(row, row, side="left")
-                best = np.arange(len(row)) - first < k
-                row, column = row[best], column[best]
-                yield pd.DataFrame({"query_id": query_ids[row], "vec_id": vec_ids[column],
-                                    "score": scores[row, column]})
-
-    return corpus.select("vec_id", "embedding").mapInPandas(score, schema)
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    rows = corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL")
+    parts, blocks = max(1, math.ceil(asked.count() / block)), max(1, math.ceil(rows.count() / corpus_block))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_part", dealt("query_id", parts)).withColumn("_block", every(blocks)).groupBy("_block", "_part")
+    right = rows.withColumn("_block", dealt("vec_id", blocks)).withColumn("_part", every(parts)).groupBy("_block", "_part")
+
+    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or rows.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        query_ids, wanted = asked["query_id"].to_numpy(), _unit(np.stack(asked["embedding"]).astype(np.float64))
+        kept = np.zeros((3, 0))  # place of the query, place of the row, score
+        for at in range(0, len(rows), VECTOR_ROWS):
+            vectors = _unit(np.stack(rows["embedding"].iloc[at:at + VECTOR_ROWS]).astype(np.float64))
+            # Rounded, so that equal vectors tie and the smaller id comes first.
+            scores = np.round(wanted @ vectors.T, SCORE_DIGITS)
+            keep = scores > cut
+            if scores.shape[1] > k:
+                keep &= scores >= np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+            row, column = np.nonzero(keep)
+            kept = np.concatenate([kept, [row, column + at, scores[row, column]]], axis=1)
+            ids = rows["vec_id"].to_numpy()[kept[1].astype(np.int64)]
+            kept = kept[:, np.lexsort((ids, -kept[2], kept[0]))]
+            kept = kept[:, np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0]) < k]
+        return pd.DataFrame({"query_id": query_ids[kept[0].astype(np.int64)], "score": kept[2],
+                             "vec_id": rows["vec_id"].to_numpy()[kept[1].astype(np.int64)]})
+
+    found = left.cogroup(right).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+    return top_k(found, k)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

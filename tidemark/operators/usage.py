@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import prefix_scan
+
 from tidemark.functions.text import est_tokens
 
 # Prices in USD per million tokens.
@@ -92,10 +94,9 @@ def token_counter(calls: DataFrame, step: str = "15 seconds") -> DataFrame:
     """
     per_step = (calls.groupBy("model", F.window("ts", step).alias("w"))
                 .agg(F.sum("prompt_tokens").alias("p"), F.sum("completion_tokens").alias("c")))
-    w = Window.partitionBy("model").orderBy("w.start").rowsBetween(Window.unboundedPreceding, 0)
-    return per_step.select(
-        "model", F.col("w.end").alias("ts"),
-        F.sum("p").over(w).alias("input_tokens_total"), F.sum("c").over(w).alias("output_tokens_total"))
+    steps = per_step.select("model", F.col("w.end").alias("ts"), "p", "c")
+    before = prefix_scan(steps, ["model"], ["ts"], sums={"_p": F.col("p"), "_c": F.col("c")})
+    return before.select("model", "ts", (F.col("_p") + F.col("p")).alias("input_tokens_total"), (F.col("_c") + F.col("c")).alias("output_tokens_total"))
 
 
 def usage_report(calls: DataFrame, run_date: str, minutes: float) -> DataFrame:

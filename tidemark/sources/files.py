@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators.scan import with_position
+
 BENCH_SCHEMA = (
     "model STRING, input_tokens BIGINT, output_tokens BIGINT, ttft DOUBLE, tpot DOUBLE, "
     "total_duration DOUBLE, target BIGINT, error STRING"
@@ -31,10 +33,14 @@ def scan_files(spark: SparkSession, folder: str, glob: str = "*", fmt: str = "te
 
 
 def scan_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Lines of text files with file name and line number (from 0)."""
-    files = scan_files(spark, folder, glob)
-    return files.select("file_name", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no").cast("bigint"))
+    """Lines of text files with file name and line number (from 0); files of any size are read in splits."""
+    lines = spark.read.option("pathGlobFilter", glob).text(folder)
+    if not lines.inputFiles():
+        raise FileNotFoundError(f"no file matches {glob} in {folder}")
+    # Rows of a split come in the order of its lines, so split and row number order a file.
+    placed = lines.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"),
+                          F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    return with_position(placed, ["file_name"], ["_block", "_row"], "line_no").select("file_name", "line_no", "line")
 
 
 def load_json_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA, multi_line: bool = False) -> DataFrame:
@@ -53,9 +59,17 @@ def save_json_state(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_documents(df: DataFrame, path: str, key: str = "vol_key", text: str = "text") -> None:
-    """Text per volume folder."""
-    df.select(key, text).write.mode("overwrite").partitionBy(key).option("lineSep", "\n\f\n").text(path)
+def write_documents(df: DataFrame, path: str, key: str = "vol_key", name: str = "stem", text: str = "text") -> None:
+    """One text file per document, in a folder of its own below that of its volume; a rerun replaces it."""
+    (df.select(key, name, text).repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(key, name).text(path))
+
+
+def read_documents(spark: SparkSession, path: str, key: str = "vol_key", name: str = "stem", text: str = "text") -> DataFrame:
+    """The documents written there, with volume and name."""
+    files = spark.read.schema(f"value STRING, {key} STRING, {name} STRING").text(path, wholetext=True)
+    # The writer ends a file with a new line.
+    return files.select(key, name, F.left("value", F.length("value") - 1).alias(text))
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.operators.facts import drop_overwritten, merge_facts, with_prefixes
-from tidemark.operators.logs import alert_logs, alert_view, diagnosis_prompt, needs_diagnosis
+from tidemark.operators.logs import LOOK_BACK_HOURS, alert_logs, alert_view, diagnosis_prompt, needs_diagnosis
 from tidemark.operators.traces import flatten_traces, root_span_filter
 from tidemark.session import cut_lineage
 from tidemark.streaming import BATCH_SECONDS
@@ -89,11 +89,12 @@ def feed_view(spark: SparkSession, path: str) -> DataFrame:
 
 # --- alerts ------------------------------------------------------------------
 
-def alert_diagnoses(alerts: DataFrame, logs: Callable[[], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
+def alert_diagnoses(alerts: DataFrame, logs: Callable[[], DataFrame], path: str, checkpoint: str,
+                    look_back_hours: int = LOOK_BACK_HOURS) -> DataStreamWriter:
     """Diagnosis input of each firing alert against the log table as it is then."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         firing = needs_diagnosis(alert_view(batch)).withColumn("alert_key", F.struct("alert_id", "alert_no"))
-        texts = alert_logs(firing, logs(), alert_id="alert_key").select("alert_key", "log_text")
+        texts = alert_logs(firing, logs(), alert_id="alert_key", look_back_hours=look_back_hours).select("alert_key", "log_text")
         out = firing.join(texts, "alert_key").select(
             "alert_id", "alert_no", "pod", "namespace", "log_text",
             diagnosis_prompt(F.col("full_description"), F.col("log_text")).alias("prompt"))
