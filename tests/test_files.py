@@ -32,8 +32,11 @@ def test_state(spark, tmp_path):
 
 
 def test_write_documents_and_report(spark, tmp_path):
-    df = spark.createDataFrame([("vol_01", "a\nb"), ("vol_02", "c")], "vol_key STRING, text STRING")
-    files.write_documents(df, str(tmp_path / "docs"))
+    df = spark.createDataFrame([("vol_01", "001", "a\nb\n"), ("vol_02", "x", "c"), ("vol_02", "y", "")], "vol_key STRING, stem STRING, text STRING")
+    for part in (df, df.filter("stem = 'x'").withColumn("text", F.lit("new"))):  # a rerun replaces, the rest stays
+        files.write_documents(part, str(tmp_path / "docs"))
+    back = files.read_documents(spark, str(tmp_path / "docs")).orderBy("vol_key", "stem").collect()
+    assert [tuple(r) for r in back] == [("vol_01", "001", "a\nb\n"), ("vol_02", "x", "new"), ("vol_02", "y", "")]
     assert sorted(p.name for p in (tmp_path / "docs").glob("vol_key=*")) == ["vol_key=vol_01", "vol_key=vol_02"]
     files.write_report(spark.createDataFrame([(2, "y"), (1, "x")], "line_no INT, line STRING"), str(tmp_path / "report"))
     assert "".join(p.read_text() for p in (tmp_path / "report").glob("part-*")) == "x\ny\n"
@@ -79,15 +82,17 @@ def test_streams_read_their_schemas(spark, tmp_path):
 
 
 def test_counter_state_crosses_batches(spark, tmp_path):
-    values = [(0, 10.0), (15, 40.0), (30, 70.0), (45, 5.0), (60, 35.0)]
+    # 15 comes a batch late but inside the watermark; the last sample moves the watermark past the others.
+    values = [(0, 10.0), (30, 70.0), (15, 40.0), (45, 5.0), (60, 35.0), (4000, 35.0)]
     for i, part in enumerate((values[:2], values[2:4], values[4:])):
-        spark.createDataFrame([("s", t, v) for t, v in part], "series STRING, t LONG, value DOUBLE").select(
+        spark.createDataFrame([("s", t + 1_000_000, v) for t, v in part], "series STRING, t LONG, value DOUBLE").select(
             "series", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("series STRING, ts TIMESTAMP, value DOUBLE").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     writer = (windows.counter_increases(stream).writeStream.format("parquet").outputMode("append")
               .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")))
     tables.start(writer, every=None).awaitTermination()
-    assert [r.delta for r in spark.read.parquet(str(tmp_path / "out")).orderBy("sec").collect()] == [0.0, 30.0, 30.0, 5.0, 30.0]
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("sec").collect()
+    assert [(r.sec - 1_000_000, r.delta) for r in got] == [(0, 0.0), (15, 30.0), (30, 30.0), (45, 5.0), (60, 30.0)]
 
 
 def test_stream_replies_without_end_mark(spark, tmp_path):
@@ -100,3 +105,73 @@ def test_stream_replies_without_end_mark(spark, tmp_path):
               .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")))
     tables.start(writer, every=None).awaitTermination()
     assert {(r.request_id, r.text, r.ended) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("open", "x", False), ("done", "y", True)}
+
+
+def test_baseline_alert_finds_its_landed_lines(spark, tmp_path):
+    """A webhook payload without id and time goes through the alert stream against lines of the log stream."""
+    payload = {"status": "firing", "alerts": [{"status": "firing", "labels": {"alertname": "Baseline", "pod": "harness", "namespace": "ai-agent", "severity": "critical"},
+                                               "annotations": {"description": "timeout"}}]}
+    for name in ("alerts", "lines"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "alerts" / "a.json").write_text(json.dumps(payload))
+    (tmp_path / "lines" / "l.json").write_text("\n".join(json.dumps(
+        {"ts": "2024-01-01T10:00:00Z", "seq": i, "labels": {"k8s_pod_name": "harness", "namespace": "ai-agent"}, "line": f"line {i}"}) for i in range(3)))
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    tables.start(telemetry.tenant_sink(telemetry.log_stream(spark, str(tmp_path / "lines")), store, str(tmp_path / "s1")), every=None).awaitTermination()
+    logs = lambda: spark.read.parquet(store).select("ts", "seq", "pod", "namespace", "line")
+    writer = tables.alert_diagnoses(telemetry.alert_stream(spark, str(tmp_path / "alerts")), logs, out, str(tmp_path / "s2"), look_back_hours=24 * 3650)
+    tables.start(writer, every=None).awaitTermination()
+    row = spark.read.parquet(out).first()
+    assert row.log_text == "line 0\nline 1\nline 2" and row.alert_id is not None
+
+
+def test_outputs_of_a_rerun(spark, tmp_path):
+    from tidemark.operators import corpus
+    path, schema = str(tmp_path / "o"), "vol_key STRING, stem STRING, text STRING"
+    corpus.save_outputs(spark.createDataFrame([("v1", "a", "1"), ("v1", "b", "2"), ("v2", "c", "3")], schema), path)
+    for _ in range(2):
+        corpus.save_outputs(spark.createDataFrame([("v1", "b", "new"), ("v1", "d", "4")], schema), path)
+    got = sorted((r.vol_key, r.stem, r.text) for r in spark.read.parquet(path).collect())
+    assert got == [("v1", "a", "1"), ("v1", "b", "new"), ("v1", "d", "4"), ("v2", "c", "3")]
+
+
+def test_paid_calls_are_made_once(spark, tmp_path):
+    """Each call leaves a line in a file; every row is asked once, twice where the first answer is empty."""
+    from tidemark.operators import corpus
+    from tidemark.plans import corpus as flows
+    log = tmp_path / "calls"
+
+    def ask(prompt, temperature):
+        with log.open("a") as f:
+            f.write(f"{len(prompt)}\n")
+        if "bad" in prompt:
+            raise ValueError("no")
+        return "" if "retry" in prompt and temperature < 0.5 else "thinking\nhm\n" if "reason" in prompt and temperature < 0.5 else f"ok {prompt[:5]}"
+
+    def calls():
+        n = len(log.read_text().splitlines()) if log.exists() else 0
+        log.unlink(missing_ok=True)
+        return n
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "retry", "bad", "reason", None, "two"])], "i INT, text STRING")
+    out = corpus.batch_transform(df, ask, accept=flows.has_body)
+    good, bad = corpus.split_errors(out.withColumn("status", F.when(F.col("error").isNotNull(), "error").otherwise("ok")))
+    assert (good.count(), bad.count(), good.count()) == (5, 1, 5) and calls() == 7
+    assert {r.text: r.attempts for r in out.collect()} == {"one": 1, "retry": 2, "bad": 1, "reason": 2, None: 0, "two": 1}
+
+    chapters = spark.createDataFrame([(f"s{i}", "vol_01", 1, float(i), f"text {i} " * 40) for i in range(4)], "stem STRING, vol_key STRING, vol BIGINT, chap DOUBLE, text STRING")
+    earlier = chapters.limit(0)
+    context = spark.createDataFrame([("bible",)], "context STRING")
+    finished = flows.clean_chapters(chapters, earlier, context, lambda p, t: ask("x" + p[-9:], t), lambda p, t: ask("y" + p[-9:], t), "2024-01-01", "work")
+    assert flows.volumes(finished).count() == 1 and finished.count() == 4 and calls() == 8
+
+
+@pytest.mark.parametrize("reply, some", [(None, False), ("", False), (" \n", False), ("thinking\nplan\n", False), ("<think>a</think> ", False),
+                                         ("<thought>a</thought><cleaned_text> </cleaned_text>", False), ("text", True),
+                                         ("<think>a</think><cleaned_text>b</cleaned_text>", True)])
+def test_body_of_a_reply(spark, reply, some):
+    from tidemark.functions import text as T
+    from tidemark.plans.corpus import has_body
+    assert has_body(reply) is some
+    cleaned = spark.createDataFrame([(reply,)], "a STRING").select(T.clean_reply(F.col("a"))).first()[0]
+    assert bool(cleaned) is some

@@ -26,7 +26,7 @@ def test_brute_force(spark, block):
     vectors[50:90] = vectors[7]  # a group of copies: ties go to the smaller id
     wanted = np.vstack([vectors[7], rng.normal(size=(6, 6))])
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], VECTOR).repartition(5)
-    hits = R.vector_top_k(queries(spark, [(i, q.tolist()) for i, q in enumerate(wanted)]), corpus, 5, 0.4, block=block).collect()
+    hits = R.vector_top_k(queries(spark, [(i, q.tolist()) for i, q in enumerate(wanted)]), corpus, 5, 0.4, block=block, corpus_block=900).collect()
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     for i, q in enumerate(wanted):
         scores = np.round(unit @ (q / np.linalg.norm(q)), 9)
@@ -35,7 +35,8 @@ def test_brute_force(spark, block):
 
 
 def test_no_queries(spark):
-    corpus = spark.createDataFrame([(0, [1.0, 0.0])], VECTOR)
+    corpus = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], VECTOR)
+    assert [h.vec_id for h in R.vector_top_k(queries(spark, [(1, [1.0, 0.0]), (2, None)]), corpus).collect()] == [0]
     assert R.vector_top_k(queries(spark, [(1, [1.0, 0.0])]).limit(0), corpus).isEmpty()
 
 

@@ -82,7 +82,7 @@ def extract_tagged(c: Column, tag: str = BODY_TAG) -> Column:
 
 def clean_reply(c: Column) -> Column:
     """What is kept of a model reply: no reasoning, only the tagged body when there is one."""
-    return extract_tagged(strip_reasoning(strip(c)))
+    return extract_tagged(strip_reasoning(c))
 
 
 def unfence(c: Column) -> Column:

@@ -19,7 +19,7 @@ SEQ_CHUNKS = 1_000_000
 
 def has_body(reply: str | None) -> bool:
     """True when ``clean_reply`` leaves something of the reply: it decides in the task whether to ask again."""
-    rest = (reply or "").strip()
+    rest = reply or ""
     for pattern in T.REASONING_PATTERNS:
         rest = re.sub(pattern, "", rest)
     body = re.search(f"(?s)<{T.BODY_TAG}>(.*?)</{T.BODY_TAG}>", rest)
