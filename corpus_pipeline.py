@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bagminhash, mixing, packing, quality, secrets
+from tidemark.llm.batches import small_batches
 from tidemark.session import scratch_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,27 +18,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and fit no learned rule."""
+    small_batches(spark)
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, rules).filter("_stats.kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one with the smallest id."""
+    small_batches(spark)
     return bagminhash.dedupe(docs).select(COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with a mark in place of each secret."""
+    small_batches(spark)
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at the cut of a source has the words that still fit."""
+    small_batches(spark)
     return mixing.repeated(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token sequences, with a checksum of their ids."""
+    small_batches(spark)
     return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

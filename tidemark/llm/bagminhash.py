@@ -18,9 +18,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 8
 #: Pairs whose signatures agree less are no candidates: four standard deviations below the threshold.
 LEAST_ESTIMATE = 0.7
-CHUNK_SHINGLES = 200_000
+CHUNK_SHINGLES = 50_000
 BLOCK_NODES = 512
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 

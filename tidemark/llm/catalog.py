@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import bagminhash, main_text, mixing, nearest, packing, quality, secrets, token_files, url_filter, warc
+from tidemark.llm.batches import small_batches
 from tidemark.session import scratch_folder
 
 QUERIES, ORACLE = {}, {}
@@ -31,10 +34,20 @@ def op2_warc(spark, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES |= {
+def over_texts(run):
+    """The query, with whole texts sent to Python in small batches."""
+    @functools.wraps(run)
+    def query(spark, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
+QUERIES |= {name: over_texts(run) for name, run in {
     "op1_mix": mixing.query, "op2_warc": op2_warc, "op3_pack": op3_pack, "op4_quality": quality.query,
     "op5_main_text": main_text.query, "op6_token_files": op6_token_files, "op7_url_filter": url_filter.query,
     "op8_nearest": nearest.query, "op9_near_duplicates": bagminhash.query, "op10_secrets": secrets.query,
     "pipeline": corpus_pipeline.run,
-}
+}.items()}
 ORACLE |= {"op1_mix": mixing.QUERY_SQL, "op2_warc": warc.QUERY_SQL, "op7_url_filter": url_filter.QUERY_SQL}
