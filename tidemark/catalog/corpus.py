@@ -233,17 +233,26 @@ def resolve_chapters(spark, folder):
     return corpus.resolve_chapters(I.chapters(spark, folder), done, "doc_id").select("stem", "vol", "chap").orderBy("vol", "chap")
 
 
-@query("structure_audit", """
-SELECT doc_id, len(string_split(raw, chr(10))) - len(list_filter(string_split(raw, chr(10)), lambda x: x = '')) AS raw_paragraphs,
-  len(string_split(cleaned, chr(10))) - len(list_filter(string_split(cleaned, chr(10)), lambda x: x = '')) AS clean_paragraphs,
-  len(list_filter(string_split(cleaned, chr(10)), lambda x: x = '***')) AS clean_scene_breaks,
-  length(raw) AS raw_chars, length(cleaned) AS clean_chars, round(length(cleaned) / length(raw), 4) AS length_ratio
-FROM (SELECT doc_id, text AS raw, replace(text, '. ', '.' || chr(10) || '***' || chr(10)) AS cleaned FROM documents)""")
+def _structure(side: str) -> str:
+    lines = f"string_split({side}, chr(10))"
+    count = lambda pattern: f"len(list_filter({lines}, lambda x: regexp_matches(x, '{pattern}')))"
+    return ", ".join(f"{sql} AS {name}" for sql, name in (
+        (f"len(list_filter({lines}, lambda x: x <> ''))", "paragraphs"), (count(r"^[ \t]*(\*{3,}|-{3,})[ \t]*$"), "scene_breaks"),
+        (count("^#{1,6} "), "headings"), (f"length({side})", "chars")))
+
+
+@query("structure_audit", f"""
+SELECT doc_id, r.paragraphs AS raw_paragraphs, r.scene_breaks AS raw_scene_breaks, r.headings AS raw_headings, r.chars AS raw_chars,
+  c.paragraphs AS clean_paragraphs, c.scene_breaks AS clean_scene_breaks, c.headings AS clean_headings, c.chars AS clean_chars,
+  c.paragraphs >= r.paragraphs AND c.scene_breaks >= r.scene_breaks AND c.headings >= r.headings AS kept,
+  round(c.chars / r.chars, 4) AS length_ratio
+FROM (SELECT doc_id, {_structure("raw")} FROM audited) r JOIN (SELECT doc_id, {_structure("cleaned")} FROM audited) c USING (doc_id)""".replace(
+    "FROM audited", """FROM (SELECT doc_id, raw, CASE WHEN doc_id % 3 = 0 THEN replace(raw, '# ', '') ELSE replace(raw, '. ', '.' || chr(10) || '***' || chr(10)) END AS cleaned
+  FROM (SELECT doc_id, '# ' || lang || chr(10) || '---' || chr(10) || text AS raw FROM documents))"""))
 def structure_audit(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "text")
-    clean = d.withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n***\n")))
-    return audit.structure_audit(corpus.raw_and_clean(d, clean, "doc_id")).select(
-        "doc_id", "raw_paragraphs", "clean_paragraphs", "clean_scene_breaks", "raw_chars", "clean_chars", "length_ratio")
+    d = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("# "), "lang", F.lit("\n---\n"), "text").alias("text"))
+    edited = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("# "), F.lit(""))).otherwise(F.replace("text", F.lit(". "), F.lit(".\n***\n")))
+    return audit.structure_audit(corpus.raw_and_clean(d, d.withColumn("text", edited), "doc_id"))
 
 
 def _edit(text: str, temperature: float) -> str:
