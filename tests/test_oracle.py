@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from tidemark.catalog import load
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = load()
 
 
 @pytest.fixture(scope="module")
@@ -22,5 +23,9 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(STATEMENTS)
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(STATEMENTS) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
