@@ -60,8 +60,13 @@ def final_usage(events: DataFrame) -> DataFrame:
 
 
 def guard_reply(replies: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
-    """Status of the whole request on each of its parts: error when no part holds text.  A reply of one part is stripped."""
+    """Status of the whole request on each of its parts: error when no part holds text.  A reply of one part is stripped.
+
+    A table without these keys holds one row per reply.
+    """
     text = F.coalesce("text", F.lit(""))
+    if not set(keys) <= set(replies.columns):
+        return replies.withColumn("text", strip(text)).withColumn("status", F.when(F.col("text") != "", "ok").otherwise("error"))
     whole = replies.groupBy(*keys).agg(
         F.max(strip(text) != "").alias("_some"), F.count(F.lit(1)).alias("_parts"))
     body = F.when(F.col("_parts") == 1, strip(text)).otherwise(text)

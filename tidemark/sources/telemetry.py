@@ -36,7 +36,7 @@ def metric_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES) ->
 
 def trace_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
     """Search hits with ``ts``, the start of the trace."""
-    return _json_stream(spark, path, TRACE_SCHEMA, max_files).withColumn("ts", nanos_to_timestamp(F.col("startTimeUnixNano")))
+    return _json_stream(spark, path, f"rootServiceName STRING, {TRACE_SCHEMA}", max_files).withColumn("ts", nanos_to_timestamp(F.col("startTimeUnixNano")))
 
 
 def alert_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
