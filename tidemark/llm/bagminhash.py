@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,59 +179,96 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return pairs.join(b, "v").join(a, "u").select("u", "v", "_a", "_b").mapInArrow(run, "u binary, v binary")
 
 
-def residual(buckets: DataFrame, roots: DataFrame, marks: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of one bucket that are not yet in one component and whose signatures agree enough.
+def multiset_marks(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bag as a sorted set of 32-bit hashes: the n-th copy of a shingle is an element of its own."""
+    elements, counts = bag
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort((mix(np.repeat(elements, counts) + nth.astype(np.uint64) * np.uint64(GOLDEN)) >> np.uint64(32)).astype(np.uint32))
 
-    Only buckets with several components are looked at.  A bucket's nodes are dealt
-    into blocks of about BLOCK_NODES, and every two blocks meet in a group of their
-    own.  With ``most`` only the best few partners of a node in another component are given.
+
+def with_bags(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            bags = [multiset_marks(shingles(t.as_py(), hashes, words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
+            if len(hashes) > KEPT_WORDS:
+                hashes.clear()
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, bag binary")
+
+
+def links_of(rows: list[tuple], i: int, j: int, key: int, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links between different components among the nodes of blocks ``i`` and ``j`` of one bucket.
+
+    ``rows``: (block, node, root, marks, keys, bag).  Two nodes are compared in the first bucket that
+    both are in, and not once a link found here has joined their components, so a group gives
+    fewer links than it has nodes.
     """
-    root = F.coalesce("root", "node")
-    labelled = buckets.join(roots, "node", "left").select("key", "node", root.alias("root"))
+    codes: dict[bytes, int] = {}
+    component = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
+    marks = np.array([np.frombuffer(r[3], np.uint8) for r in rows])
+    keys = np.array([r[4] for r in rows], np.int64)
+    bags = [np.frombuffer(r[5], np.uint32) for r in rows]
+    sizes = np.array([len(b) for b in bags])
+    block = np.array([r[0] for r in rows])
+    right = np.flatnonzero(block == j)
+    for a in np.flatnonzero(block == i).tolist():
+        others = right[(component[right] != component[a]) & ((right > a) if i == j else True)]
+        others = others[(marks[others] == marks[a]).mean(axis=1) >= LEAST_ESTIMATE]
+        if len(others):
+            others = others[keys[a][(keys[others] == keys[a]).argmax(axis=1)] == key]
+        if not len(others):
+            continue
+        flat = np.concatenate([bags[b] for b in others.tolist()])
+        at = np.minimum(np.searchsorted(bags[a], flat), sizes[a] - 1)
+        shared = np.add.reduceat((bags[a][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
+        linked = others[shared >= threshold * (sizes[a] + sizes[others] - shared)]
+        for b in linked.tolist():
+            if component[b] != component[a]:
+                component[component == component[b]] = component[a]
+                yield min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])
+
+
+def residual(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links between nodes of one bucket that are not yet in one component.
+
+    Only buckets with several components are looked at.  A bucket's nodes are dealt into
+    blocks of about BLOCK_NODES, and every two blocks meet in a group of their own.  ``nodes`` has ``marks`` and ``keys``.
+    """
+    labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
     blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
-    open_ = (labelled.join(mixed.select("key", "n"), "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    open_ = cut_lineage(labelled.join(mixed.select("key", "n"), "key"))
+    wanted = open_.select("node").distinct()
+    known = nodes.join(wanted, "node", "left_semi").join(with_bags(texts.join(wanted, "node", "left_semi"), words), "node")
+    dealt = (open_.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-             .join(marks, "node"))
-
-    def pairs(rows: list[tuple], i: int, j: int) -> Iterator[tuple[bytes, bytes]]:
-        codes: dict[bytes, int] = {}
-        roots = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
-        marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        own = np.array([r[0] for r in rows])
-        right = np.flatnonzero(own == j)
-        for a in np.flatnonzero(own == i).tolist():
-            others = right[(roots[right] != roots[a]) & ((right > a) if i == j else True)]
-            agree = (marks[others] == marks[a]).mean(axis=1)
-            near = agree >= LEAST_ESTIMATE
-            others, agree = others[near], agree[near]
-            if most is not None and len(others) > most:
-                others = others[np.lexsort([-agree, roots[others]])]
-                rank = np.arange(len(others)) - np.searchsorted(roots[others], roots[others])
-                others = others[rank < most]
-            for b in others.tolist():
-                yield min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, out = None, [], []
-        table = lambda found: pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["u", "v"])
+        group, rows = None, []
         for batch in batches:
+            out = []
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != group:
                     if rows:
-                        out += pairs(rows, *group[1:])
+                        out += links_of(rows, *group[1:], group[0], threshold)
                     group, rows = (key, i, j), []
                 rows.append(tuple(row))
             if out:
-                yield table(out)
-                out = []
+                yield link_batch(out)
         if rows:
-            yield table(list(pairs(rows, *group[1:])))
+            yield link_batch(list(links_of(rows, *group[1:], group[0], threshold)))
 
     # A group is one key, so its rows are side by side in one partition; blocks bound how many they are.
-    dealt = open_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").select("key", "i", "j", "own", "node", "root", "marks")
-    return dealt.mapInArrow(run, "u binary, v binary").distinct()
+    side_by_side = (dealt.join(known, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+                    .select("key", "i", "j", "own", "node", "root", "marks", "keys", "bag"))
+    return side_by_side.mapInArrow(run, "u binary, v binary").distinct()
+
+
+def link_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.binary()), pa.array([v for _, v in links], pa.binary())], ["u", "v"])
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -256,7 +293,7 @@ def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, thr
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
-            bands: int = BANDS, rows: int = ROWS, waves: Sequence[int | None] = (4, None)) -> DataFrame:
+            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id``, ``node`` (digest of the text), ``root`` (of its class) for every row.
 
     Documents are in a class when links lead from one to the other.  Equal texts
@@ -264,8 +301,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     when the bags of their five-word shingles overlap by the threshold or more and one
     band of their signatures is equal.  In a bucket every node is first compared
     with the smallest node of one of its buckets, then with those of the others where the two
-    are not yet in one component.  Then pairs of a bucket that are still apart are compared:
-    first a few partners of each node, then all that are left.  So a bucket of copies costs a row for each
+    are not yet in one component.  Then nodes of a bucket that are still apart are compared with all others
+    there, and only links that join two components leave the group.  So a bucket of copies costs a row for each
     copy, and no link between different components is left out.  Texts are compared
     whole.  Extra columns are not read.
     """
@@ -282,11 +319,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     one_hub = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     roots = cut_lineage(components(verified(one_hub, texts, words, threshold)))
     roots = linked(apart(pairs, roots), roots, texts, words, threshold)
-    marks = nodes.select("node", "marks")
-    for most in waves:
-        # A hub's pairs were compared before.
-        more = residual(shared.select("key", "node"), roots, marks, most).join(pairs, ["u", "v"], "left_anti")
-        roots = linked(more, roots, texts, words, threshold)
+    roots = linked(residual(shared.select("key", "node"), roots, nodes, texts, words, threshold), roots, texts, words, threshold)
     return rows_in.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
