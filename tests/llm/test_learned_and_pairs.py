@@ -149,15 +149,30 @@ def test_classes_equal_brute_force(spark):
     assert set(kept[0].asDict()) == {"doc_id", "text", "root", "node"}
 
 
-def test_late_links_are_found(spark):
-    """Pairs that the smallest node of a bucket does not link are found in the later rounds."""
-    nodes = [bytes([i]) * 16 for i in range(1, 6)]
-    buckets = spark.createDataFrame([(7, n) for n in nodes] + [(8, nodes[0])], "key bigint, node binary")
-    marks = spark.createDataFrame([(n, bytes([i // 3]) * 256) for i, n in enumerate(nodes)], "node binary, marks binary")
-    roots = spark.createDataFrame([(nodes[0], nodes[0]), (nodes[1], nodes[0])], "node binary, root binary")
-    for most in (1, None):
-        got = {(bytes(r.u)[0], bytes(r.v)[0]) for r in bagminhash.residual(buckets, roots, marks, most).collect()}
-        assert got == ({(1, 3), (2, 3), (4, 5)})
+@pytest.mark.parametrize("block", [512, 20])
+def test_late_links_are_found(spark, monkeypatch, block):
+    """Nodes that no hub has linked: all links between components come out of the groups, fewer than nodes, and no others."""
+    monkeypatch.setattr(bagminhash, "BLOCK_NODES", block)
+    rows = [(i, t) for i, t in families() if (t or "").strip()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").dropDuplicates(["text"]).withColumn("node", F.unhex(F.md5("text")))
+    nodes = bagminhash.sketch(docs, 5, 32, 8)
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    apart = spark.createDataFrame([], "node binary, root binary")
+    links = bagminhash.residual(buckets, apart, nodes, docs, 5, 0.8).collect()
+    text = {bytes(r.node): r.text for r in docs.collect()}
+    for r in links:
+        a, b = bag(text[bytes(r.u)]), bag(text[bytes(r.v)])
+        least = sum((a & b).values())
+        assert least >= 0.8 * (a.total() + b.total() - least)
+    root = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame(links, "u binary, v binary")).collect()}
+    ids = {n: min(i for i, t in rows if t == x) for n, x in text.items()}
+    got = {}
+    for n in text:
+        got.setdefault(root.get(n, n), []).append(ids[n])
+    assert sorted(sorted(v, key=str) for v in got.values()) == brute_classes([(i, text[n]) for n, i in ids.items()])
+    sizes = [len(v) for v in got.values()]
+    if block == 512:  # a group joins components once, so most pairs of a large class are never written
+        assert len(links) < 0.2 * sum(n * (n - 1) / 2 for n in sizes)
 
 
 def test_signatures_are_unbiased():
