@@ -86,8 +86,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     """(query, row, distance) of the k nearest found in one block.
 
     The squared projected distance of a row at distance d is d^2 times a chi-square variable.  Boxes
-    come nearest first and their rows are verified; once a row nearer than the k-th
-    found would have come before with the wanted probability, the search of this query ends.
+    come nearest first; a row is verified unless one nearer than the k-th found would be projected
+    nearer with the wanted probability, and once that holds for a whole box, the search of this query ends.
     """
     matrix = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
     projected = vectors @ matrix
@@ -102,6 +102,9 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             if len(best_d) == k and distance > bound * best_d[-1] ** 2 + slack:
                 break
             rows = rows[ids[rows] != query_id]
+            if len(best_d) == k:  # the same test for each row of the box
+                gap = projected[rows] - at
+                rows = rows[np.einsum("ij,ij->i", gap, gap) <= bound * best_d[-1] ** 2 + slack]
             difference = vectors[rows] - query
             d = np.concatenate([best_d, np.sqrt((difference * difference).sum(axis=1))])
             i = np.concatenate([best_i, ids[rows]])
