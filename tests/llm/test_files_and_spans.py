@@ -49,6 +49,27 @@ def test_encoder_equals_the_tokenizer(texts):
         assert ids[a:b].tolist() == ids_of(text)
 
 
+def test_special_token_in_a_text(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(default_path())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"  {end}  b\n{end} \n x", f"I'{end}ll", f"{end[:-1]} {end[1:]}", f"é{end}中 <{end}>", "after it"]
+    want = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    encoder = Encoder(default_path(), kept=4)  # forgets at each call
+    for _ in range(3):
+        ids, bounds = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    token_files.write_token_files(docs, str(tmp_path / "t"), ranges=2)
+    got = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == want
+    assert [r.start for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
+    packed = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(docs).collect()}
+    assert packed == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2, 3], [7, 2**40, 2**40, 2**63 + 1], list(range(0, 90_000, 37))])
 def test_elias_fano(values):
     code, _ = EliasFano.from_bytes(memoryview(EliasFano.of(np.array(values, np.uint64)).to_bytes()), 0)

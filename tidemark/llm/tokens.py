@@ -24,12 +24,10 @@ def default_path() -> str:
 
 
 def load_tokenizer(path: str):
-    """The tokenizer of a file; names of special tokens inside a text are ordinary text."""
+    """The tokenizer of a file; a special token written out in a text has its own id, as the library gives it."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,7 +73,9 @@ class Encoder:
     and a white-space run never continues a word.  So a text may be cut before
     every space behind a character that is not white space, and such a unit into
     its words.  Units and words repeat, so their ids are kept: about ``kept`` units,
-    then those that came only once are forgotten.  Files of another kind get no such help.
+    then those that came only once are forgotten.  A special token in a text is cut
+    out first, and what stands on either side is encoded for itself, as the library
+    does.  Files of another kind get no such help.
     """
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
@@ -86,12 +86,16 @@ class Encoder:
         self.tokenizer, self.kept = load_tokenizer(path), kept
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        special = [t for t in kind.get("added_tokens", ()) if t.get("special")]
-        self.plain = (not special or kind.get("normalizer") is not None or kind.get("post_processor") is not None
+        added = kind.get("added_tokens", ())
+        simple = all(t.get("special") and t["content"].isascii() and not any(map(str.isspace, t["content"]))
+                     and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
+        self.plain = (not added or not simple or kind.get("normalizer") is not None or kind.get("post_processor") is not None
                       or (kind.get("pre_tokenizer") or {}).get("type") != "ByteLevel"
                       or kind["pre_tokenizer"].get("add_prefix_space", True))
-        if not self.plain:  # a special token is no letters, so no word holds it: it stands between words
-            self.mark, self.mark_id = special[0]["content"], special[0]["id"]
+        self.marks = {} if self.plain else {t["content"]: t["id"] for t in added}
+        if not self.plain:  # texts are cut at special tokens, so no word holds one: it stands between words
+            self.mark, self.mark_id = next(iter(self.marks.items()))
+            self.cut = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.marks, key=len, reverse=True)))})")
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.pattern = regex.compile(WORD)
         self.words_only = Tokenizer.from_file(path)  # gets words in byte letters, set apart by spaces
@@ -100,19 +104,24 @@ class Encoder:
 
     def clear(self) -> None:
         self.inner, self.first = _Units(" ", self), _Units("", self)
-        self.word_codes: dict[str, int] = {}
+        # The special tokens are the first words, and the units behind unit 0.
+        self.word_codes: dict[str, int] = {mark: i for i, mark in enumerate(self.marks)}
         self.new_words: list[str] = []
         self.new_units: list[int] = []  # words of the units not yet laid out, and how many each has
         self.new_sizes: list[int] = []
-        self.n_units = 1  # unit 0 has no words
+        n = len(self.marks)
+        self.n_units = n + 1  # unit 0 has no words
         self.words, self.ids = _Runs(1), _Runs(0)
-        self.times = np.zeros(1, np.int64)  # how often each unit came since the last time some were forgotten
+        self.words.add(np.arange(n, dtype=np.uint32), np.ones(n, np.int64))
+        self.ids.add(np.array([*self.marks.values()], np.uint32), np.ones(n, np.int64))
+        self.times = np.zeros(n + 1, np.int64)  # how often each unit came since the last time some were forgotten
 
     def forget(self) -> None:
-        """Keep the units that came more than once, and their words."""
-        keep = np.flatnonzero(self.times > 1)
+        """Keep the special tokens, the units that came more than once, and their words."""
+        n = len(self.marks)
+        keep = np.union1d(np.arange(1, n + 1), np.flatnonzero(self.times > 1))
         if len(keep) > self.kept // 2:
-            keep = keep[:0]
+            keep = keep[:n]
         codes = np.zeros(self.n_units, np.int64)
         codes[keep] = np.arange(1, len(keep) + 1)
         for table in (self.inner, self.first):
@@ -163,6 +172,12 @@ class Encoder:
         self.new_words, self.new_units, self.new_sizes = [], [], []
 
     def _codes(self, text: str) -> list[int]:
+        if not any(mark in text for mark in self.marks):
+            return self._pieces(text)
+        return [code for i, part in enumerate(self.cut.split(text)) if part
+                for code in ((self.word_codes[part] + 1,) if i % 2 else self._pieces(part))]
+
+    def _pieces(self, text: str) -> list[int]:
         head, *rest = text.split(" ")
         codes = [self.first[head], *map(self.inner.__getitem__, rest)]
         if 0 not in codes:
