@@ -363,6 +363,24 @@ def test_main_text_of_pages(spark, field):
     assert main_text.extract(odd.limit(0), field).isEmpty() and main_text.fit(odd.limit(0)) is not None
 
 
+SAID = "<article><p>Words of a text, long.</p><p>And more of it.</p></article>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<!doctype html><head><title>T</title>{SAID}", f"<html><head><meta charset=x><title>T</title><style>b</style>{SAID}",
+    f"<head><noscript><link href=x></noscript><script>1</script>{SAID}</html>", f"<head><title>T</title></head><body>{SAID}</body>",
+    f"<head><noscript>{SAID}", f"<body><canvas>{SAID}<noscript>hidden</noscript>", f"<body><div><iframe src=x>{SAID}</div></body>",
+    f"<body><object data=x><object data=y>{SAID}", f"<body><noscript>hidden <b>too</b></noscript>{SAID}<div><noscript>hidden</div></noscript>"])
+def test_what_has_no_end_tag_hides_nothing(html):
+    blocks = main_text.leaf_blocks(html)
+    assert [b.text for b in blocks] == ["Words of a text, long.", "And more of it."]
+    assert all(main_text.marked_main(b.path) and "head" not in dict(b.path) for b in blocks)
+
+
+def test_text_ends_an_open_head():
+    assert [b.text for b in main_text.leaf_blocks("<head><title>T</title>\n Words <p>and more")] == ["Words", "and more"]
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 def test_pipeline(spark, small, tmp_path):

@@ -24,6 +24,9 @@ BLOCKS = frozenset("address article aside blockquote body button caption center
                    "table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head noscript object script style svg template title iframe canvas".split())
+# What may stand in a head (any other start tag ends it), and what hides text only up to an end tag of its own.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+HELD = frozenset("noscript object svg template title iframe canvas".split())
 # Elements that end an open one of the same kind, and those that end a paragraph.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - frozenset("button caption html body label legend option select tbody td textarea tfoot th thead tr".split())
@@ -48,10 +51,18 @@ def name_words(attributes: Sequence[tuple[str, str | None]]) -> tuple[str, ...]:
 
 
 class Reader(HTMLParser):
-    """Leaf blocks in page order: runs of text that no block element interrupts."""
+    """Leaf blocks in page order: runs of text that no block element interrupts.
 
-    def __init__(self):
+    A head ends where its end tag is, or before text or an element that may not stand in it.
+    ``endless`` names start tags of HELD elements, by number, that have no end tag: they are passed over.
+    Those that a reading finds are in ``lost``.
+    """
+
+    def __init__(self, endless: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.endless, self.n_held = endless, 0
+        self.held: list[int] = []  # for each open element the number of its start tag, 0 if it is none of HELD
+        self.lost: dict[str, list[int]] = {}
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.parts: list[str] = []
         self.blocks: list[Block] = []
@@ -67,9 +78,24 @@ class Reader(HTMLParser):
         if any(tag in BLOCKS for tag, _ in self.open[depth:]):
             self.flush()
         self.unseen -= sum(tag in UNSEEN for tag, _ in self.open[depth:])
-        del self.open[depth:]
+        del self.open[depth:], self.held[depth:]
+
+    def lose(self, depth: int) -> None:
+        for (tag, _), number in zip(self.open[depth:], self.held[depth:], strict=True):
+            if number:
+                self.lost.setdefault(tag, []).append(number)
+
+    def end_head(self) -> None:
+        while self.open and self.open[-1][0] == "head":
+            self.close_to(len(self.open) - 1)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in HELD:
+            self.n_held += 1
+            if self.n_held in self.endless:
+                return
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in BLOCKS:
             ended = SAME.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
             for depth in range(len(self.open) - 1, -1, -1):
@@ -79,20 +105,26 @@ class Reader(HTMLParser):
                     break
             self.flush()
         if tag == "body":  # a head that was not closed ends here
-            self.unseen, self.open = 0, []
+            self.unseen, self.open, self.held = 0, [], []
         if tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
             self.open.append((tag, name_words(attrs)))
+            self.held.append(self.n_held if tag in HELD else 0)
             self.unseen += tag in UNSEEN
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
+                self.lose(depth + 1)
                 self.close_to(depth)
                 return
+        if self.lost.get(tag):  # an end tag behind that of an outer element
+            self.lost[tag].pop()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         if not self.unseen:
             self.parts.append(data)
             if any(tag == "a" for tag, _ in self.open):
@@ -100,10 +132,18 @@ class Reader(HTMLParser):
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
-    reader = Reader()
-    reader.feed(html or "")
-    reader.close()
-    reader.flush()
+    def read(endless: frozenset[int]) -> Reader:
+        reader = Reader(endless)
+        reader.feed(html or "")
+        reader.close()
+        reader.flush()
+        reader.lose(0)
+        return reader
+
+    # Only the end of the page tells which elements are endless; such a page is read again.
+    reader = read(frozenset())
+    while any(reader.lost.values()):
+        reader = read(reader.endless.union(*reader.lost.values()))
     return reader.blocks
 
 
