@@ -234,6 +234,15 @@ def test_trigram_queries():
     assert {frozenset({"tok", "oke", "ken"}), frozenset({"api", "pik", "ike", "key"}), frozenset({"api", "pi_", "i_k", "_ke", "key"})} <= set(assign[0])
 
 
+@pytest.mark.parametrize("repeat", ["{1,2}", "{0,2}", "{2}", "{1,2}?", "?"])
+def test_repeat_of_many_strings(spark, repeat):
+    rules = [secrets.Rule("own", rf"key-(?:a1|b2|c3|d4|e5|f6|g7|h8|i9){repeat}-end")]
+    texts = [f"x key-{k}-end y" for k in ("a1b2", "i9", "h8h8", "", "a1b2c3")] + ["key-a1b2 -end", "none"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = secrets.with_spans(docs, rules).select("text", secrets.span_text(F.col("spans")).alias("s")).collect()
+    assert len(got) == len(texts) and all(r.s == brute(r.text, rules) for r in got)
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id bigint, text string")
     for r in secrets.redact(df).join(df.withColumnRenamed("text", "raw"), "doc_id").collect():

@@ -79,9 +79,11 @@ class _Query:
                 return None
             out, power = set(), {""}
             for n in range(int(arg[1]) + 1):
+                power = _times(power, one) if n else power
+                if power is None:  # too many: without them the others are not all
+                    return None
                 if n >= arg[0]:
                     out |= power
-                power = _times(power, one) or set()
             return out if 0 < len(out) <= MOST_BRANCHES else None
         return None
 
