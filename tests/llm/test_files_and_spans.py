@@ -77,6 +77,22 @@ def test_elias_fano(values):
     assert [code.value(i) for i in range(0, len(values), 11)] == values[::11]
 
 
+def test_select_reads_what_is_stored(monkeypatch):
+    values = np.sort(np.random.default_rng(5).integers(0, 2**40, 5_000)).astype(np.uint64)
+    stored = EliasFano.of(values).to_bytes()
+    code, at = EliasFano.from_bytes(memoryview(stored + b"x"), 0)
+    assert at == len(stored) and len(code.samples) == -(-5_000 // 64) and not hasattr(code, "ones")
+    for a, b in ((0, 1), (63, 65), (64, 64), (100, 1_000), (4_999, 5_000), (0, 5_000)):
+        assert code.run(a, b).tolist() == values[a:b].tolist()
+    # Runs of documents are read, never the whole block.
+    longest = []
+    whole = EliasFano.run
+    monkeypatch.setattr(EliasFano, "run", lambda self, a, b: longest.append(b - a) or whole(self, a, b))
+    block = token_files.Block(token_files.block_bytes(1, 7, [None, None, 3, 5, 5], np.arange(6) * 2, np.arange(10), 2) + b"\n")
+    assert [block.docs(a, b) for a, b in ((0, 1), (1, 4), (3, 5))] == [[None], [None, 3, 5], [5, 5]]
+    assert block.ends(1, 3).tolist() == [2, 4, 6] and max(longest) == 3
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(1).integers(1, 900, 20_000))
     assert len(EliasFano.of(values).to_bytes()) * 8 < 20_000 * (3 + math.log2(450))

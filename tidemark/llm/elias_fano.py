@@ -15,14 +15,12 @@ class EliasFano:
 
     The low bits of all values stand side by side; the high parts are one bit
     string with bit (high + i) set for value i.  ``samples`` has the place of every
-    64th set bit, 32 bits each, so ``value(i)`` looks at a few bytes only.
+    64th set bit, 32 bits each, and is stored with them, so ``run`` reads only the
+    bytes from the sample before its first value to the one behind its last.
     """
 
-    def __init__(self, n: int, universe: int, low: int, lows: np.ndarray, highs: np.ndarray):
-        self.n, self.universe, self.low, self.lows, self.highs = n, universe, low, lows, highs
-        self.ones = np.cumsum(np.bitwise_count(highs), dtype=np.int64)
-        ranks = np.arange(0, n, SAMPLE)
-        self.samples = np.searchsorted(self.ones, ranks, side="right").astype(np.uint32)
+    def __init__(self, n: int, universe: int, low: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
+        self.n, self.universe, self.low, self.lows, self.highs, self.samples = n, universe, low, lows, highs, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -34,27 +32,33 @@ class EliasFano:
         bits = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
         bits[high] = 1
         lows = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return cls(n, universe, low, np.packbits(lows.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"))
+        return cls(n, universe, low, np.packbits(lows.ravel(), bitorder="little"), np.packbits(bits, bitorder="little"),
+                   high[::SAMPLE].astype("<u4"))
+
+    def run(self, first: int, last: int) -> np.ndarray:
+        """Select: values first to last - 1."""
+        if first >= last:
+            return np.zeros(0, np.uint64)
+        start, behind = int(self.samples[first // SAMPLE]), (last - 1) // SAMPLE + 1
+        end = int(self.samples[behind]) // 8 + 1 if behind < len(self.samples) else len(self.highs)
+        bits = np.unpackbits(self.highs[start // 8:end], bitorder="little")
+        bits[:start % 8] = 0  # bits of values before the sample
+        skip = first % SAMPLE
+        high = (np.flatnonzero(bits)[skip:skip + last - first] + start // 8 * 8 - np.arange(first, last)).astype(np.uint64)
+        begin, size = first * self.low, (last - first) * self.low
+        lows = np.unpackbits(self.lows[begin // 8:(begin + size + 7) // 8], bitorder="little")[begin % 8:begin % 8 + size]
+        lows = lows.reshape(last - first, self.low).astype(np.uint64)
+        return (high << np.uint64(self.low)) | (lows << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def value(self, i: int) -> int:
         """Select: value i alone."""
-        at = int(self.samples[i // SAMPLE])
-        while self.ones[at] <= i:
-            at += 1
-        before = int(self.ones[at - 1]) if at else 0
-        bit = np.flatnonzero(np.unpackbits(self.highs[at:at + 1], bitorder="little"))[i - before]
-        first = i * self.low
-        piece = np.unpackbits(self.lows[first // 8:(first + self.low + 7) // 8], bitorder="little")
-        own = piece[first % 8:first % 8 + self.low].tolist()
-        return ((at * 8 + int(bit) - i) << self.low) | sum(b << k for k, b in enumerate(own))
+        return int(self.run(i, i + 1)[0])
 
     def values(self) -> np.ndarray:
-        high = (np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[:self.n] - np.arange(self.n)).astype(np.uint64)
-        lows = np.unpackbits(self.lows, bitorder="little")[:self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
-        return (high << np.uint64(self.low)) | (lows << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return self.run(0, self.n)
 
     def to_bytes(self) -> bytes:
-        return struct.pack(HEAD, self.n, self.universe, self.low, len(self.highs)) + self.highs.tobytes() + self.lows.tobytes()
+        return struct.pack(HEAD, self.n, self.universe, self.low, len(self.highs)) + self.highs.tobytes() + self.lows.tobytes() + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
@@ -63,4 +67,6 @@ class EliasFano:
         at += struct.calcsize(HEAD)
         highs = np.frombuffer(data, np.uint8, size, at)
         lows = np.frombuffer(data, np.uint8, (n * low + 7) // 8, at + size)
-        return cls(n, universe, low, lows, highs), at + size + len(lows)
+        at += size + len(lows)
+        samples = np.frombuffer(data, "<u4", -(-n // SAMPLE), at)
+        return cls(n, universe, low, lows, highs, samples), at + 4 * len(samples)

@@ -26,7 +26,7 @@ from tidemark.llm.elias_fano import EliasFano
 from tidemark.llm.tokens import END_ID, Encoder, default_path
 from tidemark.session import slice_count
 
-MAGIC = b"TIDETOK1"
+MAGIC = b"TIDETOK2"
 HEAD = "<QQQqQB"  # range, ids before it in the range, rows without id, smallest id, rows, bytes per id
 BLOCK_IDS = 4_000_000
 ROWS_A_CALL = 256
@@ -42,18 +42,32 @@ def block_bytes(span: int, before: int, doc_ids: list[int | None], bounds: np.nd
     return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
+class Block:
+    """A block as it is stored: ``docs`` and ``ends`` of a run of documents are read by select."""
+
+    def __init__(self, data: bytes):
+        view = memoryview(data)[:-1]
+        if bytes(view[:8]) != MAGIC or struct.unpack_from("<I", view, 8)[0] != zlib.crc32(view[12:]):
+            raise ValueError("not a whole block of token ids")
+        self.span, self.before, self.missing, self.least, self.rows, width = struct.unpack_from(HEAD, view, 12)
+        self.known, at = EliasFano.from_bytes(view, 12 + struct.calcsize(HEAD))
+        self.bounds, at = EliasFano.from_bytes(view, at)
+        self.ids = np.frombuffer(view, f"<u{width}", self.bounds.universe, at)
+
+    def docs(self, first: int, last: int) -> list[int | None]:
+        none = max(0, min(last, self.missing) - first)
+        known = self.known.run(first + none - self.missing, last - self.missing) if first + none < last else np.zeros(0, np.uint64)
+        return [None] * none + (known + np.uint64(self.least & 0xFFFFFFFFFFFFFFFF)).astype(np.int64).tolist()
+
+    def ends(self, first: int, last: int) -> np.ndarray:
+        """Where the documents first to last - 1 begin, and where the last of them ends."""
+        return self.bounds.run(first, last + 1).astype(np.int64)
+
+
 def read_block(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray]:
-    """(range, ids before the block in its range, document ids, boundaries, ids)"""
-    view = memoryview(data)[:-1]
-    if bytes(view[:8]) != MAGIC or struct.unpack_from("<I", view, 8)[0] != zlib.crc32(view[12:]):
-        raise ValueError("not a whole block of token ids")
-    span, before, missing, least, rows, width = struct.unpack_from(HEAD, view, 12)
-    docs, at = EliasFano.from_bytes(view, 12 + struct.calcsize(HEAD))
-    bounds, at = EliasFano.from_bytes(view, at)
-    known = (docs.values() + np.uint64(least & 0xFFFFFFFFFFFFFFFF)).astype(np.int64).tolist()
-    ends = bounds.values().astype(np.int64)
-    ids = np.frombuffer(view, f"<u{width}", int(ends[-1]), at).astype("<u4")
-    return span, before, [None] * missing + known, ends, ids
+    """(range, ids before the block in its range, document ids, boundaries, ids) of a whole block"""
+    block = Block(data)
+    return block.span, block.before, block.docs(0, block.rows), block.ends(0, block.rows), block.ids.astype("<u4")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, doc_id: str = "doc_id",
@@ -120,15 +134,16 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                span, before, docs, ends, ids = read_block(value.as_py())
-                for at in range(0, len(docs), ROWS_A_CALL):
-                    to = min(at + ROWS_A_CALL, len(docs))
-                    whole = ids[ends[at]:ends[to]].tobytes()
-                    offsets = ((ends[at:to + 1] - ends[at]) * 4).astype(np.int32)
+                block = Block(value.as_py())
+                for at in range(0, block.rows, ROWS_A_CALL):
+                    to = min(at + ROWS_A_CALL, block.rows)
+                    ends = block.ends(at, to)
+                    whole = block.ids[ends[0]:ends[-1]].astype("<u4").tobytes()
+                    offsets = ((ends - ends[0]) * 4).astype(np.int32)
                     values = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([span] * (to - at), pa.int64()), pa.array(docs[at:to], pa.int64()),
-                         pa.array(ends[at:to] + before, pa.int64()), values], ["span", "doc_id", "start", "ids"])
+                        [pa.array([block.span] * (to - at), pa.int64()), pa.array(block.docs(at, to), pa.int64()),
+                         pa.array(ends[:-1] + block.before, pa.int64()), values], ["span", "doc_id", "start", "ids"])
 
     files = (spark.read.format("binaryFile").load(f"{folder}/kind=ids").select("content"))
     found = files.mapInArrow(rows, "span bigint, doc_id bigint, start bigint, ids binary")
