@@ -117,6 +117,15 @@ def test_empty_tables(spark, odd, tmp_path):
     assert url_filter.judge(none.withColumnRenamed("text", "url")).isEmpty()
 
 
+def test_files_of_an_empty_table(spark, odd, tmp_path):
+    for name, docs in (("none", odd.limit(0)), ("one", odd.limit(1))):
+        token_files.write_token_files(docs, str(tmp_path / name))
+    none, one = (token_files.read_token_files(spark, str(tmp_path / name)) for name in ("none", "one"))
+    assert none.isEmpty() and one.count() == 1 and none.dtypes == one.dtypes
+    odd.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.QUERIES["op6_token_files"](spark, str(tmp_path)).isEmpty()
+
+
 def test_damaged_block():
     data = token_files.block_bytes(0, 0, [1], np.array([0, 2]), np.array([5, 0]), 2) + b"\n"
     assert token_files.read_block(data)[2] == [1]

@@ -124,6 +124,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` (unsigned 32-bit little-endian) per document."""
+    stored = spark.read.format("binaryFile").load(folder)
+    if "kind" not in stored.columns:  # files of an empty table
+        return spark.createDataFrame([], "doc_id bigint, start bigint, ids binary")
     line = F.split("value", " ")
     # One row per range that was written, so the running sum over all of them is small.
     index = (spark.read.schema("value string").text(f"{folder}/kind=index")
@@ -145,7 +148,6 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         [pa.array([block.span] * (to - at), pa.int64()), pa.array(block.docs(at, to), pa.int64()),
                          pa.array(ends[:-1] + block.before, pa.int64()), values], ["span", "doc_id", "start", "ids"])
 
-    files = (spark.read.format("binaryFile").load(f"{folder}/kind=ids").select("content"))
-    found = files.mapInArrow(rows, "span bigint, doc_id bigint, start bigint, ids binary")
+    found = stored.filter("kind = 'ids'").select("content").mapInArrow(rows, "span bigint, doc_id bigint, start bigint, ids binary")
     return found.join(F.broadcast(starts), F.col("span") == F.col("_span")).select(
         "doc_id", (F.col("start") + F.col("_start")).alias("start"), "ids")
