@@ -175,6 +175,19 @@ def test_late_links_are_found(spark, monkeypatch, block):
         assert len(links) < 0.2 * sum(n * (n - 1) / 2 for n in sizes)
 
 
+def test_no_link_of_a_bucket_is_left_out(spark):
+    # Neighbours overlap by 86 of 106 shingles, others by less than the threshold; short signatures misjudge many of them.
+    words = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words[10 * i:10 * i + 100])) for i in range(60)]
+    found = bagminhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), bands=16, rows=1)
+    assert found.select("root").distinct().count() == len(brute_classes(rows)) == 1
+
+
+def test_marks_of_a_bag_are_64_bits():
+    marks = bagminhash.multiset_marks((np.arange(300_000, dtype=np.uint64), np.ones(300_000, np.int64)))
+    assert len(np.unique(marks)) == 300_000
+
+
 def test_signatures_are_unbiased():
     hashes, r = bagminhash.WordHashes(), random.Random(1)
     base = [r.choice("abcdef") + str(r.randint(0, 40)) for _ in range(150)]

@@ -16,8 +16,6 @@ from tidemark.session import cut_lineage
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 8
-#: Pairs whose signatures agree less are no candidates: four standard deviations below the threshold.
-LEAST_ESTIMATE = 0.7
 CHUNK_SHINGLES = 50_000
 BLOCK_NODES = 512
 KEPT_WORDS = 100_000
@@ -110,11 +108,6 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def small_marks(signature: np.ndarray) -> np.ndarray:
-    """One byte per place: equal places have equal bytes, others by chance in 1 of 256."""
-    return (mix(signature.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-
-
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two bags: the sum of lesser counts over the sum of greater ones."""
     _, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -124,7 +117,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """``node``, ``keys`` (one per band) and ``marks`` from ``node`` and ``text``; texts without words are left out."""
+    """``node`` and ``keys`` (one per band) from ``node`` and ``text``; texts without words are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
 
@@ -132,10 +125,10 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sizes = np.array([len(e) for e, _ in bags])
             signature = signatures(np.concatenate([e for e, _ in bags]), np.concatenate([c for _, c in bags]),
                                    np.repeat(np.arange(len(bags)), sizes), len(bags), bands * rows)
-            keys, marks = band_keys(signature, bands, rows), small_marks(signature)
+            keys = band_keys(signature, bands, rows)
             return pa.RecordBatch.from_arrays([
-                pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(np.arange(len(bags) + 1, dtype=np.int32) * bands, pa.array(keys.ravel())),
-                pa.array([m.tobytes() for m in marks], pa.binary())], ["node", "keys", "marks"])
+                pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(np.arange(len(bags) + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))],
+                ["node", "keys"])
 
         for batch in batches:
             nodes, bags, held = [], [], 0
@@ -153,7 +146,7 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             if nodes:
                 yield batch_of(nodes, bags)
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>, marks binary")
+    return docs.select("node", "text").mapInArrow(run, "node binary, keys array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -180,10 +173,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
 
 
 def multiset_marks(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A bag as a sorted set of 32-bit hashes: the n-th copy of a shingle is an element of its own."""
+    """A bag as a sorted set of 64-bit hashes: the n-th copy of a shingle is an element of its own."""
     elements, counts = bag
     nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.sort((mix(np.repeat(elements, counts) + nth.astype(np.uint64) * np.uint64(GOLDEN)) >> np.uint64(32)).astype(np.uint32))
+    return np.sort(mix(np.repeat(elements, counts) + nth.astype(np.uint64) * np.uint64(GOLDEN)))
 
 
 def with_bags(texts: DataFrame, words: int) -> DataFrame:
@@ -201,40 +194,42 @@ def with_bags(texts: DataFrame, words: int) -> DataFrame:
 def links_of(rows: list[tuple], i: int, j: int, key: int, threshold: float) -> Iterator[tuple[bytes, bytes]]:
     """Links between different components among the nodes of blocks ``i`` and ``j`` of one bucket.
 
-    ``rows``: (block, node, root, marks, keys, bag).  Two nodes are compared in the first bucket that
+    ``rows``: (block, node, root, keys, bag).  Two nodes are compared in the first bucket that
     both are in, and not once a link found here has joined their components, so a group gives
-    fewer links than it has nodes.
+    fewer links than it has nodes.  Bags are compared whole by 64-bit hashes, as in ``verified``;
+    only pairs whose sizes alone keep them below the threshold are left out.
     """
     codes: dict[bytes, int] = {}
     component = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
-    marks = np.array([np.frombuffer(r[3], np.uint8) for r in rows])
-    keys = np.array([r[4] for r in rows], np.int64)
-    bags = [np.frombuffer(r[5], np.uint32) for r in rows]
+    keys = np.array([r[3] for r in rows], np.int64)
+    bags = [np.frombuffer(r[4], np.uint64) for r in rows]
     sizes = np.array([len(b) for b in bags])
     block = np.array([r[0] for r in rows])
     right = np.flatnonzero(block == j)
     for a in np.flatnonzero(block == i).tolist():
         others = right[(component[right] != component[a]) & ((right > a) if i == j else True)]
-        others = others[(marks[others] == marks[a]).mean(axis=1) >= LEAST_ESTIMATE]
+        others = others[np.minimum(sizes[others], sizes[a]) / np.maximum(sizes[others], sizes[a]) >= threshold]
         if len(others):
             others = others[keys[a][(keys[others] == keys[a]).argmax(axis=1)] == key]
-        if not len(others):
-            continue
-        flat = np.concatenate([bags[b] for b in others.tolist()])
-        at = np.minimum(np.searchsorted(bags[a], flat), sizes[a] - 1)
-        shared = np.add.reduceat((bags[a][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[others])[:-1]]))
-        linked = others[shared >= threshold * (sizes[a] + sizes[others] - shared)]
-        for b in linked.tolist():
-            if component[b] != component[a]:
-                component[component == component[b]] = component[a]
-                yield min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])
+        # Only so many hashes at once are laid side by side.
+        for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(sizes[others]) // (4 * CHUNK_SHINGLES))) + 1):
+            part = part[component[part] != component[a]]
+            if not len(part):
+                continue
+            flat = np.concatenate([bags[b] for b in part.tolist()])
+            at = np.minimum(np.searchsorted(bags[a], flat), sizes[a] - 1)
+            shared = np.add.reduceat((bags[a][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
+            for b in part[shared / (sizes[a] + sizes[part] - shared) >= threshold].tolist():
+                if component[b] != component[a]:
+                    component[component == component[b]] = component[a]
+                    yield min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])
 
 
 def residual(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """Links between nodes of one bucket that are not yet in one component.
 
     Only buckets with several components are looked at.  A bucket's nodes are dealt into
-    blocks of about BLOCK_NODES, and every two blocks meet in a group of their own.  ``nodes`` has ``marks`` and ``keys``.
+    blocks of about BLOCK_NODES, and every two blocks meet in a group of their own.  ``nodes`` has ``keys``.
     """
     labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
@@ -263,7 +258,7 @@ def residual(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Data
 
     # A group is one key, so its rows are side by side in one partition; blocks bound how many they are.
     side_by_side = (dealt.join(known, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-                    .select("key", "i", "j", "own", "node", "root", "marks", "keys", "bag"))
+                    .select("key", "i", "j", "own", "node", "root", "keys", "bag"))
     return side_by_side.mapInArrow(run, "u binary, v binary").distinct()
 
 
