@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bagminhash, main_text, mixing, nearest, packing, quality, secrets, token_files, url_filter, warc
+from tidemark.llm import bagminhash, main_text, mixing, nearest, packing, quality, secrets, spelling, token_files, url_filter, warc
 from tidemark.llm.batches import small_batches
 from tidemark.session import scratch_folder
 
@@ -48,6 +48,7 @@ QUERIES |= {name: over_texts(run) for name, run in {
     "op1_mix": mixing.query, "op2_warc": op2_warc, "op3_pack": op3_pack, "op4_quality": quality.query,
     "op5_main_text": main_text.query, "op6_token_files": op6_token_files, "op7_url_filter": url_filter.query,
     "op8_nearest": nearest.query, "op9_near_duplicates": bagminhash.query, "op10_secrets": secrets.query,
+    "op11_spelling_groups": spelling.query,
     "pipeline": corpus_pipeline.run,
 }.items()}
-ORACLE |= {"op1_mix": mixing.QUERY_SQL, "op2_warc": warc.QUERY_SQL, "op7_url_filter": url_filter.QUERY_SQL}
+ORACLE |= {"op1_mix": mixing.QUERY_SQL, "op2_warc": warc.QUERY_SQL, "op7_url_filter": url_filter.QUERY_SQL, "op11_spelling_groups": spelling.QUERY_SQL}
