@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bagminhash, language, main_text, mixing, nearest, packing, quality, secrets, spelling, token_files, url_filter, warc
+from tidemark.llm import alignment, bagminhash, language, main_text, mixing, nearest, packing, quality, secrets, spelling, token_files, url_filter, warc
 from tidemark.llm.batches import small_batches
 from tidemark.session import scratch_folder
 
@@ -49,6 +49,7 @@ QUERIES |= {name: over_texts(run) for name, run in {
     "op5_main_text": main_text.query, "op6_token_files": op6_token_files, "op7_url_filter": url_filter.query,
     "op8_nearest": nearest.query, "op9_near_duplicates": bagminhash.query, "op10_secrets": secrets.query,
     "op11_spelling_groups": spelling.query,
+    "op12_alignment": alignment.query,
     "op13_language": language.query,
     "pipeline": corpus_pipeline.run,
 }.items()}

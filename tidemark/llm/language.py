@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 ORDERS = (1, 2, 3, 4)
 SLOTS, SEGMENT, HASHES = 1 << 22, 1 << 16, 4
 LEAST_SHARE, OF_BEST = 1e-5, 0.2
@@ -144,7 +146,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", orders: Sequenc
     not make it theirs.  ``size`` slots (a power of two) hold all languages; the driver gets these and one row per
     language, no more for more texts.  Without a labelled text no language is learnt.
     """
-    counts = sequence_counts(docs, lang, text, orders)
+    counts = cut_lineage(sequence_counts(docs, lang, text, orders))  # used three times, read from the texts once
     names = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not names:
         return LanguageFilters([], [], hashes)

@@ -1,20 +1,22 @@
-"""Token ids of whole texts by a public tokenizer file, remembered by word and by space-led unit."""
+"""Token ids of whole texts by a public tokenizer file, remembered by space-led unit."""
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import regex
 
 END_ID = 0
 KEPT_UNITS = 250_000
-WORDS_A_CALL = 2_000
+AGING_CHARS = 16_000_000
+UNITS_A_CALL = 500
 
-# Fixed value: how byte-level tokenizers of this family cut a text into words before merging.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Letters that every version of Unicode knows, and signs that are neither letters, digits nor white space.
+WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def default_path() -> str:
@@ -27,6 +29,8 @@ def load_tokenizer(path: str):
     """The tokenizer of a file; a special token written out in a text has its own id, as the library gives it."""
     from tokenizers import Tokenizer
 
+    # A task has one core; threads of the library would only wait for each other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Tokenizer.from_file(path)
 
 
@@ -37,197 +41,170 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Runs:
-    """Values in runs of different size, one after the other; starts with ``empty`` runs of none."""
-
-    def __init__(self, empty: int):
-        self.values, self.starts = np.zeros(0, np.uint32), np.zeros(empty + 1, np.int64)
-
-    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values = np.concatenate([self.values, values])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-
-    def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values of these runs in order, place of each run's first value and the end)."""
-        first, sizes = self.starts[runs], self.starts[runs + 1] - self.starts[runs]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return self.values[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])], ends
-
-
-class _Units(dict):
-    """Code of each piece seen between spaces; 0 marks a piece that may not end a unit."""
-
-    def __init__(self, lead: str, owner: Encoder):
-        self.lead, self.owner = lead, owner
-
-    def __missing__(self, piece: str) -> int:
-        code = 0 if not piece or piece[-1].isspace() else self.owner.unit(self.lead, piece)
-        self[piece] = code
-        return code
+def whole_units(pieces: Sequence[str]) -> list[str]:
+    """Pieces between spaces, put together again where a cut would part white space: behind a unit's last character,
+    which is not white space, the next unit begins with its space; the last unit may end in white space."""
+    units, opened = [], None
+    for piece in pieces:
+        opened = piece if opened is None else f"{opened} {piece}"
+        if piece and not piece[-1].isspace():
+            units.append(opened)
+            opened = None
+    if opened is not None:
+        units.append(opened)
+    return units
+
+
+class Aging(dict):
+    """Values by unit in two generations: once the young one holds ``size`` (or units of AGING_CHARS), it becomes the
+    old one, and what is asked for again moves over.  The empty value marks a piece that may not end a unit."""
+
+    def __init__(self, size: int):
+        self.size, self.old, self.chars = size, {}, 0
+
+    def age(self) -> None:
+        if len(self) > self.size or self.chars > AGING_CHARS:
+            self.old = dict(self)
+            self.clear()
+            self.chars = 0
+
+    def missing(self, asked: set[str]) -> list[str]:
+        """Which of ``asked``, none of them in the young generation, are to be learnt; the others move there."""
+        old, new = self.old.get, []
+        for unit in asked:
+            value = old(unit)
+            if value is not None:
+                self[unit] = value
+            elif unit and not unit[-1].isspace():
+                new.append(unit)
+            else:
+                self[unit] = b""
+        self.chars += sum(map(len, new))
+        return new
 
 
 class Encoder:
     """Ids of many texts, the same as the tokenizer's own for each whole text.
 
-    A byte-level tokenizer cuts a text into words and merges inside each word only,
-    and a white-space run never continues a word.  So a text may be cut before
-    every space behind a character that is not white space, and such a unit into
-    its words.  Units and words repeat, so their ids are kept: about ``kept`` units,
-    then those that came only once are forgotten.  A special token in a text is cut
-    out first, and what stands on either side is encoded for itself, as the library
-    does.  Files of another kind get no such help.
+    A byte-level tokenizer cuts a text into words and merges inside each word only, and a white-space run never
+    continues a word.  So a text may be cut before every space behind a character that is not white space.  Such units
+    repeat, so their ids are kept, about twice ``kept`` of them; new ones are encoded as one long text and told apart by
+    the bytes of their tokens.  A special token in a text is cut out first, and what stands on either side is encoded
+    for itself, as the library does; with ``special`` off it is ordinary text.  Files of another kind get no such help.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_UNITS):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, kept: int = KEPT_UNITS, special: bool = True):
+        from tokenizers import pre_tokenizers
 
-        # A task has one core; threads of the library would only wait for each other.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.kept = load_tokenizer(path), kept
+        self.tokenizer = load_tokenizer(path)
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         added = kind.get("added_tokens", ())
         simple = all(t.get("special") and t["content"].isascii() and not any(map(str.isspace, t["content"]))
                      and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
-        self.plain = (not added or not simple or kind.get("normalizer") is not None or kind.get("post_processor") is not None
+        self.plain = (not simple or kind.get("normalizer") is not None or kind.get("post_processor") is not None
                       or (kind.get("pre_tokenizer") or {}).get("type") != "ByteLevel"
                       or kind["pre_tokenizer"].get("add_prefix_space", True))
-        self.marks = {} if self.plain else {t["content"]: t["id"] for t in added}
-        if not self.plain:  # texts are cut at special tokens, so no word holds one: it stands between words
-            self.mark, self.mark_id = next(iter(self.marks.items()))
-            self.cut = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.marks, key=len, reverse=True)))})")
-        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.pattern = regex.compile(WORD)
-        self.words_only = Tokenizer.from_file(path)  # gets words in byte letters, set apart by spaces
+        if self.plain:
+            return
+        self.marks = {t["content"]: t["id"] for t in added} if special else {}
+        self.cut = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.marks, key=len, reverse=True)))})") if self.marks else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: a letter stands for a byte
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        self.words_only = load_tokenizer(path)  # gets words in byte letters, set apart by spaces
         self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.clear()
-
-    def clear(self) -> None:
-        self.inner, self.first = _Units(" ", self), _Units("", self)
-        # The special tokens are the first words, and the units behind unit 0.
-        self.word_codes: dict[str, int] = {mark: i for i, mark in enumerate(self.marks)}
-        self.new_words: list[str] = []
-        self.new_units: list[int] = []  # words of the units not yet laid out, and how many each has
-        self.new_sizes: list[int] = []
-        n = len(self.marks)
-        self.n_units = n + 1  # unit 0 has no words
-        self.words, self.ids = _Runs(1), _Runs(0)
-        self.words.add(np.arange(n, dtype=np.uint32), np.ones(n, np.int64))
-        self.ids.add(np.array([*self.marks.values()], np.uint32), np.ones(n, np.int64))
-        self.times = np.zeros(n + 1, np.int64)  # how often each unit came since the last time some were forgotten
-
-    def forget(self) -> None:
-        """Keep the special tokens, the units that came more than once, and their words."""
-        n = len(self.marks)
-        keep = np.union1d(np.arange(1, n + 1), np.flatnonzero(self.times > 1))
-        if len(keep) > self.kept // 2:
-            keep = keep[:n]
-        codes = np.zeros(self.n_units, np.int64)
-        codes[keep] = np.arange(1, len(keep) + 1)
-        for table in (self.inner, self.first):
-            own = [(piece, int(codes[code])) for piece, code in table.items() if codes[code]]
-            table.clear()
-            table.update(own)
-        words, ends = self.words.take(keep)
-        used, words = np.unique(words, return_inverse=True)
-        word_codes = np.full(len(self.word_codes), -1)
-        word_codes[used] = np.arange(len(used))
-        self.word_codes = {w: int(word_codes[c]) for w, c in self.word_codes.items() if word_codes[c] >= 0}
-        ids, id_ends = self.ids.take(used)
-        self.words, self.ids = _Runs(1), _Runs(0)
-        self.words.add(words.astype(np.uint32), np.diff(ends))
-        self.ids.add(ids, np.diff(id_ends))
-        self.n_units = len(keep) + 1
-        self.times = np.zeros(self.n_units, np.int64)
-
-    def word(self, word: str) -> int:
-        code = self.word_codes.get(word)
-        if code is None:
-            code = self.word_codes[word] = len(self.word_codes)
-            self.new_words.append(word)
-        return code
-
-    def unit(self, lead: str, piece: str) -> int:
-        if piece.isalpha():
-            words = (self.word(lead + piece),)
-        elif piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            words = (self.word(lead + piece[:-1]), self.word(piece[-1]))
-        else:
-            words = tuple(map(self.word, self.pattern.findall(lead + piece)))
-        self.new_units.extend(words)
-        self.new_sizes.append(len(words))
-        self.n_units += 1
-        return self.n_units - 1
-
-    def _learn(self) -> None:
-        """Encode the new words; lay out words and units."""
-        calls = [self.new_words[i:i + WORDS_A_CALL] for i in range(0, len(self.new_words), WORDS_A_CALL)]
-        joined = [f" {self.mark} ".join(w.encode().decode("latin-1").translate(self.letters) for w in c) for c in calls]
-        for call, out in zip(calls, self.words_only.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(out.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-            self.ids.add(np.delete(ids, cuts), sizes)
-        self.words.add(np.array(self.new_units, np.uint32), np.array(self.new_sizes, np.int64))
-        self.new_words, self.new_units, self.new_sizes = [], [], []
-
-    def _codes(self, text: str) -> list[int]:
-        if not any(mark in text for mark in self.marks):
-            return self._pieces(text)
-        return [code for i, part in enumerate(self.cut.split(text)) if part
-                for code in ((self.word_codes[part] + 1,) if i % 2 else self._pieces(part))]
-
-    def _pieces(self, text: str) -> list[int]:
-        head, *rest = text.split(" ")
-        codes = [self.first[head], *map(self.inner.__getitem__, rest)]
-        if 0 not in codes:
-            return codes
-        # A piece without a proper end is joined with what follows.
-        units, opened = [], None
-        for piece in (head, *rest):
-            opened = piece if opened is None else f"{opened} {piece}"
-            if piece and not piece[-1].isspace():
-                units.append(opened)
-                opened = None
-        if opened is not None:
-            units.append(opened)
-        tables = [self.first, *[self.inner] * (len(units) - 1)]
-        return [t[u] or self.unit(t.lead, u) for t, u in zip(tables, units, strict=True)]
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.space = byte_letters()[32]
+        self.inner, self.first = Aging(kept), Aging(kept)
+
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _told_apart(self, units: list[str], tokenizer, text, size) -> Iterator[bytes]:
+        """Ids of units that are encoded side by side; a unit ends where its bytes do."""
+        calls = [units[i:i + UNITS_A_CALL] for i in range(0, len(units), UNITS_A_CALL)]
+        for call, out in zip(calls, tokenizer.encode_batch_fast(list(map(text, calls)), add_special_tokens=False), strict=True):
+            ids = np.array(out.ids, "<u4")
+            ends = np.cumsum(np.fromiter(map(size, call), np.int64, len(call)))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+            yield from map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new units behind a space.  A word of letters is encoded without cutting, one with signs behind it as
+        the word and the signs."""
+        words, others, signed = {}, [], []
+        for unit in self.inner.missing(pieces):
+            match = WORD_AND_SIGNS(unit)
+            if not match:
+                others.append(unit)
+                continue
+            word, signs = match.groups()
+            if signs:
+                signed.append((unit, word, signs))
+            if word not in self.inner:
+                words[word] = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        self.inner.update(zip(words, self._told_apart(list(words.values()), self.words_only, " ".join, len), strict=True))
+        self.inner.update(zip(others, self._told_apart(
+            others, self.tokenizer, lambda c: f" {' '.join(c)}", lambda u: len(u.encode()) + 1), strict=True))
+        self._learn_first({s for _, _, s in signed if s not in self.first})
+        self.inner.update((unit, self.inner[word] + self.first[signs]) for unit, word, signs in signed)
+
+    def _learn_first(self, heads: set[str]) -> None:
+        new = self.first.missing(heads)
+        self.first.update(zip(new, (ids.tobytes() for ids in self._ids(new)), strict=True))
+
+    def _joined(self, parts: Sequence[list[str]]) -> list[bytes]:
+        """Ids of texts without special tokens, each cut at its spaces."""
+        self.inner.age()
+        self.first.age()
+        heads = [p.pop(0) for p in parts]
+        self._learn_first({h for h in heads if h not in self.first})
+        get = self.inner.get
+        values = [list(map(get, p)) for p in parts]
+        gaps = [i for i, v in enumerate(values) if None in v]
+        self._learn({u for i in gaps for u, v in zip(parts[i], values[i], strict=True) if v is None})
+        for i in gaps:
+            values[i] = [get(u) if v is None else v for u, v in zip(parts[i], values[i], strict=True)]
+        return [self._uneven([h, *p]) if not self.first[h] or b"" in v else b"".join([self.first[h], *v])
+                for h, p, v in zip(heads, parts, values, strict=True)]
+
+    def _uneven(self, pieces: list[str]) -> bytes:
+        head, *rest = whole_units(pieces)
+        tail = []
+        if rest and (not rest[-1] or rest[-1][-1].isspace()):
+            tail = [f" {rest.pop()}"]
+        self._learn({u for u in rest if u not in self.inner})
+        ends = self._ids([head, *tail])
+        return b"".join([ends[0].tobytes(), *map(self.inner.__getitem__, rest), *(t.tobytes() for t in ends[1:])])
+
+    def behind_space(self, units: Sequence[str]) -> list[np.ndarray]:
+        """Ids of each unit with its space in front, for files that are not ``plain``."""
+        self.inner.age()
+        self._learn({u for u in units if u not in self.inner})
+        odd = {u for u in units if not self.inner[u]}  # white space at the end
+        alone = dict(zip(odd, self._ids([f" {u}" for u in odd]), strict=True))
+        return [alone[u] if u in alone else np.frombuffer(self.inner[u], "<u4") for u in units]
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, END_ID behind each; place of each text's first id, and the end)."""
         if self.plain:
-            found = [e.ids for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-            sizes = np.array([len(f) + 1 for f in found], np.int64)
-            ids = np.fromiter((i for f in found for i in (*f, END_ID)), np.uint32, int(sizes.sum()))
-            return ids, np.concatenate([[0], np.cumsum(sizes)])
-        if self.n_units > self.kept:
-            self.forget()
-        codes, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = self._codes(text)
-                codes.append(np.array(own, np.int64))
-                counts[i] = len(own)
-        if self.new_units or self.new_words:
-            self._learn()
-        units = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        came = np.bincount(units, minlength=self.n_units)
-        came[:len(self.times)] += self.times
-        self.times = came
-        words, word_ends = self.words.take(units)
-        ids, id_ends = self.ids.take(words)
-        bounds = id_ends[word_ends[np.concatenate([[0], np.cumsum(counts)])]]
-        out_bounds = bounds + np.arange(len(bounds))
-        out = np.full(int(out_bounds[-1]), END_ID, np.uint32)
-        place = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        out[np.arange(len(ids)) + place] = ids
-        return out, out_bounds
-
-
-def crc32s(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Unsigned crc32 of each range of little-endian unsigned 32-bit ids."""
-    import zlib
-
-    data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
-    return np.array([zlib.crc32(data[4 * a:4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.int64)
+            found = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        else:
+            found = self._by_unit(texts)
+        end = np.array([END_ID], "<u4").tobytes()
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter((len(f) // 4 + 1 for f in found), np.int64, len(found)))])
+        return np.frombuffer(b"".join(x for f in found for x in (f, end)), "<u4"), bounds
+
+    def _by_unit(self, texts: Sequence[str | None]) -> list[bytes]:
+        marked = {i: self.cut.split(t) for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
+        parts = [t.split(" ") for i, t in enumerate(texts) if t and i not in marked]
+        parts += [p.split(" ") for split in marked.values() for p in split[::2] if p]
+        done = iter(self._joined(parts))
+        found = [next(done) if t and i not in marked else b"" for i, t in enumerate(texts)]
+        for i, split in marked.items():
+            found[i] = b"".join(np.array([self.marks[p]], "<u4").tobytes() if k % 2 else next(done)
+                                for k, p in enumerate(split) if p)
+        return found
