@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import retrieval as R
+from tidemark.operators import vectors as V
 
 VECTOR = "vec_id BIGINT, embedding ARRAY<DOUBLE>"
 
@@ -19,25 +20,93 @@ def test_cut_is_strict(spark):
     assert [(h.vec_id, h.score, h["rank"]) for h in hits] == [(0, 1.0, 1), (2, 0.8, 2)]
 
 
-@pytest.mark.parametrize("block", [100, 3])
-def test_brute_force(spark, block):
-    rng = np.random.default_rng(3)
-    vectors = rng.normal(size=(2500, 6))
-    vectors[50:90] = vectors[7]  # a group of copies: ties go to the smaller id
-    wanted = np.vstack([vectors[7], rng.normal(size=(6, 6))])
-    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], VECTOR).repartition(5)
-    hits = R.vector_top_k(queries(spark, [(i, q.tolist()) for i, q in enumerate(wanted)]), corpus, 5, 0.4, block=block, corpus_block=900).collect()
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def brute(vectors, wanted, k, cut):
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    out = {}
     for i, q in enumerate(wanted):
-        scores = np.round(unit @ (q / np.linalg.norm(q)), 9)
-        best = [j for j in np.lexsort((np.arange(len(scores)), -scores))[:5] if scores[j] > 0.4]
-        assert [h.vec_id for h in sorted((h for h in hits if h.query_id == i), key=lambda h: h["rank"])] == best
+        scores = np.round(unit @ (q / max(np.linalg.norm(q), 1e-300)), 9)
+        out[i] = [(int(j), float(scores[j])) for j in np.lexsort((np.arange(len(scores)), -scores))[:k] if scores[j] > cut]
+    return out
+
+
+def by_query(hits, n):
+    rows = hits.collect()
+    assert all(r["rank"] >= 1 for r in rows)
+    return {i: [(h.vec_id, h.score) for h in sorted((h for h in rows if h.query_id == i), key=lambda h: h["rank"])] for i in range(n)}
 
 
-def test_no_queries(spark):
-    corpus = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], VECTOR)
-    assert [h.vec_id for h in R.vector_top_k(queries(spark, [(1, [1.0, 0.0]), (2, None)]), corpus).collect()] == [0]
-    assert R.vector_top_k(queries(spark, [(1, [1.0, 0.0])]).limit(0), corpus).isEmpty()
+@pytest.fixture(scope="module")
+def clustered():
+    """Clusters of different spread, a group of copies (ties go to the smaller id) and one far row."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6))
+    vectors = np.concatenate([c + rng.normal(size=(200, 6)) * s for c, s in zip(centres, np.linspace(0.01, 0.6, 12), strict=True)])
+    vectors[50:90] = vectors[7]
+    vectors[500] = 0
+    wanted = np.vstack([vectors[7], centres[:5], rng.normal(size=(6, 6)), -centres[0], np.zeros(6)])
+    return vectors, wanted
+
+
+def frames(spark, vectors, wanted):
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], VECTOR).repartition(5)
+    return queries(spark, [(i, q.tolist()) for i, q in enumerate(wanted)]), corpus
+
+
+@pytest.mark.parametrize(("limit", "cut"), [(1 << 20, 0.4), (300, 0.4), (1 << 20, -2.0)])
+def test_brute_force(spark, clustered, limit, cut):
+    vectors, wanted = clustered
+    asked, corpus = frames(spark, vectors, wanted)
+    assert by_query(R.vector_top_k(asked, corpus, 5, cut, query_bytes=limit), len(wanted)) == brute(vectors, wanted, 5, cut)
+
+
+@pytest.mark.parametrize(("limit", "cut", "k"), [(1 << 20, 0.4, 5), (300, 0.9, 3), (1 << 20, -2.0, 250)])
+def test_index_gives_the_same_rows(spark, clustered, tmp_path, limit, cut, k):
+    vectors, wanted = clustered
+    asked, corpus = frames(spark, vectors, wanted)
+    V.write_index(corpus, f"{tmp_path}/index", cells=20)
+    found = V.Index(spark, f"{tmp_path}/index").search(asked, k, cut, query_bytes=limit)
+    assert by_query(found.hits, len(wanted)) == brute(vectors, wanted, k, cut)
+    work = found.work.collect()
+    assert len(work) == len(wanted) and all(w.rows == len(vectors) and w.rows_read <= w.rows for w in work)
+    if k < 10:  # a query inside a tight cluster opens a few cells only
+        assert next(w for w in work if w.query_id == 1).cells_read <= 5
+        assert sum(w.rows_read for w in work) < 0.6 * sum(w.rows for w in work)
+
+
+def test_index_work_grows_less_than_the_corpus(spark, tmp_path):
+    """Ten times the rows, with cells in proportion: a query reads a smaller share."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 8))
+    shares = []
+    for n in (1_000, 10_000):
+        vectors = centres[rng.integers(0, 300, n)] + rng.normal(size=(n, 8)) * 0.05
+        asked, corpus = frames(spark, vectors, centres[:20])
+        V.write_index(corpus, f"{tmp_path}/{n}", cells=n // 50)
+        found = V.Index(spark, f"{tmp_path}/{n}").search(asked, 3, 0.5)
+        assert by_query(found.hits, 20) == brute(vectors, centres[:20], 3, 0.5)
+        shares.append(sum(w.rows_read for w in found.work.collect()) / (20 * n))
+    assert shares[1] < 0.5 * shares[0]
+
+
+def test_scan_leaves_the_corpus_in_place(spark, tmp_path):
+    asked, corpus = frames(spark, np.eye(6), np.eye(6)[:2])
+    corpus.write.parquet(f"{tmp_path}/corpus")
+    plan = R.vector_top_k(asked, spark.read.parquet(f"{tmp_path}/corpus"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "ReadSchema: struct<vec_id:bigint,embedding:array<double>>" in below
+
+
+def test_odd_vectors_take_no_part(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    corpus = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 0.0]), (6, []),
+                                    (None, [1.0, 0.0]), (7, [1.0, 0.0, 0.0])], VECTOR)
+    asked = queries(spark, [(1, [1.0, 0.0]), (2, None), (3, [nan, 0.0]), (4, [1.0]), (None, [1.0, 0.0]), (5, [])])
+    assert sorted((h.query_id, h.vec_id) for h in R.vector_top_k(asked, corpus).collect()) == [(1, 0), (4, 2)]
+    assert R.vector_top_k(asked.limit(0), corpus).isEmpty() and R.vector_top_k(asked, corpus.limit(0)).isEmpty()
+    V.write_index(corpus.filter("vec_id in (0, 1, 3, 4, 5) or vec_id is null"), f"{tmp_path}/one")
+    assert [(h.query_id, h.vec_id) for h in V.Index(spark, f"{tmp_path}/one").search(asked, 5, 0.6).hits.collect()] == [(1, 0)]
+    V.write_index(corpus.limit(0), f"{tmp_path}/none")
+    assert V.Index(spark, f"{tmp_path}/none").search(asked, 5, 0.6).hits.isEmpty()
 
 
 def test_usable_results(spark):

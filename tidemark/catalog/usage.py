@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import inputs as I
 from tidemark.catalog.registry import query
-from tidemark.operators import retrieval, usage
+from tidemark.operators import retrieval, usage, vectors
+from tidemark.session import scratch_folder
 from tidemark.sources.files import table
 
 SUMS = """CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
@@ -113,6 +114,14 @@ def vector_top_k(spark, folder):
     return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("vector_index_top_k", VECTOR_SQL.format(k=5, cut=0.25))
+def vector_index_top_k(spark, folder):
+    stored = scratch_folder(spark, "vectors")
+    vectors.write_index(table(spark, folder, "embeddings"), stored)
+    hits = vectors.Index(spark, stored).search(_centroids(spark, folder), 5, 0.25).hits
+    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("usable_results", "WITH usable AS (" + I.CTE["usable"] + ") SELECT query_id, rank, index, text FROM usable")
 def usable_results(spark, folder):
     docs = retrieval.usable_results(I.search_results(spark, folder))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip
+from tidemark.operators import vectors
 from tidemark.operators.facts import first_n
 
 # Score cuts, limits and separators of the retrieval rules.
@@ -34,10 +31,6 @@ CONTEXT_PREFIX = {"qdrant": "Internal Knowledge:\n", "web": "Web Search Context:
 CONTEXT_TURN = "Context for my next question:\n"
 CONTEXT_REPLY = "Understood. I will use that context. What is your question?"
 
-QUERY_BLOCK = 4_096
-CORPUS_BLOCK = 65_536
-VECTOR_ROWS = 1_024
-SCORE_DIGITS = 9
 MESSAGE = "array<struct<role:string,content:string>>"
 
 
@@ -59,50 +52,13 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_VECTORS, cut: float = VECTOR_CUT,
-                 block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
-    """Exact nearest corpus vectors per query: (query_id, vec_id, score, rank), score above ``cut``.
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_VECTORS, cut: float = VECTOR_CUT, **options) -> DataFrame:
+    """Exact nearest corpus vectors per query: (query_id, vec_id, score, rank), score above ``cut``; one scan of the
+    corpus, see ``vectors.top_k_by_scan``.  ``vectors.Index`` answers from a stored corpus without reading all of it.
 
-    Queries and corpus are dealt into blocks by a hash of their ids, and each pair of blocks is one group, which
-    multiplies the two matrices piece by piece and keeps the best ``k`` per query: at most k rows
-    per query and corpus block are shuffled, and no pair is ever written out.  Rows without a vector take no
-    part.  Cutting before ranking gives the same rows as ranking before cutting, and less to shuffle.
+    Cutting before ranking gives the same rows as ranking before cutting, and less to shuffle.
     """
-    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
-    rows = corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL")
-    parts, blocks = max(1, math.ceil(asked.count() / block)), max(1, math.ceil(rows.count() / corpus_block))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("_part", dealt("query_id", parts)).withColumn("_block", every(blocks)).groupBy("_block", "_part")
-    right = rows.withColumn("_block", dealt("vec_id", blocks)).withColumn("_part", every(parts)).groupBy("_block", "_part")
-
-    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        query_ids, wanted = asked["query_id"].to_numpy(), _unit(np.stack(asked["embedding"]).astype(np.float64))
-        kept = np.zeros((3, 0))  # place of the query, place of the row, score
-        for at in range(0, len(rows), VECTOR_ROWS):
-            vectors = _unit(np.stack(rows["embedding"].iloc[at:at + VECTOR_ROWS]).astype(np.float64))
-            # Rounded, so that equal vectors tie and the smaller id comes first.
-            scores = np.round(wanted @ vectors.T, SCORE_DIGITS)
-            keep = scores > cut
-            if scores.shape[1] > k:
-                keep &= scores >= np.partition(scores, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
-            row, column = np.nonzero(keep)
-            kept = np.concatenate([kept, [row, column + at, scores[row, column]]], axis=1)
-            ids = rows["vec_id"].to_numpy()[kept[1].astype(np.int64)]
-            kept = kept[:, np.lexsort((ids, -kept[2], kept[0]))]
-            kept = kept[:, np.arange(kept.shape[1]) - np.searchsorted(kept[0], kept[0]) < k]
-        return pd.DataFrame({"query_id": query_ids[kept[0].astype(np.int64)], "score": kept[2],
-                             "vec_id": rows["vec_id"].to_numpy()[kept[1].astype(np.int64)]})
-
-    found = left.cogroup(right).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
-    return top_k(found, k)
-
-
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(size == 0, 1, size)
+    return vectors.top_k_by_scan(queries, corpus, k, cut, **options)
 
 
 def usable_results(results: DataFrame) -> DataFrame:
