@@ -74,6 +74,46 @@ def test_alert_logs(spark):
     assert {r[0]: r[4] for r in plain} == by_brute
 
 
+def test_alert_logs_of_equal_lines(spark):
+    """Lines that share time and number, equal lines and lines without a number: each is given once."""
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    rows_ = [("p", 100, 1, "B"), ("p", 100, 1, "A"), ("p", 100, None, "C"), ("p", 50, 7, "same"), ("p", 50, 7, "same"), ("p", 50, 7, "same"),
+             (None, 60, 1, "no pod"), ("p", None, 1, "no time"), ("p", 60, 2, None), ("p", -4000, 1, "too old"), ("p", 200, 1, "too new"), ("q", 100, 1, "other")]
+    lines = spark.createDataFrame(rows_, "pod string, s bigint, seq bigint, line string").select(
+        "pod", F.lit("n").alias("namespace"), F.timestamp_seconds("s").alias("ts"), "seq", "line")
+    alerts = spark.createDataFrame([(1, "p"), (2, "p"), (3, None), (4, "silent")], "alert_id bigint, pod string").select(
+        "alert_id", "pod", F.lit("n").alias("namespace"), F.when(F.col("alert_id") == 2, at(99)).otherwise(at(101)).alias("ts"))
+    got = {r.alert_id: (r.n_lines, r.log_text) for r in logs.alert_logs(alerts, lines, n=50).collect()}
+    assert got[1][0] == 7 and sorted(got[1][1].split("\n")) == ["A", "B", "C", "same", "same", "same"]
+    assert got[1][1].startswith("same\nsame\nsame\nC\n")
+    assert got[2] == (4, "same\nsame\nsame") and got[3] == (0, logs.NO_LOGS) and got[4] == (0, logs.NO_LOGS)
+    two = {r.alert_id: (r.n_lines, r.log_text) for r in logs.alert_logs(alerts, lines, n=2).collect()}
+    assert two[1][1] == "\n".join(got[1][1].split("\n")[-2:]) and two[2] == (2, "same")
+
+
+def test_hours_without_alerts_are_not_numbered(spark, tmp_path):
+    """The semi-join on pod and hour stands right above the scan, below the numbering."""
+    hours = spark.range(0, 480).select(F.lit("p").alias("pod"), F.lit("n").alias("namespace"), F.timestamp_seconds(F.col("id") * 900).alias("ts"),
+                                       F.col("id").alias("seq"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("line"))
+    hours.write.parquet(f"{tmp_path}/logs")
+    alerts = spark.createDataFrame([(1, "p", "n", 36_000), (2, "p", "n", 36_500), (3, "p", "n", 360_000)], "alert_id bigint, pod string, namespace string, s bigint")
+    alerts = alerts.select("alert_id", "pod", "namespace", F.timestamp_seconds("s").alias("ts"))
+    assert sorted(r.hour for r in logs.hours_seen(alerts, 1).collect()) == [9, 10, 99, 100]
+    seen = []
+    real = logs.prefix_scan
+
+    def counting(df, *args, **options):
+        seen.append(df.filter("kind = 0").count())
+        return real(df, *args, **options)
+
+    logs.prefix_scan = counting
+    try:
+        got = {r.alert_id: r.log_text for r in logs.alert_logs(alerts, spark.read.parquet(f"{tmp_path}/logs")).collect()}
+    finally:
+        logs.prefix_scan = real
+    assert seen == [16] and got == {1: "l36\nl37\nl38\nl39\nl40", 2: "l37\nl38\nl39\nl40", 3: "l396\nl397\nl398\nl399\nl400"}
+
+
 def test_partial_lines(spark):
     pieces = spark.range(300).select(
         F.when(F.col("id") % 3 < 2, "hot").otherwise("cold").alias("pod"), "id",

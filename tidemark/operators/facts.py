@@ -99,19 +99,28 @@ def with_prefixes(facts: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.slice("path", F.lit(1), i))))
 
 
-def drop_overwritten(facts: DataFrame) -> DataFrame:
+def kind_marks(facts: DataFrame) -> DataFrame:
+    """Per path the last ``seq`` of a scalar, of a list item and of anything below it."""
+    seen = facts.select("path", "kind", "seq").unionByName(
+        with_prefixes(facts).select(F.col("prefix").alias("path"), F.lit("branch").alias("kind"), "seq"))
+    last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
+    return seen.groupBy("path").agg(last("scalar").alias("_scalar"), last("list").alias("_list"), last("branch").alias("_branch"))
+
+
+def merge_marks(marks: DataFrame) -> DataFrame:
+    """Marks of several sets of facts as those of all of them."""
+    return marks.groupBy("path").agg(*[F.max(c).alias(c) for c in ("_scalar", "_list", "_branch")])
+
+
+def drop_overwritten(facts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Remove facts that a later partial result replaced by a value of another kind.
 
     A scalar replaces a list or a whole branch of the same path and the other way round;
     list items are kept from the last such change on.  Only paths seen with two kinds can
-    lose facts, so only these (few as a rule) are looked up.
+    lose facts, so only these (few as a rule) are looked up.  ``marks`` may be those of more facts than are given.
     """
-    seen = facts.select("path", "kind", "seq").unionByName(
-        with_prefixes(facts).select(F.col("prefix").alias("path"), F.lit("branch").alias("kind"), "seq"))
-    last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
-    mixed = seen.groupBy("path").agg(
-        last("scalar").alias("_scalar"), last("list").alias("_list"), last("branch").alias("_branch"),
-        F.count_distinct("kind").alias("_kinds")).filter("_kinds > 1").drop("_kinds")
+    kinds = sum((F.col(c).isNotNull().cast("int") for c in ("_scalar", "_list", "_branch")), F.lit(0))
+    mixed = (kind_marks(facts) if marks is None else marks).filter(kinds > 1)
     later = lambda column: F.coalesce(F.col(column) > F.col("seq"), F.lit(False))
     own = (facts.join(mixed, "path", "left")
            .filter(~later("_branch") & ~((F.col("kind") == "list") & later("_scalar"))

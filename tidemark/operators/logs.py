@@ -88,38 +88,55 @@ def needs_diagnosis(alerts: DataFrame) -> DataFrame:
     return alerts.filter("needs_diagnosis")
 
 
+def hours_seen(alerts: DataFrame, look_back_hours: int) -> DataFrame:
+    """``pod``, ``namespace``, ``hour`` (hours since 1970) of every hour that an alert's look-back touches."""
+    hour = F.floor(F.unix_seconds("ts") / 3_600)
+    return alerts.filter("ts IS NOT NULL").select("pod", "namespace", F.explode(F.sequence(hour - look_back_hours, hour)).alias("hour")).distinct()
+
+
 def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id: str = "alert_id",
                look_back_hours: int = LOOK_BACK_HOURS) -> DataFrame:
     """Newest ``n`` log lines of the alert's pod in the hours up to the alert, oldest first, as ``log_text``.
 
-    The first and last alert bound the time that is read of the log.  No alert is paired with all
-    lines of its pod: lines, alerts and the beginnings of their ranges are numbered together in
-    time order, without the text.  What an alert sees is then a range of line numbers, at most
-    ``n``; only these lines' texts are looked up.  ``alert_id`` names the key of an alert.
+    Lines are read only of the pods and hours that an alert looks back on.  No alert is paired with all lines of its
+    pod: lines, alerts and the beginnings of their ranges are numbered together in time order, without the text.  What
+    an alert sees is then a range of line numbers, at most ``n``; only these lines' texts are looked up.  Lines of one
+    instant come by ``seq`` (null first), then by a digest of the text; every line counts once, equal ones too.  A line
+    without pod, namespace or time belongs to no alert, and an alert without one of them sees none.  ``alert_id`` names
+    the key of an alert.
     """
     pod = ["pod", "namespace"]
-    ends = alerts.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-    first, last = (ends[0] or 0) - look_back_hours * 3_600_000_000, ends[1] or 0
-    near = (logs.filter((F.col("ts") >= F.timestamp_micros(F.lit(first))) & (F.col("ts") <= F.timestamp_micros(F.lit(last))))
-            .join(alerts.select(*pod).distinct(), pod, "left_semi"))
+    line = [*pod, "ts", "seq", "digest"]
+    hour = F.floor(F.unix_seconds("ts") / 3_600).alias("hour")
+    near = (logs.select(*pod, "ts", "seq", "line", hour).join(hours_seen(alerts, look_back_hours), [*pod, "hour"], "left_semi")
+            .withColumn("digest", F.unhex(F.md5(F.coalesce("line", F.lit(""))))).drop("hour"))
     none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
-    mark = lambda ts, kind: alerts.select(*pod, ts.alias("ts"), F.lit(kind).alias("kind"), none("seq", logs), alert_id)
+    mark = lambda ts, kind: alerts.select(*pod, ts.alias("ts"), F.lit(kind).alias("kind"), none("seq", near), none("digest", near), alert_id)
     began = F.col("ts") - F.make_interval(hours=F.lit(look_back_hours))
-    both = (near.select(*pod, "ts", F.lit(0).alias("kind"), "seq", none(alert_id, alerts))
-            .unionByName(mark(began, -1)).unionByName(mark(F.col("ts"), 1)))
+    # Equal lines are numbered one after the other and share one text.
+    times = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")
+    counted = near.groupBy(*line).agg(F.count(F.lit(1)).alias("times"))
+    both = (counted.select(*pod, "ts", F.lit(0).alias("kind"), "seq", "digest", none(alert_id, alerts), times)
+            .unionByName(mark(began, -1).withColumn("nth", F.lit(0))).unionByName(mark(F.col("ts"), 1).withColumn("nth", F.lit(0))))
     is_line = F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")
     # Lines and alerts both read the numbers, so they are written once.
-    numbered = cut_lineage(prefix_scan(both, pod, ["ts", "kind", "seq", alert_id], sums={"n_before": is_line}))
+    numbered = cut_lineage(prefix_scan(both, pod, ["ts", "kind", "seq", "digest", alert_id, "nth"], sums={"n_before": is_line}))
     at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n_before")))
     seen = (numbered.filter("kind <> 0").groupBy(*pod, alert_id).agg(at(1).alias("n_seen"), at(-1).alias("n_old"))
             .withColumn("n_first", F.greatest("n_old", F.col("n_seen") - n)))
     wanted = seen.filter("n_first < n_seen").withColumn("n_before", F.explode(F.sequence(F.col("n_first"), F.col("n_seen") - 1)))
-    lines = (numbered.filter("kind = 0").select(*pod, "ts", "seq", "n_before")
+    lines = (numbered.filter("kind = 0").select(*line, "n_before")
              .join(wanted.select(*pod, "n_before").distinct(), [*pod, "n_before"]))
-    texts = near.select(*pod, "ts", "seq", "line").join(lines, [*pod, "ts", "seq"]).select(*pod, "n_before", "line")
+    named = lines.select(*[F.col(c).alias(f"_{c}") for c in line], "n_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in line]
+    # One text per digest is enough, and only those that an alert sees leave the log.
+    found = (near.join(named.drop("n_before").distinct(), same, "left_semi").groupBy(*line).agg(F.first("line").alias("line")))
+    texts = found.join(named, same).select(*pod, "n_before", "line")
     joined = (wanted.join(texts, [*pod, "n_before"]).groupBy(*pod, alert_id)
               .agg(ordered_text(["n_before"], "line", "\n").alias("_text")))
-    return (seen.join(joined, [*pod, alert_id], "left")
+    # An alert without pod or namespace is a row all the same.
+    return (seen.join(joined.select(*[F.col(c).alias(f"_{c}") for c in (*pod, alert_id)], "_text"),
+                      on=[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*pod, alert_id)], how="left")
             .select(alert_id, *pod, (F.col("n_seen") - F.col("n_first")).alias("n_lines"),
                     F.coalesce("_text", F.lit(NO_LOGS)).alias("log_text")))
 

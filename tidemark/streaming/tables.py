@@ -1,7 +1,7 @@
 """Streams that keep tables up to date.
 
-Each micro-batch overwrites its own ``batch_id`` folder, so a batch that is run
-again after a failure replaces what it wrote before.
+A batch that is run again after a failure replaces what it wrote before: its own ``batch_id`` folder, or its entry in
+the generations of a table.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tidemark.operators.facts import drop_overwritten, merge_facts, with_prefixes
+from tidemark.operators.facts import drop_overwritten, kind_marks, merge_facts, merge_marks
 from tidemark.operators.logs import LOOK_BACK_HOURS, alert_logs, alert_view, diagnosis_prompt, needs_diagnosis
 from tidemark.operators.traces import flatten_traces, root_span_filter
-from tidemark.session import cut_lineage
 from tidemark.streaming import BATCH_SECONDS
+from tidemark.streaming.generations import FAN, Generations, Parts
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -71,20 +71,26 @@ def expire(spark: SparkSession, path: str, as_of: str, hours: int = 24) -> list[
 
 # --- feed --------------------------------------------------------------------
 
-def feed_updates(traces: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the newest state of each trace."""
+def newest_rows(parts: Parts) -> Parts:
+    """One row per trace: the one of its latest micro-batch, of several there the one of the latest time."""
+    rows = parts["rows"]
+    fields = [c for c in rows.columns if c != "trace_id"]
+    newest = rows.groupBy("trace_id").agg(F.max_by(F.struct(*fields), F.struct("batch_id", "ts")).alias("_r"))
+    return {"rows": newest.select("trace_id", "_r.*")}
+
+
+def feed_updates(traces: DataFrame, path: str, checkpoint: str, fan: int = FAN) -> DataStreamWriter:
+    """Keep the newest state of each trace; old batches are folded, a batch that is run again changes nothing."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(flatten_traces(root_span_filter(batch)), path, batch_id)
+        rows = flatten_traces(root_span_filter(batch)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        Generations(batch.sparkSession, path, newest_rows, fan).add(batch_id, newest_rows({"rows": rows}))
 
     return each_batch(traces, handle, checkpoint)
 
 
 def feed_view(spark: SparkSession, path: str) -> DataFrame:
     """One row per trace: the one of its latest micro-batch."""
-    rows = spark.read.parquet(path)
-    fields = [c for c in rows.columns if c not in ("trace_id", "batch_id")]
-    return (rows.groupBy("trace_id").agg(F.max_by(F.struct(*fields), F.struct("batch_id", "ts")).alias("_r"))
-            .select("trace_id", "_r.*"))
+    return Generations(spark, path, newest_rows).read()["rows"].drop("batch_id")
 
 
 # --- alerts ------------------------------------------------------------------
@@ -105,32 +111,24 @@ def alert_diagnoses(alerts: DataFrame, logs: Callable[[], DataFrame], path: str,
 
 # --- knowledge base ----------------------------------------------------------
 
-def fact_updates(facts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append facts and merge again the paths they touch, those above them and those below.
+def surviving_facts(parts: Parts) -> Parts:
+    """Facts that no later value of another kind replaces, and per path the last number of each kind ever seen.
 
-    A value of another kind replaces what a path or its branch held, so a batch also
-    writes which paths it looked at: one of them without rows is gone.
+    These numbers only grow, so a fact that is dropped once stays dropped whatever comes later, late facts included:
+    folding batches in any grouping gives what one merge of all facts gives.
     """
+    marks = merge_marks(parts["marks"])
+    return {"facts": drop_overwritten(parts["facts"], marks), "marks": marks}
+
+
+def fact_updates(facts: DataFrame, path: str, checkpoint: str, fan: int = FAN) -> DataStreamWriter:
+    """Keep a knowledge base: a batch reads and writes its own facts, and older ones only when folders are folded."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        write_batch(batch, f"{path}/facts", batch_id)
-        # A batch that is run again must not see the folders of later ones.
-        known = spark.read.parquet(f"{path}/facts").filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        paths = batch.select("path").distinct()
-        above = with_prefixes(paths).select(F.col("prefix").alias("path")).distinct()
-        # A leaf above a touched path stands or falls with all of its branch.
-        heads = paths.union(known.select("path").join(above, "path", "left_semi")).distinct()
-        below = with_prefixes(known.select("path").distinct()).join(
-            heads.withColumnRenamed("path", "prefix"), "prefix", "left_semi").select("path")
-        touched = cut_lineage(heads.union(below).distinct())
-        write_batch(merge_facts(drop_overwritten(known.join(touched, "path", "left_semi"))), f"{path}/merged", batch_id)
-        write_batch(touched, f"{path}/touched", batch_id)
+        Generations(batch.sparkSession, path, surviving_facts, fan).add(batch_id, surviving_facts({"facts": batch, "marks": kind_marks(batch)}))
 
     return each_batch(facts, handle, checkpoint)
 
 
 def merged_view(spark: SparkSession, path: str) -> DataFrame:
-    """The merged knowledge base: per path the rows of the last batch that touched it, if any."""
-    rows = spark.read.parquet(f"{path}/merged")
-    last = spark.read.parquet(f"{path}/touched").groupBy("path").agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(last, ["path", "batch_id"], "left_semi").drop("batch_id")
+    """The merged knowledge base of all batches so far."""
+    return merge_facts(Generations(spark, path, surviving_facts).read()["facts"])
