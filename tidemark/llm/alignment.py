@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -25,7 +26,7 @@ from tidemark.session import scratch_folder
 RADIX_BITS = 4
 RUN_RECORDS, BLOCK_RECORDS = 2_000_000, 32_768
 SHARD_BYTES = 64 << 20
-KEPT_UNITS = 150_000
+KEPT_UNITS, KEPT_IDS = 400_000, 100_000
 KEPT_CHARS = 16_000_000
 TIMES_BITS = 16
 ROWS_A_CALL = 256
@@ -40,6 +41,25 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Grown:
+    """Rows that are added to; the room for them doubles."""
+
+    def __init__(self, shape: tuple, kind=np.int64):
+        self.n, self.room = 0, np.zeros((1024, *shape), kind)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, rows: np.ndarray) -> None:
+        while self.n + len(rows) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.n:self.n + len(rows)] = rows
+        self.n += len(rows)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class Units:
     """Tokens, groups and links of space-led units.
 
@@ -50,7 +70,7 @@ class Units:
     def __init__(self, tokenizer: str, pieces: str):
         import sentencepiece
 
-        self.a, self.b = Encoder(tokenizer, special=False), sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.a, self.b = Encoder(tokenizer, KEPT_IDS, special=False), sentencepiece.SentencePieceProcessor(model_file=pieces)
         if self.a.plain:
             raise ValueError("the first tokenizer must be of the byte-level kind")
         letters = {c: b for b, c in byte_letters().items()}
@@ -69,8 +89,9 @@ class Units:
         self.codes: dict[str, int | None] = {}
         self.chars = 0
         self.texts: list[str] = []
-        self.numbers = np.zeros((0, 5), np.int64)  # tokens of a and of b, groups, links, 1 where bytes differ
-        self.pairs, self.starts = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # links of all units, and where each begins
+        self.numbers = Grown((5,))  # tokens of a and of b, groups, links, 1 where bytes differ
+        self.pairs, self.starts = Grown((), np.uint64), Grown(())  # links of all units, and where each unit's begin
+        self.starts.add(np.zeros(1, np.int64))
 
     def learn(self, pieces: Iterable[str]) -> None:
         new = []
@@ -87,34 +108,50 @@ class Units:
         self.chars += sum(map(len, units))
         own_a = self.a.behind_space(units)
         # An empty text gets no space in front; a text's last space is such a unit.
-        own_b = [np.array(x if u else [self.b.piece_to_id("▁")], np.int64) for u, x in zip(units, self.b.encode(units, num_threads=1), strict=True)]
-        same = np.array([b"".join(map(self.a_bytes.__getitem__, a.tolist())) == f" {u}".encode()
-                         == b"".join(map(self.b_bytes.__getitem__, b.tolist())) for u, a, b in zip(units, own_a, own_b, strict=True)])
-        none = np.zeros(0, np.int64)
-        own_a = [a.astype(np.int64) if s else none for a, s in zip(own_a, same, strict=True)]
-        own_b = [b if s else none for b, s in zip(own_b, same, strict=True)]
-        a, b = np.concatenate(own_a), np.concatenate(own_b)
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (own_a, own_b))
+        own_b = [x or [self.b.piece_to_id("▁")] for x in self.b.encode(units, num_threads=1)]
+        whole = [f" {u}".encode() for u in units]
+        n_a = np.fromiter(map(len, own_a), np.int64, len(units)) // 4
+        n_b = np.fromiter(map(len, own_b), np.int64, len(units))
+        a = np.frombuffer(b"".join(own_a), "<u4").astype(np.int64)
+        b = np.fromiter(itertools.chain.from_iterable(own_b), np.int64, int(n_b.sum()))
+        sizes = np.fromiter(map(len, whole), np.int64, len(units))
+        same = self._same(a, n_a, self.a_bytes, self.a_sizes, whole, sizes) & self._same(b, n_b, self.b_bytes, self.b_sizes, whole, sizes)
+        if not same.all():  # such units have no tokens
+            a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
+            n_a, n_b, sizes = n_a * same, n_b * same, sizes * same
         # Every stretch between two neighbouring ends lies in one token of each side, and each overlap is one stretch.
-        ends = np.union1d(a_ends, b_ends)
-        at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        both = np.intersect1d(a_ends, b_ends)
-        last = np.concatenate([[0], a_ends])[np.cumsum(n_a)]  # byte where each unit ends
-        n_links = np.diff(np.searchsorted(ends, last, "right"), prepend=0)
-        n_groups = np.diff(np.searchsorted(both, last, "right"), prepend=0)
-        a_cuts, b_cuts = ([0, *(np.searchsorted(x, both) + 1).tolist()] for x in (a_ends, b_ends))
+        a_end, b_end = np.zeros((2, int(sizes.sum()) + 1), bool)
+        a_end[np.cumsum(self.a_sizes[a])] = True
+        b_end[np.cumsum(self.b_sizes[b])] = True
+        a_end[0] = b_end[0] = False
+        ends, both = a_end | b_end, a_end & b_end
+        a_before, b_before = np.cumsum(a_end) - a_end, np.cumsum(b_end) - b_end
+        stops = np.cumsum(sizes)
+        n_links = np.diff(np.cumsum(ends)[stops], prepend=0)
+        n_groups = np.diff(np.cumsum(both)[stops], prepend=0)
+        ends, both = np.flatnonzero(ends), np.flatnonzero(both)
         a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        a_cuts, b_cuts = ([0, *(x[both] + 1).tolist()] for x in (a_before, b_before))
         groups = [f"{','.join(a_names[i:j])}|{','.join(b_names[k:m])}" for i, j, k, m in zip(
             a_cuts[:-1], a_cuts[1:], b_cuts[:-1], b_cuts[1:], strict=True)]
         at = np.cumsum(n_groups).tolist()
         first = len(self.texts)
-        self.texts += [";".join(groups[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)]
-        self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, n_groups, n_links, ~same], axis=1).astype(np.int64)])
-        self.pairs = np.concatenate([self.pairs, (b[at_b].astype(np.uint64) << np.uint64(32)) | a[at_a].astype(np.uint64)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_links)])
+        self.texts += [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)]
+        self.numbers.add(np.stack([n_a, n_b, n_groups, n_links, ~same], axis=1).astype(np.int64))
+        self.starts.add(len(self.pairs) + np.cumsum(n_links))
+        self.pairs.add((b[b_before[ends]].astype(np.uint64) << np.uint64(32)) | a[a_before[ends]].astype(np.uint64))
         self.codes.update(zip(names, range(first, first + len(names)), strict=True))
 
+    @staticmethod
+    def _same(ids: np.ndarray, n: np.ndarray, table: list[bytes], sizes: np.ndarray, whole: list[bytes], want: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each unit are its bytes: all at once, and one by one only where they are not."""
+        ends = np.cumsum(n)
+        got = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[ends], prepend=0)
+        tokens = list(map(table.__getitem__, ids.tolist()))
+        if (got == want).all() and b"".join(tokens) == b"".join(whole):
+            return np.ones(len(whole), bool)
+        return np.array([b"".join(tokens[e - k:e]) == w for e, k, w in zip(ends.tolist(), n.tolist(), whole, strict=True)])
+
     def of(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Codes of the units of each text."""
         if len(self.codes) > KEPT_UNITS or self.chars > KEPT_CHARS:
@@ -298,10 +335,8 @@ def aligned(docs: DataFrame, doc_id: str, text: str, tokenizer: str, pieces: str
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """Rows by their first columns, which lie side by side; each group is to be read to its end."""
-    from itertools import groupby
-
     rows = ((tuple(c[i].as_py() for c in b.columns)) for b in batches for i in range(b.num_rows))
-    yield from groupby(rows, key=lambda r: r[:keys])
+    yield from itertools.groupby(rows, key=lambda r: r[:keys])
 
 
 def align(docs: DataFrame, tokenizer: str | None = None, pieces: str | None = None, doc_id: str = "doc_id",

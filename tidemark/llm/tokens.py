@@ -180,13 +180,14 @@ class Encoder:
         ends = self._ids([head, *tail])
         return b"".join([ends[0].tobytes(), *map(self.inner.__getitem__, rest), *(t.tobytes() for t in ends[1:])])
 
-    def behind_space(self, units: Sequence[str]) -> list[np.ndarray]:
+    def behind_space(self, units: Sequence[str]) -> list[bytes]:
         """Ids of each unit with its space in front, for files that are not ``plain``."""
         self.inner.age()
         self._learn({u for u in units if u not in self.inner})
-        odd = {u for u in units if not self.inner[u]}  # white space at the end
-        alone = dict(zip(odd, self._ids([f" {u}" for u in odd]), strict=True))
-        return [alone[u] if u in alone else np.frombuffer(self.inner[u], "<u4") for u in units]
+        found = list(map(self.inner.__getitem__, units))
+        if b"" in found:  # white space at the end
+            found = [f or self._ids([f" {u}"])[0].tobytes() for f, u in zip(found, units, strict=True)]
+        return found
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, END_ID behind each; place of each text's first id, and the end)."""
