@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import components
+from tidemark.llm.graph import add_links, components, forest_roots, gathered
 from tidemark.session import cut_lineage
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 8
 CHUNK_SHINGLES = 50_000
-BLOCK_NODES = 512
+BLOCK_BYTES = 8 << 20
 KEPT_WORDS = 100_000
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -179,86 +179,98 @@ def multiset_marks(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.sort(mix(np.repeat(elements, counts) + nth.astype(np.uint64) * np.uint64(GOLDEN)))
 
 
-def with_bags(texts: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            bags = [multiset_marks(shingles(t.as_py(), hashes, words)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["node", "bag"])
-            if len(hashes) > KEPT_WORDS:
-                hashes.clear()
-
-    return texts.select("node", "text").mapInArrow(run, "node binary, bag binary")
-
-
-def links_of(rows: list[tuple], i: int, j: int, key: int, threshold: float) -> Iterator[tuple[bytes, bytes]]:
-    """Links between different components among the nodes of blocks ``i`` and ``j`` of one bucket.
+def links_of(rows: list[tuple], marks: list[np.ndarray], i: int, j: int, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links between different components among the nodes of blocks ``i`` and ``j`` of one group.
 
-    ``rows``: (block, node, root, keys, bag).  Two nodes are compared in the first bucket that
-    both are in, and not once a link found here has joined their components, so a group gives
-    fewer links than it has nodes.  Bags are compared whole by 64-bit hashes, as in ``verified``;
-    only pairs whose sizes alone keep them below the threshold are left out.
+    ``rows``: (block, node, root, keys).  Two nodes are compared when they share a bucket, and not once a link found here
+    has joined their components, so a group gives fewer links than it has nodes.  Bags are compared whole by 64-bit
+    hashes, as in ``verified``; only pairs whose sizes alone keep them below the threshold are left out.
     """
     codes: dict[bytes, int] = {}
     component = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
     keys = np.array([r[3] for r in rows], np.int64)
-    bags = [np.frombuffer(r[4], np.uint64) for r in rows]
-    sizes = np.array([len(b) for b in bags])
+    sizes = np.array([len(b) for b in marks])
     block = np.array([r[0] for r in rows])
     right = np.flatnonzero(block == j)
     for a in np.flatnonzero(block == i).tolist():
         others = right[(component[right] != component[a]) & ((right > a) if i == j else True)]
         others = others[np.minimum(sizes[others], sizes[a]) / np.maximum(sizes[others], sizes[a]) >= threshold]
         if len(others):
-            others = others[keys[a][(keys[others] == keys[a]).argmax(axis=1)] == key]
+            others = others[(keys[others] == keys[a]).any(axis=1)]
         # Only so many hashes at once are laid side by side.
         for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(sizes[others]) // (4 * CHUNK_SHINGLES))) + 1):
             part = part[component[part] != component[a]]
             if not len(part):
                 continue
-            flat = np.concatenate([bags[b] for b in part.tolist()])
-            at = np.minimum(np.searchsorted(bags[a], flat), sizes[a] - 1)
-            shared = np.add.reduceat((bags[a][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
+            flat = np.concatenate([marks[b] for b in part.tolist()])
+            at = np.minimum(np.searchsorted(marks[a], flat), sizes[a] - 1)
+            shared = np.add.reduceat((marks[a][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
             for b in part[shared / (sizes[a] + sizes[part] - shared) >= threshold].tolist():
                 if component[b] != component[a]:
                     component[component == component[b]] = component[a]
                     yield min(rows[a][1], rows[b][1]), max(rows[a][1], rows[b][1])
 
 
-def residual(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Links between nodes of one bucket that are not yet in one component.
+def blocked(open_: DataFrame, texts: DataFrame, block_bytes: int) -> DataFrame:
+    """``group``, ``i``, ``j``, ``own``, ``node``, ``root``: which nodes meet in which task, without their texts.
 
-    Only buckets with several components are looked at.  A bucket's nodes are dealt into
-    blocks of about BLOCK_NODES, and every two blocks meet in a group of their own.  ``nodes`` has ``keys``.
+    ``open_`` (``key``, ``node``, ``root``) has the buckets with several components.  Buckets that share a node are one
+    group, so a node is in one group however many buckets it is in.  The largest component of a group is dealt into
+    blocks of about ``block_bytes`` of text, the rest of the group into blocks of its own; the rest meets all blocks,
+    those of the largest component never meet each other, as there is nothing to link.
     """
-    labelled = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
-    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
-    open_ = cut_lineage(labelled.join(mixed.select("key", "n"), "key"))
-    wanted = open_.select("node").distinct()
-    known = nodes.join(wanted, "node", "left_semi").join(with_bags(texts.join(wanted, "node", "left_semi"), words), "node")
-    dealt = (open_.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root"))
+    hubs = open_.groupBy("key").agg(F.min("root").alias("u"))
+    ways = open_.join(cut_lineage(hubs), "key").select("u", F.col("root").alias("v")).distinct()
+    groups = components(ways).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    members = cut_lineage(open_.select("node", "root").distinct().join(groups, "root").join(
+        texts.select("node", F.octet_length("text").alias("bytes")), "node"))
+    sizes = members.groupBy("group", "root").agg(F.sum("bytes").alias("bytes"))
+    whole = sizes.groupBy("group").agg(F.max(F.struct("bytes", "root")).alias("most"), F.sum("bytes").alias("bytes"))
+    shares = cut_lineage(whole.select(
+        "group", F.col("most.root").alias("largest"), F.ceil(F.col("most.bytes") / block_bytes).cast("int").alias("n_large"),
+        F.ceil((F.col("bytes") - F.col("most.bytes")) / block_bytes).cast("int").alias("n_rest")).filter("n_rest > 0"))
+    own = F.when(F.col("root") == F.col("largest"), F.pmod(F.xxhash64("node"), "n_large")).otherwise(
+        F.col("n_large") + F.pmod(F.xxhash64("node"), "n_rest")).cast("int")
+    n_blocks = F.col("n_large") + F.col("n_rest")
+    first = F.when(F.col("own") < F.col("n_large"), F.col("n_large")).otherwise(F.lit(0))
+    return (members.join(shares, "group").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(first, n_blocks - 1)))
+            .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root"))
+
+
+def residual(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, threshold: float,
+             block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links between nodes of one bucket that are not yet in one component.  ``nodes`` has ``keys``.
+
+    Only buckets with several components are looked at.  A text is sent once for each block its own has to meet, which
+    is once or twice in a group of up to ``block_bytes``, whatever the number of buckets.
+    """
+    labelled = cut_lineage(buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = cut_lineage(labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"))
+    open_ = cut_lineage(labelled.join(mixed, "key"))
+    dealt = blocked(open_, texts, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, rows, marks, hashes = None, [], [], WordHashes()
         for batch in batches:
             out = []
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != group:
+            for at, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if key != group:
                     if rows:
-                        out += links_of(rows, *group[1:], group[0], threshold)
-                    group, rows = (key, i, j), []
-                rows.append(tuple(row))
+                        out += links_of(rows, marks, *group[1:], threshold)
+                    group, rows, marks = key, [], []
+                rows.append(tuple(batch.column(i)[at].as_py() for i in range(3, 7)))
+                marks.append(multiset_marks(shingles(batch.column(7)[at].as_py(), hashes, words)))
+                if len(hashes) > KEPT_WORDS:
+                    hashes.clear()
             if out:
                 yield link_batch(out)
         if rows:
-            yield link_batch(list(links_of(rows, *group[1:], group[0], threshold)))
+            yield link_batch(list(links_of(rows, marks, *group[1:], threshold)))
 
-    # A group is one key, so its rows are side by side in one partition; blocks bound how many they are.
-    side_by_side = (dealt.join(known, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-                    .select("key", "i", "j", "own", "node", "root", "keys", "bag"))
+    # A group is one key, so its rows are side by side in one partition; blocks bound how much text that is.
+    side_by_side = (dealt.join(nodes, "node").join(texts, "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+                    .select("group", "i", "j", "own", "node", "root", "keys", "text"))
     return side_by_side.mapInArrow(run, "u binary, v binary").distinct()
 
 
@@ -274,17 +286,11 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .filter(F.coalesce("_a", "u") != F.coalesce("_b", "v")).select("u", "v"))
 
 
-def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Roots with the links that these pairs add."""
-    pairs = cut_lineage(pairs)
-    if pairs.isEmpty():
-        return roots
-    found = cut_lineage(verified(pairs, texts, words, threshold))
-    if found.isEmpty():
-        return roots
-    # What is one component already goes in as a star.
-    stars = roots.filter("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v"))
-    return cut_lineage(components(stars.union(found)))
+def with_links(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots with the links ``found`` added."""
+    found = cut_lineage(found)
+    rows = found.count()
+    return cut_lineage(add_links(roots, gathered(found, rows))) if rows else roots
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
@@ -298,41 +304,49 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     with the smallest node of one of its buckets, then with those of the others where the two
     are not yet in one component.  Then nodes of a bucket that are still apart are compared with all others
     there, and only links that join two components leave the group.  So a bucket of copies costs a row for each
-    copy, and no link between different components is left out.  Texts are compared
+    copy, and no link between different components is left out.  Joins on a bucket, hub or class read written tables on
+    both sides, so Spark splits a hot key.  Texts are compared
     whole.  Extra columns are not read.
     """
     rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows_in = rows_in.withColumn("node", F.unhex(F.md5("text")))
     nodes = cut_lineage(sketch(rows_in, words, bands, rows).dropDuplicates(["node"]))
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n")
+    hubs = cut_lineage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n"))
     shared = cut_lineage(buckets.join(hubs, "key"))
     pairs = cut_lineage(shared.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
     met = shared.select("node").distinct()
     texts = cut_lineage(rows_in.select("node", "text").join(met, "node", "left_semi").dropDuplicates(["node"]))
     # First one hub for each node, then the hubs of its other buckets where the two are still apart.
     one_hub = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    roots = cut_lineage(components(verified(one_hub, texts, words, threshold)))
-    roots = linked(apart(pairs, roots), roots, texts, words, threshold)
-    roots = linked(residual(shared.select("key", "node"), roots, nodes, texts, words, threshold), roots, texts, words, threshold)
+    # A hub is smaller than the others of its bucket, so these links make a forest.
+    roots = cut_lineage(forest_roots(verified(one_hub, texts, words, threshold).select(F.col("v").alias("node"), F.col("u").alias("parent"))))
+    roots = with_links(verified(cut_lineage(apart(pairs, roots)), texts, words, threshold), roots)
+    roots = with_links(residual(shared.select("key", "node"), roots, nodes, texts, words, threshold), roots)
     return rows_in.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def class_ids(found: DataFrame) -> DataFrame:
     """``doc_id``, ``class_id`` (the smallest id in the class; null if no row of it has one), ``class_size``."""
-    sizes = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    found = cut_lineage(found)
+    sizes = cut_lineage(found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     return found.join(sizes, "root").select("doc_id", "class_id", "class_size")
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of every class, the one with the smallest id (rows without an id last); all columns as they were."""
+    """One row of every class, the one with the smallest id (rows without an id last); all columns as they were.
+
+    Which rows stay is found without texts; the texts then move once, dealt by id and digest, so a class of very many
+    copies is no hot key.
+    """
     found = classes(docs, doc_id, text, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
-    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.node").alias("_node"), F.col("k.doc_id").alias("_kept_id"))
-    named = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    return (named.join(keep, "_node").filter(F.col(doc_id).eqNullSafe(F.col("_kept_id")))
-            .dropDuplicates(["_node"]).drop("_node", "_kept_id"))
+    node, kept = (f"{'_' * len(max(docs.columns, key=len))}{n}" for n in ("node", "kept"))  # no column is called so
+    keep = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.node").alias("n"), F.col("k.doc_id").alias("d"))
+    named = docs.withColumn(node, F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))).withColumn(kept, F.col(doc_id))
+    same = named[node].eqNullSafe(keep["n"]) & named[kept].eqNullSafe(keep["d"])
+    return named.join(keep, same, "left_semi").dropDuplicates([node, kept]).drop(node, kept)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
