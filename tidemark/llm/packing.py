@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.tokens import Encoder, default_path
 
 LENGTH = 1_024
-OPEN_SEQUENCES = 4_096
+CUT = 6
 ROWS_A_CALL = 256
 
 PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
@@ -21,49 +21,71 @@ PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequen
 class Packer:
     """Places items as they come; ``counts[h]`` is the number of open sequences filled up to ``h``.
 
-    An item goes to the fill level that makes the sum of squared counts least:
-    leaving level h takes 2 counts[h] - 1 from the sum, reaching level h' below the
-    full length adds 2 counts[h'] + 1; on a tie the fuller sequence wins.
+    An item goes to the fill level that makes the sum of squared counts least: leaving level h takes 2 counts[h] - 1
+    from the sum, reaching level h' below the full length adds 2 counts[h'] + 1.  Where an item is longer than the room
+    at h it may be cut: it fills the sequence up, and the rest, which stands for level h + size - length, goes on as an
+    item of its own.  A cut counts CUT on top, so it is chosen where the item would otherwise begin one more sequence of
+    a level that is taken.  Hence levels hold few sequences each, and the number open is bound by the number of levels,
+    whatever comes.  On a tie the item stays whole, and the fuller sequence wins.
     """
 
     def __init__(self, length: int, first_id: int):
         self.length, self.next_id = length, first_id
         self.counts = np.zeros(length + 1, np.int64)
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(length)]
-        self.n_open = 0
+        self.n_open = self.cuts = 0
 
     def new(self) -> int:
         self.next_id += 1
         return self.next_id - 1
 
+    def costs(self, size: int) -> np.ndarray:
+        """What an item adds to the sum at each level, cuts counted; very much where no sequence is open."""
+        top, counts = self.length - size, self.counts[:-1]
+        costs = np.empty(self.length, np.int64)
+        costs[:top + 1] = 2 * self.counts[size:] + 1
+        costs[top] = 0  # a full sequence is closed
+        costs[top + 1:] = 2 * counts[1:size] + 1 + CUT
+        costs -= 2 * counts - 1
+        costs[0] -= 1  # level 0 is no sequence yet
+        costs[1:][counts[1:] == 0] = np.iinfo(np.int64).max
+        return costs
+
     def level(self, size: int) -> int:
-        top = self.length - size
-        counts = self.counts
-        cost = 2 * counts[size:size + top + 1] + 1
-        cost[top] = 0  # a full sequence is closed
-        cost[1:] -= 2 * counts[1:top + 1] - 1
-        cost[1:][counts[1:top + 1] == 0] = np.iinfo(np.int64).max
-        return top - int(np.argmin(cost[::-1]))
-
-    def place(self, size: int, item: object) -> list[tuple[int, list]]:
-        """Put the item down; the sequences that became full, each with its items."""
-        h = self.level(size)
-        if h:
-            sequence, items = self.open[h].pop()
-            self.counts[h] -= 1
-            self.n_open -= 1
-        else:
-            sequence, items = self.new(), []
-        items.append(item)
-        if h + size == self.length:
-            return [(sequence, items)]
-        self.open[h + size].append((sequence, items))
-        self.counts[h + size] += 1
-        self.n_open += 1
-        return []
+        costs, top = self.costs(size), self.length - size
+        whole = top - int(np.argmin(costs[top::-1]))
+        if size == 1:
+            return whole
+        cut = self.length - 1 - int(np.argmin(costs[:top:-1]))
+        return cut if costs[cut] < costs[whole] else whole
+
+    def place(self, item: tuple) -> list[tuple[int, list]]:
+        """Put the item (document, start, ids, tokens) down; the sequences that became full, each with its items."""
+        doc, start, ids, tokens = item
+        full = []
+        while len(ids):
+            h = self.level(len(ids))
+            if h:
+                sequence, items = self.open[h].pop()
+                self.counts[h] -= 1
+                self.n_open -= 1
+            else:
+                sequence, items = self.new(), []
+            n = min(len(ids), self.length - h)
+            items.append((doc, start, ids[:n], tokens))
+            self.cuts += n < len(ids)
+            start, ids = start + n, ids[n:]
+            if h + n == self.length:
+                full.append((sequence, items))
+            else:
+                self.open[h + n].append((sequence, items))
+                self.counts[h + n] += 1
+                self.n_open += 1
+        return full
 
     def finish(self) -> list[tuple[int, list]]:
-        """Close all open sequences: the fullest are filled up with the ends of the emptiest, so one stays short."""
+        """Close what is open when nothing more comes: the fullest are filled up with the ends of the emptiest, so one
+        stays short."""
         left = [s for h in range(self.length - 1, 0, -1) for s in self.open[h]]
         fills = [sum(len(i[2]) for i in items) for _, items in left]
         i, j = 0, len(left) - 1
@@ -89,7 +111,7 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text",
-         length: int = LENGTH, open_sequences: int = OPEN_SEQUENCES) -> DataFrame:
+         length: int = LENGTH) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` ids.
 
     Each row is one piece: ``start`` and ``length`` in its document, ``doc_tokens``
@@ -97,7 +119,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
     there, and its ``ids`` (unsigned 32-bit little-endian).  Whole sequences are cut
     off long documents; the rest of a document is one item for the packer.  Rows
     are packed where they are, nothing is shuffled: a task keeps its level array
-    and at most ``open_sequences`` open sequences, and leaves one sequence short.
+    and the open sequences, a few per level, and leaves one sequence short.  Sequence ids
+    hang on the partitions and their order, so write the frame before using it twice
+    if it comes from a shuffle.
     A missing text is an empty one, so every row has at least the end id.  Rows
     with the same id, or none, are packed each for itself.  Other columns are not read.
     """
@@ -133,9 +157,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
                     for start in range(0, n - rest, length):
                         keep([(packer.new(), [(doc, start, ids[a + start:a + start + length], n)])])
                     if rest:
-                        keep(packer.place(rest, (doc, n - rest, ids[b - rest:b].copy(), n)))
-                if packer.n_open > open_sequences:
-                    keep(packer.finish())
+                        keep(packer.place((doc, n - rest, ids[b - rest:b].copy(), n)))
                 if out:
                     yield ready()
         keep(packer.finish())
