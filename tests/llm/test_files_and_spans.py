@@ -133,9 +133,8 @@ def test_damaged_block():
         token_files.read_block(data[:-2] + b"x\n")
 
 
-@pytest.mark.parametrize("limit", [2, 4096])
-def test_pack(odd, limit):
-    pieces = packing.pack(odd.union(odd).coalesce(2), open_sequences=limit).collect()
+def test_pack(odd):
+    pieces = packing.pack(odd.union(odd).coalesce(2)).collect()
     by_sequence, parts = {}, {}
     for p in pieces:
         by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
@@ -160,17 +159,39 @@ def test_level_is_the_least_sum_of_squares():
     for _ in range(3000):
         size = rng.randint(1, 31)
         options = {}
-        for h in range(0, 32 - size + 1):
+        for h in range(32):
             if h and not packer.counts[h]:
                 continue
             n = packer.counts.copy()
             if h:
                 n[h] -= 1
-            if h + size < 32:
-                n[h + size] += 1
-            options[h] = int((n[1:32] ** 2).sum())
-        assert options[packer.level(size)] == min(options.values())
-        packer.place(size, (0, 0, range(size), 0))
+            if h + size != 32:
+                n[(h + size) % 32] += 1
+            options[h] = int((n[1:32] ** 2).sum() - (packer.counts[1:32] ** 2).sum()) + packing.CUT * (h + size > 32)
+        h = packer.level(size)
+        assert options[h] == min(options.values())
+        assert h + size <= 32 or min(c for k, c in options.items() if k + size <= 32) > options[h]
+        packer.place((0, 0, range(size), 0))
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 1023), (513, 1023), (700, 720), (341, 342), (1, 40)])
+def test_open_sequences_are_bound_by_the_levels(low, high):
+    rng, packer = random.Random(4), packing.Packer(1024, 0)
+    tokens, full, most = 0, 0, 0
+    for i in range(12_000):
+        size = rng.randint(low, high)
+        tokens += size
+        for _, items in packer.place((i, 0, range(size), size)):
+            assert sum(len(x[2]) for x in items) == 1024
+            full += 1
+        most = max(most, packer.n_open)
+        assert packer.n_open == packer.counts.sum() == sum(map(len, packer.open))
+    open_tokens = int((packer.counts[:1024] * np.arange(1024)).sum())
+    assert full * 1024 + open_tokens == tokens
+    assert most <= 2 * 1024 and packer.counts.max() <= 8
+    assert packer.cuts < 12_000 * (0.2 if low == 1 else 1.0)
+    left = packer.finish()
+    assert sum(sum(len(x[2]) for x in items) < 1024 for _, items in left) <= 1
 
 
 def test_mix(spark, odd):

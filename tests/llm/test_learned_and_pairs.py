@@ -149,16 +149,15 @@ def test_classes_equal_brute_force(spark):
     assert set(kept[0].asDict()) == {"doc_id", "text", "root", "node"}
 
 
-@pytest.mark.parametrize("block", [512, 20])
-def test_late_links_are_found(spark, monkeypatch, block):
+@pytest.mark.parametrize("block", [700, 4_000, 1 << 20])
+def test_late_links_are_found(spark, block):
     """Nodes that no hub has linked: all links between components come out of the groups, fewer than nodes, and no others."""
-    monkeypatch.setattr(bagminhash, "BLOCK_NODES", block)
     rows = [(i, t) for i, t in families() if (t or "").strip()]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").dropDuplicates(["text"]).withColumn("node", F.unhex(F.md5("text")))
     nodes = bagminhash.sketch(docs, 5, 32, 8)
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     apart = spark.createDataFrame([], "node binary, root binary")
-    links = bagminhash.residual(buckets, apart, nodes, docs, 5, 0.8).collect()
+    links = bagminhash.residual(buckets, apart, nodes, docs, 5, 0.8, block_bytes=block).collect()
     text = {bytes(r.node): r.text for r in docs.collect()}
     for r in links:
         a, b = bag(text[bytes(r.u)]), bag(text[bytes(r.v)])
@@ -171,7 +170,7 @@ def test_late_links_are_found(spark, monkeypatch, block):
         got.setdefault(root.get(n, n), []).append(ids[n])
     assert sorted(sorted(v, key=str) for v in got.values()) == brute_classes([(i, text[n]) for n, i in ids.items()])
     sizes = [len(v) for v in got.values()]
-    if block == 512:  # a group joins components once, so most pairs of a large class are never written
+    if block == 1 << 20:  # a group joins components once, so most pairs of a large class are never written
         assert len(links) < 0.2 * sum(n * (n - 1) / 2 for n in sizes)
 
 
@@ -451,3 +450,64 @@ def test_pipeline_of_odd_rows(spark, small):
         if name == "near_duplicates":
             assert sorted(r.doc_id for r in docs.collect()) == [2, 3]
     assert {r.doc_id for r in docs.collect()} == {2, 3} and zlib.crc32(b"") == 0
+
+
+def test_chunk_sizes_are_hexadecimal():
+    assert warc.unchunk(b"3;x=y\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.unchunk(warc.chunk_body(b"p" * 20_000)) == b"p" * 20_000
+    for body in (b"1\r\nx\r\n-6\r\n", b"+1\r\nx\r\n0\r\n", b"0x1\r\nx\r\n0\r\n", b"1_0\r\nx\r\n0\r\n", b"\r\n", b"5\r\nab\r\n0\r\n", b"1\r\nx"):
+        with pytest.raises(ValueError):
+            warc.unchunk(body)
+
+
+def test_deep_and_broken_pages_are_read_in_linear_time():
+    import time
+
+    def seconds(page):
+        at = time.process_time()
+        blocks = main_text.leaf_blocks(page)
+        return time.process_time() - at, blocks
+
+    for unit in ("<font>w</b> ", "<div>word ", "<a>x</i></u> ", "<font><li>x ", "</p></div>y "):
+        small, large = seconds(unit * 2_000)[0], seconds(unit * 16_000)[0]
+        assert large < 30 * small + 0.5, unit
+    blocks = seconds("<div>word " * 3_000)[1]
+    assert len(blocks) == 3_000 and max(len(b.path) for b in blocks) == main_text.DEPTH
+
+
+# Pages of layouts the training never sees, labelled by hand: M is main text, the rest is not.
+LAYOUTS = [
+    [("div id=top", "Home News Sport Contact", 0), ("div id=content|h1", "A bridge for the town", 1),
+     ("div id=content|p", "The new bridge was opened on Monday, after four years of work.", 1),
+     ("div id=content|p", "It carries two lanes, a path for bicycles and a tram line across the river.", 1),
+     ("div id=footer", "Copyright 2020. All rights reserved.", 0)],
+    [("table|tr|td class=menu", "Start | Archive | About", 0), ("table|tr|td class=body|p", "Rain fell on the whole of the coast last night, and the rivers rose.", 1),
+     ("table|tr|td class=body|p", "People in the lower villages were asked to move their cars to higher ground.", 1),
+     ("table|tr|td class=ads", "Buy two, get one free!", 0)],
+    [("nav|ul|li", "Docs", 0), ("nav|ul|li", "Blog", 0), ("section class=post|h2", "How the index is built", 1),
+     ("section class=post|p", "We read every document once, cut it into words, and sort the words by their hash.", 1),
+     ("section class=post|pre", "sort --key=2 words.txt > index.txt", 1), ("section class=post|p", "The result is small enough to be kept in memory.", 1),
+     ("section class=comments|p", "Great post, thanks!", 0), ("section class=comments|p", "First!", 0), ("footer|p", "Imprint", 0)],
+    [("header|div class=logo", "The Daily Paper", 0), ("div class=story|p", "The council has voted, by a narrow margin, to keep the old market hall.", 1),
+     ("div class=story|blockquote", "It is the heart of this town, said one of the traders.", 1), ("div class=story|p", "Repairs will begin in the spring.", 1),
+     ("aside|p", "More stories", 0), ("div class=newsletter|form|label", "Your e-mail", 0)],
+]
+
+
+def page_of(layout):
+    def block(spec, text):
+        tags = spec.split("|")
+        return "".join(f"<{t.replace('=', '=\"') + '\"' if '=' in t else t}>" for t in tags) + text + "".join(f"</{t.split()[0]}>" for t in reversed(tags))
+
+    return "<html><body>" + "".join(block(s, t) for s, t, _ in layout) + "</body></html>"
+
+
+def test_pages_labelled_by_hand(spark):
+    """Precision and recall of blocks on layouts without article or main elements, given in the README."""
+    field = main_text.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    pages = spark.createDataFrame([(i, page_of(x)) for i, x in enumerate(LAYOUTS)], "page_id int, html string")
+    hits = found = wanted = 0
+    for r in main_text.extract(pages, field).collect():
+        got, want = set(r.text.split("\n")) - {""}, {t for _, t, m in LAYOUTS[r.page_id] if m}
+        hits, found, wanted = hits + len(got & want), found + len(got), wanted + len(want)
+    print(f"precision {hits / max(found, 1):.2f} recall {hits / wanted:.2f}")
+    assert hits / max(found, 1) >= 0.75 and hits / wanted >= 0.75

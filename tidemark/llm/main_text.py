@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -14,9 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tidemark.session import cut_lineage
+
 SAMPLE_PAGES = 300
 SLOTS = 1 << 14
 ROUNDS = 6
+DEPTH = 512  # browsers nest no deeper either
+TRAINING_CHARS = 100_000
 
 # Elements of HTML by their part in the layout.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -40,7 +45,7 @@ ASIDE_WORDS = frozenset("ad ads advert advertisement banner breadcrumb comment c
 
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # ancestors: tag and the words of its class, id and role
+    path: tuple[tuple[str, tuple[str, ...]], ...]  # outer DEPTH ancestors: tag and the words of its class, id and role
     text: str
     linked: int  # characters inside links
 
@@ -64,6 +69,7 @@ class Reader(HTMLParser):
         self.held: list[int] = []  # for each open element the number of its start tag, 0 if it is none of HELD
         self.lost: dict[str, list[int]] = {}
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.counts: Counter[str] = Counter()  # open elements by tag
         self.parts: list[str] = []
         self.blocks: list[Block] = []
         self.linked = self.unseen = 0
@@ -71,13 +77,15 @@ class Reader(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(tuple(self.open), text, self.linked))
+            self.blocks.append(Block(tuple(self.open[:DEPTH]), text, self.linked))
         self.parts, self.linked = [], 0
 
     def close_to(self, depth: int) -> None:
         if any(tag in BLOCKS for tag, _ in self.open[depth:]):
             self.flush()
-        self.unseen -= sum(tag in UNSEEN for tag, _ in self.open[depth:])
+        for tag, _ in self.open[depth:]:
+            self.unseen -= tag in UNSEEN
+            self.counts[tag] -= 1
         del self.open[depth:], self.held[depth:]
 
     def lose(self, depth: int) -> None:
@@ -98,28 +106,31 @@ class Reader(HTMLParser):
             self.end_head()
         if tag in BLOCKS:
             ended = SAME.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for depth in range(len(self.open) - 1, -1, -1):
+            depth = len(self.open) - 1
+            while depth >= 0 and any(self.counts[t] for t in ended):
                 if self.open[depth][0] in ended:
                     self.close_to(depth)
                 elif self.open[depth][0] in BLOCKS:
                     break
+                depth -= 1
             self.flush()
         if tag == "body":  # a head that was not closed ends here
             self.unseen, self.open, self.held = 0, [], []
+            self.counts.clear()
         if tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
             self.open.append((tag, name_words(attrs)))
+            self.counts[tag] += 1
             self.held.append(self.n_held if tag in HELD else 0)
             self.unseen += tag in UNSEEN
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self.lose(depth + 1)
-                self.close_to(depth)
-                return
-        if self.lost.get(tag):  # an end tag behind that of an outer element
+        if self.counts[tag]:
+            depth = next(d for d in range(len(self.open) - 1, -1, -1) if self.open[d][0] == tag)
+            self.lose(depth + 1)
+            self.close_to(depth)
+        elif self.lost.get(tag):  # an end tag behind that of an outer element
             self.lost[tag].pop()
 
     def handle_data(self, data: str) -> None:
@@ -127,7 +138,7 @@ class Reader(HTMLParser):
             self.end_head()
         if not self.unseen:
             self.parts.append(data)
-            if any(tag == "a" for tag, _ in self.open):
+            if self.counts["a"]:
                 self.linked += len(data.strip())
 
 
@@ -165,8 +176,9 @@ def features(block: Block, place: int, n: int) -> list[str]:
            f"marks {min(8 * marks // words, 4)}", f"end {block.text[-1] in '.!?…:;'}", f"first {place == 0}", f"last {place == n - 1}"]
     if any(c in block.text for c in "©|»›·"):
         out.append("sign")
-    out += [f"tag {t}" for t in {t for t, _ in block.path}]
-    out += [f"name {w}" for w in {w for _, ws in block.path for w in ws}]
+    # In the order of the path: the training leaves features out by their place, and must not differ from run to run.
+    out += [f"tag {t}" for t in dict.fromkeys(t for t, _ in block.path)]
+    out += [f"name {w}" for w in dict.fromkeys(w for _, ws in block.path for w in ws)]
     inner = [t for t, _ in block.path if t in BLOCKS]
     out += [f"leaf {inner[-1]}" if inner else "leaf none", f"pair {' '.join(inner[-2:])}"]
     return out
@@ -312,14 +324,20 @@ def fit(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample_p
     """A field trained on at most ``sample_pages`` pages (smallest hash of the id) that mark their main text.
 
     Labels come from article and main elements; two varied pages are made of each
-    one, so that other layouts are known too.  Pages of any size are judged by it.
+    one, so that other layouts are known too.  Only pages of less than TRAINING_CHARS characters train it,
+    pages of any size are judged by it.  Ids and digests are ordered first, and only the chosen pages reach the driver.
     """
     marked = (pages.filter(F.contains(F.lower(html), F.lit("<article")) | F.contains(F.lower(html), F.lit("<main")))
-              .filter(F.length(html) < 100_000)  # training pages only
-              .orderBy(F.xxhash64(F.col(page_id)), page_id, F.md5(html)).select(html).limit(sample_pages))
+              .filter(F.length(html) < TRAINING_CHARS)
+              .select(F.col(page_id).alias("id"), F.col(html).alias("page"), F.md5(html).alias("digest")))
+    order = [F.xxhash64("id"), "id", "digest"]
+    chosen = cut_lineage(marked.select("id", "digest").distinct().orderBy(*order).limit(sample_pages))
+    mine = chosen.select(F.col("id").alias("i"), F.col("digest").alias("d"))
+    rows = (marked.join(F.broadcast(mine), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
+            .dropDuplicates(["id", "digest"]).orderBy(*order).select("page").collect())
     rng = np.random.default_rng(seed)
     labelled = []
-    for row in marked.collect():
+    for row in rows:
         blocks = leaf_blocks(row[0])
         if any(marked_main(b.path) for b in blocks):
             labelled.append((blocks, [int(marked_main(b.path)) for b in blocks]))

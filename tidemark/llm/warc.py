@@ -7,6 +7,7 @@ that, no block holds ``WARC/1.`` in one piece: the writer cuts a chunk there.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +27,7 @@ START = "WARC/1."
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 CHUNKED = "Transfer-Encoding: chunked\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HEX = re.compile(rb"[0-9A-Fa-f]+").fullmatch
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -45,7 +47,10 @@ def unchunk(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         line = body.index(b"\r\n", at)
-        size = int(body[at:line].split(b";")[0], 16)
+        digits = body[at:line].split(b";")[0].strip(b" \t")
+        if not HEX(digits):
+            raise ValueError("a chunk size is not a hexadecimal number")
+        size = int(digits, 16)
         if not size:
             return b"".join(out)
         if body[line + 2 + size:line + 4 + size] != b"\r\n":
