@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import ladder, replies
 from tidemark.sources import files, telemetry
 from tidemark.streaming import tables, windows
-from tidemark.streaming.replies import stream_replies
 
 
 def test_scan_files(spark, tmp_path):
@@ -95,18 +94,6 @@ def test_counter_state_crosses_batches(spark, tmp_path):
     assert [(r.sec - 1_000_000, r.delta) for r in got] == [(0, 0.0), (15, 30.0), (30, 30.0), (45, 5.0), (60, 30.0)]
 
 
-def test_stream_replies_without_end_mark(spark, tmp_path):
-    rows = [("open", 0, 0, 'data: {"choices":[{"delta":{"content":"x"}}]}'), ("done", 0, 0, 'data: {"choices":[{"delta":{"content":"y"}}]}'),
-            ("done", 1, 1, "data: [DONE]"), ("done", 2, 2, 'data: {"choices":[{"delta":{"content":"late"}}]}'), ("clock", 0, 9999, "data: {}")]
-    df = spark.createDataFrame(rows, "request_id STRING, seq LONG, t LONG, raw STRING").select("request_id", "seq", F.timestamp_seconds("t").alias("ts"), "raw")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    writer = (stream_replies(stream).writeStream.format("parquet").outputMode("append")
-              .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")))
-    tables.start(writer, every=None).awaitTermination()
-    assert {(r.request_id, r.text, r.ended) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("open", "x", False), ("done", "y", True)}
-
-
 def test_baseline_alert_finds_its_landed_lines(spark, tmp_path):
     """A webhook payload without id and time goes through the alert stream against lines of the log stream."""
     payload = {"status": "firing", "alerts": [{"status": "firing", "labels": {"alertname": "Baseline", "pod": "harness", "namespace": "ai-agent", "severity": "critical"},
@@ -125,14 +112,79 @@ def test_baseline_alert_finds_its_landed_lines(spark, tmp_path):
     assert row.log_text == "line 0\nline 1\nline 2" and row.alert_id is not None
 
 
+OUTPUTS = "vol_key STRING, stem STRING, text STRING"
+
+
+def outputs(spark, path):
+    from tidemark.operators import corpus
+    return sorted((r.vol_key, r.stem, r.text) for r in corpus.load_outputs(spark, path, OUTPUTS).collect())
+
+
 def test_outputs_of_a_rerun(spark, tmp_path):
     from tidemark.operators import corpus
-    path, schema = str(tmp_path / "o"), "vol_key STRING, stem STRING, text STRING"
-    corpus.save_outputs(spark.createDataFrame([("v1", "a", "1"), ("v1", "b", "2"), ("v2", "c", "3")], schema), path)
+    path = str(tmp_path / "o")
+    assert outputs(spark, path) == []
+    corpus.save_outputs(spark.createDataFrame([("v1", "a", "1"), ("v1", "b", "2"), ("v2", "c", "3")], OUTPUTS), path)
+    for _ in range(2):
+        corpus.save_outputs(spark.createDataFrame([("v1", "b", "new"), ("v1", "d", "4")], OUTPUTS), path)
+    assert outputs(spark, path) == [("v1", "a", "1"), ("v1", "b", "new"), ("v1", "d", "4"), ("v2", "c", "3")]
+    corpus.save_outputs(spark.createDataFrame([("v2", "a", "moved")], OUTPUTS), path)  # no copy stays in v1
+    assert outputs(spark, path) == [("v1", "b", "new"), ("v1", "d", "4"), ("v2", "a", "moved"), ("v2", "c", "3")]
+
+
+def test_outputs_of_a_run_that_dies(spark, tmp_path):
+    """The write of the second run fails half-way: what was saved stays whole, and a later run goes on."""
+    from tidemark.operators import corpus
+    path = str(tmp_path / "o")
+    corpus.save_outputs(spark.createDataFrame([("v1", "a", "1")], OUTPUTS), path)
+
+    def dies(batches):
+        for i, batch in enumerate(batches):
+            yield batch
+            raise RuntimeError("lost")
+
+    work = spark.range(100).selectExpr("'v1' AS vol_key", "concat('s', id) AS stem", "'x' AS text").mapInPandas(dies, OUTPUTS)
+    with pytest.raises(Exception, match="lost"):
+        corpus.save_outputs(work, path)
+    assert outputs(spark, path) == [("v1", "a", "1")]
+    corpus.save_outputs(spark.createDataFrame([("v1", "b", "2")], OUTPUTS), path)
+    assert outputs(spark, path) == [("v1", "a", "1"), ("v1", "b", "2")]
+    (tmp_path / "o" / "manifests" / "9").write_text("{ not a manifest")
+    with pytest.raises(ValueError):  # an unreadable state is no first run
+        corpus.save_outputs(work, path)
+
+
+def test_documents_that_share_a_name(spark, tmp_path):
+    df = spark.createDataFrame([("v", "a", "one"), ("v", "a", "two"), ("v", "a", "two"), ("v", "b", "x")], "vol_key STRING, stem STRING, text STRING")
     for _ in range(2):
-        corpus.save_outputs(spark.createDataFrame([("v1", "b", "new"), ("v1", "d", "4")], schema), path)
-    got = sorted((r.vol_key, r.stem, r.text) for r in spark.read.parquet(path).collect())
-    assert got == [("v1", "a", "1"), ("v1", "b", "new"), ("v1", "d", "4"), ("v2", "c", "3")]
+        files.write_documents(df, str(tmp_path / "docs"))
+    back = sorted(tuple(r) for r in files.read_documents(spark, str(tmp_path / "docs")).collect())
+    assert back == [("v", "a", "one"), ("v", "a", "two"), ("v", "a", "two"), ("v", "b", "x")]
+
+
+def test_line_numbers_without_a_shuffle(spark, tmp_path):
+    """Files of several splits, of one, with both kinds of line ends, and of equal names in two folders."""
+    long_ = [f"line {i} {'x' * (i % 50)}" for i in range(5_000)]
+    (tmp_path / "in" / "d=1").mkdir(parents=True)
+    (tmp_path / "in" / "d=2").mkdir()
+    (tmp_path / "in" / "d=1" / "long.log").write_text("\n".join(long_))
+    (tmp_path / "in" / "d=1" / "crlf.log").write_bytes(b"a\r\nb\r\n\r\nc\r\n")
+    (tmp_path / "in" / "d=2" / "crlf.log").write_bytes(b"only\n")
+    (tmp_path / "in" / "d=2" / "none.log").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = files.scan_lines(spark, str(tmp_path / "in"), "*.log")
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in rows:
+        got.setdefault(r.file_name, []).append((r.line_no, r.line))
+    assert sorted(got["long.log"]) == list(enumerate(long_))
+    assert sorted(got["crlf.log"]) == [(0, "a"), (0, "only"), (1, "b"), (2, ""), (3, "c")] and "none.log" not in got
+    assert "RangePartitioning" not in plan and "rangepartitioning" not in plan
 
 
 def test_paid_calls_are_made_once(spark, tmp_path):

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts as K
-from tidemark.streaming import generations, tables
-from tidemark.streaming.generations import Generations
+from tidemark.sources import generations
+from tidemark.sources.generations import Generations
+from tidemark.streaming import tables
+from tidemark.streaming.replies import STATE_STORE, stream_replies, use_state_store
 
 FACTS = "seq BIGINT, pos BIGINT, path ARRAY<STRING>, kind STRING, value STRING"
 
@@ -117,3 +119,59 @@ def test_newest_row_of_a_trace(spark):
     got = {r.trace_id: r.model for r in tables.newest_rows({"rows": rows})["rows"].collect()}
     assert got == {"t": "new", "u": "no time"}
     assert generations.FAN >= 2
+
+
+# --- replies in parts -------------------------------------------------------
+
+def token(text):
+    return f'data: {{"choices":[{{"delta":{{"content":"{text}"}}}}]}}'
+
+
+USAGE = 'data: {"choices":[],"usage":{"prompt_tokens":7,"completion_tokens":9}}'
+
+
+@pytest.fixture
+def rocks(spark):
+    kept = spark.conf.get(STATE_STORE[0])
+    use_state_store(spark)
+    yield
+    spark.conf.set(STATE_STORE[0], kept)
+
+
+def replies_of(spark, tmp_path, batches, **options):
+    """Rows let out by each micro-batch; a batch is a list of (request, number, second, line)."""
+    schema = "request_id STRING, seq LONG, t LONG, raw STRING"
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).select("request_id", "seq", F.timestamp_seconds("t").alias("ts"), "raw")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/b={i}")
+    stream = spark.readStream.schema("request_id STRING, seq LONG, ts TIMESTAMP, raw STRING, b INT").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = []
+    writer = tables.each_batch(stream_replies(stream.drop("b"), **options), lambda df, i: out.append([tuple(r) for r in df.collect()]), f"{tmp_path}/state")
+    tables.start(writer, every=None).awaitTermination()
+    return out
+
+
+def test_replies_without_end_mark(spark, tmp_path, rocks):
+    rows = [("open", 0, 0, token("x")), ("done", 0, 0, token("y")), ("done", 1, 1, "data: [DONE]"), ("done", 2, 2, token("late")), ("clock", 0, 9999, "data: {}")]
+    found = sum(replies_of(spark, tmp_path, [rows]), [])
+    assert sorted(found) == [("done", 0, "y", None, None, True, True), ("open", 0, "x", None, None, False, True)]
+
+
+def test_parts_leave_while_the_reply_goes_on(spark, tmp_path, rocks):
+    """Parts of four events; the clock moves the watermark; late, doubled and unnumbered events."""
+    batches = [
+        [("a", i, i, token(str(i))) for i in range(6)] + [("a", 2, 2, token("2")), ("a", None, 3, token("none"))],
+        [("clock", 0, 700, "data: {}"), ("a", 6, 6, token("6"))],
+        [("a", 1, 90, token("again")), ("a", 8, 140, token("8")), ("a", 9, 141, USAGE)],
+        [("a", 10, 142, "data: [DONE]"), ("a", 11, 143, token("behind")), ("clock", 1, 9999, "data: {}")],
+    ]
+    out = replies_of(spark, tmp_path, batches, part_events=4)
+    rows = [r for batch in out for r in batch if r[0] == "a"]
+    assert rows == [("a", 0, "0123", None, None, False, False), ("a", 1, "456", None, None, False, False), ("a", 2, "8", 7, 9, True, True)]
+    assert len([b for b in out if any(r[0] == "a" for r in b)]) >= 2  # not all at the end
+
+
+def test_a_reply_after_silence_begins_anew(spark, tmp_path, rocks):
+    rows = [("a", 0, 0, token("one")), ("a", 1, 1, token(" two")), ("a", 0, 400, token("new")), ("clock", 0, 9999, "data: {}")]
+    found = [r for b in replies_of(spark, tmp_path, [rows]) for r in b if r[0] == "a"]
+    assert sorted(found) == [("a", 0, "new", None, None, False, True), ("a", 0, "one two", None, None, False, True)]

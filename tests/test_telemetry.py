@@ -1,5 +1,6 @@
 """Golden rows of traces, alerts, metrics, token streams and load tests."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,12 +205,42 @@ def test_costs(spark):
     assert by_model.total_tokens == total.total_tokens == 1_100_000
 
 
-@pytest.mark.parametrize("limit", [100, 1])
+@pytest.mark.parametrize("limit", [1 << 20, 250])
 def test_glossary_is_single_pass(spark, limit):
-    g = spark.createDataFrame([("foo", "bar"), ("bar", "baz"), ("fire ball", "flame"), ("fire", "blaze")], "term STRING, canonical STRING")
-    df = spark.createDataFrame([(1, "foo x bar, fire ball fire foobar"), (2, None), (3, "nothing")], "id INT, text STRING")
-    got = {r.id: r.text for r in audit.apply_glossary(df, g, "id", max_terms=limit).collect()}
-    assert got == {1: "bar x baz, flame blaze foobar", 2: None, 3: "nothing"}
+    g = spark.createDataFrame([("foo", "bar"), ("bar", "baz"), ("fire ball", "flame"), ("fire", "blaze"), ("ball x", "never"), ("", "empty"), (None, "n"),
+                               ("void", None), ("bar", "zzz"), ("a.b", "dot")], "term STRING, canonical STRING")
+    texts = ["foo x bar, fire ball fire foobar", None, "nothing", "", "fire ballast fire_ball void", "a.b axb fire ball x", "foo"]
+    df = spark.createDataFrame([(None if i < 2 else 7, t) for i, t in enumerate(texts)], "id INT, text STRING")
+    got = [r.text for r in audit.apply_glossary(df, g, shared_bytes=limit).collect()]
+    assert got == ["bar x baz, flame blaze foobar", None, "nothing", "", "blaze ballast fire_ball void", "dot axb flame x", "bar"]
+    assert audit.apply_glossary(df, g.limit(0)).collect() == df.collect()
+
+
+def test_large_glossary(spark):
+    """200,000 terms, one automaton or many: as replacing word by word from a table."""
+    g = spark.range(200_000).selectExpr("concat('w', hex(id)) AS term", "concat('<', id, '>') AS canonical")
+    df = spark.range(200).selectExpr("concat_ws(' ', concat('w', hex(id * 997)), 'wXYZ', concat('w', hex(id * 2003 + 100000)), 'w') AS text", "id")
+    want = {i: f"<{i * 997}> wXYZ " + (f"<{i * 2003 + 100_000}>" if i * 2003 + 100_000 < 200_000 else f"w{i * 2003 + 100_000:X}") + " w" for i in range(200)}
+    for limit in (audit.SHARED_BYTES * 4, 12 << 20):
+        assert {r.id: r.text for r in audit.apply_glossary(df, g, shared_bytes=limit).collect()} == want
+
+
+def test_glossary_equals_trying_every_place():
+    import random
+    rng = random.Random(2)
+    for _ in range(300):
+        terms = {"".join(rng.choice("ab _.") for _ in range(rng.randint(1, 4))): str(i) for i in range(6)}
+        text = "".join(rng.choice("ab _.é") for _ in range(30))
+        at, want = 0, ""
+        touched = lambda c: c.isalnum() or c == "_"
+        while at < len(text):
+            fits = [t for t in sorted(terms, key=len, reverse=True) if text.startswith(t, at) and not (at and touched(text[at - 1]))
+                    and not (at + len(t) < len(text) and touched(text[at + len(t)]))]
+            want += terms[fits[0]] if fits else text[at]
+            at += len(fits[0]) if fits else 1
+        found = audit.whole_words(audit.build_automaton(terms.items()), text)
+        rows = pd.Series([[{"at": a, "size": n, "canonical": c} for a, n, c in found]])
+        assert audit.replace_found.func(pd.Series([text]), rows)[0] == want
 
 
 def test_gender_audit(spark):

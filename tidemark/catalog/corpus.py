@@ -277,7 +277,7 @@ def apply_glossary(spark, folder):
     glossary = (table(spark, folder, "benchmark").select(term.alias("term")).filter("term <> ''").distinct()
                 .withColumn("canonical", F.upper("term")))
     d = table(spark, folder, "documents").select("doc_id", "text")
-    return audit.apply_glossary(d, glossary, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return audit.apply_glossary(d, glossary).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("pronoun_audit", r"""

@@ -36,9 +36,9 @@ def save_outputs(spark, folder):
     path = scratch_folder(spark, "outputs")
     work = corpus.new_keys(I.chapters(spark, folder).select("doc_id", "stem", "vol_key"), table(spark, folder, "labels"), "doc_id")
     corpus.save_outputs(work, path)
-    rest, _ = corpus.carry_over(work, spark.read.parquet(path), "stem")
+    rest, _ = corpus.carry_over(work, corpus.load_outputs(spark, path, work.schema), "stem")
     corpus.save_outputs(rest, path)
-    return spark.read.schema(work.schema).parquet(path).groupBy("vol_key").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.load_outputs(spark, path, work.schema).groupBy("vol_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("bench_results", I.sql("""SELECT model, target, count(error) AS errors, count(*) AS n,

@@ -11,7 +11,7 @@ from tidemark.operators import metrics
 from tidemark.session import scratch_folder
 from tidemark.sources import telemetry
 from tidemark.streaming import tables, windows
-from tidemark.streaming.replies import stream_replies
+from tidemark.streaming.replies import STATE_STORE, stream_replies, use_state_store
 
 
 def _stream(spark, folder: str, name: str) -> DataFrame:
@@ -86,15 +86,32 @@ def stream_routes(spark, folder):
     return stores[0].unionByName(stores[1]).unionByName(stores[2])
 
 
-@query("stream_replies", I.sql("""
-SELECT request_id, string_agg(token, '' ORDER BY seq) AS text, max(turn) * 10 AS prompt_tokens, max(n) AS completion_tokens, true AS ended
-FROM tokens GROUP BY request_id HAVING max(conv_id * 60 + turn + (n + 5) * 0.025) + 300 <=
-  (SELECT max(conv_id * 60 + turn + (n + 5) * 0.025) FROM tokens) - 600""", "tokens"))
+REPLY_PART = 20
+
+# Events are the tokens, a broken one, the usage and the end mark (n + 1 to n + 3); a part is out when the reply was silent
+# for five minutes or an event of a later part (the late one, n + 4, too) is older than the watermark.
+@query("stream_replies", I.sql(f"""
+SELECT request_id, p AS part_no, coalesce(string_agg(token, '' ORDER BY seq) FILTER (seq < n), '') AS text,
+  CASE WHEN (n + 2) // {REPLY_PART} <= p THEN any_value(turn) * 10 END AS prompt_tokens,
+  CASE WHEN (n + 2) // {REPLY_PART} <= p THEN n END AS completion_tokens,
+  (n + 3) // {REPLY_PART} = p AS ended, (n + 3) // {REPLY_PART} = p AS last
+FROM (SELECT *, seq // {REPLY_PART} AS p, at0 + (n + 5) * 0.025 + 300 <= w AS closed,
+    at0 + 0.025 * (1 + CASE WHEN (seq // {REPLY_PART} + 1) * {REPLY_PART} = n THEN n + 1 ELSE (seq // {REPLY_PART} + 1) * {REPLY_PART} END) <= w
+      AND (seq // {REPLY_PART} + 1) * {REPLY_PART} <= n + 4 AS passed
+  FROM (SELECT request_id, turn, n, seq, token, conv_id * 60 + turn AS at0 FROM tokens
+        UNION ALL SELECT request_id, any_value(turn), n, n + unnest([1, 2, 3]), '', any_value(conv_id * 60 + turn) FROM tokens GROUP BY request_id, n),
+    (SELECT max(conv_id * 60 + turn + (n + 5) * 0.025) - 600 AS w FROM tokens))
+WHERE closed OR passed GROUP BY request_id, n, p""", "tokens"))
 def stream_replies_query(spark, folder):
     root = scratch_folder(spark, "sse")
     I.sse_lines(spark, folder).write.parquet(root)
     lines = spark.readStream.schema("request_id STRING, seq BIGINT, ts TIMESTAMP, raw STRING").parquet(root)
-    return _drain(stream_replies(lines), "replies")
+    kept = spark.conf.get(STATE_STORE[0])
+    use_state_store(spark)
+    try:
+        return _drain(stream_replies(lines, part_events=REPLY_PART), "replies")
+    finally:
+        spark.conf.set(STATE_STORE[0], kept)
 
 
 @query("stream_facts", I.sql("SELECT seq, pos, path, kind, value FROM merged", "merged"))

@@ -2,82 +2,91 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import within
-
 # Titles and the gender they stand for.
 TITLE_GENDER = {"Mr": "male", "Mrs": "female", "Ms": "female"}
 # Pronouns and their gender.
 PRONOUN_GENDER = {"he": "male", "him": "male", "his": "male", "himself": "male", "she": "female", "her": "female", "hers": "female", "herself": "female"}
 TITLE_PATTERN = r"\b(Mr|Mrs|Ms)\.? (\p{L}+)"
 
-MAX_SHARED_TERMS = 50_000
+SHARED_BYTES = 32 << 20
+TERM_BYTES = 200  # what a term takes beside its characters
 
 
-def apply_glossary(df: DataFrame, glossary: DataFrame, key: str, text: str = "text",
-                   max_terms: int = MAX_SHARED_TERMS) -> DataFrame:
+def apply_glossary(df: DataFrame, glossary: DataFrame, text: str = "text", shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """Replace each term by its canonical form in one pass (a replacement is never replaced again).
 
-    ``glossary``: (term, canonical); of a term given twice the smallest form counts.  Terms match whole words; longer terms first.  Up to
-    ``max_terms`` terms go to the tasks as they are.  A larger glossary is joined to the
-    texts by the rarest word of each term, so a text meets only terms it may hold.
+    ``glossary``: (term, canonical); of a term given twice the smallest form counts, empty and missing ones none.  Terms
+    match whole words: the leftmost one first, of several there the longest.  The terms are counted in bytes and go out
+    in shards of about ``shared_bytes``, dealt by a hash of their first word; each task walks a text once through the
+    automaton of each shard, and what all of them found is chosen from together, so the number of shards changes
+    nothing.  Texts are not shuffled and need no key; a missing text stays missing.
     """
-    terms = glossary.filter(F.col("term") != "").groupBy("term").agg(F.min("canonical").alias("canonical"))
-    small = within(terms, max_terms)
-    if small is not None:
-        table = {r["term"]: r["canonical"] for r in small}
-
-        @F.pandas_udf("string")
-        def replace(texts: pd.Series) -> pd.Series:
-            swap = _replacer(table)
-            return texts.map(swap, na_action="ignore")
-
-        return df.withColumn(text, replace(F.col(text)))
-
-    # Letters, digits and underscore are what the pattern below takes for a word; terms without any meet every text.
-    words_of = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    split = lambda c: F.explode(F.when(F.size(words_of(c)) > 0, words_of(c)).otherwise(F.array(F.lit(""))))
-    words = df.select(key, F.explode(F.array_append(words_of(F.col(text)), "")).alias("_w"))
-    spread = words.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (terms.select("term", "canonical", split(F.col("term")).alias("_w")).join(spread, "_w", "left")
-              .groupBy("term", "canonical").agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), "_w")).alias("_w")))
-    held = (words.join(rarest, "_w").groupBy(key)
-            .agg(F.map_from_entries(F.collect_set(F.struct("term", "canonical"))).alias("_terms")))
-
-    @F.pandas_udf("string")
-    def replace_own(texts: pd.Series, tables: pd.Series) -> pd.Series:
-        return pd.Series([_replacer(dict(t))(x) if t is not None and x is not None and len(t) else x
-                          for x, t in zip(texts, tables)], dtype=object)
-
-    return (df.join(held, key, "left").withColumn(text, replace_own(F.col(text), F.col("_terms")))
-            .drop("_terms"))
-
-
-def _replacer(table: dict[str, str]):
-    if not table:
-        return lambda value: value
-    pattern = re.compile(r"(?<!\w)" + _alternatives(table) + r"(?!\w)")
-    return lambda value: pattern.sub(lambda m: table[m.group()], value)
-
-
-def _alternatives(terms) -> str:
-    """Terms as one pattern that branches on the next character, so its cost does not grow
-    with their number; where one term continues another, the longer is tried first."""
-    by_first: dict[str, list[str]] = {}
-    for term in terms:
-        if term:
-            by_first.setdefault(term[0], []).append(term[1:])
-    branches = []
-    for first, rests in sorted(by_first.items()):
-        longer = [r for r in rests if r]
-        tail = _alternatives(longer) if longer else ""
-        branches.append(re.escape(first) + (f"(?:{tail})?" if longer and "" in rests else tail))
-    return "(?:" + "|".join(branches) + ")"
+    terms = (glossary.filter("term <> '' AND canonical IS NOT NULL").groupBy("term").agg(F.min("canonical").alias("canonical")))
+    size = terms.agg(F.sum(F.octet_length("term") + F.octet_length("canonical") + TERM_BYTES)).first()[0] or 0
+    shards = -(-size // shared_bytes)
+    if not shards:
+        return df
+    own = F.pmod(F.xxhash64(F.regexp_extract("term", r"^([\p{L}\p{N}_]*)", 1)), F.lit(shards))
+    found = [f"_found_{i}" for i in range(shards)]
+    out = df
+    for i, name in enumerate(found):
+        # One shard at a time passes through the driver.
+        shared = df.sparkSession.sparkContext.broadcast([(r.term, r.canonical) for r in terms.filter(own == i).toLocalIterator()])
+        out = out.withColumn(name, _finder(shared)(F.col(text)))
+    return out.withColumn(text, replace_found(F.col(text), *map(F.col, found))).drop(*found)
+
+
+def build_automaton(terms: Iterable[tuple[str, str]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for term, canonical in terms:
+        automaton.add_word(term, (len(term), canonical))
+    automaton.make_automaton()
+    return automaton
+
+
+def _finder(shared: Broadcast):
+    @F.pandas_udf("array<struct<at: int, size: int, canonical: string>>")
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = build_automaton(shared.value)
+        for part in texts:
+            yield part.map(lambda t: whole_words(automaton, t), na_action="ignore")
+
+    return find
+
+
+def whole_words(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, str]]:
+    """(start, size, canonical) of all terms in the text that no word character touches."""
+    if not len(automaton):
+        return []
+    word = lambda c: c == "_" or c.isalnum()
+    return [(end - size + 1, size, canonical) for end, (size, canonical) in automaton.iter(text)
+            if not (end >= size and word(text[end - size])) and not (end + 1 < len(text) and word(text[end + 1]))]
+
+
+@F.pandas_udf("string")
+def replace_found(texts: pd.Series, *found: pd.Series) -> pd.Series:
+    out = []
+    for text, *parts in zip(texts, *found, strict=True):
+        if text is None or text is pd.NA or text != text:
+            out.append(None)
+            continue
+        # Leftmost first, the longest of those that begin together.
+        matches = sorted(((m["at"], -m["size"], m["canonical"]) for p in parts if p is not None for m in p))
+        done, pieces = 0, []
+        for at, size, canonical in matches:
+            if at >= done:
+                pieces += [text[done:at], canonical]
+                done = at - size
+        out.append("".join([*pieces, text[done:]]))
+    return pd.Series(out, dtype=object)
 
 
 def title_mentions(df: DataFrame, key: str, text: str = "text", pattern: str = TITLE_PATTERN) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions import text as T
-from tidemark.operators.scan import ordered_text, with_parts, with_position
+from tidemark.operators.scan import beside, ordered_text, with_parts, with_position
 from tidemark.session import cut_lineage, slice_count
+from tidemark.sources.generations import Generations, Parts
 
 BLOCK_CHUNKS = 64
 PART_CHAPTERS = 1_000
@@ -78,23 +78,31 @@ def volume_counts(chapters: DataFrame) -> DataFrame:
         F.max("chap").alias("last_chap"))
 
 
-def save_outputs(results: DataFrame, path: str, key: str = "vol_key", name: str = "stem") -> None:
-    """Finished rows, one folder per key: the restart state of the next run.
+def _newest(name: str) -> Callable[[Parts], Parts]:
+    def combine(parts: Parts) -> Parts:
+        rows = parts["rows"]
+        last = rows.groupBy(name).agg(F.max("_generation").alias("_last"))
+        return {"rows": beside(rows, last, ["_last"], [name]).filter("_generation = _last").drop("_last")}
 
-    A row saved before under the same name is replaced, so a rerun adds nothing; only
-    the folders of the keys in ``results`` are written again.
+    return combine
+
+
+def save_outputs(results: DataFrame, path: str, name: str = "stem") -> None:
+    """Finished rows: the restart state of the next run, read by ``load_outputs``.
+
+    A run's rows are a generation of their own beside the older ones, and the manifest that names it is written last:
+    a run that dies leaves the old state whole.  A row replaces those saved before under the same name, also where it
+    moved to another volume.  Only a folder without a manifest is a first run; one that cannot be read is an error.
     """
-    rows = cut_lineage(results)
-    try:
-        old = results.sparkSession.read.schema(results.schema).parquet(path)
-    except AnalysisException:  # the first run finds no folder
-        old = None
-    if old is not None:
-        # The folders read here are written below, so their other rows are put aside first.
-        rest = old.join(rows.select(key).distinct(), key, "left_semi").join(rows.select(name), name, "left_anti")
-        rows = rows.unionByName(cut_lineage(rest))
-    (rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(key).parquet(path))
+    store = Generations(results.sparkSession, path, _newest(name))
+    number = store.manifest()["last"] + 1
+    store.add(number, {"rows": results.withColumn("_generation", F.lit(number).cast("bigint"))})
+
+
+def load_outputs(spark: SparkSession, path: str, schema: str | StructType, name: str = "stem") -> DataFrame:
+    """The saved rows; none before the first run."""
+    parts = Generations(spark, path, _newest(name)).read()
+    return spark.createDataFrame([], schema) if parts is None else parts["rows"].drop("_generation")
 
 
 # --- chunks -----------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import overflow_attachment, overflow_view
-from tidemark.operators.scan import ordered_text, prefix_scan, with_parts
+from tidemark.operators.scan import beside, ordered_text, prefix_scan
 from tidemark.session import cut_lineage
 
 # Defaults, limits and texts of alert handling.
@@ -50,10 +50,16 @@ def parse_json_log(raw: DataFrame, schema: str, line: str = "line") -> DataFrame
 def join_partial_lines(lines: DataFrame, keys: list[str], order: list[str],
                        max_rows: int = PART_PIECES) -> DataFrame:
     """Pieces flagged P joined up to the next F.  ``part_no`` is the position of a piece in its
-    line div ``max_rows``, so a very long line comes in ordered parts."""
+    line div ``max_rows``, so a very long line comes in ordered parts.
+
+    One scan of the keys and flags gives each piece its line and its place; the contents move afterwards, once to
+    meet them and once to be joined.
+    """
     ends = F.when(F.col("flag") == "F", 1).otherwise(0).cast("bigint")
-    scanned = prefix_scan(lines, keys, order, sums={"line_no": ends})
-    parted = with_parts(scanned, [*keys, "line_no"], order, max_rows)
+    scanned = cut_lineage(prefix_scan(lines.select(*keys, *order, "flag"), keys, order, sums={"line_no": ends, "_place": F.lit(1).cast("bigint")}))
+    starts = scanned.groupBy(*keys, "line_no").agg(F.min("_place").alias("_start"))
+    placed = beside(scanned, starts, ["_start"], [*keys, "line_no"]).withColumn("part_no", F.expr(f"(_place - _start) div {int(max_rows)}"))
+    parted = beside(lines.select(*keys, *order, "content"), placed, ["line_no", "part_no"], [*keys, *order])
     return parted.groupBy(*keys, "line_no", "part_no").agg(
         ordered_text(order, "content", "").alias("content"), F.count(F.lit(1)).alias("n_pieces"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import sse
 from tidemark.functions.text import strip
+from tidemark.operators.scan import beside
 
 PART_EVENTS = 100_000
 
@@ -29,18 +30,22 @@ def parse_events(lines: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def until_done(events: DataFrame, max_events: int = PART_EVENTS) -> DataFrame:
-    """Events before the first end mark of their request, with ``part_no``.
+    """Events before the first end mark of their request, with ``part_no``: the number div ``max_events``, rounded down.
 
-    The end is looked up per request and part of ``max_events`` sequence numbers, so a very
-    long stream is spread over tasks, here and in ``reassemble``, which groups by the same keys.
+    Which parts there are comes from the numbers that occur, so these may be of any size, with gaps, or below zero.
+    The end is looked up per request and part, so a very long stream is spread over tasks, here and in ``reassemble``,
+    which groups by the same keys.  An event without a number is before all others, in a part without a number; an end
+    mark without one ends nothing.  A request without an id is one request.
     """
-    part = lambda c: F.expr(f"{c} div {int(max_events)}")
-    ends = events.groupBy("request_id").agg(
-        F.min(F.when(F.col("done"), F.col("seq"))).alias("_end"), F.max("seq").alias("_last"))
-    spread = ends.select("request_id", "_end", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), part("coalesce(_end, _last)"))).alias("part_no"))
-    return (events.withColumn("part_no", part("seq")).join(spread, ["request_id", "part_no"])
-            .filter(F.col("_end").isNull() | (F.col("seq") < F.col("_end"))).drop("_end", "done"))
+    numbered = events.withColumn("part_no", F.expr(f"(seq - pmod(seq, {int(max_events)})) div {int(max_events)}"))
+    parts = numbered.groupBy("request_id", "part_no").agg(F.min(F.when(F.col("done"), F.col("seq"))).alias("_own"))
+    ends = parts.groupBy("request_id").agg(F.min("_own").alias("_end"))
+    first = F.expr(f"part_no * {int(max_events)}")
+    wanted = beside(parts, ends, ["_end"], ["request_id"]).filter(
+        F.col("part_no").isNull() | F.col("_end").isNull() | (first < F.col("_end")))
+    met = beside(numbered, wanted, ["_end"], ["request_id", "part_no"])
+    open_ = F.col("seq").isNull() | F.col("_end").isNull() | (F.col("seq") < F.col("_end"))
+    return met.filter(open_ & ~(F.col("done") & F.col("seq").isNull())).drop("_end", "done")
 
 
 def reassemble(events: DataFrame) -> DataFrame:
@@ -70,7 +75,7 @@ def guard_reply(replies: DataFrame, keys: Sequence[str] = ("request_id",)) -> Da
     whole = replies.groupBy(*keys).agg(
         F.max(strip(text) != "").alias("_some"), F.count(F.lit(1)).alias("_parts"))
     body = F.when(F.col("_parts") == 1, strip(text)).otherwise(text)
-    return replies.join(whole, list(keys)).withColumn("text", body).withColumn(
+    return beside(replies, whole, ["_some", "_parts"], list(keys)).withColumn("text", body).withColumn(
         "status", F.when(F.col("_some"), "ok").otherwise("error")).drop("_some", "_parts")
 
 

@@ -75,11 +75,22 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return prefix_scan(df, keys, order, sums={name: F.lit(1).cast("bigint")}, slices=slices)
 
 
+def beside(df: DataFrame, numbered: DataFrame, names: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """``df`` with the columns ``names`` that ``numbered`` has for the same values of ``on``, nulls alike."""
+    narrow = numbered.select(*[F.col(c).alias(f"_n_{c}") for c in on], *names)
+    return df.join(narrow, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in on])).select(*df.columns, *names)
+
+
 def with_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int,
                name: str = "part_no", slices: int | None = None) -> DataFrame:
-    """``part_no`` = position inside the key div ``max_rows``: ordered parts of bounded size."""
-    placed = with_position(df, keys, order, "_position", slices)
-    return placed.withColumn(name, F.expr(f"_position div {int(max_rows)}")).drop("_position")
+    """``part_no`` = position inside the key div ``max_rows``: ordered parts of bounded size.
+
+    Only ``keys`` and ``order`` are sorted into ranges and written for the scan, the rest of a row, texts above all,
+    meets its number in one join.  Rows of a key that ``order`` does not tell apart are in one part, that of the first.
+    """
+    counted = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_times"))
+    numbered = prefix_scan(counted, keys, order, sums={"_position": F.col("_times")}, slices=slices)
+    return beside(df, numbered.withColumn(name, F.expr(f"_position div {int(max_rows)}")), [name], [*keys, *order])
 
 
 def ordered_text(order: Sequence[str], text: str, separator: str) -> Column:

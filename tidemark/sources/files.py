@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.scan import with_position
+from tidemark.session import cut_lineage, slice_count
 
+BROADCAST_SPLITS = 200_000
 BENCH_SCHEMA = (
     "model STRING, input_tokens BIGINT, output_tokens BIGINT, ttft DOUBLE, tpot DOUBLE, "
     "total_duration DOUBLE, target BIGINT, error STRING"
@@ -33,14 +34,26 @@ def scan_files(spark: SparkSession, folder: str, glob: str = "*", fmt: str = "te
 
 
 def scan_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Lines of text files with file name and line number (from 0); files of any size are read in splits."""
+    """Lines of text files with file name and line number (from 0); files of any size are read in splits.
+
+    A first pass counts the lines of each split; a line's number is that of its split's first line and its place there,
+    so no line is shuffled, sorted or written.  Lines end with a line feed, a carriage return or both.  Files of equal
+    names in different folders are numbered each for itself.
+    """
     lines = spark.read.option("pathGlobFilter", glob).text(folder)
     if not lines.inputFiles():
         raise FileNotFoundError(f"no file matches {glob} in {folder}")
-    # Rows of a split come in the order of its lines, so split and row number order a file.
-    placed = lines.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"),
-                          F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
-    return with_position(placed, ["file_name"], ["_block", "_row"], "line_no").select("file_name", "line_no", "line")
+    # The rows of a split have ascending ids without gaps, and both passes read the same splits in the same tasks.
+    placed = lines.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                          F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    # One row per split; a file has few of them, and all of them together are what the driver lists to plan the scan.
+    splits = cut_lineage(placed.groupBy("_path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block")) - F.col("_n")
+    starts = splits.select(F.col("_path").alias("_p"), F.col("_block").alias("_b"), (before - F.col("_first")).alias("_shift"))
+    if splits.count() <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    return (placed.join(starts, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+            .select("file_name", (F.col("_row") + F.col("_shift")).cast("bigint").alias("line_no"), "line"))
 
 
 def load_json_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA, multi_line: bool = False) -> DataFrame:
@@ -60,8 +73,13 @@ def save_json_state(df: DataFrame, path: str) -> None:
 
 
 def write_documents(df: DataFrame, path: str, key: str = "vol_key", name: str = "stem", text: str = "text") -> None:
-    """One text file per document, in a folder of its own below that of its volume; a rerun replaces it."""
-    (df.select(key, name, text).repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """One text file per document, in the folder of its name below that of its volume; a rerun replaces the folder.
+
+    Documents that share volume and name are files beside each other.  The documents of a volume are spread over tasks
+    by their names, so a large volume is not one task.
+    """
+    (df.select(key, name, text).repartitionByRange(slice_count(df.sparkSession), key, name)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1)
      .partitionBy(key, name).text(path))
 
 

@@ -1,25 +1,147 @@
-"""Token streams closed by silence."""
+"""Token streams let out in ordered parts while they run, closed by silence."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.replies import parse_events
 from tidemark.streaming import WATERMARK
 
+PART_EVENTS = 1_000
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+EVENT = "seq bigint, us bigint, done boolean, token string, prompt_tokens bigint, completion_tokens bigint"
+PARTS = "request_id string, part_no bigint, text string, prompt_tokens bigint, completion_tokens bigint, ended boolean, last boolean"
+KNOWN = "next_part bigint, last_us bigint, ended boolean, prompt_tokens bigint, completion_tokens bigint"
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """State with lists and timers needs this store; it holds for the streams started afterwards."""
+    spark.conf.set(*STATE_STORE)
+
+
+class ReplyParts(StatefulProcessor):
+    """Per request: the events of parts that are still open, and a row of what is known of the ones let out.
+
+    A part is let out when the watermark has passed an event of a later part, as what could still come for it would be
+    late, or when the request has been silent for ``gap_us``.  So the state holds the events of one part and of the
+    watermark's delay, however long a reply gets.
+    """
+
+    def __init__(self, part_events: int, gap_us: int):
+        self.part_events, self.gap_us = part_events, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", EVENT)
+        self.known = handle.getValueState("known", KNOWN)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> tuple[dict[int, tuple], list]:
+        known = list(self.known.get()) if self.known.exists() else [None, None, False, None, None]
+        events = {e[0]: tuple(e) for e in self.waiting.get()} if self.waiting.exists() else {}
+        return events, known
+
+    def _store(self, events: dict[int, tuple], known: list) -> None:
+        self.known.update(tuple(known))
+        if events:
+            self.waiting.put([events[s] for s in sorted(events)])
+        else:
+            self.waiting.clear()
+        self._set_timers(events, known)
+
+    def _set_timers(self, events: dict[int, tuple], known: list) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+        first: dict[int, int] = {}
+        for seq, us, *_ in events.values():
+            part = seq // self.part_events
+            first[part] = min(us, first.get(part, us))
+        # The first part is over once the watermark passes an event of any later one.
+        wanted = {min(us for part, us in first.items() if part > min(first))} if len(first) > 1 else set()
+        for us in wanted | {known[1] + self.gap_us}:
+            self.handle.registerTimer(-(-us // 1_000))
+
+    def _let_out(self, key: tuple, events: dict[int, tuple], known: list, upto: int | None) -> list[tuple]:
+        """Rows of the parts below ``upto`` (all: None); their events leave ``events``."""
+        rows = []
+        parts = sorted({s // self.part_events for s in events if upto is None or s // self.part_events < upto})
+        for i, part in enumerate(parts):
+            own = [events.pop(s) for s in sorted(s for s in events if s // self.part_events == part)]
+            known[0] = part + 1
+            if known[2]:
+                continue
+            text = []
+            for _, _, done, token, prompt, completion in own:
+                if done:
+                    known[2] = True
+                    break
+                text.append(token or "")
+                if prompt is not None:
+                    known[3], known[4] = prompt, completion
+            last = known[2] or (upto is None and i == len(parts) - 1)
+            rows.append((key[0], part, "".join(text), known[3], known[4], known[2], last))
+        return rows
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            names = [c.split()[0] for c in PARTS.split(", ")]
+            frame = pd.DataFrame(rows, columns=names)
+            yield frame.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events, known = self._load()
+        some = lambda x: None if pd.isna(x) else int(x)
+        new = [(int(r.seq), int(r.us), bool(r.done), r.token, some(r.prompt_tokens), some(r.completion_tokens))
+               for part in rows for r in part.itertuples(index=False) if not pd.isna(r.seq)]
+        out = []
+        for event in sorted(new, key=lambda e: e[1]):
+            if known[1] is not None and event[1] >= known[1] + self.gap_us:  # silent before: the next reply begins
+                out += self._let_out(key, events, known, None)
+                known = [None, None, False, None, None]
+            known[1] = event[1] if known[1] is None else max(known[1], event[1])
+            if not known[2] and (known[0] is None or event[0] // self.part_events >= known[0]):
+                events.setdefault(event[0], event)  # an event that comes again is there already
+        if known[1] is not None:
+            self._store(events, known)
+        yield from self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        events, known = self._load()
+        if known[1] is None:
+            return
+        now = timerValues.getCurrentWatermarkInMs() * 1_000
+        if now >= known[1] + self.gap_us:
+            out = self._let_out(key, events, known, None)
+            self.waiting.clear()
+            self.known.clear()
+        else:
+            passed = [s // self.part_events for s, us, *_ in events.values() if us <= now]
+            out = self._let_out(key, events, known, max(passed) if passed else 0)
+            self._store(events, known)
+        yield from self._frame(out)
+
+
+def stream_replies(lines: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK, part_events: int = PART_EVENTS) -> DataFrame:
+    """Rows of a request as its parts become final: text up to the end mark, usage seen so far, whether it has ended.
 
-def stream_replies(lines: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """One row per request once it is silent for ``gap``: text up to the end mark, last usage, whether it ended."""
-    events = parse_events(lines).withWatermark("ts", watermark)
-    items = F.sort_array(F.collect_list(F.struct("seq", "done", "token", "prompt_tokens", "completion_tokens")))
-    grouped = (events.groupBy("request_id", F.session_window("ts", gap).alias("w"))
-               .agg(items.alias("_all"), F.min(F.when(F.col("done"), F.col("seq"))).alias("_end")))
-    kept = grouped.withColumn("_all", F.filter(
-        "_all", lambda x: F.col("_end").isNull() | (x["seq"] < F.col("_end"))))
-    usage = F.filter("_all", lambda x: x["prompt_tokens"].isNotNull())
-    last = F.try_element_at(usage, F.lit(-1))
-    return kept.select(
-        "request_id", F.array_join(F.transform("_all", lambda x: x["token"]), "").alias("text"),
-        last["prompt_tokens"].alias("prompt_tokens"), last["completion_tokens"].alias("completion_tokens"),
-        F.col("_end").isNotNull().alias("ended"))
+    ``part_no`` is the event number div ``part_events``.  A part without events has no row; the part with the end mark has one,
+    with ``ended`` and ``last``, and nothing behind the mark counts.  Without a mark the row that is let out after a
+    silence of ``gap`` is the ``last`` one, and what comes later begins anew.  Events that come twice count once, those
+    later than the watermark are dropped, and events without a number are left out.  Call ``use_state_store`` before the
+    stream starts.
+    """
+    gap_us = int(lines.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {gap})").first()[0])
+    events = parse_events(lines).withWatermark("ts", watermark).select(
+        F.coalesce("request_id", F.lit("")).alias("request_id"), "ts", "seq", F.unix_micros("ts").alias("us"), "done", "token",
+        "prompt_tokens", "completion_tokens")
+    return events.groupBy("request_id").transformWithStateInPandas(
+        statefulProcessor=ReplyParts(part_events, gap_us), outputStructType=PARTS, outputMode="Append", timeMode="eventTime")

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from tidemark.operators.facts import drop_overwritten, kind_marks, merge_facts, merge_marks
 from tidemark.operators.logs import LOOK_BACK_HOURS, alert_logs, alert_view, diagnosis_prompt, needs_diagnosis
 from tidemark.operators.traces import flatten_traces, root_span_filter
+from tidemark.sources.generations import FAN, Generations, Parts
 from tidemark.streaming import BATCH_SECONDS
-from tidemark.streaming.generations import FAN, Generations, Parts
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
