@@ -240,7 +240,7 @@ def test_glossary_equals_trying_every_place():
             at += len(fits[0]) if fits else 1
         found = audit.whole_words(audit.build_automaton(terms.items()), text)
         rows = pd.Series([[{"at": a, "size": n, "canonical": c} for a, n, c in found]])
-        assert audit.replace_found.func(pd.Series([text]), rows)[0] == want
+        assert audit.replace_found(pd.Series([text]), rows)[0] == want
 
 
 def test_gender_audit(spark):

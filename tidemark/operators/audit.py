@@ -41,7 +41,8 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, text: str = "text", share
         # One shard at a time passes through the driver.
         shared = df.sparkSession.sparkContext.broadcast([(r.term, r.canonical) for r in terms.filter(own == i).toLocalIterator()])
         out = out.withColumn(name, _finder(shared)(F.col(text)))
-    return out.withColumn(text, replace_found(F.col(text), *map(F.col, found))).drop(*found)
+    replaced = F.pandas_udf(replace_found, "string")
+    return out.withColumn(text, replaced(F.col(text), *map(F.col, found))).drop(*found)
 
 
 def build_automaton(terms: Iterable[tuple[str, str]]) -> ahocorasick.Automaton:
@@ -71,8 +72,8 @@ def whole_words(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int,
             if not (end >= size and word(text[end - size])) and not (end + 1 < len(text) and word(text[end + 1]))]
 
 
-@F.pandas_udf("string")
 def replace_found(texts: pd.Series, *found: pd.Series) -> pd.Series:
+    """Texts with the canonical forms in place of what was found; nothing is replaced twice."""
     out = []
     for text, *parts in zip(texts, *found, strict=True):
         if text is None or text is pd.NA or text != text:
