@@ -142,7 +142,7 @@ def replies_of(spark, tmp_path, batches, **options):
     """Rows let out by each micro-batch; a batch is a list of (request, number, second, line)."""
     schema = "request_id STRING, seq LONG, t LONG, raw STRING"
     for i, rows in enumerate(batches):
-        df = spark.createDataFrame(rows, schema).select("request_id", "seq", F.timestamp_seconds("t").alias("ts"), "raw")
+        df = spark.createDataFrame(rows, schema).select("request_id", "seq", F.timestamp_seconds(F.col("t") + 1_000).alias("ts"), "raw")
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/b={i}")
     stream = spark.readStream.schema("request_id STRING, seq LONG, ts TIMESTAMP, raw STRING, b INT").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = []

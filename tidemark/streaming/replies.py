@@ -136,7 +136,8 @@ def stream_replies(lines: DataFrame, gap: str = "5 minutes", watermark: str = WA
     ``part_no`` is the event number div ``part_events``.  A part without events has no row; the part with the end mark has one,
     with ``ended`` and ``last``, and nothing behind the mark counts.  Without a mark the row that is let out after a
     silence of ``gap`` is the ``last`` one, and what comes later begins anew.  Events that come twice count once, those
-    later than the watermark are dropped, and events without a number are left out.  Call ``use_state_store`` before the
+    later than the watermark are dropped (it begins at 1970, so an event of that very instant is late), and events without
+    a number are left out.  Call ``use_state_store`` before the
     stream starts.
     """
     gap_us = int(lines.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {gap})").first()[0])
