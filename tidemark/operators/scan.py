@@ -97,9 +97,3 @@ def ordered_text(order: Sequence[str], text: str, separator: str) -> Column:
     """Aggregate: texts of the group in order, joined by the separator.  Use on bounded parts."""
     items = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
     return F.array_join(F.transform(items, lambda x: x["_text"]), separator)
-
-
-def within(df: DataFrame, max_rows: int) -> list | None:
-    """The rows when there are at most ``max_rows``, else None: the check before a broadcast."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
