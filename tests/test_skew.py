@@ -91,6 +91,22 @@ def test_alert_logs_of_equal_lines(spark):
     assert two[1][1] == "\n".join(got[1][1].split("\n")[-2:]) and two[2] == (2, "same")
 
 
+def test_a_long_look_back_is_a_few_spans(spark):
+    """An alert that looks back 240 hours is ten rows at most, and these meet the lines without a broadcast."""
+    alerts = spark.createDataFrame([(i, "p", "n", 3_600_000 + 5_000 * i) for i in range(20)], "alert_id bigint, pod string, namespace string, s bigint")
+    alerts = alerts.select("alert_id", "pod", "namespace", F.timestamp_seconds("s").alias("ts"))
+    lines = spark.range(2_000).select(F.lit("p").alias("pod"), F.lit("n").alias("namespace"), F.timestamp_seconds(F.col("id") * 1_900).alias("ts"),
+                                      F.col("id").alias("seq"), F.col("id").cast("string").alias("line"))
+    out = logs.alert_logs(alerts, lines, n=10_000, look_back_hours=240)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spans = [x for x in plan.splitlines() if "LeftSemi" in x and "hour" in x]
+    assert spans and all("SortMergeJoin" in x for x in spans)
+    for r in out.collect():
+        at = 3_600_000 + 5_000 * r.alert_id
+        assert r.log_text.split("\n") == [str(i) for i in range(2_000) if at - 240 * 3_600 <= i * 1_900 <= at]
+    assert logs.hours_seen(alerts.filter("alert_id = 0"), 240, 30).count() <= 10
+
+
 def test_hours_without_alerts_are_not_numbered(spark, tmp_path):
     """The semi-join on pod and hour stands right above the scan, below the numbering."""
     hours = spark.range(0, 480).select(F.lit("p").alias("pod"), F.lit("n").alias("namespace"), F.timestamp_seconds(F.col("id") * 900).alias("ts"),

@@ -17,6 +17,7 @@ DEFAULT_DESCRIPTION = "No description"
 DESCRIPTION_CHARS = 4_000
 LOG_LINES = 50
 LOOK_BACK_HOURS = 1
+LOOK_BACK_SPANS = 8
 NO_LOGS = "No logs found or Loki unreachable."
 PROMPT_HEAD = ("You are an SRE assistant. Analyze the following alert and logs to identify the root cause."
                "\n\nALERT: ")
@@ -94,17 +95,18 @@ def needs_diagnosis(alerts: DataFrame) -> DataFrame:
     return alerts.filter("needs_diagnosis")
 
 
-def hours_seen(alerts: DataFrame, look_back_hours: int) -> DataFrame:
-    """``pod``, ``namespace``, ``hour`` (hours since 1970) of every hour that an alert's look-back touches."""
-    hour = F.floor(F.unix_seconds("ts") / 3_600)
-    return alerts.filter("ts IS NOT NULL").select("pod", "namespace", F.explode(F.sequence(hour - look_back_hours, hour)).alias("hour")).distinct()
+def hours_seen(alerts: DataFrame, look_back_hours: int, width: int = 1) -> DataFrame:
+    """``pod``, ``namespace``, ``hour`` of every span of ``width`` hours (counted from 1970) that an alert's look-back touches."""
+    hour = lambda back: F.floor((F.unix_seconds("ts") - back * 3_600) / (width * 3_600))
+    return alerts.filter("ts IS NOT NULL").select("pod", "namespace", F.explode(F.sequence(hour(look_back_hours), hour(0))).alias("hour")).distinct()
 
 
 def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id: str = "alert_id",
                look_back_hours: int = LOOK_BACK_HOURS) -> DataFrame:
     """Newest ``n`` log lines of the alert's pod in the hours up to the alert, oldest first, as ``log_text``.
 
-    Lines are read only of the pods and hours that an alert looks back on.  No alert is paired with all lines of its
+    Lines are read only of the pods and hours that an alert looks back on; the hours of a longer look-back are taken
+    together in at most ``LOOK_BACK_SPANS`` + 2 spans, so an alert is a few rows however far it looks.  No alert is paired with all lines of its
     pod: lines, alerts and the beginnings of their ranges are numbered together in time order, without the text.  What
     an alert sees is then a range of line numbers, at most ``n``; only these lines' texts are looked up.  Lines of one
     instant come by ``seq`` (null first), then by a digest of the text; every line counts once, equal ones too.  A line
@@ -113,8 +115,11 @@ def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id:
     """
     pod = ["pod", "namespace"]
     line = [*pod, "ts", "seq", "digest"]
-    hour = F.floor(F.unix_seconds("ts") / 3_600).alias("hour")
-    near = (logs.select(*pod, "ts", "seq", "line", hour).join(hours_seen(alerts, look_back_hours), [*pod, "hour"], "left_semi")
+    width = max(1, -(-look_back_hours // LOOK_BACK_SPANS))
+    hour = F.floor(F.unix_seconds("ts") / (width * 3_600)).alias("hour")
+    # The planner takes the spans for as small as the alerts they are made of; they grow with pods and time, so they are shuffled.
+    spans = hours_seen(alerts, look_back_hours, width).hint("merge")
+    near = (logs.select(*pod, "ts", "seq", "line", hour).join(spans, [*pod, "hour"], "left_semi")
             .withColumn("digest", F.unhex(F.md5(F.coalesce("line", F.lit(""))))).drop("hour"))
     none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
     mark = lambda ts, kind: alerts.select(*pod, ts.alias("ts"), F.lit(kind).alias("kind"), none("seq", near), none("digest", near), alert_id)

@@ -5,7 +5,8 @@ task when written as ``Window.partitionBy(key)``.  A key that holds a third of
 the input makes that one task as large as a third of the input.  The functions
 here range-partition rows on (key, order) instead, so a large group is cut into
 ordered slices; each slice is scanned on its own and the totals of the slices
-before it (a handful of rows per key) are added.
+before it are added.  Only keys that lie in several slices have such totals, so
+there are fewer of them than slices, however many keys there are.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.col("_slice").alias("_s"), *[F.col(k).alias(f"_k_{k}") for k in keys],
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
         *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxes],
-    )
+        F.count(F.lit(1)).over(before).alias("_earlier"),
+    ).filter("_earlier > 0").drop("_earlier")
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
                 F.col("_slice") == F.col("_s"))
     return local.join(carried, on, "left").select(
