@@ -19,6 +19,26 @@ def test_scan_files(spark, tmp_path):
         files.scan_files(spark, str(tmp_path), "*.pdf")
 
 
+def test_scan_files_in_parts(spark, tmp_path):
+    """A table that Spark wrote as a folder of parts has the folder's name; files beside it keep theirs."""
+    spark.range(20).repartition(3).write.parquet(str(tmp_path / "big one.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "small.parquet")
+    counts = lambda glob: {r.file_name: r["count"] for r in files.scan_files(spark, str(tmp_path), glob, "parquet").groupBy("file_name").count().collect()}
+    assert counts("big*.parquet") == {"big one.parquet": 20}
+    assert counts("small.parquet") == {"small.parquet": 5}
+    assert {n: c for n, c in counts("*.parquet").items()} == {"big one.parquet": 20, "small.parquet": 5}
+    with pytest.raises(FileNotFoundError):
+        files.scan_files(spark, str(tmp_path), "*.orc", "parquet")
+
+
+def test_streams_of_a_table_in_parts(spark, tmp_path, small):
+    from tidemark.catalog import streams
+    spark.read.parquet(f"{small}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    events = streams._events(spark, str(tmp_path)).select("event_id")
+    assert streams._drain(events, "parts").count() == streams._drain(streams._events(spark, small).select("event_id"), "file").count() > 0
+
+
 def test_state(spark, tmp_path):
     path = str(tmp_path / "state")
     assert files.load_json_state(spark, path).isEmpty()

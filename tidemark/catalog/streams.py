@@ -10,12 +10,15 @@ from tidemark.catalog.registry import query
 from tidemark.operators import metrics
 from tidemark.session import scratch_folder
 from tidemark.sources import telemetry
+from tidemark.sources.files import folders_of
 from tidemark.streaming import tables, windows
 from tidemark.streaming.replies import STATE_STORE, stream_replies, use_state_store
 
 
 def _stream(spark, folder: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    if folders_of(spark, folder, f"{name}.parquet"):  # a table in parts
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,17 +25,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, folder: str, glob: str = "*", fmt: str = "text") -> DataFrame:
-    """Files of a folder with their names.  Text files come as one row each; an empty folder is an error."""
+    """Files of a folder with their names.  Text files come as one row each; an empty folder is an error.
+
+    A file of another format may also be a folder of parts, as Spark writes a table: its rows have the folder's name.
+    """
     reader = spark.read.format(fmt).option("pathGlobFilter", glob)
     if fmt == "text":
         reader = reader.option("wholetext", True)
-    df = reader.load(folder)
-    if not df.inputFiles():
+    parted = {} if fmt == "text" else folders_of(spark, folder, glob)
+    frames = [spark.read.format(fmt).load(f"{folder}/{name}").withColumn("file_name", F.lit(name)) for name in parted]
+    try:
+        df = reader.load(folder)
+    except AnalysisException as problem:
+        # No file of its own matches, so there is no schema either.
+        if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+    else:
+        path = F.regexp_replace(F.col("_metadata.file_path"), "^[^:/]+:(//[^/]*)?", "")
+        apart = reduce(and_, [~F.startswith(path, F.lit(f"{at}/")) for at in parted.values()], F.lit(True))
+        if df.inputFiles():
+            frames.append(df.filter(apart).select("*", F.col("_metadata.file_name").alias("file_name")))
+    if not frames:
         raise FileNotFoundError(f"no file matches {glob} in {folder}")
-    named = df.select("*", F.col("_metadata.file_name").alias("file_name"))
+    named = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return named.withColumnRenamed("value", "text") if fmt == "text" else named
 
 
+def folders_of(spark: SparkSession, folder: str, glob: str) -> dict[str, str]:
+    """Names and paths of the folders in ``folder`` that match."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return {s.getPath().getName(): s.getPath().toUri().getRawPath() for s in found if s.isDirectory()}
+
+
 def scan_lines(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Lines of text files with file name and line number (from 0); files of any size are read in splits.
 
