@@ -114,6 +114,39 @@ def test_counter_state_crosses_batches(spark, tmp_path):
     assert [(r.sec - 1_000_000, r.delta) for r in got] == [(0, 0.0), (15, 30.0), (30, 30.0), (45, 5.0), (60, 30.0)]
 
 
+def test_counter_state_of_many_series(spark, tmp_path):
+    """Series that share a row of state: each has its own last sample, its late ones and its silence."""
+    import random
+    rng = random.Random(5)
+    base, batches = 1_000_000, []
+    for i in range(4):  # every batch reaches 700 s further and brings some samples a little late
+        batches.append([(f"s{rng.randrange(40)}" if rng.random() < 0.97 else None, base + 700 * i + rng.randrange(-300, 700), float(rng.randrange(50))) for _ in range(150)])
+    batches += [[("end", base + 9_000, 1.0)], [("end", base + 9_050, 2.0)]]
+    batches.append([("s1", base + 9_100, 7.0), ("end", base + 9_100, 3.0)])  # s1 was silent for an hour
+    batches.append([("end", base + 20_000, 4.0)])
+    for part in batches:
+        spark.createDataFrame(part, "series STRING, t LONG, value DOUBLE").select(
+            "series", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("series STRING, ts TIMESTAMP, value DOUBLE").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {}
+    for n in (1, 64):  # all series in one row of state, or one or two in each
+        made = windows.counter_increases(stream, buckets=n)
+        assert made.columns == ["series", "ts", "sec", "value", "delta"]
+        writer = made.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / f"out{n}")).option("checkpointLocation", str(tmp_path / f"state{n}"))
+        tables.start(writer, every=None).awaitTermination()
+        got[n] = sorted(((r.series or "", r.sec - base, r.delta) for r in spark.read.parquet(str(tmp_path / f"out{n}")).collect()))
+    largest = {}
+    for s, t, v in sum(batches, []):
+        largest[s or "", t - base] = max(v, largest.get((s or "", t - base), v))
+    expected, last = [], {}
+    for (s, t), v in sorted(largest.items()):
+        if t < 19_400:  # what the watermark has passed at the end
+            before = last.get(s) if (s, t) != ("s1", 9_100) else None
+            expected.append((s, t, 0.0 if before is None else v - before if v >= before else v))
+            last[s] = v
+    assert got[1] == got[64] == expected
+
+
 def test_baseline_alert_finds_its_landed_lines(spark, tmp_path):
     """A webhook payload without id and time goes through the alert stream against lines of the log stream."""
     payload = {"status": "firing", "alerts": [{"status": "firing", "labels": {"alertname": "Baseline", "pod": "harness", "namespace": "ai-agent", "severity": "critical"},

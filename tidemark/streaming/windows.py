@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.streaming import WATERMARK
 
 IDLE_SECONDS = 3_600
+BUCKETS = 1_024
 
 
 def metric_windows(samples: DataFrame, keys: Sequence[str], step: str = "15 seconds",
@@ -31,40 +33,59 @@ def sliding_sum(deltas: DataFrame, keys: Sequence[str], width: str = "1 minute",
 
 
 def counter_increases(samples: DataFrame, series: str = "series", watermark: str = WATERMARK,
-                      idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+                      idle_seconds: int = IDLE_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """Increase of each sample over the one before it, across micro-batches.
 
     A sample waits in the state of its series until the watermark has passed it, so samples
     that come late, but not too late, are put in their place first.  Falling values are resets;
     of several samples at one instant the largest counts.  A series that is silent for
-    ``idle_seconds`` is forgotten and starts again.
+    ``idle_seconds`` is forgotten and starts again.  Series are kept by hash in ``buckets`` rows of
+    state, so a task takes many short series at once; a checkpoint holds for one number of them.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_us, last, waiting_us, waiting = state.get if state.exists else (None, None, [], [])
-        fresh = [] if state.hasTimedOut else [f[["us", "value"]] for f in frames]
-        rows = pd.concat([pd.DataFrame({"us": waiting_us, "value": waiting}), *fresh])
-        rows = rows.astype({"us": "int64", "value": "float64"}).groupby("us", as_index=False)["value"].max()
+        names, has, last_us, last, *waiting = state.get if state.exists else ([],) * 7
+        fresh = [] if state.hasTimedOut else [f[[series, "us", "value"]] for f in frames]
+        new = pd.concat([pd.DataFrame({series: [], "us": [], "value": []}), *fresh])
+        # Known names are distinct and come first, so they keep their numbers.
+        code, every = pd.factorize(np.concatenate([np.array(names, object), new[series].to_numpy(object)]), use_na_sentinel=False)
+        more = len(every) - len(names)
+        has, last_us, last = (np.concatenate([np.array(old, kind), np.zeros(more, kind)])
+                              for old, kind in ((has, bool), (last_us, "int64"), (last, "float64")))
+        rows = pd.DataFrame({"at": np.concatenate([np.array(waiting[0], "int64"), code[len(names):]]),
+                             "us": np.concatenate([np.array(waiting[1], "int64"), new["us"].to_numpy("int64")]),
+                             "value": np.concatenate([np.array(waiting[2], "float64"), new["value"].to_numpy("float64")])})
+        rows = rows.groupby(["at", "us"], as_index=False)["value"].max()
         passed = state.getCurrentWatermarkMs()
-        ready, left = rows[rows["us"] <= passed * 1000], rows[rows["us"] > passed * 1000]
-        if last_us is not None:
-            ready = ready[ready["us"] > last_us]
+        at, us = rows["at"].to_numpy(), rows["us"].to_numpy()
+        left = rows[us > passed * 1000]
+        ready = rows[(us <= passed * 1000) & ~(has[at] & (us <= last_us[at]))]
         if len(ready):
-            before = ready["value"].shift(1)
-            before.iloc[0] = float("nan") if last is None else last
-            delta = (ready["value"] - before).where(ready["value"] >= before, ready["value"]).where(before.notna(), 0.0)
-            last_us, last = int(ready["us"].iloc[-1]), float(ready["value"].iloc[-1])
-            yield pd.DataFrame({series: key[0], "us": ready["us"], "value": ready["value"], "delta": delta})
-        if left.empty and (last_us is None or last_us // 1000 + idle_seconds * 1000 <= passed):
+            at, value = ready["at"].to_numpy(), ready["value"].to_numpy()
+            change = at[1:] != at[:-1]
+            before = np.where(np.append(True, change), np.where(has[at], last[at], np.nan), np.append(np.nan, value[:-1]))
+            delta = np.where(np.isnan(before), 0.0, np.where(value >= before, value - before, value))
+            end = np.append(change, True)
+            has[at[end]], last_us[at[end]], last[at[end]] = True, ready["us"].to_numpy()[end], value[end]
+            yield pd.DataFrame({series: every[at], "us": ready["us"], "value": value, "delta": delta})
+        open_ = np.zeros(len(every), bool)
+        open_[left["at"].to_numpy()] = True
+        forgotten = last_us // 1000 + idle_seconds * 1000
+        alive = open_ | (has & (forgotten > passed))
+        if not alive.any():
             state.remove()
             return
-        state.update((last_us, last, left["us"].tolist(), left["value"].tolist()))
-        due = int(left["us"].min()) // 1000 if len(left) else last_us // 1000 + idle_seconds * 1000
-        state.setTimeoutTimestamp(max(due, passed) + 1)
+        number = np.cumsum(alive) - 1
+        state.update(([n if isinstance(n, str) else None for n in every[alive]], has[alive].tolist(), last_us[alive].tolist(), last[alive].tolist(),
+                      number[left["at"].to_numpy()].tolist(), left["us"].tolist(), left["value"].tolist()))
+        due = np.concatenate([left["us"].to_numpy() // 1000, forgotten[alive & ~open_]])
+        state.setTimeoutTimestamp(max(int(due.min()), passed) + 1)
 
-    return (samples.withWatermark("ts", watermark).select(series, "ts", F.unix_micros("ts").alias("us"), "value").groupBy(series)
+    bucket = F.pmod(F.xxhash64(series), F.lit(buckets)).alias("_bucket")
+    return (samples.withWatermark("ts", watermark).select(bucket, series, "ts", F.unix_micros("ts").alias("us"), "value").groupBy("_bucket")
             .applyInPandasWithState(
                 step, f"{series} STRING, us BIGINT, value DOUBLE, delta DOUBLE",
-                "last_us BIGINT, last_value DOUBLE, waiting_us ARRAY<BIGINT>, waiting ARRAY<DOUBLE>", "append",
+                "names ARRAY<STRING>, has_last ARRAY<BOOLEAN>, last_us ARRAY<BIGINT>, last_value ARRAY<DOUBLE>, "
+                "waiting_at ARRAY<BIGINT>, waiting_us ARRAY<BIGINT>, waiting ARRAY<DOUBLE>", "append",
                 GroupStateTimeout.EventTimeTimeout)
             .select(series, F.timestamp_micros("us").alias("ts"), F.expr("us div 1000000").alias("sec"), "value", "delta"))
