@@ -2,15 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from tidemark.session import small_batches
 
-ROWS, BYTES = 1_000, "8m"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts leave the JVM in batches of a few MB: a batch is held on both sides of the pipe for every core.
-
-    The settings hold for the session's later plans too; they change no result.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+__all__ = ["small_batches"]

@@ -10,6 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import small_batches
+
 # Titles and the gender they stand for.
 TITLE_GENDER = {"Mr": "male", "Mrs": "female", "Ms": "female"}
 # Pronouns and their gender.
@@ -34,12 +36,15 @@ def apply_glossary(df: DataFrame, glossary: DataFrame, text: str = "text", share
     shards = -(-size // shared_bytes)
     if not shards:
         return df
+    small_batches(df.sparkSession)
     own = F.pmod(F.xxhash64(F.regexp_extract("term", r"^([\p{L}\p{N}_]*)", 1)), F.lit(shards))
     found = [f"_found_{i}" for i in range(shards)]
     out = df
     for i, name in enumerate(found):
         # One shard at a time passes through the driver.
         shared = df.sparkSession.sparkContext.broadcast([(r.term, r.canonical) for r in terms.filter(own == i).toLocalIterator()])
+        if shards == 1:  # what is found need not leave the task
+            return df.withColumn(text, _replacer(shared)(F.col(text)))
         out = out.withColumn(name, _finder(shared)(F.col(text)))
     replaced = F.pandas_udf(replace_found, "string")
     return out.withColumn(text, replaced(F.col(text), *map(F.col, found))).drop(*found)
@@ -63,6 +68,16 @@ def _finder(shared: Broadcast):
     return find
 
 
+def _replacer(shared: Broadcast):
+    @F.pandas_udf("string")
+    def replace(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = build_automaton(shared.value)
+        for part in texts:
+            yield part.map(lambda t: in_place(t, sorted(((at, -size, c) for at, size, c in whole_words(automaton, t)))), na_action="ignore")
+
+    return replace
+
+
 def whole_words(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, int, str]]:
     """(start, size, canonical) of all terms in the text that no word character touches."""
     if not len(automaton):
@@ -79,17 +94,20 @@ def replace_found(texts: pd.Series, *found: pd.Series) -> pd.Series:
         if text is None or text is pd.NA or text != text:
             out.append(None)
             continue
-        # Leftmost first, the longest of those that begin together.
-        matches = sorted(((m["at"], -m["size"], m["canonical"]) for p in parts if p is not None for m in p))
-        done, pieces = 0, []
-        for at, size, canonical in matches:
-            if at >= done:
-                pieces += [text[done:at], canonical]
-                done = at - size
-        out.append("".join([*pieces, text[done:]]))
+        out.append(in_place(text, sorted(((m["at"], -m["size"], m["canonical"]) for p in parts if p is not None for m in p))))
     return pd.Series(out, dtype=object)
 
 
+def in_place(text: str, matches: list[tuple[int, int, str]]) -> str:
+    """Canonical forms in place of ``matches`` (start, -size, canonical), sorted: leftmost first, the longest of those that begin together."""
+    done, pieces = 0, []
+    for at, size, canonical in matches:
+        if at >= done:
+            pieces += [text[done:at], canonical]
+            done = at - size
+    return "".join([*pieces, text[done:]])
+
+
 def title_mentions(df: DataFrame, key: str, text: str = "text", pattern: str = TITLE_PATTERN) -> DataFrame:
     """Titles with the name behind them, counted per document."""
     found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1))

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
+
 
 def local_session(app: str = "tidemark", cores: str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
@@ -41,6 +43,15 @@ def slice_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts leave the JVM in batches of a few MB: a batch is held on both sides of the pipe for every core.
+
+    The settings hold for the session's later plans too; they change no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written intermediate tables, next to the checkpoints all executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
