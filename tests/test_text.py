@@ -160,6 +160,30 @@ def test_stitch_drops_overlap_and_flags_empty(spark):
     assert "".join(p.text for p in parts) == "abcdefghij" * 5
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    """The glossary and the text functions see at most a thousand texts at once, and what is found stays in the task."""
+    from tidemark.operators import audit
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    d = spark.range(2_500).coalesce(1).select("id", F.lit("the tower and the door").alias("text"))
+    terms = spark.createDataFrame([("tower", "TOWER"), ("the", "THE")], "term STRING, canonical STRING")
+    out = audit.apply_glossary(d, terms)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.text for r in out.collect()} == {"THE TOWER and THE door"}
+    sizes = out.mapInPandas(lambda frames: (f.head(1).assign(id=len(f)) for f in frames), out.schema)
+    assert [r.id for r in sizes.collect()] == [1_000, 1_000, 500]
+
+
+def test_volume_digests(spark):
+    """A volume in several parts has the row of the volume in one."""
+    import hashlib
+    df = spark.createDataFrame([(f"vol_{i % 3}", 1, float(i), f"s{i:02}", f"text é {i}") for i in range(20)],
+                               "vol_key STRING, vol BIGINT, chap DOUBLE, stem STRING, text STRING")
+    whole = {r.vol_key: (r.n_chapters, hashlib.md5(r.document.encode()).hexdigest()) for r in corpus.assemble_volume(df).collect()}
+    got = [tuple(r) for r in corpus.volume_digests(corpus.assemble_volume(df, max_chapters=2)).collect()]
+    assert sorted(got) == sorted((k, *v) for k, v in whole.items())
+    assert corpus.volume_digests(corpus.assemble_volume(df.limit(0))).collect() == []
+
+
 def test_assemble_volume(spark):
     df = corpus.with_chapter_keys(spark.createDataFrame(
         [("1_vol._2.pdf", "B"), ("1_vol._1.pdf", "A"), ("1_vol._10.pdf", "C"), ("x.pdf", "Z")], "file_name STRING, text STRING"))

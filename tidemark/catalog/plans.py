@@ -9,7 +9,7 @@ from tidemark.catalog.knowledge import _context
 from tidemark.catalog.corpus import RUN_DATE, TITLE, WORK, WS
 from tidemark.catalog.registry import query
 from tidemark.catalog.usage import _centroids
-from tidemark.operators import facts, retrieval
+from tidemark.operators import corpus, facts, retrieval
 from tidemark.plans import corpus as flows
 from tidemark.plans import operations, questions
 from tidemark.sources.files import table
@@ -89,8 +89,8 @@ SELECT vol_key, count(*) AS n_chapters, md5(string_agg(text, chr(10) || chr(10)
   || '<div style=''page-break-before: always;''></div>' || chr(10) || chr(10) ORDER BY vol, chap, stem)) AS digest
 FROM finished WHERE text IS NOT NULL GROUP BY vol_key""", FINISHED, "merged", "chapters"))
 def clean_volumes(spark, folder):
-    return flows.volumes(_finished(spark, folder)).select(
-        "vol_key", "n_chapters", F.md5(F.col("document").cast("binary")).alias("digest"))
+    """One row per whole volume, however many parts it has."""
+    return corpus.volume_digests(flows.volumes(_finished(spark, folder)))
 
 
 # --- questions --------------------------------------------------------------

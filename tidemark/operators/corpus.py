@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.functions import text as T
 from tidemark.operators.scan import beside, ordered_text, with_parts, with_position
-from tidemark.session import cut_lineage, slice_count
+from tidemark.session import cut_lineage, slice_count, small_batches
 from tidemark.sources.generations import Generations, Parts
 
 BLOCK_CHUNKS = 64
@@ -199,6 +201,7 @@ def batch_transform(df: DataFrame, fn: Callable[[str, float], str], text: str =
     heavy, so they are spread evenly first (``partitions``, or as many as a shuffle has).
     Calls are paid for: the result is written to the shared folder here and now, so no later use calls again.
     """
+    small_batches(df.sparkSession)
     df = df.repartition(partitions or slice_count(df.sparkSession))
 
     def one(value: str | None) -> tuple[str | None, int, str | None]:
@@ -258,3 +261,31 @@ def assemble_volume(chapters: DataFrame, max_chapters: int = PART_CHAPTERS, text
     ).select("vol_key", "part_no", F.when(
         F.col("part_no") > 0, F.concat(F.lit(T.PAGE_BREAK), F.col("_body"))
     ).otherwise(F.col("_body")).alias("document"), "n_chapters")
+
+
+def volume_digests(parts: DataFrame) -> DataFrame:
+    """``n_chapters`` and md5 ``digest`` of each whole volume, from the parts of ``assemble_volume``.
+
+    The parts of a volume go through one task in order, a few at a time; the whole document is never put together.
+    """
+    small_batches(parts.sparkSession)
+    ordered = (parts.select("vol_key", "part_no", "n_chapters", "document")
+               .repartition("vol_key").sortWithinPartitions("vol_key", "part_no"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda: pa.RecordBatch.from_pydict({"vol_key": pa.array([key], pa.string()), "n_chapters": [n], "digest": [md5.hexdigest()]})
+        key, n, md5 = None, 0, None
+        for batch in batches:
+            for vol_key, chapters, document in zip(batch["vol_key"], batch["n_chapters"], batch["document"], strict=True):
+                if md5 is None or vol_key.as_py() != key:
+                    if md5 is not None:
+                        yield row()
+                    key, n, md5 = vol_key.as_py(), 0, hashlib.md5()
+                elif n:
+                    md5.update(b"\n\n")
+                n += chapters.as_py()
+                md5.update(document.as_py().encode())
+        if md5 is not None:
+            yield row()
+
+    return ordered.mapInArrow(digest, "vol_key string, n_chapters bigint, digest string")
