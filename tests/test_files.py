@@ -1,6 +1,7 @@
 """Readers, writers and streams on files."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +216,28 @@ def test_documents_that_share_a_name(spark, tmp_path):
     assert back == [("v", "a", "one"), ("v", "a", "two"), ("v", "a", "two"), ("v", "b", "x")]
 
 
+def test_many_documents_are_written_in_spark_layout(spark, tmp_path):
+    """As Spark's writer lays them out, without its programs per file; a lost run leaves what was there."""
+    odd = [("v/1", "a=b%", "x\ny"), ("v/1", "é [1]", ""), (None, "n", None), ("v", None, "z")]
+    rows = odd + [("many", f"{i:05d}", f"t{i}") for i in range(4_000)]
+    df = spark.createDataFrame(rows, "vol_key STRING, stem STRING, text STRING")
+    path = str(tmp_path / "docs")
+    begun = time.monotonic()
+    files.write_documents(df, path)
+    assert time.monotonic() - begun < 10  # 6 ms a document before
+    expected = sorted(((k, n, t or "") for k, n, t in rows), key=str)
+    assert sorted((tuple(r) for r in files.read_documents(spark, path).collect()), key=str) == expected
+    df.limit(4).write.partitionBy("vol_key", "stem").text(str(tmp_path / "sparks"))
+    folders = lambda top: {"/".join(p.relative_to(tmp_path / top).parts[:2]) for p in (tmp_path / top).glob("vol_key=*/stem=*")}
+    assert folders("sparks") == {f for f in folders("docs") if "=many" not in f}
+    assert sorted((tuple(r) for r in files.read_documents(spark, str(tmp_path / "sparks")).collect()), key=str) == sorted(
+        ((k, n, t or "") for k, n, t in odd), key=str)
+    broken = df.withColumn("text", F.when(F.col("stem") == "03999", F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        files.write_documents(broken, path)
+    assert sorted((tuple(r) for r in files.read_documents(spark, path).collect()), key=str) == expected
+
+
 def test_line_numbers_without_a_shuffle(spark, tmp_path):
     """Files of several splits, of one, with both kinds of line ends, and of equal names in two folders."""
     long_ = [f"line {i} {'x' * (i % 50)}" for i in range(5_000)]
