@@ -49,6 +49,28 @@ def test_encoder_equals_the_tokenizer(texts):
         assert ids[a:b].tolist() == ids_of(text)
 
 
+def test_encoder_of_a_process_is_kept(spark):
+    """Tasks of a process share an encoder; its parts share one vocabulary, and lines of words are told from their words."""
+    def made(batches):
+        import pyarrow as pa
+        from tidemark.llm.tokens import shared_encoder
+        for batch in batches:
+            encoder = shared_encoder(default_path())
+            seen = encoder.__dict__.setdefault("seen", [])
+            seen.append(1)
+            yield pa.RecordBatch.from_pydict({"n": [len(seen)]})
+
+    rows = [r.n for _ in range(3) for r in spark.range(0, 4, 1, 4).mapInArrow(made, "n bigint").collect()]
+    assert max(rows) > 1
+    encoder = Encoder(default_path())
+    text = "x one,\nÉtude. is\ntwo\nThe end"
+    calls = []
+    encode = encoder._told_apart
+    encoder._told_apart = lambda units, tokenizer, *how: calls.extend(units if tokenizer is encoder.tokenizer else ()) or encode(units, tokenizer, *how)
+    ids, _ = encoder.encode([text])
+    assert ids.tolist() == ids_of(text) and calls == []
+
+
 def test_special_token_in_a_text(spark, tmp_path):
     from tokenizers import Tokenizer
 

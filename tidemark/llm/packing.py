@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.tokens import Encoder, default_path
+from tidemark.llm.tokens import default_path, shared_encoder
 
 LENGTH = 1_024
 CUT = 6
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_A_CALL):
                 piece = batch.slice(at, ROWS_A_CALL)
-                encoder = encoder or Encoder(path)
+                encoder = encoder or shared_encoder(path)
                 ids, bounds = encoder.encode(piece.column(1).to_pylist())
                 ids = ids.astype("<u4")
                 for doc, a, b in zip(piece.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.elias_fano import EliasFano
-from tidemark.llm.tokens import END_ID, Encoder, default_path
+from tidemark.llm.tokens import END_ID, default_path, shared_encoder
 from tidemark.session import slice_count
 
 MAGIC = b"TIDETOK2"
@@ -38,7 +38,7 @@ def block_bytes(span: int, before: int, doc_ids: list[int | None], bounds: np.nd
     body = b"".join([
         struct.pack(HEAD, span, before, len(doc_ids) - len(known), least, len(doc_ids), width),
         EliasFano.of(known.astype(np.uint64) - np.uint64(least & 0xFFFFFFFFFFFFFFFF)).to_bytes(),
-        EliasFano.of(bounds).to_bytes(), ids.astype(f"<u{width}").tobytes()])
+        EliasFano.of(bounds).to_bytes(), ids.astype(f"<u{width}", copy=False).tobytes()])
     return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
@@ -81,7 +81,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     path = tokenizer or default_path()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, span = None, 0
+        encoder, span, width = None, 0, 4
         before = total = rows = held = 0
         own_ids: list[int | None] = []
         sizes: list[np.ndarray] = []
@@ -89,19 +89,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
         def block() -> pa.RecordBatch:
             bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
             data = block_bytes(span, before, own_ids, bounds, np.concatenate(parts), width)
             return pa.RecordBatch.from_arrays([pa.array(["ids"]), pa.array([data], pa.binary())], ["kind", "value"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_A_CALL):
                 piece = batch.slice(at, ROWS_A_CALL)
-                encoder = encoder or Encoder(path)
+                if encoder is None:
+                    encoder = shared_encoder(path)
+                    width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
                 span = piece.column(2)[0].as_py()
                 ids, bounds = encoder.encode(piece.column(1).to_pylist())
                 own_ids += piece.column(0).to_pylist()
                 sizes.append(np.diff(bounds))
-                parts.append(ids)
+                parts.append(ids.astype(f"<u{width}"))  # a block waits in the bytes it is stored in
                 held += len(ids)
                 if held >= block_ids:
                     yield block()

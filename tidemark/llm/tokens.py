@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -13,10 +14,11 @@ import regex
 END_ID = 0
 KEPT_UNITS = 250_000
 AGING_CHARS = 16_000_000
-UNITS_A_CALL = 500
+UNITS_A_CALL = 100
 
 # Letters that every version of Unicode knows, and signs that are neither letters, digits nor white space.
 WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def default_path() -> str:
@@ -94,7 +96,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, kept: int = KEPT_UNITS, special: bool = True):
-        from tokenizers import pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = load_tokenizer(path)
         self.tokenizer.encode_special_tokens = not special
@@ -114,11 +116,12 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: a letter stands for a byte
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)
-        self.words_only = load_tokenizer(path)  # gets words in byte letters, set apart by spaces
+        self.words_only = Tokenizer(self.tokenizer.model)  # gets words in byte letters, set apart by spaces
         self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.space = byte_letters()[32]
         self.inner, self.first = Aging(kept), Aging(kept)
+        self.line_feed = self._ids(["\n"])[0].tobytes()
 
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,28 +135,47 @@ class Encoder:
             cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
             yield from map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts))
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of new units behind a space.  A word of letters is encoded without cutting, one with signs behind it as
-        the word and the signs."""
+    def _learn_words(self, kept: Aging, units: list[str], before: str) -> list[str]:
+        """Ids of the units that are a word of letters, encoded without cutting, or one with signs behind it, as the word
+        and the signs; ``before`` is the letter of what stands before each.  The units that are left."""
         words, others, signed = {}, [], []
-        for unit in self.inner.missing(pieces):
-            match = WORD_AND_SIGNS(unit)
-            if not match:
-                others.append(unit)
-                continue
-            word, signs = match.groups()
-            if signs:
-                signed.append((unit, word, signs))
-            if word not in self.inner:
-                words[word] = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-        self.inner.update(zip(words, self._told_apart(list(words.values()), self.words_only, " ".join, len), strict=True))
+        for unit in units:
+            word = unit.rstrip(SIGNS)
+            if not (word.isascii() and word.isalpha()):
+                match = WORD_AND_SIGNS(unit)
+                if not match:
+                    others.append(unit)
+                    continue
+                word = match[1]
+            if len(word) < len(unit):
+                signed.append((unit, word, unit[len(word):]))
+            if word not in kept:
+                words[word] = before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        kept.update(zip(words, self._told_apart(list(words.values()), self.words_only, " ".join, len), strict=True))
+        first = self.first
+        new = [s for s in {s for _, _, s in signed} if s not in first]
+        first.update(zip(new, (ids.tobytes() for ids in self._ids(new)), strict=True))
+        kept.update((unit, kept[word] + first[signs]) for unit, word, signs in signed)
+        return others
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new units behind a space.  A line feed between two characters that are not white space is a word of its
+        own, so lines that are words are put together from theirs."""
+        others, lined = [], []
+        for unit in self._learn_words(self.inner, self.inner.missing(pieces), self.space):
+            lines = unit.split("\n")
+            (lined if len(lines) > 1 and all(map(WORD_AND_SIGNS, lines)) else others).append(unit)
         self.inner.update(zip(others, self._told_apart(
             others, self.tokenizer, lambda c: f" {' '.join(c)}", lambda u: len(u.encode()) + 1), strict=True))
-        self._learn_first({s for _, _, s in signed if s not in self.first})
-        self.inner.update((unit, self.inner[word] + self.first[signs]) for unit, word, signs in signed)
+        if lined:
+            parts = [u.split("\n") for u in lined]
+            self._learn({p[0] for p in parts if p[0] not in self.inner})
+            self._learn_first({x for p in parts for x in p[1:] if x not in self.first})
+            self.inner.update((u, self.line_feed.join([self.inner[p[0]], *map(self.first.__getitem__, p[1:])]))
+                              for u, p in zip(lined, parts, strict=True))
 
     def _learn_first(self, heads: set[str]) -> None:
-        new = self.first.missing(heads)
+        new = self._learn_words(self.first, self.first.missing(heads), "")
         self.first.update(zip(new, (ids.tobytes() for ids in self._ids(new)), strict=True))
 
     def _joined(self, parts: Sequence[list[str]]) -> list[bytes]:
@@ -162,14 +184,12 @@ class Encoder:
         self.first.age()
         heads = [p.pop(0) for p in parts]
         self._learn_first({h for h in heads if h not in self.first})
-        get = self.inner.get
-        values = [list(map(get, p)) for p in parts]
-        gaps = [i for i, v in enumerate(values) if None in v]
-        self._learn({u for i in gaps for u, v in zip(parts[i], values[i], strict=True) if v is None})
-        for i in gaps:
-            values[i] = [get(u) if v is None else v for u, v in zip(parts[i], values[i], strict=True)]
-        return [self._uneven([h, *p]) if not self.first[h] or b"" in v else b"".join([self.first[h], *v])
-                for h, p, v in zip(heads, parts, values, strict=True)]
+        pieces = set().union(*parts)
+        self._learn({u for u in pieces if u not in self.inner})
+        get, first = self.inner.__getitem__, self.first
+        odd = {u for u in pieces if not get(u)}
+        return [self._uneven([h, *p]) if not first[h] or odd and not odd.isdisjoint(p) else b"".join([first[h], *map(get, p)])
+                for h, p in zip(heads, parts, strict=True)]
 
     def _uneven(self, pieces: list[str]) -> bytes:
         head, *rest = whole_units(pieces)
@@ -209,3 +229,10 @@ class Encoder:
             found[i] = b"".join(np.array([self.marks[p]], "<u4").tobytes() if k % 2 else next(done)
                                 for k, p in enumerate(split) if p)
         return found
+
+
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder per Python process: tasks that follow each other in it go on with the units learnt, and none of them
+    reads the file anew or leaves an old encoder's memory behind."""
+    return Encoder(path)
