@@ -171,6 +171,16 @@ def test_parts_leave_while_the_reply_goes_on(spark, tmp_path, rocks):
     assert len([b for b in out if any(r[0] == "a" for r in b)]) >= 2  # not all at the end
 
 
+def test_many_replies_share_a_row_of_state(spark, tmp_path, rocks):
+    """Requests of one bucket stay apart, and numbers beyond those of floats stay whole."""
+    big = 2**53 + 1
+    rows = [(f"r{i}", s, s, token(f"{i}.{s} ")) for i in range(300) for s in range(3)]
+    rows += [("big", big, 1, token("odd")), ("big", None, 1, token("none")), ("clock", 0, 9999, "data: {}")]
+    found = sum(replies_of(spark, tmp_path, [rows], buckets=4), [])
+    expected = [(f"r{i}", 0, f"{i}.0 {i}.1 {i}.2 ", None, None, False, True) for i in range(300)] + [("big", big // 1_000, "odd", None, None, False, True)]
+    assert sorted(found) == sorted(expected)
+
+
 def test_a_reply_after_silence_begins_anew(spark, tmp_path, rocks):
     rows = [("a", 0, 0, token("one")), ("a", 1, 1, token(" two")), ("a", 0, 400, token("new")), ("clock", 0, 9999, "data: {}")]
     found = [r for b in replies_of(spark, tmp_path, [rows]) for r in b if r[0] == "a"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,12 @@ from tidemark.streaming import WATERMARK
 PART_EVENTS = 1_000
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-EVENT = "seq bigint, us bigint, done boolean, token string, prompt_tokens bigint, completion_tokens bigint"
 PARTS = "request_id string, part_no bigint, text string, prompt_tokens bigint, completion_tokens bigint, ended boolean, last boolean"
-KNOWN = "next_part bigint, last_us bigint, ended boolean, prompt_tokens bigint, completion_tokens bigint"
+# Arrays side by side: what is known of each request, and the waiting events with the place of theirs.
+KNOWN = ("request_id string", "next_part bigint", "last_us bigint", "ended boolean", "prompt_tokens bigint", "completion_tokens bigint")
+EVENT = ("at bigint", "seq bigint", "us bigint", "done boolean", "token string", "prompt bigint", "completion bigint")
+HELD = ", ".join(f"{name} array<{kind}>" for name, kind in map(str.split, KNOWN + EVENT))
+BUCKETS = 1_024
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -26,11 +30,13 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class ReplyParts(StatefulProcessor):
-    """Per request: the events of parts that are still open, and a row of what is known of the ones let out.
+    """Per bucket of requests one row of state: for each request the events of parts that are still open, and what is
+    known of the ones let out.
 
     A part is let out when the watermark has passed an event of a later part, as what could still come for it would be
     late, or when the request has been silent for ``gap_us``.  So the state holds the events of one part and of the
-    watermark's delay, however long a reply gets.
+    watermark's delay, however long a reply gets.  Each call to the state takes a turn between two processes, so a bucket
+    makes as many calls as a single request would.
     """
 
     def __init__(self, part_events: int, gap_us: int):
@@ -38,43 +44,49 @@ class ReplyParts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
-        self.known = handle.getValueState("known", KNOWN)
+        self.held = handle.getValueState("held", HELD)
 
     def close(self) -> None:
         pass
 
-    def _load(self) -> tuple[dict[int, tuple], list]:
-        known = list(self.known.get()) if self.known.exists() else [None, None, False, None, None]
-        events = {e[0]: tuple(e) for e in self.waiting.get()} if self.waiting.exists() else {}
-        return events, known
+    def _load(self) -> dict[str, tuple[dict[int, tuple], list]]:
+        if not self.held.exists():
+            return {}
+        columns = list(self.held.get())
+        known = [(name, ({}, list(rest))) for name, *rest in zip(*columns[:len(KNOWN)], strict=True)]
+        for at, *event in zip(*columns[len(KNOWN):], strict=True):
+            known[at][1][0][event[0]] = tuple(event)
+        return dict(known)
 
-    def _store(self, events: dict[int, tuple], known: list) -> None:
-        self.known.update(tuple(known))
-        if events:
-            self.waiting.put([events[s] for s in sorted(events)])
-        else:
-            self.waiting.clear()
-        self._set_timers(events, known)
-
-    def _set_timers(self, events: dict[int, tuple], known: list) -> None:
+    def _store(self, held: dict[str, tuple[dict[int, tuple], list]]) -> None:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+        if not held:
+            self.held.clear()
+            return
+        known = [(name, *rest) for name, (_, rest) in held.items()]
+        waiting = [(at, *events[s]) for at, (events, _) in enumerate(held.values()) for s in sorted(events)]
+        columns = [list(c) for c in zip(*known, strict=True)]
+        columns += [list(c) for c in zip(*waiting, strict=True)] if waiting else [[] for _ in EVENT]
+        self.held.update(tuple(columns))
+        self.handle.registerTimer(min(self._due(events, rest) for events, rest in held.values()))
+
+    def _due(self, events: dict[int, tuple], known: list) -> int:
+        """The watermark, in milliseconds, at which something of the request is let out or forgotten."""
         first: dict[int, int] = {}
         for seq, us, *_ in events.values():
             part = seq // self.part_events
             first[part] = min(us, first.get(part, us))
         # The first part is over once the watermark passes an event of any later one.
-        wanted = {min(us for part, us in first.items() if part > min(first))} if len(first) > 1 else set()
-        for us in wanted | {known[1] + self.gap_us}:
-            self.handle.registerTimer(-(-us // 1_000))
+        least = min(first, default=None)
+        return -(-min([known[1] + self.gap_us, *(us for part, us in first.items() if part > least)]) // 1_000)
 
-    def _let_out(self, key: tuple, events: dict[int, tuple], known: list, upto: int | None) -> list[tuple]:
+    def _let_out(self, name: str, events: dict[int, tuple], known: list, upto: int | None) -> list[tuple]:
         """Rows of the parts below ``upto`` (all: None); their events leave ``events``."""
         rows = []
-        parts = sorted({s // self.part_events for s in events if upto is None or s // self.part_events < upto})
-        for i, part in enumerate(parts):
-            own = [events.pop(s) for s in sorted(s for s in events if s // self.part_events == part)]
+        numbers = sorted(s for s in events if upto is None or s // self.part_events < upto)
+        parts = [(part, [events.pop(s) for s in own]) for part, own in groupby(numbers, lambda s: s // self.part_events)]
+        for i, (part, own) in enumerate(parts):
             known[0] = part + 1
             if known[2]:
                 continue
@@ -87,7 +99,7 @@ class ReplyParts(StatefulProcessor):
                 if prompt is not None:
                     known[3], known[4] = prompt, completion
             last = known[2] or (upto is None and i == len(parts) - 1)
-            rows.append((key[0], part, "".join(text), known[3], known[4], known[2], last))
+            rows.append((name, part, "".join(text), known[3], known[4], known[2], last))
         return rows
 
     @staticmethod
@@ -98,51 +110,54 @@ class ReplyParts(StatefulProcessor):
             yield frame.astype({"prompt_tokens": "Int64", "completion_tokens": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events, known = self._load()
-        some = lambda x: None if pd.isna(x) else int(x)
-        new = [(int(r.seq), int(r.us), bool(r.done), r.token, some(r.prompt_tokens), some(r.completion_tokens))
-               for part in rows for r in part.itertuples(index=False) if not pd.isna(r.seq)]
-        out = []
-        for event in sorted(new, key=lambda e: e[1]):
+        held, out = self._load(), []
+        new = []
+        for part in rows:
+            numbered = part[part["numbered"]]
+            number = lambda c: [None if pd.isna(x) else int(x) for x in numbered[c].tolist()]
+            new += zip(numbered["request_id"].tolist(), map(int, numbered["seq"].tolist()), map(int, numbered["us"].tolist()), map(bool, numbered["done"].tolist()),
+                       (t if isinstance(t, str) else None for t in numbered["token"]), number("prompt_tokens"), number("completion_tokens"), strict=True)
+        for name, *event in sorted(new, key=lambda e: e[2]):
+            events, known = held.setdefault(name, ({}, [None, None, False, None, None]))
             if known[1] is not None and event[1] >= known[1] + self.gap_us:  # silent before: the next reply begins
-                out += self._let_out(key, events, known, None)
-                known = [None, None, False, None, None]
+                out += self._let_out(name, events, known, None)
+                known[:] = [None, None, False, None, None]
             known[1] = event[1] if known[1] is None else max(known[1], event[1])
             if not known[2] and (known[0] is None or event[0] // self.part_events >= known[0]):
-                events.setdefault(event[0], event)  # an event that comes again is there already
-        if known[1] is not None:
-            self._store(events, known)
+                events.setdefault(event[0], tuple(event))  # an event that comes again is there already
+        self._store(held)
         yield from self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events, known = self._load()
-        if known[1] is None:
-            return
+        held, out = self._load(), []
         now = timerValues.getCurrentWatermarkInMs() * 1_000
-        if now >= known[1] + self.gap_us:
-            out = self._let_out(key, events, known, None)
-            self.waiting.clear()
-            self.known.clear()
-        else:
-            passed = [s // self.part_events for s, us, *_ in events.values() if us <= now]
-            out = self._let_out(key, events, known, max(passed) if passed else 0)
-            self._store(events, known)
+        for name, (events, known) in list(held.items()):
+            if now >= known[1] + self.gap_us:
+                out += self._let_out(name, events, known, None)
+                del held[name]
+            else:
+                passed = [s // self.part_events for s, us, *_ in events.values() if us <= now]
+                out += self._let_out(name, events, known, max(passed) if passed else 0)
+        self._store(held)
         yield from self._frame(out)
 
 
-def stream_replies(lines: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK, part_events: int = PART_EVENTS) -> DataFrame:
+def stream_replies(lines: DataFrame, gap: str = "5 minutes", watermark: str = WATERMARK, part_events: int = PART_EVENTS,
+                   buckets: int = BUCKETS) -> DataFrame:
     """Rows of a request as its parts become final: text up to the end mark, usage seen so far, whether it has ended.
 
     ``part_no`` is the event number div ``part_events``.  A part without events has no row; the part with the end mark has one,
     with ``ended`` and ``last``, and nothing behind the mark counts.  Without a mark the row that is let out after a
     silence of ``gap`` is the ``last`` one, and what comes later begins anew.  Events that come twice count once, those
     later than the watermark are dropped (it begins at 1970, so an event of that very instant is late), and events without
-    a number are left out.  Call ``use_state_store`` before the
-    stream starts.
+    a number are left out.  Requests are kept by hash in ``buckets`` rows of state; a checkpoint holds for one number of
+    them.  Call ``use_state_store`` before the stream starts.
     """
     gap_us = int(lines.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {gap})").first()[0])
     events = parse_events(lines).withWatermark("ts", watermark).select(
-        F.coalesce("request_id", F.lit("")).alias("request_id"), "ts", "seq", F.unix_micros("ts").alias("us"), "done", "token",
-        "prompt_tokens", "completion_tokens")
-    return events.groupBy("request_id").transformWithStateInPandas(
+        F.coalesce("request_id", F.lit("")).alias("request_id"), "ts", F.col("seq").isNotNull().alias("numbered"),
+        F.coalesce("seq", F.lit(0)).alias("seq"),  # no null in a bucket turns its numbers into floats
+        F.unix_micros("ts").alias("us"), "done", "token", "prompt_tokens", "completion_tokens")
+    bucket = F.pmod(F.xxhash64("request_id"), F.lit(buckets)).alias("_bucket")
+    return events.select(bucket, "*").groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=ReplyParts(part_events, gap_us), outputStructType=PARTS, outputMode="Append", timeMode="eventTime")
