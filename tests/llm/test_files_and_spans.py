@@ -71,6 +71,29 @@ def test_encoder_of_a_process_is_kept(spark):
     assert ids.tolist() == ids_of(text) and calls == []
 
 
+def test_words_are_told_without_the_tokenizers_cuts():
+    """Signs, digits and letters side by side are cut by their bytes, a word is encoded once, and Arrow texts are taken as they are."""
+    import pyarrow as pa
+
+    encoder = Encoder(default_path(), kept=20)
+    calls = []
+    encode = encoder._told_apart
+    encoder._told_apart = lambda units, tokenizer, *how: calls.append((tokenizer is encoder.tokenizer, len(units))) or encode(units, tokenizer, *how)
+    texts = ["see (one), 12.5% of a/b", None, "one, two\n(one) 12.5% été×", "see (one), of a/b"]
+    ids, bounds = encoder.encode(pa.array(["cut off", *texts]).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == list(map(ids_of, texts))
+    # The words of all texts but the unit with a sign beyond ASCII, which the tokenizer cuts itself.
+    words = {*"see| (|one|),| 12|.|5|%| of| a|/|b|,| two|\n|(|)".split("|")}
+    assert calls == [(False, len(words)), (True, 1)]
+    encoder.encode(texts[::2])
+    assert len(calls) == 2
+    every = ["".join(f"a{c}b {c}a 1{c}1{c}{c} '{c}' {c}" for c in map(chr, range(at, at + 64))) for at in range(0, 0x3100, 64)]
+    ids, bounds = encoder.encode(every)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == list(map(ids_of, every))
+    encoder.encode(["x"])
+    assert len(encoder.kept.words) < 50
+
+
 def test_special_token_in_a_text(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -29,7 +29,7 @@ from tidemark.session import slice_count
 MAGIC = b"TIDETOK2"
 HEAD = "<QQQqQB"  # range, ids before it in the range, rows without id, smallest id, rows, bytes per id
 BLOCK_IDS = 4_000_000
-ROWS_A_CALL = 256
+ROWS_A_CALL, ROWS_ENCODED = 256, 1_000
 
 
 def block_bytes(span: int, before: int, doc_ids: list[int | None], bounds: np.ndarray, ids: np.ndarray, width: int) -> bytes:
@@ -93,13 +93,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             return pa.RecordBatch.from_arrays([pa.array(["ids"]), pa.array([data], pa.binary())], ["kind", "value"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_A_CALL):
-                piece = batch.slice(at, ROWS_A_CALL)
+            for at in range(0, batch.num_rows, ROWS_ENCODED):
+                piece = batch.slice(at, ROWS_ENCODED)
                 if encoder is None:
                     encoder = shared_encoder(path)
                     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
                 span = piece.column(2)[0].as_py()
-                ids, bounds = encoder.encode(piece.column(1).to_pylist())
+                ids, bounds = encoder.encode(piece.column(1))
                 own_ids += piece.column(0).to_pylist()
                 sizes.append(np.diff(bounds))
                 parts.append(ids.astype(f"<u{width}"))  # a block waits in the bytes it is stored in

@@ -1,24 +1,22 @@
-"""Token ids of whole texts by a public tokenizer file, remembered by space-led unit."""
+"""Token ids of whole texts by a public tokenizer file, remembered by word."""
 
 from __future__ import annotations
 
 import functools
 import json
 import os
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 END_ID = 0
-KEPT_UNITS = 250_000
-AGING_CHARS = 16_000_000
-UNITS_A_CALL = 100
-
-# Letters that every version of Unicode knows, and signs that are neither letters, digits nor white space.
-WORD_AND_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)").fullmatch
-SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+KEPT_WORDS = 250_000
+AGING_BYTES = 32_000_000
+UNITS_A_CALL = 400
+RUN_BYTES = 8_000_000
 
 
 def default_path() -> str:
@@ -43,6 +41,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+# The one or two bytes in UTF-8 of the letter that stands for each byte.
+LETTER_BYTES = np.array([[*c.encode(), 0][:2] for _, c in sorted(byte_letters().items())], np.uint8).T.copy()
+
+# Kinds of bytes: letters that every version of Unicode knows (to U+024F, but for two signs there), ASCII digits, and
+# signs that are neither letters, digits nor white space.
+OTHER, LETTER, DIGIT, SIGN, LINE_FEED, SPACE = range(6)
+KINDS = np.zeros(256, np.uint8)
+KINDS[33:127] = SIGN
+KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = LETTER
+KINDS[48:58] = DIGIT
+KINDS[[10, 32]] = LINE_FEED, SPACE
+
+
 def whole_units(pieces: Sequence[str]) -> list[str]:
     """Pieces between spaces, put together again where a cut would part white space: behind a unit's last character,
     which is not white space, the next unit begins with its space; the last unit may end in white space."""
@@ -57,32 +68,84 @@ def whole_units(pieces: Sequence[str]) -> list[str]:
     return units
 
 
-class Aging(dict):
-    """Values by unit in two generations: once the young one holds ``size`` (or units of AGING_CHARS), it becomes the
-    old one, and what is asked for again moves over.  The empty value marks a piece that may not end a unit."""
+def ends_in_space(texts: pa.Array) -> np.ndarray:
+    """Which texts are empty or end in white space."""
+    data, bounds = bytes_of(texts)
+    if not len(data):
+        return np.ones(len(texts), bool)
+    last, before = data[bounds[1:] - 1], data[np.maximum(bounds[1:] - 2, 0)]
+    empty = np.diff(bounds) == 0
+    unsure = np.flatnonzero(~empty & ((last <= 32) | (last >= 0x80) & ((before < 0xC3) | (before >= 0xE0)))).tolist()
+    empty[[i for i, t in zip(unsure, texts.take(pa.array(unsure, pa.int64())).to_pylist(), strict=True) if t[-1].isspace()]] = True
+    return empty
+
+
+class Kept:
+    """Ids by word, in one array; past twice ``size`` words (or AGING_BYTES) those asked for last stay, ``size`` of them."""
 
     def __init__(self, size: int):
-        self.size, self.old, self.chars = size, {}, 0
+        self.size, self.turn = size, 0
+        self.words = pa.array([], pa.string())
+        self.starts, self.sizes, self.asked = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 where it is not known."""
+        found = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        self.asked[found[found >= 0]] = self.turn
+        return found
+
+    def add(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keep the ids of new words, which stand one after the other in ``ids``; their places."""
+        known, sizes = len(self.words), np.diff(ends, prepend=0)
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, ends - sizes + len(self.ids)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.asked = np.concatenate([self.asked, np.full(len(words), self.turn)])
+        self.ids = np.concatenate([self.ids, ids])
+        return np.arange(known, len(self.words))
 
     def age(self) -> None:
-        if len(self) > self.size or self.chars > AGING_CHARS:
-            self.old = dict(self)
-            self.clear()
-            self.chars = 0
-
-    def missing(self, asked: set[str]) -> list[str]:
-        """Which of ``asked``, none of them in the young generation, are to be learnt; the others move there."""
-        old, new = self.old.get, []
-        for unit in asked:
-            value = old(unit)
-            if value is not None:
-                self[unit] = value
-            elif unit and not unit[-1].isspace():
-                new.append(unit)
-            else:
-                self[unit] = b""
-        self.chars += sum(map(len, new))
-        return new
+        self.turn += 1
+        large = self.words.nbytes > AGING_BYTES
+        if len(self.words) > 2 * self.size or large:
+            size = 0 if large else self.size
+            stay = np.sort(np.argsort(self.asked, kind="stable")[len(self.asked) - size:])
+            self.words, self.asked = self.words.take(pa.array(stay)), self.asked[stay]
+            self.ids, ends = gather(self.ids, self.starts, self.sizes, stay)
+            self.sizes = self.sizes[stay]
+            self.starts = ends - self.sizes
+
+
+def gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``which`` of ``ids`` one after the other, where each of them ends)"""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    places = np.repeat(starts[which] - (ends - n), n)
+    places += np.arange(len(places))
+    return ids[places], ends
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts one after the other, where each begins, and the end)"""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8, bounds[-1] - bounds[0], bounds[0]), bounds - bounds[0]
+
+
+def shifted(values: np.ndarray, by: int) -> np.ndarray:
+    """Each value where the one ``by`` (1 or -1) places on stood, 0 at the end that is left."""
+    out = np.zeros_like(values)
+    if by > 0:
+        out[1:] = values[:-1]
+    else:
+        out[:-1] = values[1:]
+    return out
+
+
+def count_in(marked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many marked bytes lie in each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(marked)])[bounds])
 
 
 class Encoder:
@@ -90,12 +153,14 @@ class Encoder:
 
     A byte-level tokenizer cuts a text into words and merges inside each word only, and a white-space run never
     continues a word.  So a text may be cut before every space behind a character that is not white space.  Such units
-    repeat, so their ids are kept, about twice ``kept`` of them; new ones are encoded as one long text and told apart by
-    the bytes of their tokens.  A special token in a text is cut out first, and what stands on either side is encoded
-    for itself, as the library does; with ``special`` off it is ordinary text.  Files of another kind get no such help.
+    repeat, so each is worked on once in a run of texts; in units of plain letters, signs, digits and single line feeds
+    the words are told by the kinds of their bytes.  The ids of words are kept, ``kept`` of them at least; new ones are encoded
+    without cutting, many as one text, and told apart by the bytes of their tokens; other units are cut by the tokenizer itself.
+    A special token in a text is cut out first, and what stands on either side is encoded for itself, as the
+    library does; with ``special`` off it is ordinary text.  Files of another kind get no such help.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_UNITS, special: bool = True):
+    def __init__(self, path: str, kept: int = KEPT_WORDS, special: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = load_tokenizer(path)
@@ -105,9 +170,9 @@ class Encoder:
         added = kind.get("added_tokens", ())
         simple = all(t.get("special") and t["content"].isascii() and not any(map(str.isspace, t["content"]))
                      and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added)
+        cuts = kind.get("pre_tokenizer") or {}
         self.plain = (not simple or kind.get("normalizer") is not None or kind.get("post_processor") is not None
-                      or (kind.get("pre_tokenizer") or {}).get("type") != "ByteLevel"
-                      or kind["pre_tokenizer"].get("add_prefix_space", True))
+                      or cuts.get("type") != "ByteLevel" or cuts.get("add_prefix_space", True) or not cuts.get("use_regex", True))
         if self.plain:
             return
         self.marks = {t["content"]: t["id"] for t in added} if special else {}
@@ -118,117 +183,172 @@ class Encoder:
             self.sizes[i] = len(token)
         self.words_only = Tokenizer(self.tokenizer.model)  # gets words in byte letters, set apart by spaces
         self.words_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.space = byte_letters()[32]
-        self.inner, self.first = Aging(kept), Aging(kept)
-        self.line_feed = self._ids(["\n"])[0].tobytes()
+        self.kept = Kept(kept)
 
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _told_apart(self, units: list[str], tokenizer, text, size) -> Iterator[bytes]:
-        """Ids of units that are encoded side by side; a unit ends where its bytes do."""
-        calls = [units[i:i + UNITS_A_CALL] for i in range(0, len(units), UNITS_A_CALL)]
-        for call, out in zip(calls, tokenizer.encode_batch_fast(list(map(text, calls)), add_special_tokens=False), strict=True):
-            ids = np.array(out.ids, "<u4")
-            ends = np.cumsum(np.fromiter(map(size, call), np.int64, len(call)))
-            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
-            yield from map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts))
-
-    def _learn_words(self, kept: Aging, units: list[str], before: str) -> list[str]:
-        """Ids of the units that are a word of letters, encoded without cutting, or one with signs behind it, as the word
-        and the signs; ``before`` is the letter of what stands before each.  The units that are left."""
-        words, others, signed = {}, [], []
-        for unit in units:
-            word = unit.rstrip(SIGNS)
-            if not (word.isascii() and word.isalpha()):
-                match = WORD_AND_SIGNS(unit)
-                if not match:
-                    others.append(unit)
-                    continue
-                word = match[1]
-            if len(word) < len(unit):
-                signed.append((unit, word, unit[len(word):]))
-            if word not in kept:
-                words[word] = before + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-        kept.update(zip(words, self._told_apart(list(words.values()), self.words_only, " ".join, len), strict=True))
-        first = self.first
-        new = [s for s in {s for _, _, s in signed} if s not in first]
-        first.update(zip(new, (ids.tobytes() for ids in self._ids(new)), strict=True))
-        kept.update((unit, kept[word] + first[signs]) for unit, word, signs in signed)
-        return others
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of new units behind a space.  A line feed between two characters that are not white space is a word of its
-        own, so lines that are words are put together from theirs."""
-        others, lined = [], []
-        for unit in self._learn_words(self.inner, self.inner.missing(pieces), self.space):
-            lines = unit.split("\n")
-            (lined if len(lines) > 1 and all(map(WORD_AND_SIGNS, lines)) else others).append(unit)
-        self.inner.update(zip(others, self._told_apart(
-            others, self.tokenizer, lambda c: f" {' '.join(c)}", lambda u: len(u.encode()) + 1), strict=True))
-        if lined:
-            parts = [u.split("\n") for u in lined]
-            self._learn({p[0] for p in parts if p[0] not in self.inner})
-            self._learn_first({x for p in parts for x in p[1:] if x not in self.first})
-            self.inner.update((u, self.line_feed.join([self.inner[p[0]], *map(self.first.__getitem__, p[1:])]))
-                              for u, p in zip(lined, parts, strict=True))
-
-    def _learn_first(self, heads: set[str]) -> None:
-        new = self._learn_words(self.first, self.first.missing(heads), "")
-        self.first.update(zip(new, (ids.tobytes() for ids in self._ids(new)), strict=True))
-
-    def _joined(self, parts: Sequence[list[str]]) -> list[bytes]:
-        """Ids of texts without special tokens, each cut at its spaces."""
-        self.inner.age()
-        self.first.age()
-        heads = [p.pop(0) for p in parts]
-        self._learn_first({h for h in heads if h not in self.first})
-        pieces = set().union(*parts)
-        self._learn({u for u in pieces if u not in self.inner})
-        get, first = self.inner.__getitem__, self.first
-        odd = {u for u in pieces if not get(u)}
-        return [self._uneven([h, *p]) if not first[h] or odd and not odd.isdisjoint(p) else b"".join([first[h], *map(get, p)])
-                for h, p in zip(heads, parts, strict=True)]
-
-    def _uneven(self, pieces: list[str]) -> bytes:
-        head, *rest = whole_units(pieces)
-        tail = []
-        if rest and (not rest[-1] or rest[-1][-1].isspace()):
-            tail = [f" {rest.pop()}"]
-        self._learn({u for u in rest if u not in self.inner})
-        ends = self._ids([head, *tail])
-        return b"".join([ends[0].tobytes(), *map(self.inner.__getitem__, rest), *(t.tobytes() for t in ends[1:])])
+    def _told_apart(self, units: Sequence, tokenizer, text, size) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units that are encoded side by side, and where those of each end; a unit ends where its bytes do."""
+        found = [np.zeros(0, "<u4")]
+        for at in range(0, len(units), 100 * UNITS_A_CALL):
+            calls = [text(units[i:i + UNITS_A_CALL]) for i in range(at, min(at + 100 * UNITS_A_CALL, len(units)), UNITS_A_CALL)]
+            found += [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(calls, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        return ids, np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(size(units))) + 1
+
+    def _learn_words(self, words: pa.Array) -> np.ndarray:
+        """Ids of words, which are encoded without cutting; their places."""
+        data, bounds = bytes_of(words)
+        wide = LETTER_BYTES[1][data] > 0
+        size = np.diff(bounds)
+        at = np.arange(len(data)) + np.cumsum(wide) - wide + np.repeat(np.arange(len(words)), size)
+        written = np.full(len(data) + int(wide.sum()) + len(words), 32, np.uint8)  # a space behind each word
+        written[at] = LETTER_BYTES[0][data]
+        written[at[wide] + 1] = LETTER_BYTES[1][data[wide]]
+        ends = np.cumsum(size + count_in(wide, bounds) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        ids, ends = self._told_apart(np.arange(len(words)), self.words_only,
+                                     lambda w: written[starts[w[0]]:ends[w[-1]]].tobytes().decode(), lambda w: size)
+        return self.kept.add(words, ids, ends)
+
+    def _learn_others(self, units: pa.Array) -> np.ndarray:
+        """Ids of units by the tokenizer's own cuts, side by side where they begin with a space and end otherwise; their places."""
+        texts = units.to_pylist()
+        inner = np.fromiter((t[0] == " " and not t[-1].isspace() for t in texts), bool, len(texts))
+        places = np.zeros(len(texts), np.int64)
+        beside = [t for t, i in zip(texts, inner.tolist(), strict=True) if i]
+        places[inner] = self.kept.add(units.filter(pa.array(inner)), *self._told_apart(
+            beside, self.tokenizer, "".join, lambda units: [len(u.encode()) for u in units]))
+        if not inner.all():
+            ids = self._ids([t for t, i in zip(texts, inner.tolist(), strict=True) if not i])
+            places[~inner] = self.kept.add(units.filter(pa.array(~inner)), np.concatenate(ids), np.cumsum(list(map(len, ids))))
+        return places
+
+    def _words(self, units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words of the units, how many each unit has, which words are whole units for the tokenizer to cut)
+
+        A word is a run of letters, of digits or of signs, with the space before it, or a line feed between two of them.
+        """
+        data, bounds = bytes_of(units)
+        kind = KINDS[data]
+        first, last = np.zeros((2, len(data)), bool)
+        some = np.diff(bounds) > 0
+        first[bounds[:-1][some]] = True
+        last[bounds[1:][some] - 1] = True
+        firm = (kind != OTHER) & (kind < LINE_FEED)
+        firm_behind = shifted(firm, -1) & ~last
+        strange = kind == OTHER
+        strange |= (kind == LINE_FEED) & ~(firm_behind & shifted(firm, 1) & ~first)
+        strange |= (kind == SPACE) & ~(firm_behind & first)
+        strange |= (data == 39) & ~last & (shifted(kind, -1) == LETTER)  # 's and the like
+        behind = shifted(data, -1)
+        strange |= (data == 0xC9) & (behind > 0x8F) | (data == 0xC3) & ((behind == 0x97) | (behind == 0xB7))
+        whole = count_in(strange, bounds) > 0
+        before = shifted(kind, 1)
+        starts = (kind != before) & (before != SPACE) & ~np.repeat(whole, np.diff(bounds)) | first
+        n = count_in(starts, bounds)
+        cuts = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+        return words, n, np.repeat(whole, n)
+
+    def _ids_of_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each unit for itself one after the other, where those of each end)"""
+        words, n, whole = self._words(units)
+        coded = words.dictionary_encode()
+        which = coded.indices.to_numpy()
+        places = self.kept.find(coded.dictionary)
+        new = places < 0
+        cut = np.zeros(len(places), bool)
+        cut[which[whole]] = True
+        for asked, learn in ((new & ~cut, self._learn_words), (new & cut, self._learn_others)):
+            if asked.any():
+                places[asked] = learn(coded.dictionary.filter(pa.array(asked)))
+        ids, ends = gather(self.kept.ids, self.kept.starts, self.kept.sizes, places[which])
+        return ids, np.concatenate([[0], ends])[np.cumsum(n)]
+
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts without special tokens one after the other, where those of each end)"""
+        self.kept.age()
+        split = pc.split_pattern(texts, " ")
+        n = pc.list_value_length(split).to_numpy().astype(np.int64)
+        pieces = split.flatten()
+        heads = np.cumsum(n) - n
+        coded = pieces.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        # Where a piece is empty or ends in white space and another follows, the units of the text are put together anew.
+        open_end = ends_in_space(coded.dictionary)[which]
+        open_end[heads + n - 1] = False
+        uneven = np.flatnonzero(np.logical_or.reduceat(open_end, heads)) if len(n) else heads
+        if len(uneven):
+            pairs = split.take(pa.array(uneven)).to_pylist()
+            anew = [[head, *(f" {u}" for u in rest)] for head, *rest in map(whole_units, pairs)]
+            which[np.isin(np.repeat(np.arange(len(n)), n), uneven)] = -1
+        inner = np.ones(len(which), bool)
+        inner[heads] = False
+        inner &= which >= 0
+        asked = np.zeros(len(coded.dictionary), bool)
+        asked[which[inner]] = True
+        number = np.cumsum(asked) - 1
+        units = [pc.binary_join_element_wise(pa.scalar(""), coded.dictionary.filter(pa.array(asked)), pa.scalar(" ")), pieces.take(pa.array(heads))]
+        which[inner] = number[which[inner]]
+        which[heads] = asked.sum() + np.arange(len(n))
+        if len(uneven):
+            others = pa.array([u for own in anew for u in own], pa.string()).dictionary_encode()
+            units[1] = pc.if_else(pa.array(np.isin(np.arange(len(n)), uneven)), pa.scalar(""), units[1])
+            units.append(others.dictionary)
+            at = asked.sum() + len(n) + others.indices.to_numpy()
+            bounds = np.cumsum([0, *map(len, anew)])
+            parts, done = [], 0
+            for i, a, b in zip(uneven.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                parts += [which[done:heads[i]], at[a:b]]
+                done = heads[i] + n[i]
+            which = np.concatenate([*parts, which[done:]])
+            n[uneven] = np.diff(bounds)
+        ids, ends = self._ids_of_units(pa.concat_arrays([u.cast(pa.string()) for u in units]))
+        sizes = np.diff(ends, prepend=0)
+        ids, ends = gather(ids, ends - sizes, sizes, which)
+        return ids, ends[np.cumsum(n) - 1]
 
     def behind_space(self, units: Sequence[str]) -> list[bytes]:
         """Ids of each unit with its space in front, for files that are not ``plain``."""
-        self.inner.age()
-        self._learn({u for u in units if u not in self.inner})
-        found = list(map(self.inner.__getitem__, units))
-        if b"" in found:  # white space at the end
-            found = [f or self._ids([f" {u}"])[0].tobytes() for f, u in zip(found, units, strict=True)]
-        return found
+        self.kept.age()
+        ids, ends = self._ids_of_units(pa.array([f" {u}" for u in units], pa.string()))
+        cuts = (4 * ends).tolist()
+        return list(map(ids.tobytes().__getitem__, map(slice, [0, *cuts[:-1]], cuts)))
 
-    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, END_ID behind each; place of each text's first id, and the end)."""
-        if self.plain:
-            found = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        else:
-            found = self._by_unit(texts)
-        end = np.array([END_ID], "<u4").tobytes()
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter((len(f) // 4 + 1 for f in found), np.int64, len(found)))])
-        return np.frombuffer(b"".join(x for f in found for x in (f, end)), "<u4"), bounds
-
-    def _by_unit(self, texts: Sequence[str | None]) -> list[bytes]:
-        marked = {i: self.cut.split(t) for i, t in enumerate(texts) if t and any(m in t for m in self.marks)}
-        parts = [t.split(" ") for i, t in enumerate(texts) if t and i not in marked]
-        parts += [p.split(" ") for split in marked.values() for p in split[::2] if p]
-        done = iter(self._joined(parts))
-        found = [next(done) if t and i not in marked else b"" for i, t in enumerate(texts)]
-        for i, split in marked.items():
-            found[i] = b"".join(np.array([self.marks[p]], "<u4").tobytes() if k % 2 else next(done)
-                                for k, p in enumerate(split) if p)
-        return found
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("").cast(pa.string())
+        found, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        held = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // RUN_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                ids, ends = self._by_library(texts[a:b]) if self.plain else self._by_unit(texts[a:b])
+                placed = np.full(len(ids) + b - a, END_ID, "<u4")
+                own = np.ones(len(placed), bool)
+                own[ends + np.arange(b - a)] = False
+                placed[own] = ids
+                found.append(placed)
+                sizes.append(np.diff(ends, prepend=0) + 1)
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _by_library(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for f in found for i in f], "<u4"), np.cumsum(list(map(len, found)))
+
+    def _by_unit(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._joined(texts)
+        split = [self.cut.split(t) if m else [t] for t, m in zip(texts.to_pylist(), marked.tolist(), strict=True)]
+        ids, ends = self._joined(pa.array([p for parts in split for p in parts[::2]], pa.string()))
+        own = iter(np.split(ids, ends[:-1]))
+        found = [np.concatenate([np.array([self.marks[p]], "<u4") if k % 2 else next(own) for k, p in enumerate(parts)]) for parts in split]
+        return np.concatenate(found), np.cumsum(list(map(len, found)))
 
 
 @functools.lru_cache(maxsize=1)
