@@ -13,7 +13,7 @@ from tidemark.llm.tokens import default_path, shared_encoder
 
 LENGTH = 1_024
 CUT = 6
-ROWS_A_CALL = 256
+ROWS_A_CALL = 1_000
 
 PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
 
@@ -149,8 +149,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
             for at in range(0, batch.num_rows, ROWS_A_CALL):
                 piece = batch.slice(at, ROWS_A_CALL)
                 encoder = encoder or shared_encoder(path)
-                ids, bounds = encoder.encode(piece.column(1).to_pylist())
-                ids = ids.astype("<u4")
+                ids, bounds = encoder.encode(piece.column(1))
                 for doc, a, b in zip(piece.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     n = b - a
                     rest = n % length
