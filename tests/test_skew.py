@@ -91,6 +91,26 @@ def test_alert_logs_of_equal_lines(spark):
     assert two[1][1] == "\n".join(got[1][1].split("\n")[-2:]) and two[2] == (2, "same")
 
 
+def test_alerts_are_read_once(spark):
+    """Payloads of alerts are parsed once for their log lines."""
+    read = spark.sparkContext.accumulator(0)
+
+    def parsed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    alerts = spark.range(0, 30, 1, 3).select(F.col("id").alias("alert_id"), F.lit("p").alias("pod"), F.lit("n").alias("namespace"),
+                                             F.timestamp_seconds(F.col("id") * 600).alias("ts"), F.lit("long").alias("full_description"))
+    alerts = alerts.mapInArrow(parsed, alerts.schema)
+    lines = spark.range(300).select(F.lit("p").alias("pod"), F.lit("n").alias("namespace"), F.timestamp_seconds(F.col("id") * 60).alias("ts"),
+                                    F.col("id").alias("seq"), F.col("id").cast("string").alias("line"))
+    out = logs.alert_logs(alerts, lines, n=5)
+    assert {r.alert_id: r.log_text for r in out.collect()} == {
+        i: "\n".join(str(k) for k in range(max(0, 10 * i - 4), 10 * i + 1)) for i in range(30)}
+    assert read.value == 30
+
+
 def test_a_long_look_back_is_a_few_spans(spark):
     """An alert that looks back 240 hours is ten rows at most, and these meet the lines without a broadcast."""
     alerts = spark.createDataFrame([(i, "p", "n", 3_600_000 + 5_000 * i) for i in range(20)], "alert_id bigint, pod string, namespace string, s bigint")

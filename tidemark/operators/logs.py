@@ -117,6 +117,8 @@ def alert_logs(alerts: DataFrame, logs: DataFrame, n: int = LOG_LINES, alert_id:
     line = [*pod, "ts", "seq", "digest"]
     width = max(1, -(-look_back_hours // LOOK_BACK_SPANS))
     hour = F.floor(F.unix_seconds("ts") / (width * 3_600)).alias("hour")
+    # Alerts are read for their spans, twice for the numbers and once more for the ranges of these; their keys are written, so payloads are parsed once.
+    alerts = cut_lineage(alerts.select(*pod, "ts", alert_id))
     # The planner takes the spans for as small as the alerts they are made of; they grow with pods and time, so they are shuffled.
     spans = hours_seen(alerts, look_back_hours, width).hint("merge")
     near = (logs.select(*pod, "ts", "seq", "line", hour).join(spans, [*pod, "hour"], "left_semi")
